@@ -1,4 +1,514 @@
-"""Every registered query, and the SQL that it is held against."""
+"""Every registered query over whole driver tables, and the SQL that it is held against.
+
+Documents are pages (one each), benchmark items questions, conversations chats, events traces, jobs and cache events, and
+customers users of departments (nations).
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import facts as K, lexicon, text as T
+from ..operators import answering, chunking, citations, evaluation, guard, operations as O, profile, retrieval as R, verification as V
+from ..sources import tables as S
+from ..streaming import streams
 
 QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def t(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def pages(spark: SparkSession, d: str) -> DataFrame:
+    return t(spark, d, "documents").select("doc_id", F.lit(1).alias("page_number"), T.squeeze(F.coalesce("text", F.lit(""))).alias("text"))
+
+
+def questions(spark: SparkSession, d: str) -> DataFrame:
+    return t(spark, d, "benchmark").select("item_id", "text")
+
+
+def turns(spark: SparkSession, d: str) -> DataFrame:
+    return t(spark, d, "conversations")
+
+
+def traces(spark: SparkSession, d: str) -> DataFrame:
+    e = t(spark, d, "events")
+    failed = F.col("event_type") == "error"
+    return e.select(F.col("event_id").alias("id"), F.col("user_id"), F.when(F.col("event_type") == "click", "ollama-chat").otherwise("extractive").alias("provider"), F.when(failed, "failed").alias("error"), F.col("value").alias("duration_ms"), F.col("ts").alias("created_at"))
+
+
+def q_list(words) -> str:
+    return "[" + ",".join("'" + w.replace("'", "''") + "'" for w in words) + "]"
+
+
+def norm(c: str) -> str:
+    return f"translate(lower(translate({c}, 'Iİ', 'ıi')), 'çğıöşü', 'cgiosu')"
+
+
+def terms_sql(c: str, drop=()) -> str:
+    return f"list_filter(list_distinct(regexp_extract_all({norm(c)}, '[a-z0-9]+')), lambda x: length(x) > 2 AND NOT list_contains({q_list([*lexicon.STOP_WORDS, *drop])}, x))"
+
+
+def like(c: str, markers) -> str:
+    return "(" + " OR ".join(f"contains({c}, '{m}')" for m in markers) + ")"
+
+
+TR = norm("text")
+WS = r"trim(regexp_replace(regexp_replace(text, '\s+', ' ', 'g'), '^ | $', '', 'g'), ' ')"
+
+
+# --- scalar functions ------------------------------------------------------------------------------------------------
+
+
+@query(f"SELECT doc_id, md5({TR}) AS normal, md5({WS}) AS spaced, sha256({TR}) AS hash, lower({WS}) = {WS} AS is_lower FROM documents")
+def normal_forms(spark, d):
+    x = F.col("text")
+    n, w = T.normalize_for_matching(x), T.normalize_whitespace(x)
+    return t(spark, d, "documents").select("doc_id", F.md5(n).alias("normal"), F.md5(w).alias("spaced"), T.stable_hash(n).alias("hash"), (T.normalize_cache_text(x) == w).alias("is_lower"))
+
+
+@query(f"SELECT doc_id, len(l)::INT AS n_terms, md5(array_to_string(list_sort(l), ' ')) AS terms FROM (SELECT doc_id, {terms_sql('text')} AS l FROM documents)")
+def meaningful_terms(spark, d):
+    return t(spark, d, "documents").withColumn("l", T.meaningful_terms(F.col("text"))).select("doc_id", F.size("l").alias("n_terms"), F.md5(F.array_join(F.array_sort("l"), " ")).alias("terms"))
+
+
+@query(f"SELECT conv_id, turn, len(l)::INT AS n_terms FROM (SELECT conv_id, turn, {terms_sql('text', lexicon.GENERIC_ANSWER_TERMS)} AS l FROM conversations)")
+def claim_content_terms(spark, d):
+    return turns(spark, d).select("conv_id", "turn", F.size(T.claim_content_terms(F.col("text"))).alias("n_terms"))
+
+
+_LET, _UP = "A-Za-zÇĞİÖŞÜçğıöşü", "A-ZÇĞİÖŞÜ"
+
+
+@query(f"SELECT doc_id, regexp_matches(text, '[{_LET}]') AS letters, (len(regexp_extract_all(text, '[{_LET}]')) > 0 AND NOT contains(text, '?') AND len(regexp_extract_all(text, '[{_UP}]')) >= 0.7 * len(regexp_extract_all(text, '[{_LET}]'))) AS heading FROM documents")
+def heading_flags(spark, d):
+    return t(spark, d, "documents").select("doc_id", T.contains_letters(F.col("text")).alias("letters"), T.looks_like_heading(F.col("text")).alias("heading"))
+
+
+@query(r"SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, chr(0), ' ', 'g'), '[ \t]+', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')) AS cleaned FROM documents")
+def clean_text(spark, d):
+    return t(spark, d, "documents").select("doc_id", F.md5(T.clean_text(F.col("text"))).alias("cleaned"))
+
+
+@query("""
+WITH a AS (SELECT doc_id, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS x FROM documents), b AS (SELECT *, left(x, 1000) AS s FROM a),
+c AS (SELECT *, greatest(CASE WHEN contains(s, '. ') THEN length(s) - instr(reverse(s), ' .') - 1 ELSE -1 END, CASE WHEN contains(s, chr(10)) THEN length(s) - instr(reverse(s), chr(10)) ELSE -1 END) AS cut FROM b)
+SELECT doc_id, md5(CASE WHEN length(x) <= 1000 THEN x ELSE regexp_replace(CASE WHEN cut > 300 THEN left(s, cut + 1) ELSE s END, '^\\s+|\\s+$', '', 'g') || '...' END) AS short FROM c""")
+def shorten(spark, d):
+    return t(spark, d, "documents").select("doc_id", F.md5(T.shorten(F.col("text"), 1000)).alias("short"))
+
+
+@query()
+def trim_to_sentence(spark, d):
+    return t(spark, d, "documents").select("doc_id", F.length(T.trim_to_sentence(F.col("text"))).alias("n"))
+
+
+@query(rf"""
+WITH n AS (SELECT doc_id, {TR} AS x FROM documents),
+p AS (SELECT doc_id, list_transform(regexp_extract_all(x, '(?:%\s*|\byuzde\s+)(\d+(?:[.,]\d+)?)', 1), lambda v: CASE WHEN contains(replace(v, ',', '.'), '.') THEN regexp_replace(replace(v, ',', '.'), '\.?0+$', '') ELSE replace(v, ',', '.') END) AS l FROM n)
+SELECT doc_id, array_to_string(list_sort(list_distinct(l)), ',') AS percentages FROM p""")
+def extract_percentages(spark, d):
+    return t(spark, d, "documents").select("doc_id", F.array_join(K.extract_percentages(F.col("text")), ",").alias("percentages"))
+
+
+@query()
+def extract_claim_facts(spark, d):
+    x = t(spark, d, "documents").select("doc_id", K.extract_claim_facts(F.col("text")).alias("f"))
+    return x.select("doc_id", *(F.array_join(F.col("f")[k], ",").alias(k) for k in K.KINDS))
+
+
+@query(rf"SELECT conv_id, turn, ({like(chr(39) + ' ' + chr(39) + ' || ' + TR, lexicon.NEGATIVE_MARKERS)} OR regexp_matches({TR}, '\b[a-z]+(?:maz|mez|miyor|miyorlar)\b')) AS negative, {like(TR, lexicon.NO_ANSWER_MARKERS)} AS no_answer FROM conversations")
+def polarity(spark, d):
+    x = F.col("text")
+    return turns(spark, d).select("conv_id", "turn", T.has_negative_polarity(x).alias("negative"), T.is_no_answer_response(x).alias("no_answer"))
+
+
+def _relations_sql() -> str:
+    test = lambda m: f"contains(x, '{m}')" if " " in m else rf"regexp_matches(x, '\b{m}[a-z]*\b')"
+    return " || ".join(f"CASE WHEN {' OR '.join(map(test, ms))} THEN '{name},' ELSE '' END" for name, ms in lexicon.RELATIONS.items())
+
+
+@query(f"SELECT conv_id, turn, rtrim({_relations_sql()}, ',') AS relations FROM (SELECT conv_id, turn, {TR} AS x FROM conversations)")
+def relation_concepts(spark, d):
+    return turns(spark, d).select("conv_id", "turn", F.array_join(T.relation_concepts(F.col("text")), ",").alias("relations"))
+
+
+@query("SELECT doc_id, regexp_replace(source || ' ' || doc_id, '[^a-zA-Z0-9_-]', '_', 'g') AS safe, left(text, 1000) = text AS is_short, sha256(sha256(text)) AS twice FROM documents")
+def identifiers(spark, d):
+    return t(spark, d, "documents").select("doc_id", T.safe_id(F.concat_ws(" ", "source", "doc_id")).alias("safe"), (T.truncate(F.col("text"), 1000) == F.col("text")).alias("is_short"), T.stable_hash(T.stable_hash(F.col("text"))).alias("twice"))
+
+
+# --- chunks and profiles ---------------------------------------------------------------------------------------------
+
+_CLEAN = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(text,''), chr(0), ' ', 'g'), '[ \t]+', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')"
+
+
+@query(rf"""
+WITH l AS (SELECT doc_id, list_filter(list_transform(string_split_regex({_CLEAN}, '\r\n|[\n\r\x0b\x0c]'), lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'), ' ')), lambda x: x <> '') AS l FROM documents)
+SELECT doc_id, len(l)::BIGINT AS n_lines, md5(array_to_string(l, '|')) AS lines FROM l WHERE len(l) > 0""")
+def page_lines(spark, d):
+    x = chunking.page_lines(pages(spark, d)).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_lines"), F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("l"))
+    return x.select("doc_id", "n_lines", F.md5(F.array_join(F.transform("l", lambda r: r["line"]), "|")).alias("lines"))
+
+
+@query()
+def heading_sections(spark, d):
+    return chunking.heading_sections(pages(spark, d)).select("doc_id", "section", "heading", F.length("text").alias("n"))
+
+
+@query()
+def semantic_blocks(spark, d):
+    return chunking.semantic_blocks(pages(spark, d)).select("doc_id", "block_no", F.length("block").alias("n"))
+
+
+@query()
+def chunk_documents(spark, d):
+    return chunking.chunk_documents(pages(spark, d)).select("doc_id", "chunk_index", F.length("text").alias("n"), F.md5("text").alias("hash"))
+
+
+@query()
+def build_profile(spark, d):
+    return profile.build_profile(chunking.chunk_documents(pages(spark, d)))
+
+
+@query()
+def without_chunks(spark, d):
+    p = pages(spark, d)
+    return chunking.without_chunks(p, chunking.chunk_documents(p))
+
+
+# --- embedding and retrieval -----------------------------------------------------------------------------------------
+
+
+@query(r"""
+WITH k AS (SELECT item_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}')) AS w FROM benchmark),
+c AS (SELECT item_id, (('0x' || substr(md5(w), 1, 8))::BIGINT % 384) AS bucket, count(*) AS n FROM k GROUP BY ALL)
+SELECT item_id, bucket, round(n / sqrt(sum(n * n) OVER (PARTITION BY item_id)), 6) AS weight FROM c""")
+def hash_embed(spark, d):
+    return R.hash_embed(questions(spark, d), ["item_id"]).select("item_id", "bucket", F.round("weight", 6).alias("weight"))
+
+
+_LEX = f"""
+q AS (SELECT item_id, unnest({terms_sql('text')}) AS term FROM benchmark), n AS (SELECT item_id, count(*) AS total FROM q GROUP BY 1),
+c AS (SELECT doc_id, unnest({terms_sql('text')}) AS term FROM documents),
+m AS (SELECT item_id, doc_id, count(*) / any_value(total) AS sparse FROM q JOIN c USING (term) JOIN n USING (item_id) GROUP BY 1, 2),
+s AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY sparse DESC, doc_id) AS sparse_rank FROM m)"""
+
+
+@query(f"WITH {_LEX} SELECT item_id, doc_id, round(sparse, 6) AS sparse, sparse_rank FROM s WHERE sparse_rank <= 20")
+def lexical_search(spark, d):
+    s = R.lexical_search(questions(spark, d), t(spark, d, "documents"), ["item_id"], ["doc_id"])
+    return s.where("sparse_rank <= 20").select("item_id", "doc_id", F.round("sparse", 6).alias("sparse"), "sparse_rank")
+
+
+def _hybrid(spark, d):
+    docs, q = t(spark, d, "documents").select("doc_id", "text"), questions(spark, d)
+    dense = R.sparse_cosine(R.hash_embed(q, ["item_id"]), R.hash_embed(docs, ["doc_id"]), ["item_id"], ["doc_id"])
+    return R.hybrid_search(dense.withColumn("dense", F.round("dense", 9)), R.lexical_search(q, docs, ["item_id"], ["doc_id"]), ["item_id"], ["doc_id"], 4)
+
+
+_VEC = lambda table, key: rf"""(SELECT {key}, bucket, n / sqrt(sum(n * n) OVER (PARTITION BY {key})) AS weight FROM (SELECT {key}, (('0x' || substr(md5(w), 1, 8))::BIGINT % 384) AS bucket, count(*) AS n FROM (SELECT {key}, unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]{{2,}}')) AS w FROM {table}) GROUP BY ALL))"""
+
+
+@query(f"""WITH {_LEX},
+e AS (SELECT item_id, doc_id, round(sum(a.weight * b.weight), 9) AS dense FROM {_VEC('benchmark', 'item_id')} a JOIN {_VEC('documents', 'doc_id')} b USING (bucket) GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY dense DESC, doc_id) AS dense_rank FROM e QUALIFY dense_rank <= 20),
+h AS (SELECT coalesce(r.item_id, s.item_id) AS item_id, coalesce(r.doc_id, s.doc_id) AS doc_id, coalesce(1.0::DOUBLE / (60 + dense_rank), 0) + coalesce(1.0::DOUBLE / (60 + sparse_rank), 0) AS hybrid, greatest(coalesce(dense, 0), least(coalesce(sparse, 0), 1)) AS score
+      FROM r FULL JOIN s ON r.item_id = s.item_id AND r.doc_id = s.doc_id)
+SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY hybrid DESC, score DESC, doc_id) AS rank, round(score, 6) AS score FROM h QUALIFY rank <= 4""")
+def hybrid_search(spark, d):
+    return _hybrid(spark, d).select("item_id", "doc_id", "rank", F.round("score", 6).alias("score"))
+
+
+@query()
+def hybrid_passages(spark, d):
+    top = _hybrid(spark, d).where("rank = 1").select("item_id", "doc_id", "score")
+    both = top.join(questions(spark, d).select("item_id", T.meaningful_terms(F.col("text")).alias("terms")), "item_id").join(t(spark, d, "documents").select("doc_id", "text"), "doc_id")
+    return both.select("item_id", "doc_id", F.round("score", 6).alias("score"), R.relevant_passage(F.col("terms"), F.col("text")).alias("passage"))
+
+
+@query()
+def fulltext_search(spark, d):
+    return R.fulltext_search(questions(spark, d), t(spark, d, "documents"), ["item_id"], ["doc_id"], 20)
+
+
+@query("""
+WITH p AS (SELECT a.label, a.vec_id AS query_id, b.vec_id, list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS s FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0)
+SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, vec_id) AS rank, round(s, 6) AS score FROM p QUALIFY rank <= 4""")
+def dense_search(spark, d):
+    """Exact top-k inside a document (here a label), for every 50th vector as a question."""
+    e = t(spark, d, "embeddings")
+    q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), "label")
+    s = q.join(e, "label").where("query_id <> vec_id").select("query_id", "vec_id", R.dot(F.col("q"), F.col("embedding")).alias("s"))
+    return R.top_k(s, ["query_id"], [F.desc(F.round("s", 9)), F.asc("vec_id")], 4).select("query_id", "vec_id", "rank", F.round("s", 6).alias("score"))
+
+
+_MODE = f"CASE WHEN {like(TR, lexicon.CRITIQUE_MARKERS)} THEN 'critique' WHEN {like(TR, lexicon.SUMMARY_MARKERS)} THEN 'summary' ELSE 'factual' END"
+
+
+@query(rf"SELECT conv_id, turn, {_MODE} AS mode, CASE WHEN regexp_matches({TR}, '\b(?:en\s+son|son|sonuncu|en\s+yeni|guncel|latest)\b') THEN 'last' WHEN regexp_matches({TR}, '\b(?:ilk|birinci|baslangic|en\s+eski|oldest)\b') THEN 'first' END AS direction FROM conversations WHERE role = 'user'")
+def question_modes(spark, d):
+    x = F.col("text")
+    return turns(spark, d).where("role = 'user'").select("conv_id", "turn", R.classify_response_mode(x).alias("mode"), R.order_direction(x).alias("direction"))
+
+
+@query()
+def expand_questions(spark, d):
+    x = F.col("text")
+    return turns(spark, d).where("role = 'user'").select("conv_id", "turn", R.expand_aliases(x).alias("expanded"), R.is_latest_course_question(x).alias("latest_course"))
+
+
+@query("SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rank FROM conversations QUALIFY rank <= 3")
+def initial_chunks(spark, d):
+    return R.initial_chunks(turns(spark, d), 3, "conv_id", "turn").select("conv_id", "turn", "rank")
+
+
+@query("SELECT conv_id, turn FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 2")
+def ordered_sources(spark, d):
+    return R.ordered_sources(turns(spark, d), "last", 2, "conv_id", "turn").select("conv_id", "turn")
+
+
+@query()
+def latest_course(spark, d):
+    return R.latest_course(turns(spark, d).select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("chunk_index"), "text"))
+
+
+# --- guard, verification, answers ------------------------------------------------------------------------------------
+
+
+def _asked(spark, d):
+    """Each user turn with the other speakers' turns of its conversation as sources."""
+    c = turns(spark, d)
+    q = c.where("role = 'user'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("question_id"), "conv_id", F.col("text").alias("question"))
+    s = c.where("role <> 'user'").select("conv_id", "turn", "text")
+    s = q.select("question_id", "conv_id").join(s, "conv_id").withColumn("source_index", F.row_number().over(Window.partitionBy("question_id").orderBy("turn")) - 1)
+    return q, s.select("question_id", "source_index", "text")
+
+
+@query()
+def guard_reasons(spark, d):
+    q, s = _asked(spark, d)
+    terms = s.groupBy("question_id").agg(F.array_distinct(F.flatten(F.collect_list(T.meaningful_terms(F.col("text"))))).alias("terms"))
+    x = q.join(terms, "question_id", "left").withColumn("terms", F.coalesce("terms", F.array().cast("array<string>")))
+    x = x.withColumn("score", R.lexical_score(T.meaningful_terms(F.col("question")), F.col("terms")))
+    return x.select("question_id", guard.guard_reason(F.col("question"), F.col("terms"), F.col("score")).alias("reason"), F.round("score", 4).alias("score"))
+
+
+def _answers(spark, d):
+    """Each assistant turn is an answer; the turns of its conversation before it are its sources."""
+    c = turns(spark, d)
+    a = c.where("role = 'assistant'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("answer_id"), "conv_id", F.col("turn").alias("at"), F.col("text").alias("answer"), F.lit("factual").alias("mode"))
+    s = a.select("answer_id", "conv_id", "at").join(c.select("conv_id", "turn", "text"), "conv_id").where("turn < at").select("answer_id", F.col("turn").cast("int").alias("source_index"), "text")
+    return a.select("answer_id", "answer", "mode"), s
+
+
+@query()
+def match_claims(spark, d):
+    return V.match_claims(*_answers(spark, d)).drop("matched")
+
+
+@query()
+def validate_answers(spark, d):
+    return V.validate_answers(*_answers(spark, d))
+
+
+@query()
+def evidence_support(spark, d):
+    return V.evidence_support(*_asked(spark, d))
+
+
+@query()
+def attach_citations(spark, d):
+    a, s = _answers(spark, d)
+    return citations.attach_citations(a, V.match_claims(a, s), s).select("answer_id", "answer", F.size("citations").alias("n_citations"))
+
+
+@query()
+def build_answers(spark, d):
+    q, s = _asked(spark, d)
+    return answering.build_answers(q.withColumn("mode", R.classify_response_mode(F.col("question"))), s)
+
+
+@query()
+def build_prompts(spark, d):
+    q, s = _asked(spark, d)
+    return answering.build_prompts(q.withColumn("mode", R.classify_response_mode(F.col("question"))), s)
+
+
+# --- evaluation ------------------------------------------------------------------------------------------------------
+
+
+def _scores(spark, d):
+    """Lexical retrieval of the benchmark held against the documents that hold each item's text as gold."""
+    found = R.lexical_search(questions(spark, d), t(spark, d, "documents"), ["item_id"], ["doc_id"]).where("sparse_rank <= 3")
+    first = questions(spark, d).withColumn("opening", F.left("text", F.lit(24)))
+    gold = R.lexical_search(questions(spark, d), t(spark, d, "documents"), ["item_id"], ["doc_id"]).where("sparse >= 0.999").select("item_id", "doc_id")
+    return found.withColumnRenamed("sparse_rank", "rank"), gold.join(first.select("item_id"), "item_id", "left_semi")
+
+
+_EVAL = f"""{_LEX}, g AS (SELECT item_id, doc_id FROM m WHERE sparse >= 0.999), f AS (SELECT item_id, doc_id, sparse_rank AS rank FROM s WHERE sparse_rank <= 3),
+w AS (SELECT item_id, count(*) AS wanted FROM g GROUP BY 1), h AS (SELECT f.item_id, count(*) AS n, count(g.doc_id) AS hits, min(CASE WHEN g.doc_id IS NOT NULL THEN rank END) AS first FROM f LEFT JOIN g ON f.item_id = g.item_id AND f.doc_id = g.doc_id GROUP BY 1),
+r AS (SELECT item_id, coalesce(hits, 0) / wanted AS recall, CASE WHEN coalesce(n, 0) > 0 THEN hits / n ELSE 0 END AS precision, coalesce(1.0 / first, 0)::DOUBLE AS reciprocal_rank FROM w LEFT JOIN h USING (item_id))"""
+
+
+@query(f"WITH {_EVAL} SELECT item_id, round(recall, 6) AS recall, round(precision, 6) AS precision, round(reciprocal_rank, 6) AS reciprocal_rank FROM r")
+def retrieval_metrics(spark, d):
+    m = evaluation.retrieval_metrics(*_scores(spark, d), "item_id", "doc_id")
+    return m.select("item_id", *(F.round(c, 6).alias(c) for c in ("recall", "precision", "reciprocal_rank")))
+
+
+@query("SELECT event_type, round(avg(value), 2) AS average_ms, round(quantile_cont(value, 0.5), 2) AS p50_ms, round(quantile_cont(value, 0.95), 2) AS p95_ms, round(max(value), 2) AS max_ms FROM events GROUP BY 1")
+def latency_percentiles(spark, d):
+    return evaluation.latency(t(spark, d, "events").select("event_type", F.col("value").alias("duration_ms")), "event_type")
+
+
+@query()
+def score_cases(spark, d):
+    m = evaluation.retrieval_metrics(*_scores(spark, d), "item_id", "doc_id")
+    cases = questions(spark, d).join(m, "item_id", "left").select(F.col("item_id").alias("case_id"), F.col("text").alias("answer"), (F.col("item_id") % 5 != 0).alias("should_answer"), F.array(F.array(F.substring("text", 1, 12))).alias("required"), F.array(F.lit("yuzde 100")).alias("forbidden"), (F.col("recall") > 0).alias("supported"), "recall", "precision", "reciprocal_rank")
+    return evaluation.score_cases(cases).select("case_id", "answer_correct", "grounded", "passed", F.array_join("failures", ",").alias("failures"))
+
+
+@query()
+def quality_gates(spark, d):
+    m = evaluation.retrieval_metrics(*_scores(spark, d), "item_id", "doc_id")
+    cases = questions(spark, d).join(m, "item_id", "left").select(F.lit(True).alias("passed"), F.lit(True).alias("should_answer"), F.lit(True).alias("answer_correct"), F.lit(True).alias("grounded"), "recall", "precision", "reciprocal_rank")
+    return evaluation.quality_gates(evaluation.aggregate_results(cases))
+
+
+# --- operations ------------------------------------------------------------------------------------------------------
+
+_TRACE = "(SELECT event_id AS id, user_id, CASE WHEN event_type = 'click' THEN 'ollama-chat' ELSE 'extractive' END AS provider, CASE WHEN event_type = 'error' THEN 'failed' END AS error, value AS duration_ms, ts AS created_at FROM events)"
+_SUMMARY = "count(*) AS total, count(*) FILTER (error IS NULL) AS successes, count(*) FILTER (error IS NOT NULL) AS failures, count(*) FILTER (error IS NULL AND provider LIKE 'ollama%') AS model_answers, count(*) FILTER (error IS NULL AND provider NOT LIKE 'ollama%') AS fallbacks, round(count(*) FILTER (error IS NULL) * 100.0::DOUBLE / count(*), 1) AS success_rate, round(coalesce(avg(duration_ms), 0), 1) AS mean_ms"
+
+
+@query(f"SELECT {_SUMMARY} FROM {_TRACE}")
+def quality_summary(spark, d):
+    return O.quality_summary(traces(spark, d))
+
+
+@query(f"SELECT user_id, {_SUMMARY} FROM {_TRACE} GROUP BY user_id")
+def quality_by_user(spark, d):
+    return O.quality_summary(traces(spark, d), "user_id")
+
+
+@query(f"SELECT id, user_id, provider, error FROM {_TRACE} ORDER BY created_at DESC, id DESC LIMIT 100")
+def recent_traces(spark, d):
+    return O.newest(traces(spark, d)).select("id", "user_id", "provider", "error")
+
+
+@query("""
+SELECT hits, misses, sets, deletes, errors, hits + misses AS reads, round(hits * 100.0::DOUBLE / (hits + misses), 1) AS hit_rate FROM (
+SELECT count(*) FILTER (event_type = 'view') AS hits, count(*) FILTER (event_type = 'click') AS misses, count(*) FILTER (event_type = 'purchase') AS sets, count(*) FILTER (event_type = 'signup') AS deletes, count(*) FILTER (event_type = 'error') AS errors FROM events)""")
+def cache_summary(spark, d):
+    kinds = F.create_map(*(x for k, v in (("view", "hits"), ("click", "misses"), ("purchase", "sets"), ("signup", "deletes"), ("error", "errors")) for x in (F.lit(k), F.lit(v))))
+    return O.cache_summary(t(spark, d, "events").select(F.element_at(kinds, F.col("event_type")).alias("kind"), F.lit(1).alias("amount")))
+
+
+def _users(spark, d):
+    c = t(spark, d, "customer")
+    role = F.when(F.col("c_custkey") % 500 == 0, "ADMIN").when(F.col("c_custkey") % 10 == 0, "MANAGER").when(F.col("c_custkey") % 7 == 0, None).otherwise("EMPLOYEE")
+    return c.select(F.col("c_custkey").alias("user_id"), role.alias("role"), F.when(F.col("c_custkey") % 13 != 0, F.col("c_nationkey")).alias("department_id"))
+
+
+def _catalogue(spark, d):
+    x = t(spark, d, "documents")
+    return x.select("doc_id", (F.col("doc_id") % 997).alias("owner_id"), (F.col("doc_id") % 25).cast("int").alias("department_id"), F.when(F.col("doc_id") % 4 == 0, "DEPARTMENT").when(F.col("doc_id") % 4 == 1, "PRIVATE").alias("sharing_scope"))
+
+
+_ACCESS = """
+u AS (SELECT c_custkey AS user_id, CASE WHEN c_custkey % 500 = 0 THEN 'ADMIN' WHEN c_custkey % 10 = 0 THEN 'MANAGER' ELSE 'EMPLOYEE' END AS role, CASE WHEN c_custkey % 13 <> 0 THEN c_nationkey END AS department_id FROM customer),
+x AS (SELECT doc_id, doc_id % 997 AS owner_id, doc_id % 25 AS department_id, doc_id % 4 = 0 AS shared FROM documents),
+a AS (SELECT user_id, doc_id, CASE WHEN role = 'ADMIN' THEN 0 WHEN owner_id = user_id THEN 1 ELSE 2 END AS branch, role, owner_id FROM u JOIN x ON role = 'ADMIN' OR owner_id = user_id OR (shared AND u.department_id = x.department_id))"""
+
+
+@query(f"WITH {_ACCESS} SELECT user_id, doc_id, branch FROM a")
+def accessible_documents(spark, d):
+    return O.accessible_documents(_users(spark, d), _catalogue(spark, d))
+
+
+@query(f"WITH {_ACCESS} SELECT user_id, doc_id, true AS can_access, (role = 'ADMIN' OR owner_id = user_id) AS can_manage, (role = 'ADMIN' OR owner_id = user_id OR (role = 'MANAGER' AND branch = 2)) AS can_reindex FROM a")
+def document_permissions(spark, d):
+    return O.document_permissions(_users(spark, d), _catalogue(spark, d))
+
+
+@query("SELECT c_custkey AS user_id, n_name AS name FROM customer LEFT JOIN nation ON CASE WHEN c_custkey % 13 <> 0 THEN c_nationkey END = n_nationkey")
+def list_users(spark, d):
+    n = t(spark, d, "nation").select(F.col("n_nationkey").alias("department_id"), F.col("n_name").alias("name"))
+    return O.list_users(_users(spark, d), n).select("user_id", "name")
+
+
+def _jobs(spark, d):
+    e = t(spark, d, "events").where("event_type IN ('error', 'purchase')")
+    status = F.element_at(F.array(*map(F.lit, (500, 404, 429, 503, 400))), (F.col("event_id") % 5 + 1).cast("int"))
+    return e.select(F.col("event_id"), (F.col("user_id") % 50).alias("doc_id"), (F.col("event_id") % 4).cast("int").alias("retry_count"), F.lit(None).cast("string").alias("error_class"), status.alias("http_status"), F.col("props").alias("error"), F.col("ts").alias("failed_at"))
+
+
+@query("""
+SELECT event_id, CASE WHEN event_id % 5 IN (0, 2, 3) AND event_id % 4 < 3 THEN 'retry' ELSE 'dlq' END AS route, (event_id % 4 + CASE WHEN event_id % 5 IN (0, 2, 3) AND event_id % 4 < 3 THEN 1 ELSE 0 END)::INT AS retry_count FROM events WHERE event_type IN ('error', 'purchase')""")
+def route_failures(spark, d):
+    return O.route_failures(_jobs(spark, d)).select("event_id", "route", "retry_count")
+
+
+@query("""
+SELECT user_id AS doc_id, arg_max(CASE WHEN event_type = 'error' AND event_id % 2 = 0 THEN 'READY' WHEN event_type = 'error' THEN 'FAILED' WHEN event_type = 'purchase' THEN 'READY' ELSE 'PROCESSING' END, (ts, event_id)) AS status FROM events GROUP BY 1""")
+def document_status(spark, d):
+    e = t(spark, d, "events")
+    status = F.when(F.col("event_type") == "error", "FAILED").when(F.col("event_type") == "purchase", "READY").otherwise("PROCESSING")
+    rows = e.select(F.col("user_id").alias("doc_id"), "event_id", F.col("ts").alias("event_time"), status.alias("status"), F.when(F.col("event_id") % 2 == 0, "REINDEX").otherwise("INGEST").alias("operation"), F.lit("READY").alias("previous_status"), F.col("props").alias("error"))
+    return O.document_status(rows).select("doc_id", "status")
+
+
+@query("SELECT doc_id, CASE WHEN doc_id IN (SELECT doc_id FROM labels) THEN 'new' ELSE source END AS source FROM documents")
+def replace_documents(spark, d):
+    x = t(spark, d, "documents").select("doc_id", "source")
+    new = x.join(t(spark, d, "labels").select("doc_id").distinct(), "doc_id", "left_semi").withColumn("source", F.lit("new"))
+    return S.replace_documents(x, new)
+
+
+@query("SELECT doc_id, n_chars FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def delete_documents(spark, d):
+    return S.delete_documents(t(spark, d, "documents").select("doc_id", "n_chars"), t(spark, d, "labels"))
+
+
+@query("SELECT event_id AS id, user_id FROM events WHERE event_type <> 'view'")
+def cache_misses(spark, d):
+    """Requests without a living answer: views were cached a minute before."""
+    e = t(spark, d, "events")
+    cache = e.where("event_type = 'view'").select(F.col("event_id").alias("key"), (F.col("ts") - F.expr("INTERVAL 1 MINUTE")).alias("stored_at"))
+    _, misses = O.cached_answers(e.select(F.col("event_id").alias("key"), F.col("ts").alias("now"), "user_id"), cache)
+    return misses.select(F.col("key").alias("id"), "user_id")
+
+
+@query(f"SELECT {_SUMMARY} FROM {_TRACE}")
+def trace_stream(spark, d):
+    """The running summary after a stream has read the whole feed."""
+    import os
+    import uuid
+
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    path = os.path.join(base, f"trace-{uuid.uuid4().hex}")
+    traces(spark, d).write.parquet(f"{path}/feed")
+    feed = spark.read.parquet(f"{path}/feed")
+    live = streams.trace_stream(spark.readStream.schema(feed.schema).parquet(f"{path}/feed"))
+
+    def keep(rows, batch_id):
+        rows.write.mode("overwrite").parquet(f"{path}/out")
+
+    run = live.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+    run.awaitTermination(600)
+    run.stop()
+    return spark.read.parquet(f"{path}/out")
