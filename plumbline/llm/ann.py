@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Share of a block that is reranked, and the least number of its rows.
-RERANK_SHARE, RERANK_LEAST = 0.08, 64
+RERANK_SHARE, RERANK_LEAST = 0.1, 256
 
 
 def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
