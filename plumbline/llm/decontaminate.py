@@ -40,7 +40,8 @@ def canonical(text: Column) -> Column:
     t = F.regexp_replace(t, rf"(?=[A-Z])(?<=[^.!?:;{blank}][{blank}])[A-Z][^{blank}]+", "<name>")
     t = F.regexp_replace(t, rf"(?=[$€£+\-0-9])(?<![^{blank}])[$€£+\-]?[0-9][^{blank}]*", "<num>")
     units = "|".join(sorted(UNITS, key=len, reverse=True))
-    return F.regexp_replace(F.lower(t), rf"(?<=<num>[{blank}])(?:{units})(?=[.,;:!?\"')\]]*(?:[{blank}]|$))", "<unit>")
+    low = F.lower(t)
+    return F.when(F.contains(low, F.lit("<num>")), F.regexp_replace(low, rf"(?<=<num>[{blank}])(?:{units})(?=[.,;:!?\"')\]]*(?:[{blank}]|$))", "<unit>")).otherwise(low)
 
 
 def split_words(text: Column) -> Column:
@@ -57,12 +58,9 @@ def windows(rows: DataFrame, text_col: str, *keep: str, openings: list[int] | No
     w = rows.select(*keep, F.lower(F.coalesce(F.col(text_col), F.lit(""))).alias("low"), canonical(F.col(text_col)).alias("canon"))
     slots = F.col("canon").contains("<n") | F.col("canon").contains("<unit>")
     w = w.select(*keep, split_words(F.col("canon")).alias("t"), slots.alias("slots"), F.when(slots, split_words(F.col("low"))).alias("raw"))
-    n = F.size("t")
-    opening = F.zip_with(F.slice("t", 1, F.greatest(n - 1, F.lit(0))), F.slice("t", 2, F.greatest(n - 1, F.lit(0))), lambda a, b: F.xxhash64(a, b))
-    w = w.withColumn("open", F.slice(opening, 1, F.greatest(n - WINDOW + 1, F.lit(1))))
-    # as SQL text: thousands of literals reach the JVM in one call
-    test = "true" if openings is None else f"o IN ({','.join(map(str, openings))})" if openings else "false"
-    w = w.withColumn("at", F.expr(f"filter(transform(open, (o, i) -> CASE WHEN {test} THEN i + 1 END), i -> i IS NOT NULL)"))
+    # one filter over the places, as SQL text: thousands of literals reach the JVM in one call
+    test = "true" if openings is None else f"xxhash64(get(t, i - 1), get(t, i)) IN ({','.join(map(str, openings))})" if openings else "false"
+    w = w.withColumn("at", F.expr(f"filter(sequence(1, greatest(size(t) - {WINDOW - 1}, 1)), i -> size(t) > 1 AND {test})"))
 
     # get reads one place of the array; slice inside a lambda would copy the whole array for each window
     at = lambda c, i: [F.get(F.col(c), i - 1 + k) for k in range(WINDOW)]
