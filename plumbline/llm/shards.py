@@ -30,18 +30,15 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PIECES = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 END_OF_TEXT = 50256
 NO_ID = -(2**63)
-#: White space beyond ASCII, in UTF-8: texts with it are tokenised whole.
-WIDE_SPACES = [chr(c).encode() for c in (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
-
 
 class Tokenizer:
-    """Byte-pair ids of whole Arrow columns: each distinct word is merged once and then looked up."""
+    """Byte-pair ids of whole Arrow columns: the distinct words of a batch are merged in one call, then looked up."""
 
-    def __init__(self, path: str = VOCABULARY, most: int = 300_000):
-        self.path, self.most, self.known, self.encoding = path, most, {}, None
+    def __init__(self, path: str = VOCABULARY):
+        self.path, self.encoding = path, None
 
     def __getstate__(self):
-        return {"path": self.path, "most": self.most, "known": {}, "encoding": None}
+        return {"path": self.path, "encoding": None}
 
     def load(self):
         if self.encoding is None:
@@ -50,39 +47,55 @@ class Tokenizer:
             with open(self.path, "rb") as f:
                 ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f)}
             self.encoding = tiktoken.Encoding("own", pat_str=PIECES, mergeable_ranks=ranks, special_tokens={})
+            self.widths = np.zeros(max(ranks.values()) + 1, np.int64)
+            self.widths[list(ranks.values())] = [len(x) for x in ranks]
         return self.encoding
 
+    def words(self, words) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words that may stand side by side without a change, and the n + 1 bounds of each word's ids."""
+        data, offsets = column_bytes(words)
+        ids = self.load().encode_to_numpy(data.tobytes().decode("utf-8"), disallowed_special=()) if len(data) else np.zeros(0, np.int64)
+        ends = np.concatenate([[0], np.cumsum(self.widths[ids])])
+        bounds = np.searchsorted(ends, offsets)
+        if not np.array_equal(ends[bounds], offsets):
+            raise RuntimeError("a token spans two words")
+        return ids.astype(np.uint16), bounds
+
     def ids(self, column) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts of a column, and the n + 1 bounds of each text's ids."""
         import pyarrow as pa
 
-        encode = self.load().encode_ordinary
+        self.load()
         data, offsets = column_bytes(column)
-        raw = data.tobytes()
-        if any(s in raw for s in WIDE_SPACES):
-            cuts = np.unique(offsets)
-        else:  # a single space between two solid characters always opens a piece
-            blank = (data == 32) | ((data >= 9) & (data <= 13)) | ((data >= 28) & (data <= 31))
-            at = np.flatnonzero((data[1:-1] == 32) & ~blank[:-2] & ~blank[2:]) + 1 if len(data) > 2 else np.zeros(0, np.int64)
-            cuts = np.unique(np.concatenate([at, offsets]))
-        if len(cuts) < 2:
+        if not len(data):
             return np.zeros(0, np.uint16), np.zeros(len(offsets), np.int64)
-        words = pa.Array.from_buffers(pa.large_binary(), len(cuts) - 1, [None, pa.py_buffer(cuts.astype(np.int64)), pa.py_buffer(raw)]).dictionary_encode()
-        if len(self.known) > self.most:
-            self.known.clear()
-        lists = []
-        for w in words.dictionary.to_pylist():
-            x = self.known.get(w)
-            if x is None:
-                x = self.known[w] = np.array(encode(w.decode("utf-8")), dtype=np.uint16)
-            lists.append(x)
-        sizes = np.array([len(x) for x in lists], dtype=np.int64)
-        flat, firsts = np.concatenate(lists), np.cumsum(sizes) - sizes
-        which = words.indices.to_numpy()
-        n = sizes[which]
-        ends = np.cumsum(n)
-        out = flat[np.repeat(firsts[which] - (ends - n), n) + np.arange(ends[-1])]
-        return out, np.concatenate([[0], ends])[np.searchsorted(cuts, offsets)]
+        # a single space between two solid characters always opens a piece. White space beyond ASCII starts with one of
+        # the bytes C2, E1, E2, E3; C3 and one byte more are never white space
+        blank = (data == 32) | ((data >= 9) & (data <= 13)) | ((data >= 28) & (data <= 31))
+        after = ~blank & ~((data >= 0xE1) & (data <= 0xE3)) & (data != 0xC2)
+        before = ~blank & (data < 0x80)
+        before[1:] |= (data[1:] >= 0x80) & (data[:-1] == 0xC3)
+        opens = np.zeros(len(data) + 1, bool)
+        opens[1:-2] = (data[1:-1] == 32) & before[:-2] & after[2:]
+        opens[offsets] = True
+        cuts = np.flatnonzero(opens)
+        words = pa.Array.from_buffers(pa.large_binary(), len(cuts) - 1, [None, pa.py_buffer(cuts.astype(np.int64)), pa.py_buffer(data.tobytes())])
+        # the first word of a text lacks the space, and the last one may end in white space: these are merged singly
+        ends = np.isin(cuts, offsets)
+        single = ends[:-1] | (ends[1:] & blank[cuts[1:] - 1])
+        inner = words.filter(pa.array(~single)).dictionary_encode()
+        flat, bounds = self.words(inner.dictionary)
+        edge = words.filter(pa.array(single)).dictionary_encode()
+        lists = [self.encoding.encode_ordinary(w.decode("utf-8")) for w in edge.dictionary.to_pylist()]
+        edge_bounds = np.cumsum([0, *map(len, lists)])
+        first, n = np.empty(len(words), np.int64), np.empty(len(words), np.int64)
+        for chosen, at, b, base in ((~single, inner.indices, bounds, 0), (single, edge.indices, edge_bounds, len(flat))):
+            at = at.to_numpy()
+            first[chosen], n[chosen] = base + b[:-1][at], np.diff(b)[at]
+        flat = np.concatenate([flat, np.array([x for one in lists for x in one], dtype=np.uint16)])
+        to = np.cumsum(n)
+        out = flat[np.repeat(first - (to - n), n) + np.arange(to[-1])]
+        return out, np.concatenate([[0], to])[np.searchsorted(cuts, offsets)]
 
 
 def permute(k: np.ndarray, size: int, key: int, rounds: int = 6) -> np.ndarray:
@@ -121,8 +134,8 @@ def write_shards(docs: DataFrame, path: str, length: int = 512, per_shard: int =
 
     def batches_of(batches):
         for b in batches:
-            for at in range(0, b.num_rows, 1000):
-                yield b.slice(at, 1000)
+            for at in range(0, b.num_rows, 2000):
+                yield b.slice(at, 2000)
 
     def count(batches):
         import pyarrow as pa
@@ -160,14 +173,16 @@ def write_shards(docs: DataFrame, path: str, length: int = 512, per_shard: int =
             seen += len(k)
             slots = permute(np.arange(at, at + int(k.sum()), dtype=np.int64), total, key)
             at += int(k.sum())
-            records, j = [], 0
-            for i in range(len(k)):
-                text_ids = np.append(ids[bounds[i] : bounds[i + 1]], np.uint16(END_OF_TEXT))
-                for s in range(int(k[i])):
-                    piece = text_ids[s * length : (s + 1) * length]
-                    head = np.array([doc[i]], "<i8").tobytes() + np.array([s, len(piece)], "<i4").tobytes()
-                    records.append(zlib.compress(head + piece.astype("<u2").tobytes(), 1))
-                    j += 1
+            # each text's ids and the end of text, cut after every `length` ids
+            flat = np.insert(ids, bounds[1:], END_OF_TEXT).astype("<u2").tobytes()
+            text = np.repeat(np.arange(len(k)), k)
+            seq = np.arange(len(text)) - np.repeat(np.cumsum(k) - k, k)
+            starts = (bounds[:-1] + np.arange(len(k)))[text] + seq * length
+            sizes = np.minimum(length, (bounds[1:] + np.arange(1, len(k) + 1))[text] - starts)
+            heads = np.zeros(len(text), [("doc", "<i8"), ("seq", "<i4"), ("n", "<i4")])
+            heads["doc"], heads["seq"], heads["n"] = doc[text], seq, sizes
+            heads = heads.tobytes()
+            records = [zlib.compress(heads[16 * j : 16 * j + 16] + flat[2 * s : 2 * (s + m)], 1) for j, (s, m) in enumerate(zip(starts.tolist(), sizes.tolist()))]
             yield pa.RecordBatch.from_arrays([pa.array(slots // per_shard), pa.array(slots % per_shard), pa.array(records, pa.binary())], names=["shard", "place", "record"])
         if seen and int(check.view(np.int64)[0]) != sums.get(part):
             raise RuntimeError("the table changed between the two passes")
