@@ -215,3 +215,18 @@ def test_secrets(spark):
     assert "identifier" in got[2].spans and "weak_secret" in got[2].spans and "endpoint" in got[2].spans
     assert got[3].spans == ""
     assert secrets.scan(docs(spark, [])).count() == 0
+
+
+def test_tokenizer_matches_whole_texts():
+    """Words merged side by side give the ids of whole texts: white space of every kind, accents, marks, nulls."""
+    import random
+
+    import pyarrow as pa
+
+    tokenizer = shards.Tokenizer()
+    encode = tokenizer.load().encode_ordinary
+    draw = random.Random(1)
+    signs = ["a", "b", "B", "1", "'", "s", " ", " ", " ", " ", "\n", "\t", "\x1f", "\x85", "\xa0", " ", " ", " ", "　", "é", "“", "Â", "中", "."]
+    texts = ["", None, " ", " lead", "tail ", "a  b", "it's 'tis", *("".join(draw.choice(signs) for _ in range(draw.randrange(30))) for _ in range(3000))]
+    ids, bounds = tokenizer.ids(pa.array(texts))
+    assert all(ids[i:j].tolist() == encode(x or "") for x, i, j in zip(texts, bounds[:-1], bounds[1:]))
