@@ -2,14 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from .retrieval import relevant_passage
+from ..sources.tables import written
+from . import verification
+from .retrieval import is_latest_course_question, latest_course, order_direction, ordered_sources, relevant_passage
 
+# fixed values: sentences of the default language pack
 NO_ANSWER = "Bu bilgi yüklenen belgede açıkça yer almıyor."
 PREFIX = "Belgeye göre: "
+LATEST_COURSE = "Belgeye göre en son dönem %s; bu dönemde görünen ders %s %s dersidir."
+DISCOUNT = "Belgeye göre %s%%%s indirimli kontenjana yerleşen öğrenci %%%s öğrenim ücreti indirimi alır."
+EXAM = "YKS'de "
+WHO_APPLIES = "Belgeye göre %s başvurabilir."
+DEPARTMENTS = "Uygun bölümler: %s."
+CLASS_YEARS = ("tüm üniversitelerin 3. ve 4. sınıf mühendislik öğrencileri", "4. sınıfta öğrenim gören mühendislik öğrencileri")
+GRADE_RULE = "Genel Not Ortalaması + (10.000 / Üniversiteye Giriş Sırası) kriteri teknik uzmanlık sınavı gerekliliğini belirler"
+EXAM_STEPS = "süreç Genel Yetenek ve İngilizce sınavı, teknik mülakat, kurul mülakatı ve göreve başlama onayıyla ilerler"
 
 
 def sanitize_answer(answer: Column) -> Column:
@@ -63,6 +76,95 @@ def finalize(no_answer: Column, verified: Column, evidence: Column) -> Column:
     return F.when(no_answer & evidence, "evidence-fallback").when(no_answer, "confirmed-no-answer").when(verified, "keep").when(evidence, "evidence-fallback").otherwise("refuse")
 
 
+def evidence_answers(questions: DataFrame, sources: DataFrame, evidence: DataFrame, key: str = "question_id") -> DataFrame:
+    """key, answer, passage: what the evidence source says; `passage` is the extract, `answer` a discount sentence where one fits.
+
+    evidence: the rows of `evidence_support`. Questions whose evidence names no source read their first three sources.
+    """
+    named = evidence.where("source_index IS NOT NULL").select(key, "source_index").join(sources.select(key, "source_index", "text"), [key, "source_index"]).select(key, F.col("text").alias("own"))
+    rows = questions.select(key, "question").join(evidence.select(key, "percentages", "relations"), key).join(named, key, "left").join(combine_sources(sources, key), key, "left")
+    passage = F.concat(F.lit(PREFIX), relevant_passage(T.meaningful_terms(F.col("question")), F.coalesce("own", "context", F.lit(""))))
+    asked = T.normalize_for_matching(F.col("question"))
+    quota = (F.size("percentages") > 0) & F.array_contains("relations", "discount") & asked.contains("kontenjan")
+    filled = F.format_string(DISCOUNT, F.when(asked.contains("yks"), EXAM).otherwise(""), F.get("percentages", F.lit(0)), F.get("percentages", F.lit(0)))
+    return rows.select(key, passage.alias("passage"), quota.alias("quota"), filled.alias("filled")).select(key, F.when(F.col("quota"), F.col("filled")).otherwise(F.col("passage")).alias("answer"), "passage")
+
+
+def evidence_fallback(questions: DataFrame, sources: DataFrame, evidence: DataFrame, key: str = "question_id") -> DataFrame:
+    """key, answer, supported: the evidence answer if it stands up to verification, else the passage with its own verdict.
+
+    questions: key, question, mode. Only answers that differ from their passage are verified twice.
+    """
+    both = written(questions.join(evidence_answers(questions, sources, evidence, key), key))
+    verdict = lambda rows: verification.validate_answers(rows, sources, key).select(key, "supported")
+    first = both.join(verdict(both.where("answer <> passage").select(key, "question", "mode", "answer")), key, "left")
+    first = written(first.withColumn("stands", F.coalesce("supported", F.lit(False))))
+    plain = both.select(key, "question", "mode", F.col("passage").alias("answer")).join(first.where("stands").select(key), key, "left_anti")
+    kept = first.where("stands").select(key, "answer", F.lit(True).alias("supported"))
+    return kept.unionByName(plain.select(key, "answer").join(verdict(plain), key))
+
+
+def finalize_candidates(questions: DataFrame, candidates: DataFrame, sources: DataFrame, key: str = "question_id") -> DataFrame:
+    """key, answer, provider, decision, reason, supported of every question with a candidate answer.
+
+    questions: key, question, mode; candidates: key, answer; one row a key in both. Null candidates count as empty answers.
+    """
+    evidence = written(verification.evidence_support(questions, sources, key))
+    rows = questions.join(candidates.select(key, F.coalesce("answer", F.lit("")).alias("answer")), key).withColumn("no_answer", T.is_no_answer_response(F.col("answer")))
+    verdict = verification.validate_answers(rows.where("NOT no_answer").select(key, "question", "mode", "answer"), sources, key).select(key, F.col("supported").alias("verified"))
+    rows = rows.join(verdict, key, "left").join(evidence.select(key, F.col("supported").alias("evidence")), key)
+    rows = written(rows.withColumn("verified", F.coalesce("verified", F.lit(False))).withColumn("decision", finalize(F.col("no_answer"), F.col("verified"), F.col("evidence"))))
+    replaced = questions.join(rows.where("decision = 'evidence-fallback'").select(key), key, "left_semi")
+    other = evidence_fallback(replaced, sources, evidence, key).select(key, F.col("answer").alias("fallback"), F.col("supported").alias("fallback_supported"))
+    out = rows.join(other, key, "left")
+    decision = F.col("decision")
+    answer = F.when(decision == "evidence-fallback", F.col("fallback")).when(decision == "refuse", NO_ANSWER).otherwise(F.col("answer"))
+    provider = F.when(decision == "evidence-fallback", "evidence-supported-fallback").when(decision == "refuse", "answer-grounding-guard").otherwise("generated")
+    reason = (
+        F.when(decision == "confirmed-no-answer", "no-retrieved-chunk-supports-main-claim").when(decision == "refuse", "unsupported-generated-answer")
+        .when((decision == "evidence-fallback") & F.col("no_answer"), "model-no-answer-despite-supported-evidence").when(decision == "evidence-fallback", "unsupported-generation-replaced-by-supported-evidence")
+    )
+    supported = F.when(decision == "confirmed-no-answer", True).when(decision == "evidence-fallback", F.coalesce("fallback_supported", F.lit(False))).otherwise(F.col("verified"))
+    return out.select(key, answer.alias("answer"), provider.alias("provider"), "decision", reason.alias("reason"), supported.alias("supported"))
+
+
+def application_requirements(questions: DataFrame, sources: DataFrame, key: str = "question_id") -> DataFrame:
+    """key, answer of the questions about application criteria that the programme's own sources answer."""
+    asked = T.normalize_for_matching(F.col("question"))
+    wanted = questions.where(asked.contains("basvur") & T.any_of(asked, ("sart", "kriter", "kosul"))).select(key)
+    texts = sources.join(wanted, key, "left_semi").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("source_index", "text"))).alias("s"))
+    rows = texts.select(key, F.array_join(F.transform("s", lambda x: x["text"]), "\n").alias("context")).withColumn("n", T.normalize_for_matching(F.col("context"))).where(F.contains("n", F.lit("aday muhendis")))
+    lines = F.transform(F.split("context", r"\R"), lambda x: F.btrim(T.normalize_whitespace(x), F.lit(" ,-")))
+    departments = F.slice(F.array_distinct(F.filter(lines, lambda x: (F.length(x) <= 80) & x.rlike("Mühendisliği|Muhendisligi") & ~F.lower(x).rlike("^(?:aday |hangi |staj|program)"))), 1, 8)
+    both_years = F.col("n").rlike(r"(?:^|\D)3\s+ve\s+(?:\.?4s?\s+inif|4\s+sinif)")
+    years = F.when(both_years, CLASS_YEARS[0]).when(F.contains("n", F.lit("4 sinifta ogrenim goren muhendislik ogrencileri")), CLASS_YEARS[1])
+    has = lambda *markers: reduce(lambda a, b: a & b, [F.contains("n", F.lit(m)) for m in markers])
+    steps = F.array_compact(F.array(F.when(has("genel not ortalamasi", "universiteye giris sirasi"), GRADE_RULE), F.when(has("genel yetenek", "ingilizce", "teknik mulakat"), EXAM_STEPS)))
+    rows = rows.select(key, years.alias("years"), departments.alias("departments"), steps.alias("steps"))
+    sentences = F.concat_ws(" ", F.format_string(WHO_APPLIES, "years"), F.when(F.size("departments") > 0, F.format_string(DEPARTMENTS, F.array_join("departments", ", "))), F.when(F.size("steps") > 0, F.concat(F.array_join("steps", "; "), F.lit("."))))
+    sentences = F.when(F.col("years").isNotNull(), sentences).otherwise(F.concat_ws(" ", F.when(F.size("departments") > 0, F.format_string(DEPARTMENTS, F.array_join("departments", ", "))), F.when(F.size("steps") > 0, F.concat(F.array_join("steps", "; "), F.lit(".")))))
+    return rows.select(key, sentences.alias("answer")).where("answer <> ''")
+
+
+def order_answers(questions: DataFrame, chunks: DataFrame, k: int = 3, key: str = "question_id") -> DataFrame:
+    """key, answer, provider, strategy of the questions that ask for the first or last part of their document.
+
+    questions: key, doc_id, question, mode; chunks: doc_id, chunk_index, text. A latest-course question whose document has
+    course rows gets its latest course; the rest are answered from the first or last k chunks. Documents without chunks
+    answer nothing.
+    """
+    asked = questions.withColumn("direction", order_direction(F.col("question"))).where("direction IS NOT NULL")
+    chunks = chunks.join(asked.select("doc_id").distinct(), "doc_id", "left_semi")
+    course = asked.where(is_latest_course_question(F.col("question"))).join(latest_course(chunks), "doc_id")
+    found = course.select(key, F.format_string(LATEST_COURSE, "term", "code", "name").alias("answer"), F.lit("transcript-structure").alias("provider"), F.lit(None).cast("string").alias("strategy"))
+    left = asked.join(found.select(key), key, "left_anti")
+    picked = reduce(DataFrame.unionByName, [ordered_sources(chunks, d, k).withColumn("direction", F.lit(d)) for d in ("first", "last")])
+    place = F.row_number().over(Window.partitionBy(key).orderBy("chunk_index")) - 1
+    sources = left.select(key, "doc_id", "direction").join(picked, ["doc_id", "direction"]).select(key, place.alias("source_index"), "text")
+    built = build_answers(left.join(sources.select(key).distinct(), key, "left_semi"), sources, key=key)
+    return found.unionByName(built.join(left.select(key, F.concat(F.lit("document-order-"), "direction").alias("strategy")), key).select(key, "answer", "provider", "strategy"))
+
+
 def build_prompts(questions: DataFrame, sources: DataFrame, key: str = "question_id", most: int = 1600) -> DataFrame:
     """key, prompt: instruction of the mode, numbered sources and the question, for external batch inference."""
     listed = sources.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("source_index", F.left("text", F.lit(most)).alias("text")))).alias("s"))

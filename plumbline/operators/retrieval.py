@@ -25,6 +25,16 @@ def hash_embed(rows: DataFrame, key: list[str], text_col: str = "text", dim: int
     return counts.join(norm, key).select(*key, "bucket", (F.col("n") / F.col("norm")).alias("weight"))
 
 
+def embed_questions(questions: DataFrame, key: list[str], text_col: str = "text", embedder=hash_embed) -> DataFrame:
+    """key and the embedder's columns: every distinct normalised question is embedded once, then joined back.
+
+    embedder takes rows, a key and a text column. Null and empty questions have no vector.
+    """
+    asked = questions.select(*key, T.normalize_cache_text(F.col(text_col)).alias("question_text")).where("question_text <> ''")
+    once = asked.select("question_text", F.col("question_text").alias("text")).distinct()
+    return asked.join(embedder(once, ["question_text"], "text"), "question_text").drop("question_text")
+
+
 def sparse_cosine(questions: DataFrame, chunks: DataFrame, q_key: list[str], c_key: list[str]) -> DataFrame:
     """q_key, c_key, dense: dot products of sparse unit vectors, met in their buckets."""
     return questions.select(*q_key, "bucket", F.col("weight").alias("w")).join(chunks, "bucket").groupBy(*q_key, *c_key).agg(F.sum(F.col("w") * F.col("weight")).alias("dense"))

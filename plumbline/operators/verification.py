@@ -92,8 +92,9 @@ def evidence_support(questions: DataFrame, sources: DataFrame, key: str = "quest
     supported = F.when(some("q_pct"), exact).otherwise(loose)
     reason = F.when(some("q_pct"), F.when(exact, "exact-percentage-entity-relation-match").otherwise("percentage-without-entity-relation-support")).otherwise(F.when(loose, "entity-relation-match").otherwise("insufficient-claim-overlap"))
     strength = F.size("m_pct") * 4 + F.size("m_ent") * 2 + F.size("m_rel") + F.when(supported, 100).otherwise(0)
-    best = both.withColumns({"supported": supported, "reason": reason, "strength": strength}).groupBy(key).agg(F.max_by(F.struct("supported", "reason", "source_index"), F.struct("strength", -F.col("source_index"))).alias("b"))
-    return questions.select(key).join(best, key, "left").select(key, F.coalesce("b.supported", F.lit(False)).alias("supported"), F.coalesce("b.reason", F.lit("no-retrieved-chunk-supports-main-claim")).alias("reason"), F.col("b.source_index").alias("source_index"))
+    best = both.withColumns({"supported": supported, "reason": reason, "strength": strength}).groupBy(key).agg(F.max_by(F.struct("supported", "reason", "source_index", "m_pct", "m_rel"), F.struct("strength", -F.col("source_index"))).alias("b"))
+    none = F.array().cast("array<string>")
+    return questions.select(key).join(best, key, "left").select(key, F.coalesce("b.supported", F.lit(False)).alias("supported"), F.coalesce("b.reason", F.lit("no-retrieved-chunk-supports-main-claim")).alias("reason"), F.col("b.source_index").alias("source_index"), F.coalesce("b.m_pct", none).alias("percentages"), F.coalesce("b.m_rel", none).alias("relations"))
 
 
 def grounded_critique(answer: Column, context: Column) -> Column:

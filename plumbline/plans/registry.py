@@ -201,6 +201,15 @@ def hash_embed(spark, d):
     return R.hash_embed(questions(spark, d), ["item_id"]).select("item_id", "bucket", F.round("weight", 6).alias("weight"))
 
 
+@query(r"""
+WITH k AS (SELECT conv_id, turn, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}')) AS w FROM conversations WHERE role = 'user'),
+c AS (SELECT conv_id, turn, (('0x' || substr(md5(w), 1, 8))::BIGINT % 384) AS bucket, count(*) AS n FROM k GROUP BY ALL)
+SELECT conv_id, turn, bucket, round(n / sqrt(sum(n * n) OVER (PARTITION BY conv_id, turn)), 6) AS weight FROM c""")
+def embed_questions(spark, d):
+    asked = turns(spark, d).where("role = 'user'")
+    return R.embed_questions(asked, ["conv_id", "turn"]).select("conv_id", "turn", "bucket", F.round("weight", 6).alias("weight"))
+
+
 _LEX = f"""
 q AS (SELECT item_id, unnest({terms_sql('text')}) AS term FROM benchmark), n AS (SELECT item_id, count(*) AS total FROM q GROUP BY 1),
 c AS (SELECT doc_id, unnest({terms_sql('text')}) AS term FROM documents),
@@ -327,7 +336,40 @@ def validate_answers(spark, d):
 
 @query()
 def evidence_support(spark, d):
-    return V.evidence_support(*_asked(spark, d))
+    return V.evidence_support(*_asked(spark, d)).drop("percentages", "relations")
+
+
+def _replied(spark, d):
+    """User turns with the reply that follows as candidate answer, and the six turns before each as sources."""
+    order = Window.partitionBy("conv_id").orderBy("turn", "text")
+    c = turns(spark, d).withColumns({"reply": F.lead("text").over(order), "by": F.lead("role").over(order), "before": F.collect_list("text").over(order.rowsBetween(-6, -1))})
+    q = c.where("role = 'user'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("question_id"), F.col("text").alias("question"), R.classify_response_mode(F.col("text")).alias("mode"), "reply", "by", "before")
+    return q.drop("reply", "by", "before"), q.where("by = 'assistant'").select("question_id", F.col("reply").alias("answer")), q.select("question_id", F.posexplode("before").alias("source_index", "text"))
+
+
+@query()
+def finalize_candidates(spark, d):
+    return answering.finalize_candidates(*_replied(spark, d))
+
+
+@query()
+def evidence_answers(spark, d):
+    q, _, s = _replied(spark, d)
+    return answering.evidence_fallback(q, s, V.evidence_support(q, s))
+
+
+@query()
+def application_requirements(spark, d):
+    q, _, s = _replied(spark, d)
+    return answering.application_requirements(q, s)
+
+
+@query()
+def order_answers(spark, d):
+    c = turns(spark, d)
+    x = F.col("text")
+    q = c.where("role = 'user'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("question_id"), F.col("conv_id").alias("doc_id"), x.alias("question"), R.classify_response_mode(x).alias("mode"))
+    return answering.order_answers(q, c.select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("chunk_index"), "text"))
 
 
 @query()

@@ -109,3 +109,14 @@ def trace_rows(results: DataFrame) -> DataFrame:
 
 def chat_rows(answers: DataFrame) -> DataFrame:
     return answers.select("owner_id", "doc_id", F.left("question", F.lit(2000)).alias("question"), "answer", F.coalesce(F.to_json("sources"), F.lit("[]")).alias("sources_json"), F.coalesce(F.to_json("citations"), F.lit("[]")).alias("citations_json"), "created_at")
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df written as Parquet below spark.checkpoint.dir (else the warehouse) and read back, where a plan would be computed twice."""
+    import uuid
+
+    spark = df.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    path = f"{base.rstrip('/')}/plumbline/step-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
