@@ -66,6 +66,22 @@ def test_jaccard(spark, n, num, den):
     assert jaccard.join(docs(spark, []), n=n, num=num, den=den).count() == 0
 
 
+def test_jaccard_late_rows(spark, monkeypatch):
+    """A near miss of the first pivot has fewer own tokens than the second pivot, which it links with."""
+    monkeypatch.setattr(jaccard, "OUTRIGHT", (0, 0))
+    texts = []
+    for family in range(3):
+        w = np.array([f"f{family}w{i}" for i in range(114)])
+        data, ends = np.frombuffer("".join(w).encode(), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in w])])
+        w = w[np.argsort(jaccard.shingle_arrays(data, ends, 1)[0].view(np.uint64))]  # in the order of prefixes
+        b, swapped = list(w[:100]), list(w[100:])
+        own = [[f"f{family}{k}{i}" for i in range(10)] for k in "xy"]
+        group = [b[:86] + swapped, b, b + own[0], b + own[1], swapped]
+        texts += [" ".join(group[i]) for i in ([0, 1, 2, 3, 4], [0, 2, 1, 3, 4], [0, 3, 2, 4, 1])[family]]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.join(docs(spark, texts), n=1, num=85, den=100).collect()}
+    assert got == brute_components(texts, 1, 85, 100)
+
+
 def test_decontaminate(spark):
     item = "The red fox saw 12 small birds near the old bridge in Paris before Tom left the quiet village with 12 coins."
     items = spark.createDataFrame([(1, item), (2, None), (3, ""), (4, "tiny")], "item_id long, text string")
