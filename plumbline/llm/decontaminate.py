@@ -6,9 +6,13 @@ meet in a hash join. Slots of a matched window must be filled consistently: the
 must be that of the item, so that one renaming explains them all; a re-parameterised question passes, a text that only
 has its frame in common does not. Windows with fewer than half literal words don't count.
 
-An item of fewer than WINDOW words (two at least) is one window of its own length and matches texts that are that window alone. A text
-is contaminated by an item if it holds at least `coverage` of the item's distinct windows or `run` of them. Null and
-empty texts or items match nothing; repeated rows of one id count as one document, repeated items as separate items.
+Names are known by their capitals, so that a copy in other case, or a first word in mid-sentence, has other templates.
+Windows of plain words in lower case, without the rule on literal words, therefore meet in the same join beside them.
+
+An item of fewer than WINDOW words (two at least) is one window of its own length, and matches texts that hold it
+anywhere. A text is contaminated by an item if it holds at least `coverage` of the item's distinct windows or `run` of
+them, typed or plain ones; typed ones are reported if they are enough. Null and empty texts or items match nothing;
+repeated rows of one id count as one document, repeated items as separate items.
 """
 
 from __future__ import annotations
@@ -21,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import cut, small_enough
 
 WINDOW, COVERAGE, RUN = 8, 0.5, 6
-#: Benchmark windows that are broadcast at most (24 bytes each); more are joined by a shuffle.
+#: Benchmark windows that are broadcast at most (32 bytes each); more are joined by a shuffle.
 BROADCAST_ROWS = 500_000
 PUNCTUATION = ".,;:!?\"'()[]"
 #: Pairs of words that open some window, as a list of literals; with more, every window is built and joined.
@@ -50,61 +54,82 @@ def split_words(text: Column) -> Column:
     return F.split(F.btrim(text, F.lit(PUNCTUATION + " \t\n\v\f\r")), rf"[{p}]*[\x20\x09-\x0D][{p}\x20\x09-\x0D]*")
 
 
-def windows(rows: DataFrame, text_col: str, *keep: str, openings: list[int] | None = None) -> DataFrame:
-    """keep, t, c, r for every window: hashes of its canonical words, of its slot pattern, and of its plain words.
-
-    openings: hashes of the first two canonical words of the windows asked for; others are not built.
-    """
+def word_lists(rows: DataFrame, text_col: str, *keep: str) -> DataFrame:
+    """keep, t, raw, slots: aligned canonical and plain words; slots tells whether they may differ."""
     w = rows.select(*keep, F.lower(F.coalesce(F.col(text_col), F.lit(""))).alias("low"), canonical(F.col(text_col)).alias("canon"))
     slots = F.col("canon").contains("<n") | F.col("canon").contains("<unit>")
-    w = w.select(*keep, split_words(F.col("canon")).alias("t"), slots.alias("slots"), F.when(slots, split_words(F.col("low"))).alias("raw"))
-    # one filter over the places, as SQL text: thousands of literals reach the JVM in one call
-    test = "true" if openings is None else f"xxhash64(get(t, i - 1), get(t, i)) IN ({','.join(map(str, openings))})" if openings else "false"
-    w = w.withColumn("at", F.expr(f"filter(sequence(1, greatest(size(t) - {WINDOW - 1}, 1)), i -> size(t) > 1 AND {test})"))
+    return w.select(*keep, split_words(F.col("canon")).alias("t"), split_words(F.col("low")).alias("raw"), slots.alias("slots"))
+
 
+def windows(w: DataFrame, *keep: str, openings: dict[tuple[int, int], list[int] | None]) -> DataFrame:
+    """keep, k, t, c, r for every window of word_lists: its kind (0 typed, 1 plain), hashes of its words, of its slot
+    pattern, and of its plain words.
+
+    openings: for each length and kind asked for, hashes of the first two words of the windows; others are not built.
+    None has every window built.
+    """
     # get reads one place of the array; slice inside a lambda would copy the whole array for each window
-    at = lambda c, i: [F.get(F.col(c), i - 1 + k) for k in range(WINDOW)]
+    at = lambda c, i, n: [F.get(F.col(c), i - 1 + k) for k in range(n)]
+    none = F.lit(0).cast("long")
 
-    def plain(i):
-        k = F.xxhash64(*at("t", i))
-        return F.struct(k.alias("t"), F.lit(0).cast("long").alias("c"), k.alias("r"))
+    def plain(i, n, k):
+        h = F.xxhash64(*at("raw", i, n))  # where there are no slots, canonical words are the plain ones
+        return F.struct(F.lit(k).alias("k"), h.alias("t"), none.alias("c"), h.alias("r"))
 
-    def slotted(i):
-        both = F.arrays_zip(F.array(*at("t", i)).alias("t"), F.array(*at("raw", i)).alias("r"))
+    def slotted(i, n):
+        both = F.arrays_zip(F.array(*at("t", i, n)).alias("t"), F.array(*at("raw", i, n)).alias("r"))
         values = F.transform(F.filter(both, lambda x: x["t"].isin("<name>", "<num>", "<unit>")), lambda x: x["r"])
-        words = F.size(F.filter(both, lambda x: x["t"].isNotNull()))
         first_places = F.transform(values, lambda v: F.array_position(values, v))
-        c = F.when(F.size(values) > 0, F.xxhash64(first_places)).otherwise(F.lit(0).cast("long"))
-        return F.when((words - F.size(values)) * 2 >= words, F.struct(F.xxhash64(*at("t", i)).alias("t"), c.alias("c"), F.xxhash64(*at("raw", i)).alias("r")))
-
-    every = F.when(F.col("slots"), F.transform("at", slotted)).otherwise(F.transform("at", plain))
+        c = F.when(F.size(values) > 0, F.xxhash64(first_places)).otherwise(none)
+        return F.when((n - F.size(values)) * 2 >= n, F.struct(F.lit(0).alias("k"), F.xxhash64(*at("t", i, n)).alias("t"), c.alias("c"), F.xxhash64(*at("raw", i, n)).alias("r")))
+
+    every = []
+    for (n, k), known in sorted(openings.items()):
+        words, name = ("t", "raw")[k], f"at{n}_{k}"
+        # one filter over the places, as SQL text: thousands of literals reach the JVM in one call
+        test = "true" if known is None else f"xxhash64(get({words}, i - 1), get({words}, i)) IN ({','.join(map(str, known))})" if known else "false"
+        w = w.withColumn(name, F.expr(f"filter(sequence(1, greatest(size(t) - {n - 1}, 1)), i -> size(t) >= {n} AND {test})"))
+        if k:
+            every.append(F.transform(name, lambda i: plain(i, n, 1)))
+        else:
+            every.append(F.when(F.col("slots"), F.transform(name, lambda i: slotted(i, n))).otherwise(F.transform(name, lambda i: plain(i, n, 0))))
     # the outer form: Spark pushes no test of the array below, which would compute it twice
-    return w.select(*keep, F.explode_outer(every).alias("x")).where("x is not null").select(*keep, "x.t", "x.c", "x.r")
+    return w.select(*keep, F.explode_outer(F.concat(*every)).alias("x")).where("x is not null").select(*keep, "x.k", "x.t", "x.c", "x.r")
 
 
-def first_pairs(items: DataFrame) -> list[int] | None:
-    """The openings of all items, or None if there are more than MOST_OPENINGS of them."""
-    t = split_words(canonical(F.col("text")))
-    n = F.greatest(F.size(t) - 1, F.lit(0))
-    pairs = F.zip_with(F.slice(t, 1, n), F.slice(t, 2, n), lambda a, b: F.xxhash64(a, b))
-    found = items.select(F.explode(F.slice(pairs, 1, F.greatest(F.size(t) - WINDOW + 1, F.lit(1)))).alias("o")).distinct().limit(MOST_OPENINGS + 1).collect()
-    return sorted(r.o for r in found) if len(found) <= MOST_OPENINGS else None
+def first_pairs(items: DataFrame) -> dict[tuple[int, int], list[int] | None]:
+    """The openings of all items by length and kind; None instead of each if there are more than MOST_OPENINGS of them."""
+    w = cut(word_lists(items, "text").where("size(t) > 1").withColumn("n", F.least(F.size("t"), F.lit(WINDOW))), "words")
+    lengths = sorted(r.n for r in w.select("n").distinct().collect())
+    opening = lambda c: F.expr(f"transform(sequence(1, size(t) - n + 1), i -> xxhash64(get({c}, i - 1), get({c}, i)))")
+    pairs = w.select("n", F.lit(0).alias("k"), F.explode(opening("t")).alias("o")).union(w.select("n", F.lit(1).alias("k"), F.explode(opening("raw")).alias("o")))
+    found = pairs.distinct().limit(MOST_OPENINGS + 1).collect()
+    if len(found) > MOST_OPENINGS:
+        return {(n, k): None for n in lengths for k in (0, 1)}
+    return {(n, k): sorted(r.o for r in found if (r.n, r.k) == (n, k)) for n in lengths for k in (0, 1)}
 
 
-def item_windows(benchmark: DataFrame) -> DataFrame:
-    items = benchmark.select("item_id", "text").where("item_id is not null")
-    return cut(windows(items, "text", "item_id").distinct().select("item_id", "t", F.col("c").alias("item_c"), F.col("r").alias("item_r")), "items")
+def item_windows(benchmark: DataFrame, lengths: list[int]) -> DataFrame:
+    """(item_id, k, t, item_c, item_r) of the windows of each item, of WINDOW words or of its own length."""
+    w = word_lists(benchmark.where("item_id is not null"), "text", "item_id")
+    out = None
+    for n in lengths:
+        of = windows(w.where(F.least(F.size("t"), F.lit(WINDOW)) == n), "item_id", openings={(n, 0): None, (n, 1): None})
+        out = of if out is None else out.union(of)
+    return cut(out.distinct().select("item_id", "k", "t", F.col("c").alias("item_c"), F.col("r").alias("item_r")), "items")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, run: int = RUN) -> DataFrame:
     """(doc_id, item_id, n_windows, n_exact, item_windows, coverage, reparameterised) of every contaminated pair."""
-    items = item_windows(benchmark)
-    totals = items.groupBy("item_id").agg(F.countDistinct("t").alias("item_windows"))
-    found = windows(docs, "text", "doc_id", openings=first_pairs(benchmark.where("item_id is not null"))).join(small_enough(items, BROADCAST_ROWS), "t").where(F.col("c") == F.col("item_c"))
-    each = found.groupBy("doc_id", "item_id", "t").agg(F.max((F.col("r") == F.col("item_r")).cast("int")).alias("exact"))
-    out = each.groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("n_windows"), F.sum("exact").alias("n_exact"))
-    out = out.join(small_enough(cut(totals, "totals"), BROADCAST_ROWS), "item_id").withColumn("coverage", F.col("n_windows") / F.col("item_windows"))
+    openings = first_pairs(benchmark.where("item_id is not null")) or {(WINDOW, 0): [], (WINDOW, 1): []}
+    items = item_windows(benchmark, sorted({n for n, _ in openings}))
+    totals = items.groupBy("item_id", "k").agg(F.countDistinct("t").alias("item_windows"))
+    found = windows(word_lists(docs, "text", "doc_id"), "doc_id", openings=openings).join(small_enough(items, BROADCAST_ROWS), ["k", "t"]).where(F.col("c") == F.col("item_c"))
+    each = found.groupBy("doc_id", "item_id", "k", "t").agg(F.max((F.col("r") == F.col("item_r")).cast("int")).alias("exact"))
+    out = each.groupBy("doc_id", "item_id", "k").agg(F.count(F.lit(1)).alias("n_windows"), F.sum("exact").alias("n_exact"))
+    out = out.join(small_enough(cut(totals, "totals"), BROADCAST_ROWS), ["item_id", "k"]).withColumn("coverage", F.col("n_windows") / F.col("item_windows"))
     out = out.where((F.col("coverage") >= coverage) | (F.col("n_windows") >= run))
+    out = out.groupBy("doc_id", "item_id").agg(F.min(F.struct("k", "n_windows", "n_exact", "item_windows", "coverage")).alias("x")).select("doc_id", "item_id", "x.*")
     return out.select("doc_id", "item_id", "n_windows", "n_exact", "item_windows", F.round("coverage", 6).alias("coverage"), (F.col("n_exact") < F.col("n_windows")).alias("reparameterised"))
 
 

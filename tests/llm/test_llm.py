@@ -98,6 +98,17 @@ def test_decontaminate(spark):
     assert decontaminate.contaminated(docs(spark, []), items).count() == 0
 
 
+def test_decontaminate_verbatim_copies(spark):
+    """Copies in any case, and short items inside longer texts, typed or not."""
+    item = "The red fox saw 12 small birds near the old bridge in Paris before Tom left the quiet village with 12 coins."
+    items = spark.createDataFrame([(1, item), (2, "Who wrote the play Hamlet in 1601?"), (3, "Which old river runs through the quiet town?"), (4, "plain tiny item")], "item_id long, text string")
+    inside = lambda t: f"Some words that come first, then {t} and more words that come after it."
+    texts = [inside(item.lower()), inside(item.upper()), inside(item.title()), inside("Who wrote the play Hamlet in 1601?"), inside("who wrote the play hamlet in 1601?"), inside("Who wrote the play Hamlet in 1599?"), inside("Which old river runs through the quiet town?"), inside("a plain, tiny item"), inside("who wrote the play"), "Plain tiny item."]
+    got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs(spark, texts), items).collect()}
+    assert got >= {(0, 1), (1, 1), (2, 1), (3, 2), (4, 2), (6, 3), (7, 4), (9, 4)}
+    assert not {d for d, _ in got} & {8}
+
+
 def test_licenses(spark):
     texts = ["x y z Released under the MIT License. more", "all rights, reserved by nobody", "LICENSED UNDER CC  BY-NC 4.0!", None, "", "Licensed under the Apache Licence, Version 2.0", "All rights reserved. " * 2]
     got = {(r.doc_id, r.license): r.containment for r in licenses.scan(docs(spark, texts)).collect()}
