@@ -6,8 +6,10 @@ occurrence of a piece lies in a window of its own length. Only windows with a sh
 minimum with a piece (the least hash of a set is the hash of one of its members), so others are not built: this loses
 nothing. MinHash of HASHES functions in BANDS bands retrieves the pieces; a window that differs from a piece in one of
 eight words has a Jaccard similarity of 5/9 and collides with probability 1 - (1 - (5/9)^2)^16 = 0.997; an exact one
-collides surely. Candidates are kept if they contain at least `containment` of the piece's shingles, exactly counted; a
-license is reported if at least that share of all its template's shingles is found.
+collides surely. Candidates are kept if they contain at least half of `containment` of the piece's shingles, exactly
+counted; the template's shingles are then counted in them and in the PIECE words on both sides of them, so that a piece
+with a changed word still gives those it has, and one that no band retrieved is seen from its neighbours. A license is
+reported if at least `containment` of all its template's shingles is found.
 
 Null and empty texts, and texts of one word, hold nothing. Templates of one word are refused. Repeated ids are scanned
 as separate rows and reported together. Templates are a parameter, at most MAX_TEMPLATES of them, so that joins with
@@ -69,20 +71,17 @@ def pieces(spark, templates: dict[str, list[str]]) -> DataFrame:
 
 
 def key_words(templates: dict[str, list[str]], containment: float) -> list[str]:
-    """Words of which every text that contains `containment` of some piece's shingles holds one at least.
+    """Words of which every text that contains `containment` of some template's shingles holds one at least.
 
-    Of s shingles, m = floor((1 - containment) * s) may be missing; of m + 1 shingles without a common place one is
-    there, and so is its longer word. Pieces are cut as in `pieces`.
+    Of s distinct shingles, m = floor((1 - containment) * s) may be missing; of m + 1 of them one is there, and so is
+    its longer word.
     """
     out = set()
     for text in (t for texts in templates.values() for t in texts):
         w = [x for x in (x.strip(PUNCTUATION).lower() for x in text.split()) if x]
-        last = max(len(w) - PIECE, 0)
-        for start in {*range(0, last + 1, STRIDE), last}:
-            p = w[start : start + PIECE]
-            need = math.floor((1 - containment) * (len(p) - 1) + 1e-9) + 1
-            ranked = sorted(range(len(p) - 1), key=lambda i: (-max(len(p[i]), len(p[i + 1])), i))
-            out.update(max(p[i], p[i + 1], key=len) for i in ranked[:need])
+        shingles = list(dict.fromkeys(zip(w, w[1:])))
+        need = math.floor((1 - containment) * len(shingles) + 1e-9) + 1
+        out.update(max(x, key=len) for x in sorted(shingles, key=lambda x: -max(map(len, x)))[:need])
     return sorted(out)
 
 
@@ -98,7 +97,7 @@ def scan(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES, containme
         raise ValueError("a template needs two words at least")
     vocabulary = sorted({s for r in known.select("shingles").collect() for s in r.shingles})
 
-    # a text without any key word of a piece can't hold the piece's share of shingles: nothing is lost here
+    # a text without any key word of a template can't hold the template's share of shingles: nothing is lost here
     keys = "|".join(map(re.escape, key_words(templates, containment)))
     rows = docs.where(F.col("text").rlike(f"(?i)(?<![A-Za-z0-9])(?:{keys})")).select("doc_id", pairs(words(F.col("text"))).alias("p"))
     hit = F.expr(f"filter(transform(p, (s, i) -> CASE WHEN s IN ({','.join(map(str, vocabulary))}) THEN i END), i -> i IS NOT NULL)")
@@ -106,7 +105,9 @@ def scan(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES, containme
     # every window start, of every length, that holds one of the hits
     def around(n):
         near = F.flatten(F.transform("hits", lambda i: F.sequence(F.greatest(i - (n - 2), F.lit(0)), i)))
-        return F.transform(F.array_distinct(near), lambda s: F.struct(s.alias("start"), F.lit(n).alias("n"), F.array_distinct(F.array_compact(F.array(*(F.get(F.col("p"), s + k) for k in range(n - 1))))).alias("shingles")))
+        # the hits in the window and in PIECE words on both sides
+        beside = lambda s: F.transform(F.filter("hits", lambda i: (i >= s - PIECE) & (i <= s + n - 2 + PIECE)), lambda i: F.get(F.col("p"), i))
+        return F.transform(F.array_distinct(near), lambda s: F.struct(s.alias("start"), F.lit(n).alias("n"), beside(s).alias("region"), F.array_distinct(F.array_compact(F.array(*(F.get(F.col("p"), s + k) for k in range(n - 1))))).alias("shingles")))
 
     spots = F.concat(*map(around, lengths))
     windows = cut(rows.select("doc_id", F.explode(spots).alias("x")).select("doc_id", "x.*"), "windows")
@@ -115,9 +116,11 @@ def scan(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES, containme
     keys = known.withColumn("band", F.explode(bands(F.col("shingles")))).select("license", "template", "piece", F.col("n").alias("piece_n"), F.col("shingles").alias("wanted"), "band")
     pairs_found = signed.join(F.broadcast(keys), "band").where(F.col("n") == F.col("piece_n"))
     share = F.size(F.array_intersect("shingles", "wanted")) / F.size("wanted")
-    verified = pairs_found.withColumn("share", share).where(F.col("share") >= containment)
-    best = verified.groupBy("doc_id", "license", "template", "piece").agg(F.max_by(F.array_intersect("shingles", "wanted"), F.struct("share", -F.col("start"))).alias("seen"), F.min("start").alias("start"))
-    whole = known.groupBy("license", "template").agg(F.size(F.array_distinct(F.flatten(F.collect_list("shingles")))).alias("total"))
-    texts = best.groupBy("doc_id", "license", "template").agg(F.size(F.array_distinct(F.flatten(F.collect_list("seen")))).alias("seen"), F.count(F.lit(1)).alias("n_pieces"), F.min("start").alias("start"))
-    texts = texts.join(F.broadcast(whole), ["license", "template"]).withColumn("containment", F.col("seen") / F.col("total")).where(F.col("containment") >= containment)
+    verified = pairs_found.withColumn("share", share).where(F.col("share") >= containment / 2)
+    # a piece starts at its first window of enough share, or else at its best one, not where a window only touches it
+    first = F.coalesce(F.min(F.when(F.col("share") >= containment, F.col("start"))), F.max_by("start", F.struct("share", -F.col("start"))))
+    best = verified.groupBy("doc_id", "license", "template", "piece").agg(F.max_by("region", F.struct("share", -F.col("start"))).alias("region"), first.alias("start"))
+    whole = known.groupBy("license", "template").agg(F.array_distinct(F.flatten(F.collect_list("shingles"))).alias("all"))
+    texts = best.groupBy("doc_id", "license", "template").agg(F.flatten(F.collect_list("region")).alias("region"), F.count(F.lit(1)).alias("n_pieces"), F.min("start").alias("start"))
+    texts = texts.join(F.broadcast(whole), ["license", "template"]).withColumn("containment", F.size(F.array_intersect("region", "all")) / F.size("all")).where(F.col("containment") >= containment)
     return texts.groupBy("doc_id", "license").agg(F.round(F.max("containment"), 6).alias("containment"), F.sum("n_pieces").alias("n_pieces"), F.min("start").cast("long").alias("first_word"))

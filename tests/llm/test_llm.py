@@ -117,6 +117,23 @@ def test_licenses(spark):
     assert licenses.scan(docs(spark, [])).count() == 0
 
 
+def test_licenses_one_word_edits(spark):
+    """Every change, loss and addition of one word in every template, against brute force."""
+    bare = lambda t: [x for x in (x.strip(licenses.PUNCTUATION).lower() for x in t.split()) if x]
+    shingles = lambda t: set(zip(bare(t), bare(t)[1:]))
+    texts = []
+    for t in (t for ts in licenses.TEMPLATES.values() for t in ts):
+        w = t.split()
+        texts += [" ".join(["x y", *w[:i], *new, *w[i + cut :], "z"]) for i in range(len(w)) for new, cut in ((["changed"], 1), ([], 1), (["more"], 0))]
+    want = {}
+    for i, t in enumerate(texts):
+        for name, ts in licenses.TEMPLATES.items():
+            share = max(len(shingles(x) & shingles(t)) / len(shingles(x)) for x in ts)
+            if share >= 0.8:
+                want[(i, name)] = round(share, 6)
+    assert {(r.doc_id, r.license): r.containment for r in licenses.scan(docs(spark, texts)).collect()} == want
+
+
 def test_warc(spark):
     rows = [(3, "u3", "<p>a</p>"), (1, "u1", "<p>a</p>"), (2, None, None), (5, "u5", ""), (4, "u4", "é\r\n\r\nb"), (4, "u4", "é\r\n\r\nb"), (None, "x", "y")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
