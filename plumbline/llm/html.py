@@ -2,18 +2,28 @@
 
 A page is a sequence of words and tags. Words score positive (words inside links less, or negative), tags negative; a
 linear scan finds the contiguous region with the greatest sum. The weights come from pages that mark their content with
-<article> or <main>: a tag that is rarer inside than outside costs more, and a linked word counts by its log odds.
+<article> or <main>: a tag that is rarer inside than outside costs more, and a linked word counts by its log odds. They
+are counted where the pages lie; only one row a tag name reaches the driver.
 
-Elements that are never main text (scripts, styles, navigation, forms, asides, footers, and those whose class, id or
-role names a menu, advert, notice, sidebar or comment) are cut out first. The region then grows to the whole of the
-smallest article, main or container element around it, so that no short first or last paragraph is lost; without one, to
-whole blocks.
+Elements that are never text (scripts, styles, titles, ...) are left out. Elements that by their name or by a token of
+their class, id or role say that they are no main text (menus, headers, footers, forms, asides, adverts, notices,
+comments) are breaks in the sequence, and end any region, unless they hold every <article> and <main> of the page or, on a
+page without those, nearly all of its words: a form or wrapper around the whole page is unwrapped, and what it holds is judged in its place. Tokens of
+layout (has-sidebar, no-header, with-nav) mean nothing. A header inside an article goes too, but for its headings.
 
-Null and empty pages give an empty text. Cut-off pages are read as far as they go. Repeated rows are separate rows.
+The region grows to all of the smallest article or main around it. Where there is none, it grows to whole blocks, and
+over neighbouring blocks as long as they are mostly unlinked words in a text element (p, h1..h6, li, ...) or in elements
+nested like those of the region; breaks are skipped, so that an advert does not end an article.
+
+End tags that HTML lets authors omit (p, li, td, ...) are implied. Null and empty pages give an empty text. Cut-off pages
+are read as far as they go, and pages of any length whole. Repeated rows, also of one id, and null ids are separate rows.
+Ties go to the first region. Columns beside id, url and html are not read, whatever their names. An empty table gives an
+empty result.
 """
 
 from __future__ import annotations
 
+import heapq
 import html as entities
 import math
 import re
@@ -22,28 +32,96 @@ from collections import Counter
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Elements cut out whole, by name.
-DROPPED = frozenset("script style noscript template title nav aside footer form button select option textarea input iframe object embed svg canvas audio video dialog menu".split())
-#: Parts of class, id and role names of elements that are cut out.
-BOILERPLATE = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookie\w*|consent|notice|alert|sidebar|side|menu|nav\w*|breadcrumbs?|header|masthead|footer|comments?|comment-list|respond|reply|replies|disqus|share|sharing|social|related|recommend\w*|newsletter|subscribe|signup|popup|modal|overlay|pagination|pager|search|widget|toolbar|skip\w*|complementary|contentinfo)(?:$|[\s_-])", re.I)
+#: Elements whose content is never text of the page.
+SILENT = frozenset("script style noscript template title textarea select option button input iframe object embed svg canvas audio video dialog".split())
+#: Elements that are no main text by their name.
+ASIDE = frozenset("nav aside footer form menu header".split())
+#: Tokens, or parts of them between hyphens and underscores, of class, id and role that say the same.
+BOILERPLATE = re.compile(r"(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|notice|alert|sidebar|menu|nav|navbar|navigation|breadcrumbs?|header|masthead|footer|comments?|respond|reply|replies|disqus|share|sharing|social|related|recommend\w*|newsletter|subscribe|signup|popup|modal|overlay|pagination|pager|search|widget|toolbar|skip|complementary|contentinfo)", re.I)
+#: Those that never wrap a page, and make an article one of a reader.
+COMMENT = re.compile(r"comments?|respond|reply|replies", re.I)
+#: First parts of tokens that speak of the layout, not of the element.
+LAYOUT = frozenset("has with without no is show hide wide full one two three".split())
 RAW = frozenset("script style textarea title noscript template iframe".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
-CONTAINERS = frozenset("article main section div td".split())
+#: Elements that hold running text.
+TEXTUAL = frozenset("p h1 h2 h3 h4 h5 h6 li blockquote pre dd dt figcaption caption td th".split())
+#: Elements that a start tag ends if they are open, and the elements up to which that reaches.
+BLOCKS = frozenset("address article aside blockquote div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
+IMPLIED = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "tr": ({"td", "th", "tr"}, {"table"}), "tbody": ({"td", "th", "tr", "thead", "tbody"}, {"table"}), "tfoot": ({"td", "th", "tr", "thead", "tbody"}, {"table"})}
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
 NAMED = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 #: Used where no page marks its content.
 DEFAULT_WEIGHTS = {"word": 1.0, "link_word": -1.0, "tag": -2.0}
+#: A wrapper of boilerplate name is unwrapped if fewer unlinked words than this share of all stay outside of such elements.
+LEAST_OUTSIDE = 0.1
+
+
+class Element:
+    """An element with its parent, the aside around it, whether an article is around it, and the names above it as one hash."""
+
+    __slots__ = ("name", "parent", "aside", "outer", "inside", "path", "words", "articles")
+
+    def __init__(self, name: str, parent: Element | None, aside: int):
+        self.name, self.parent, self.aside, self.words = name, parent, aside, 0
+        self.articles = int(name in ("article", "main") and not aside)
+        self.outer = parent and (parent if parent.aside else parent.outer)
+        self.inside = bool(self.articles) or parent is not None and parent.inside
+        self.path = hash((parent.path, name)) if parent else 0
+
+
+def says_aside(name: str, attributes: str) -> int:
+    """Whether an element's name, class, id or role says that it is no main text: 1 if it may be a wrapper yet, 2 if not."""
+    if name in ASIDE:
+        return 1 if name in ("form", "header") else 2
+    if name in ("body", "html", "main") or not attributes:
+        return 0
+    out = 0
+    for values in NAMED.findall(attributes):
+        for token in "".join(values).split():
+            parts = [x for x in re.split(r"[-_]+", token) if x]
+            if parts and parts[0].lower() not in LAYOUT:
+                if any(COMMENT.fullmatch(x) for x in parts):
+                    return 2
+                out = max(out, name != "article" and any(BOILERPLATE.fullmatch(x) for x in parts))
+    return int(out)
 
 
 def parse(page: str) -> list[tuple]:
-    """Events in page order: ('text', decoded text, in a link), ('open' or 'close', name), or ('cut',) for what is cut out."""
-    out, at, cut_name, depth, links = [], 0, "", 0, 0
-    n = len(page)
+    """Events in page order: ('text', decoded text, in a link, element) and ('open', 'close' or 'void', name, element)."""
+    out: list[tuple] = []
+    here = Element("", None, 0)
+    opened: Counter = Counter()
+    links, at, n = 0, 0, len(page)
 
     def text(piece: str) -> None:
-        if piece and not cut_name:
-            out.append(("text", entities.unescape(piece) if "&" in piece else piece, links > 0))
+        if piece:
+            piece = entities.unescape(piece) if "&" in piece else piece
+            here.words += 0 if links else len(piece.split())
+            out.append(("text", piece, links > 0, here))
+
+    def close() -> None:
+        nonlocal here, links
+        out.append(("close", here.name, here))
+        opened[here.name] -= 1
+        if here.name == "a":
+            links = max(0, links - 1)
+        up = here.parent
+        up.words += here.words
+        up.articles += here.articles
+        here = up
+
+    def close_open(names, stop) -> None:
+        """End the innermost open element of `names`, with what it holds, unless one of `stop` stands between."""
+        if not any(opened[x] for x in names):
+            return
+        e = here
+        while e.parent is not None and e.name not in names and e.name not in stop:
+            e = e.parent
+        if e.parent is not None and e.name in names:
+            while here is not e.parent:
+                close()
 
     while at < n:
         m = TAG.search(page, at)
@@ -55,90 +133,167 @@ def parse(page: str) -> list[tuple]:
         name = (m[2] or "").lower()
         if not name:
             continue
-        closing = bool(m[1])
-        if cut_name:
-            if name == cut_name:
-                depth += -1 if closing else (0 if m[0].endswith("/>") else 1)
-                if not depth:
-                    cut_name = ""
-                    out.append(("cut",))
-            elif closing and name == "body":
-                break
+        if m[1]:
+            close_open({name}, ())
             continue
-        if closing:
-            if name == "a":
-                links = max(0, links - 1)
-            out.append(("close", name))
+        if name in RAW:
+            end = re.compile(rf"</{name}[^>]*>", re.I).search(page, at)
+            at = end.end() if end else n
+            out.append(("void", name, here))
             continue
-        alone = name in VOID or m[0].endswith("/>")
-        if name in DROPPED or name == "header" and not within_article(out) or (m[3] and name not in ("body", "html", "article", "main") and any(BOILERPLATE.search(x) for g in NAMED.findall(m[3]) for x in g if x)):
-            if name in RAW:
-                end = re.compile(rf"</{name}[^>]*>", re.I).search(page, at)
-                at = end.end() if end else n
-                out.append(("cut",))
-            elif not alone:
-                cut_name, depth = name, 1
+        if name in BLOCKS:
+            close_open({"p"}, {"td", "th", "li", "dd", "dt", "button", "object"})
+        if name in IMPLIED:
+            close_open(*IMPLIED[name])
+        if name in VOID or m[0].endswith("/>"):
+            out.append(("void", name, here))
             continue
-        if name == "a" and not alone:
+        if name == "a":
             links += 1
-        out.append(("open" if not alone else "void", name))
+        here = Element(name, here, 2 if name in SILENT else says_aside(name, m[3] or ""))
+        opened[name] += 1
+        out.append(("open", name, here))
+    while here.parent is not None:
+        close()
     return out
 
 
-def within_article(events: list[tuple]) -> bool:
-    d = 0
-    for e in events:
-        if e[-1] == "article":
-            d += 1 if e[0] == "open" else -1
-    return d > 0
+def breaks(events: list[tuple]) -> set[Element]:
+    """The outermost elements that are no main text: those that say so, but for wrappers of all articles or of the whole page."""
+    if not events:
+        return set()
+    top = [e[2] for e in events if e[0] == "open" and e[2].aside]
+    within: dict[Element | None, list[Element]] = {}
+    for x in top:
+        within.setdefault(x.outer, []).append(x)
+    root = events[0][3] if events[0][0] == "text" else events[0][2]
+    while root.parent is not None:
+        root = root.parent
+    # what holds every article is no break; without articles the largest one is what the page is about, if little is outside
+    found, heap, outside, total = set(), [], root.words, root.words
+    todo = list(within.get(None, ()))
+    while todo or heap and not root.articles and outside < LEAST_OUTSIDE * total:
+        if not todo:
+            x = heapq.heappop(heap)[2]
+            found.discard(x)
+            outside += x.words
+            todo = list(within.get(x, ()))
+            continue
+        x = todo.pop()
+        if root.articles and x.articles == root.articles and x.name not in SILENT:
+            todo += within.get(x, ())
+            continue
+        found.add(x)
+        outside -= x.words
+        if x.aside == 2:
+            total -= x.words
+        elif x.words:
+            heapq.heappush(heap, (-x.words, len(heap), x))
+    return found
 
 
-def region(events: list[tuple], weights: dict[str, float]) -> tuple[int, int]:
-    """First and last + 1 event of the main region: the greatest sum, then whole elements around it."""
+def scan(scores: list[float]) -> tuple[int, int]:
+    """First and last + 1 place of the contiguous run with the greatest sum above 0, the first of equals; (0, 0) if none."""
     best, best_at, total, start = 0.0, (0, 0), 0.0, 0
-    for i, e in enumerate(events):
-        if e[0] == "text":
-            score = len(e[1].split()) * weights["link_word" if e[2] else "word"]
-        elif e[0] == "cut":
-            score = 4 * weights["tag"]
-        else:
-            score = weights.get(e[1], weights["tag"])
+    for i, score in enumerate(scores):
         if total <= 0:
             total, start = 0.0, i
         total += score
         if total > best:
             best, best_at = total, (start, i + 1)
-    if not best:
-        return 0, 0
-    first, last = best_at
-    # elements that stand around the whole region, from the inside
-    stack, around = [], []
+    return best_at
+
+
+def pieces(page: str, weights: dict[str, float]) -> list[tuple]:
+    """Events without what breaks hold: each break is one ('cut', -, -); headings of headers inside articles stay."""
+    events = parse(page)
+    cut = breaks(events)
+    out, skipping, heading = [], None, None
+    for e in events:
+        element = e[3] if e[0] == "text" else e[2]
+        if skipping is None and e[0] == "open" and element in cut:
+            skipping = element
+            out.append(("cut", "", element))
+        if skipping is None:
+            out.append(e)
+            continue
+        if skipping.name == "header":
+            if heading is None and e[0] == "open" and e[1] in ("h1", "h2", "h3", "h4", "h5", "h6") and skipping.inside:
+                heading = element
+            if heading is not None:
+                out.append(e)
+                if e[0] == "close" and element is heading:
+                    heading = None
+        if e[0] == "close" and element is skipping:
+            skipping = None
+    return out
+
+
+def score(event: tuple, weights: dict[str, float]) -> float:
+    if event[0] == "text":
+        return len(event[1].split()) * weights["link_word" if event[2] else "word"]
+    if event[0] == "cut":
+        return 4 * weights["tag"]
+    return weights.get(event[1], weights["tag"])
+
+
+def block_of(element: Element) -> Element:
+    """The innermost element of a text that is no inline one."""
+    while element.parent is not None and element.name in INLINE:
+        element = element.parent
+    return element
+
+
+def blocks(events: list[tuple]) -> list[list]:
+    """[first, last + 1, words, linked words, element] of every run of texts within one block element."""
+    out: list[list] = []
+    held = None
     for i, e in enumerate(events):
-        if e[0] == "open" and e[1] in CONTAINERS:
-            stack.append((e[1], i))
-        elif e[0] == "close" and e[1] in CONTAINERS:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == e[1]:
-                    if stack[k][1] <= first and i + 1 >= last:
-                        around.append((e[1], stack[k][1], i + 1))
-                    del stack[k:]
-                    break
-    around += [(name, i, len(events)) for name, i in reversed(stack) if i <= first]
-    marked = [x for x in around if x[0] in ("article", "main")] or around
-    if marked:
-        return marked[0][1], marked[0][2]
-    # a region that holds a whole article or main ends with it; else it grows to whole blocks
-    while first > 0 and events[first - 1][0] not in ("cut",) and events[first - 1][-1] not in ("body", "html"):
-        first -= 1
-    while last < len(events) and events[last][0] != "cut" and events[last][-1] not in ("body", "html"):
-        last += 1
-    return first, last
+        if e[0] == "text":
+            element, n = block_of(e[3]), len(e[1].split())
+            if held is element:
+                out[-1][1] = i + 1
+                out[-1][2] += n
+                out[-1][3] += n if e[2] else 0
+            elif n:
+                out.append([i, i + 1, n, n if e[2] else 0, element])
+                held = element
+        elif e[0] == "cut" or e[1] not in INLINE and e[0] != "void":
+            held = None
+    return out
+
+
+def region(events: list[tuple], weights: dict[str, float]) -> tuple[int, int]:
+    """First and last + 1 event of the main text: the best run, grown to its article or to whole neighbouring blocks."""
+    first, last = scan([score(e, weights) for e in events])
+    if first == last:
+        return 0, 0
+    e = next(e for e in events[first:last] if e[0] == "text")[3]
+    if e.inside:
+        ends = {e[2]: i + 1 for i, e in enumerate(events) if e[0] == "close"}
+        while e is not None:
+            if e.articles and e.name in ("article", "main") and ends.get(e, 0) >= last:
+                return next(i for i, x in enumerate(events) if x[0] == "open" and x[2] is e), ends[e]
+            e = e.parent
+    found = blocks(events)
+    at = [k for k, b in enumerate(found) if b[0] < last and b[1] > first]
+    low, high = at[0], at[-1]
+    nested = {found[k][4].path for k in at}
+
+    def fits(b) -> bool:
+        return b[3] * 2 < b[2] and (b[4].name in TEXTUAL or b[4].path in nested) and not b[4].inside
+
+    while low > 0 and fits(found[low - 1]):
+        low -= 1
+    while high + 1 < len(found) and fits(found[high + 1]):
+        high += 1
+    return min(found[low][0], first), max(found[high][1], last)
 
 
 def main_text(page: str | None, weights: dict[str, float]) -> str:
     if not page:
         return ""
-    events = parse(page)
+    events = pieces(page, weights)
     first, last = region(events, weights)
     out = []
     for e in events[first:last]:
@@ -149,31 +304,46 @@ def main_text(page: str | None, weights: dict[str, float]) -> str:
     return " ".join("".join(out).split())
 
 
+def page_counts(page: str) -> dict[tuple[bool, str], int]:
+    """How often words, linked words and tags stand inside and outside the article or main of a page; {} without one."""
+    events = parse(page)
+    if not any(e[0] == "open" and e[1] in ("article", "main") for e in events):
+        return {}
+    seen: Counter = Counter()
+    for e in events:
+        element = e[3] if e[0] == "text" else e[2]
+        if e[0] == "text":
+            seen[element.inside, "link_word" if e[2] else "word"] += len(e[1].split())
+        elif e[1] not in ("article", "main") and len(e[1]) <= 16:  # longer names are no HTML
+            seen[element.inside, e[1]] += 1
+    return dict(seen)
+
+
 def fit_weights(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", sample: int = 400) -> dict[str, float]:
-    """Weights from at most `sample` pages that mark their content (those with the smallest id hashes)."""
-    marked = pages.where(F.col(html_col).rlike("(?i)<(article|main)[ >]"))
-    rows = marked.select(id_col, html_col).orderBy(F.xxhash64(id_col), id_col).limit(sample).collect()
-    seen: dict[bool, Counter] = {True: Counter(), False: Counter()}
-    for r in rows:
-        depth = 0
-        for m in re.finditer(r"<(/?)([a-zA-Z][\w-]*)[^>]*>|([^<]+)", re.sub(r"(?is)<(script|style|title)\b.*?</\1>|<!--.*?-->", " ", r[html_col])):
-            name = (m[2] or "").lower()
-            if name in ("article", "main"):
-                depth = max(0, depth + (-1 if m[1] else 1))
-            elif name == "a":
-                seen[depth > 0]["_in_link"] = 0 if m[1] else 1
-                seen[depth > 0]["a"] += 1
-            elif name:
-                seen[depth > 0][name] += 1
-            elif m[3]:
-                seen[depth > 0]["link_word" if seen[depth > 0]["_in_link"] else "word"] += len(m[3].split())
-    if not seen[True]["word"]:
+    """Weights from at most `sample` distinct pages, those with the smallest hashes, where they mark their content."""
+    h = F.xxhash64(id_col, html_col)
+    marked = pages.where(F.col(html_col).rlike("(?i)<(?:article|main)[ >]"))
+    low = marked.select(h.alias("h")).distinct().orderBy("h").limit(sample).agg(F.max("h")).first()[0]
+    if low is None:
+        return DEFAULT_WEIGHTS
+
+    def count(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            seen: Counter = Counter()
+            for page in b.column(0).to_pylist():
+                seen.update(page_counts(page))
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in seen], pa.bool_()), pa.array([k[1] for k in seen], pa.string()), pa.array(list(seen.values()), pa.int64())], names=["inside", "name", "n"])
+
+    rows = marked.where(h <= low).select(F.col(html_col).cast("string").alias("html")).mapInArrow(count, "inside boolean, name string, n long")
+    found = rows.groupBy("name").agg(F.sum(F.when(F.col("inside"), F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(F.col("inside"), 0).otherwise(F.col("n"))).alias("b")).collect()
+    seen = {True: {r.name: r.a for r in found}, False: {r.name: r.b for r in found}}
+    if not seen[True].get("word"):
         return DEFAULT_WEIGHTS
-    for side in seen.values():
-        del side["_in_link"]
     total = {side: sum(c.values()) + 1.0 for side, c in seen.items()}
-    odds = {k: math.log((seen[True][k] + 1) / total[True]) - math.log((seen[False][k] + 1) / total[False]) for k in {*seen[True], *seen[False]}}
-    # a word counts 1 at most; a tag costs 0.5 to 8 words, by how strange it is to content
+    odds = {k: math.log((seen[True][k] + 1) / total[True]) - math.log((seen[False][k] + 1) / total[False]) for k in seen[True]}
+    # a word counts 1; a tag costs 0.5 to 8 words, by how strange it is to content
     out = {k: -min(8.0, max(0.5, 1.0 - v)) for k, v in odds.items() if k not in ("word", "link_word")}
     return out | {"tag": DEFAULT_WEIGHTS["tag"], "word": 1.0, "link_word": max(-4.0, min(0.5, odds.get("link_word", -1.0)))}
 
