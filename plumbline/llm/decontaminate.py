@@ -1,18 +1,27 @@
 """Benchmark decontamination by template canonicalisation, in DataFrame functions only.
 
-Words are lower-cased and freed of punctuation at their ends. Numbers, names (capitalised words inside a sentence) and
-units (known unit words after a number) become typed placeholders. Windows of WINDOW canonical words of texts and items
-meet in a hash join. Slots of a matched window must be filled consistently: the pattern of equal and unequal slot values
-must be that of the item, so that one renaming explains them all; a re-parameterised question passes, a text that only
-has its frame in common does not. Windows with fewer than half literal words don't count.
+Words are lower-cased and freed of punctuation at their ends. Numbers (in digits or in words), names and units (known unit
+words after a number) become typed placeholders. A name is a run of capitalised words, of any script: at the start of a
+sentence only if its first word is no common opening word, elsewhere in any case. Numbers and names of several words are
+one placeholder. Windows of WINDOW canonical words of texts and items meet in a hash join. Windows with fewer than half
+literal words don't count.
 
-Names are known by their capitals, so that a copy in other case, or a first word in mid-sentence, has other templates.
-Windows of plain words in lower case, without the rule on literal words, therefore meet in the same join beside them.
+Slots must be filled consistently, so that one renaming explains a whole occurrence. Inside a window the pattern of equal
+and unequal values must be that of the item. Beyond it, each slot value of the item has an ordinal, and the windows of one
+occurrence (those equally far from their places in the item) must give every ordinal one value; occurrences at other
+distances count with the largest one if none of their values contradicts it. A re-parameterised question passes, a text
+that only has its frame in common does not.
+
+Names are known by their capitals, so that a copy in other case has other templates. Windows of plain words in lower
+case, without the rule on literal words, therefore meet in the same join beside them.
 
 An item of fewer than WINDOW words (two at least) is one window of its own length, and matches texts that hold it
 anywhere. A text is contaminated by an item if it holds at least `coverage` of the item's distinct windows or `run` of
-them, typed or plain ones; typed ones are reported if they are enough. Null and empty texts or items match nothing;
-repeated rows of one id count as one document, repeated items as separate items.
+them, typed or plain ones; typed ones are reported if they are enough.
+
+Null and empty texts or items match nothing. `contaminated` takes repeated rows of one id as one document and rows with
+a null id as one more; `clean` judges each row by itself. Repeated items are separate items. Texts of any length count
+whole. Columns beside id and text are not read, whatever their names. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -25,26 +34,41 @@ from pyspark.sql import functions as F
 from .common import cut, small_enough
 
 WINDOW, COVERAGE, RUN = 8, 0.5, 6
-#: Benchmark windows that are broadcast at most (32 bytes each); more are joined by a shuffle.
-BROADCAST_ROWS = 500_000
+#: Benchmark windows that are broadcast at most (some 150 bytes each); more are joined by a shuffle.
+BROADCAST_ROWS = 200_000
+#: Stands for a blank inside a placeholder.
+JOINT = "\x01"
 PUNCTUATION = ".,;:!?\"'()[]"
-#: Pairs of words that open some window, as a list of literals; with more, every window is built and joined.
-MOST_OPENINGS = 20_000
+#: Bits of the map of openings for each opening, and bits of the map at most (beyond, more windows pass to the join).
+BITS, MOST_BITS = 16, 1 << 26
+#: Words that open sentences without being names, fixed.
+OPENERS = ("the", "a", "an", "this", "that", "these", "those", "there", "here", "it", "he", "she", "they", "we", "you", "i", "his", "her", "their", "its", "my", "our", "your", "if", "when", "where", "what", "which", "who", "whom", "whose", "why", "how", "in", "on", "at", "by", "for", "from", "with", "to", "of", "as", "and", "but", "or", "so", "is", "are", "was", "were", "do", "does", "did", "has", "have", "had", "can", "could", "will", "would", "should", "after", "before", "each", "every", "all", "some", "let", "find", "then", "while")
+#: Number words, fixed.
+NUMBER_WORDS = ("two", "three", "four", "five", "six", "seven", "eight", "nine", "ten", "eleven", "twelve", "thirteen", "fourteen", "fifteen", "sixteen", "seventeen", "eighteen", "nineteen", "twenty", "thirty", "forty", "fifty", "sixty", "seventy", "eighty", "ninety", "hundred", "thousand", "million", "billion", "dozen")
 #: Unit words, fixed.
 UNITS = ("mm", "cm", "m", "km", "inch", "inches", "feet", "foot", "mile", "miles", "mg", "g", "kg", "pound", "pounds", "ounces", "ml", "l", "liter", "liters", "litres", "seconds", "second", "minutes", "minute", "hours", "hour", "days", "day", "weeks", "week", "months", "month", "years", "year", "dollars", "dollar", "cents", "euros", "euro", "percent", "degrees", "kmh", "mph", "%")
 
 
+def joined(text: Column) -> Column:
+    """The text with JOINT in place of the blanks inside names and number words of several words."""
+    number = "(?:" + "|".join(NUMBER_WORDS) + ")"
+    t = F.regexp_replace(F.coalesce(text, F.lit("")), rf"(?i)\b({number}) (?={number}\b)", f"$1{JOINT}")
+    openers = "|".join(w.capitalize() for w in OPENERS)
+    return F.regexp_replace(t, rf" (?=\p{{Lu}}\p{{L}})(?<=\p{{Lu}}[\p{{L}}'’-]{{0,30}} )(?<!(?<!\p{{L}})(?:{openers}) )", JOINT)
+
+
 def canonical(text: Column) -> Column:
-    """The text with a placeholder for each whole word that is a number, a name or a unit, in lower case.
+    """A joined text with a placeholder for each whole word that is a number, a name or a unit, in lower case.
 
     Words are replaced one for one, so that canonical and plain words stay aligned.
     """
     blank = r"\x20\x09-\x0D"
-    t = F.coalesce(text, F.lit(""))
-    t = F.regexp_replace(t, rf"(?=[A-Z])(?<=[^.!?:;{blank}][{blank}])[A-Z][^{blank}]+", "<name>")
+    openers = "|".join(w.capitalize() for w in OPENERS)
+    t = F.regexp_replace(text, rf"(?=\p{{Lu}})(?<![^{blank}(\"'“‘\[])(?!(?:{openers})(?![\p{{L}}{JOINT}]))[^{blank}]+", "<name>")
     t = F.regexp_replace(t, rf"(?=[$€£+\-0-9])(?<![^{blank}])[$€£+\-]?[0-9][^{blank}]*", "<num>")
+    number = "(?:" + "|".join(sorted(NUMBER_WORDS, key=len, reverse=True)) + ")"
+    low = F.regexp_replace(F.lower(t), rf"(?<![^{blank}(\"']){number}(?:[{JOINT}-]{number})*(?![^{blank}.,;:!?)\"'\]])", "<num>")
     units = "|".join(sorted(UNITS, key=len, reverse=True))
-    low = F.lower(t)
     return F.when(F.contains(low, F.lit("<num>")), F.regexp_replace(low, rf"(?<=<num>[{blank}])(?:{units})(?=[.,;:!?\"')\]]*(?:[{blank}]|$))", "<unit>")).otherwise(low)
 
 
@@ -55,85 +79,117 @@ def split_words(text: Column) -> Column:
 
 
 def word_lists(rows: DataFrame, text_col: str, *keep: str) -> DataFrame:
-    """keep, t, raw, slots: aligned canonical and plain words; slots tells whether they may differ."""
-    w = rows.select(*keep, F.lower(F.coalesce(F.col(text_col), F.lit(""))).alias("low"), canonical(F.col(text_col)).alias("canon"))
+    """keep, t, raw, plain, slots: canonical words and the plain ones aligned with them, all plain words singly, and
+    whether canonical and plain ones may differ."""
+    w = rows.select(*keep, joined(F.col(text_col)).alias("j")).select(*keep, F.lower("j").alias("low"), canonical(F.col("j")).alias("canon"))
     slots = F.col("canon").contains("<n") | F.col("canon").contains("<unit>")
-    return w.select(*keep, split_words(F.col("canon")).alias("t"), split_words(F.col("low")).alias("raw"), slots.alias("slots"))
+    w = w.select(*keep, split_words(F.col("canon")).alias("t"), split_words(F.col("low")).alias("raw"), slots.alias("slots"), F.when(F.col("low").contains(JOINT), F.col("low")).alias("low"))
+    return w.select(*keep, "t", "raw", "slots", F.when(F.col("low").isNull(), F.col("raw")).otherwise(split_words(F.replace(F.col("low"), F.lit(JOINT), F.lit(" ")))).alias("plain"))
+
 
+def opening_hashes(words: str) -> str:
+    return f"CASE WHEN size({words}) > 1 THEN transform(sequence(1, size({words}) - 1), i -> xxhash64(get({words}, i - 1), get({words}, i))) ELSE array() END"
 
-def windows(w: DataFrame, *keep: str, openings: dict[tuple[int, int], list[int] | None]) -> DataFrame:
-    """keep, k, t, c, r for every window of word_lists: its kind (0 typed, 1 plain), hashes of its words, of its slot
-    pattern, and of its plain words.
 
-    openings: for each length and kind asked for, hashes of the first two words of the windows; others are not built.
-    None has every window built.
+def windows(w: DataFrame, *keep: str, lengths: list[int], openings: tuple[str, int] | None) -> DataFrame:
+    """keep, k, t, c, r, p, v for every window of word_lists: its kind (0 typed, 1 plain), hashes of its words, of its slot
+    pattern and of its plain words, its place, and hashes of what fills its slots.
+
+    openings: the map of the first two words of the windows asked for; others are not built. None has all built.
     """
     # get reads one place of the array; slice inside a lambda would copy the whole array for each window
     at = lambda c, i, n: [F.get(F.col(c), i - 1 + k) for k in range(n)]
     none = F.lit(0).cast("long")
+    empty = F.expr("cast(array() as array<bigint>)")
 
     def plain(i, n, k):
-        h = F.xxhash64(*at("raw", i, n))  # where there are no slots, canonical words are the plain ones
-        return F.struct(F.lit(k).alias("k"), h.alias("t"), none.alias("c"), h.alias("r"))
+        h = F.xxhash64(*at("plain" if k else "raw", i, n))  # where there are no slots, canonical words are the plain ones
+        return F.struct(F.lit(k).alias("k"), h.alias("t"), none.alias("c"), h.alias("r"), i.alias("p"), empty.alias("v"))
 
     def slotted(i, n):
         both = F.arrays_zip(F.array(*at("t", i, n)).alias("t"), F.array(*at("raw", i, n)).alias("r"))
-        values = F.transform(F.filter(both, lambda x: x["t"].isin("<name>", "<num>", "<unit>")), lambda x: x["r"])
+        values = F.transform(F.filter(both, lambda x: x["t"].isin("<name>", "<num>", "<unit>")), lambda x: F.xxhash64(x["r"]))
         first_places = F.transform(values, lambda v: F.array_position(values, v))
         c = F.when(F.size(values) > 0, F.xxhash64(first_places)).otherwise(none)
-        return F.when((n - F.size(values)) * 2 >= n, F.struct(F.lit(0).alias("k"), F.xxhash64(*at("t", i, n)).alias("t"), c.alias("c"), F.xxhash64(*at("raw", i, n)).alias("r")))
-
-    every = []
-    for (n, k), known in sorted(openings.items()):
-        words, name = ("t", "raw")[k], f"at{n}_{k}"
-        # one filter over the places, as SQL text: thousands of literals reach the JVM in one call
-        test = "true" if known is None else f"xxhash64(get({words}, i - 1), get({words}, i)) IN ({','.join(map(str, known))})" if known else "false"
-        w = w.withColumn(name, F.expr(f"filter(sequence(1, greatest(size(t) - {n - 1}, 1)), i -> size(t) >= {n} AND {test})"))
-        if k:
-            every.append(F.transform(name, lambda i: plain(i, n, 1)))
-        else:
-            every.append(F.when(F.col("slots"), F.transform(name, lambda i: slotted(i, n))).otherwise(F.transform(name, lambda i: plain(i, n, 0))))
+        return F.when((n - F.size(values)) * 2 >= n, F.struct(F.lit(0).alias("k"), F.xxhash64(*at("t", i, n)).alias("t"), c.alias("c"), F.xxhash64(*at("raw", i, n)).alias("r"), i.alias("p"), values.alias("v")))
+
+    for k, words in ((0, "t"), (1, "plain")):
+        test = "true"
+        if openings:
+            bits, mask = openings
+            test = f"getbit(get({bits}, cast(shiftrightunsigned(h, 6) & {mask} as int)), cast(h & 63 as int)) = 1"
+        w = w.withColumn(f"at{k}", F.expr(f"array_compact(transform({opening_hashes(words)}, (h, i) -> CASE WHEN {test} THEN i + 1 END))"))
+    def of_length(n):
+        room = lambda words: lambda i: i + (n - 1) <= F.size(words)
+        typed, bare = F.filter("at0", room("t")), F.filter("at1", room("plain"))
+        return F.when(F.col("slots"), F.transform(typed, lambda i: slotted(i, n))).otherwise(F.transform(typed, lambda i: plain(i, n, 0))), F.transform(bare, lambda i: plain(i, n, 1))
+
+    every = [x for n in lengths for x in of_length(n)]
     # the outer form: Spark pushes no test of the array below, which would compute it twice
-    return w.select(*keep, F.explode_outer(F.concat(*every)).alias("x")).where("x is not null").select(*keep, "x.k", "x.t", "x.c", "x.r")
-
+    return w.select(*keep, F.explode_outer(F.concat(*every)).alias("x")).where("x is not null").select(*keep, "x.*")
 
-def first_pairs(items: DataFrame) -> dict[tuple[int, int], list[int] | None]:
-    """The openings of all items by length and kind; None instead of each if there are more than MOST_OPENINGS of them."""
-    w = cut(word_lists(items, "text").where("size(t) > 1").withColumn("n", F.least(F.size("t"), F.lit(WINDOW))), "words")
-    lengths = sorted(r.n for r in w.select("n").distinct().collect())
-    opening = lambda c: F.expr(f"transform(sequence(1, size(t) - n + 1), i -> xxhash64(get({c}, i - 1), get({c}, i)))")
-    pairs = w.select("n", F.lit(0).alias("k"), F.explode(opening("t")).alias("o")).union(w.select("n", F.lit(1).alias("k"), F.explode(opening("raw")).alias("o")))
-    found = pairs.distinct().limit(MOST_OPENINGS + 1).collect()
-    if len(found) > MOST_OPENINGS:
-        return {(n, k): None for n in lengths for k in (0, 1)}
-    return {(n, k): sorted(r.o for r in found if (r.n, r.k) == (n, k)) for n in lengths for k in (0, 1)}
 
-
-def item_windows(benchmark: DataFrame, lengths: list[int]) -> DataFrame:
-    """(item_id, k, t, item_c, item_r) of the windows of each item, of WINDOW words or of its own length."""
-    w = word_lists(benchmark.where("item_id is not null"), "text", "item_id")
-    out = None
-    for n in lengths:
-        of = windows(w.where(F.least(F.size("t"), F.lit(WINDOW)) == n), "item_id", openings={(n, 0): None, (n, 1): None})
-        out = of if out is None else out.union(of)
-    return cut(out.distinct().select("item_id", "k", "t", F.col("c").alias("item_c"), F.col("r").alias("item_r")), "items")
+def opening_map(w: DataFrame) -> tuple[str, int]:
+    """A bit map of the hashes of all openings of the items' word lists, as SQL text, and the mask of its words."""
+    hashes = w.select(F.explode(F.expr(f"concat({opening_hashes('t')}, {opening_hashes('plain')})")).alias("h")).distinct()
+    size = 1 << 10
+    n = hashes.count()
+    while size < min(BITS * n, MOST_BITS):
+        size *= 2
+    mask = size // 64 - 1
+    word = F.shiftrightunsigned("h", 6).bitwiseAND(F.lit(mask))
+    found = dict(hashes.groupBy(word.alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h & 63 as int))")).alias("bits")).collect())
+    # SQL text reaches the JVM in one call; the least long has no literal of its own
+    text = ",".join(str(found.get(i, 0)) if found.get(i, 0) != -(2**63) else "(-9223372036854775807 - 1)" for i in range(mask + 1))
+    return f"cast(array({text}) as array<bigint>)", mask
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, run: int = RUN) -> DataFrame:
     """(doc_id, item_id, n_windows, n_exact, item_windows, coverage, reparameterised) of every contaminated pair."""
-    openings = first_pairs(benchmark.where("item_id is not null")) or {(WINDOW, 0): [], (WINDOW, 1): []}
-    items = item_windows(benchmark, sorted({n for n, _ in openings}))
-    totals = items.groupBy("item_id", "k").agg(F.countDistinct("t").alias("item_windows"))
-    found = windows(word_lists(docs, "text", "doc_id"), "doc_id", openings=openings).join(small_enough(items, BROADCAST_ROWS), ["k", "t"]).where(F.col("c") == F.col("item_c"))
-    each = found.groupBy("doc_id", "item_id", "k", "t").agg(F.max((F.col("r") == F.col("item_r")).cast("int")).alias("exact"))
-    out = each.groupBy("doc_id", "item_id", "k").agg(F.count(F.lit(1)).alias("n_windows"), F.sum("exact").alias("n_exact"))
-    out = out.join(small_enough(cut(totals, "totals"), BROADCAST_ROWS), ["item_id", "k"]).withColumn("coverage", F.col("n_windows") / F.col("item_windows"))
+    listed = word_lists(benchmark.where("item_id is not null"), "text", "item_id").where("size(t) > 1")
+    listed = cut(listed.withColumn("own", F.least(F.size("t"), F.lit(WINDOW))), "items")
+    lengths = sorted(r.own for r in listed.select("own").distinct().collect()) or [WINDOW]
+    items = None
+    for n in lengths:
+        of = windows(listed.where(F.col("own") == n), "item_id", lengths=[n], openings=None)
+        items = of if items is None else items.union(of)
+    items = cut(items.select("item_id", "k", "t", F.col("c").alias("item_c"), F.col("r").alias("item_r"), F.col("p").alias("item_p"), F.col("v").alias("item_v")), "windows")
+    totals = cut(items.groupBy("item_id", "k").agg(F.countDistinct("t").alias("item_windows")), "totals")
+
+    # null ids are one more document: a struct of a null is a key like others
+    texts = word_lists(docs.select(F.struct("doc_id").alias("d"), "text"), "text", "d")
+    found = windows(texts, "d", lengths=lengths, openings=opening_map(listed)).join(small_enough(items, BROADCAST_ROWS), ["k", "t"]).where(F.col("c") == F.col("item_c"))
+    exact = (F.col("r") == F.col("item_r")).cast("int")
+    found = cut(found.select("d", "item_id", "k", "t", exact.alias("exact"), (F.col("p") - F.col("item_p")).alias("apart"), F.arrays_zip(F.col("item_v").alias("slot"), F.col("v").alias("value")).alias("slots")), "found")
+
+    kept = found.where("k = 1").select("d", "item_id", "k", "t", "exact").unionByName(consistent(found.where("k = 0")))
+    each = kept.groupBy("d", "item_id", "k", "t").agg(F.max("exact").alias("exact"))
+    out = each.groupBy("d", "item_id", "k").agg(F.count(F.lit(1)).alias("n_windows"), F.sum("exact").alias("n_exact"))
+    out = out.join(small_enough(totals, BROADCAST_ROWS), ["item_id", "k"]).withColumn("coverage", F.col("n_windows") / F.col("item_windows"))
     out = out.where((F.col("coverage") >= coverage) | (F.col("n_windows") >= run))
-    out = out.groupBy("doc_id", "item_id").agg(F.min(F.struct("k", "n_windows", "n_exact", "item_windows", "coverage")).alias("x")).select("doc_id", "item_id", "x.*")
+    out = out.groupBy("d", "item_id").agg(F.min(F.struct("k", "n_windows", "n_exact", "item_windows", "coverage")).alias("x")).select("d.doc_id", "item_id", "x.*")
     return out.select("doc_id", "item_id", "n_windows", "n_exact", "item_windows", F.round("coverage", 6).alias("coverage"), (F.col("n_exact") < F.col("n_windows")).alias("reparameterised"))
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, **parameters) -> DataFrame:
-    """docs without the contaminated ones; rows with a null id stay. Their columns are those of docs."""
-    bad = cut(contaminated(docs, benchmark, **parameters).select("doc_id").distinct(), "contaminated")
-    return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
+def consistent(typed: DataFrame) -> DataFrame:
+    """Typed matches (d, item_id, k, t, exact) whose occurrence fills each of the item's slots with one value, and which do
+    not contradict the item's largest occurrence in the document."""
+    one = ["d", "item_id", "apart"]
+    slot, value = F.col("s.slot").alias("slot"), F.col("s.value").alias("value")
+    bound = typed.select(*one, F.explode("slots").alias("s")).select(*one, slot, value).groupBy(*one, "slot").agg(F.min("value").alias("value"), F.max("value").alias("other"))
+    bound = bound.groupBy(*one).agg(F.bool_or(F.col("value") != F.col("other")).alias("torn"), F.map_from_entries(F.collect_list(F.struct("slot", "value"))).alias("bound"))
+    sizes = typed.groupBy(*one).agg(F.countDistinct("t").alias("n"))
+    whole = sizes.join(bound, one, "left").where(~F.coalesce("torn", F.lit(False))).select(*one, "n", F.coalesce("bound", F.expr("cast(map() as map<bigint, bigint>)")).alias("bound"))
+    whole = cut(whole, "occurrences")
+    best = whole.groupBy("d", "item_id").agg(F.max_by("bound", F.struct("n", -F.col("apart"))).alias("best"))
+    against = F.exists(F.map_entries("bound"), lambda e: F.coalesce(F.try_element_at("best", e["key"]) != e["value"], F.lit(False)))
+    fit = whole.join(best, ["d", "item_id"]).where(~against).select(*one)
+    return typed.join(fit, one, "left_semi").select("d", "item_id", "k", "t", "exact")
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **parameters) -> DataFrame:
+    """docs without the contaminated rows, columns unchanged. Rows are found again by a hash of id and text."""
+    key = F.xxhash64(F.col(id_col).cast("long"), F.col(text_col))
+    narrow = docs.select(key.alias("doc_id"), F.col(text_col).alias("text"))
+    bad = cut(contaminated(narrow, benchmark, **parameters).select(F.col("doc_id").alias("bad_key")).distinct(), "contaminated")
+    return docs.join(bad, key == bad["bad_key"], "left_anti").select(*docs.columns)
