@@ -11,8 +11,12 @@ identifiers, weak secrets and endpoints are reported only where an identifier an
 one of these two beside it. Scopes are joined by bins as wide as the reach; a bin keeps the least start and greatest end
 of each kind, so that a text with many candidates costs one row for each of them, never their pairs.
 
-Offsets count code points, ends are exclusive. Null and empty texts have no spans. Repeated ids are separate rows, null
-ids too.
+Weak kinds begin at a word border: "monkey: banana" holds no key.
+
+Offsets count code points, ends are exclusive. Null and empty texts have no spans; texts of any length are read whole, and
+spans are placed in blocks, so that a text with many of them costs little more than their number. Repeated ids are
+separate rows, null ids too. Columns beside id and text are not read, whatever their names. An empty table gives an empty
+result.
 """
 
 from __future__ import annotations
@@ -30,11 +34,13 @@ HEX = r"[0-9a-f]{24,}"
 BASE = {"assign": ASSIGN, "access": ACCESS, "hex": HEX}
 # Weak kinds. Their order continues that of the base kinds.
 WEAK = {
-    "identifier": r"""(?:[Uu][Ss][Ee][Rr](?:_?[Nn][Aa][Mm][Ee])?|[Ll][Oo][Gg][Ii][Nn]|[Cc][Ll][Ii][Ee][Nn][Tt]_?[Ii][Dd]|[Aa][Cc][Cc][Oo][Uu][Nn][Tt])["']?\x20*[:=]\x20*["']?[A-Za-z0-9_.@-]{3,}""",
-    "weak_secret": r"""(?:[Pp][Ww][Dd]|[Pp][Aa][Ss][Ss]|[Pp][Ii][Nn]|[Kk][Ee][Yy]|[Aa][Uu][Tt][Hh])["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]{4,}""",
-    "endpoint": r"""(?:https?|ftp|ssh|postgres|postgresql|mysql|mongodb|redis|amqp)://[A-Za-z0-9.-]+(?::[0-9]{2,5})?|(?<![A-Za-z0-9.-])[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++:[0-9]{2,5}""",
+    "identifier": r"""(?<![A-Za-z0-9])(?:[Uu][Ss][Ee][Rr](?:_?[Nn][Aa][Mm][Ee])?|[Ll][Oo][Gg][Ii][Nn]|[Cc][Ll][Ii][Ee][Nn][Tt]_?[Ii][Dd]|[Aa][Cc][Cc][Oo][Uu][Nn][Tt])["']?\x20*[:=]\x20*["']?[A-Za-z0-9_.@-]{3,}""",
+    "weak_secret": r"""(?<![A-Za-z0-9])(?:[Pp][Ww][Dd]|[Pp][Aa][Ss][Ss]|[Pp][Ii][Nn]|[Kk][Ee][Yy]|[Aa][Uu][Tt][Hh])["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]{4,}""",
+    "endpoint": r"""(?<![A-Za-z0-9])(?:https?|ftp|ssh|postgres|postgresql|mysql|mongodb|redis|amqp)://[A-Za-z0-9.-]+(?::[0-9]{2,5})?|(?<![A-Za-z0-9.-])[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++:[0-9]{2,5}""",
 }
 KINDS = [*BASE, *WEAK]
+#: Spans of one text that are placed in one fold.
+BLOCK = 256
 
 
 def spans(text: Column, kind: str, pattern: str) -> Column:
@@ -52,7 +58,13 @@ def spans(text: Column, kind: str, pattern: str) -> Column:
         end = start + x["m"]
         return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("s"), order.alias("o"), end.alias("e")))).alias("out"))
 
-    placed = F.aggregate(lengths, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda a: a["out"])
+    def block(acc, b):
+        # a fold copies what it has so far with each span: blocks keep that short
+        inner = F.struct(acc["at"].alias("at"), none.alias("out"))
+        return F.aggregate(F.slice(lengths, b * BLOCK + 1, BLOCK), inner, step, lambda a: F.struct(a["at"].alias("at"), F.concat(acc["out"], a["out"]).alias("out")))
+
+    start = F.struct(F.lit(0).alias("at"), none.alias("out"))
+    placed = F.aggregate(F.sequence(F.lit(0), F.floor((F.size(found) - 1) / BLOCK).cast("int")), start, block, lambda a: a["out"])
     # cheap tests first: what every match of the pattern holds
     may = {"access": text.contains("AKIA"), "hex": F.lit(True)}.get(kind, text.contains(":") | text.contains("="))
     return F.when(may & text.rlike(pattern), placed).otherwise(none)
