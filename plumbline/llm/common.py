@@ -19,16 +19,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder below spark.checkpoint.dir, which driver and executors share; set here only where it is unset."""
+    """A new folder below spark.checkpoint.dir, which driver and executors share.
+
+    Where it is unset, local runs (tests) get a folder of their own; on a cluster that would be one machine's, so it fails.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="plumbline-")
         spark.conf.set("spark.checkpoint.dir", base)
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/plumbline/{name}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame, name: str, *keys: str) -> DataFrame:
+def cut(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back: the lineage ends there, and lost executors lose nothing."""
     spark = df.sparkSession
     path = shared_dir(spark, name)
@@ -81,11 +86,33 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts, ends, np.searchsorted(starts, offsets)
 
 
+#: Bytes of text that a task works on at once; hashing them takes some forty times as much memory.
+SLICE_BYTES = 4 << 20
+
+
+def byte_slices(batch, column: int = 0):
+    """Slices of consecutive rows of an Arrow batch whose texts have SLICE_BYTES in all, or of one row with a longer text."""
+    _, offsets = column_bytes(batch.column(column))
+    at = 0
+    while at < batch.num_rows:
+        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + SLICE_BYTES, side="right")) - 1)
+        yield batch.slice(at, to - at)
+        at = to
+
+
 def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each byte span, with its length mixed in."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
+    """A 64-bit hash of each byte span, with its length mixed in; worked out SLICE_BYTES at a time."""
     n = ends - starts
+    total = np.cumsum(n)
+    out, at = [np.zeros(0, np.uint64)], 0
+    while at < len(n):
+        to = max(at + 1, int(np.searchsorted(total, total[at] - n[at] + SLICE_BYTES, side="right")))
+        out.append(_hash_some(data, starts[at:to], n[at:to]))
+        at = to
+    return np.concatenate(out)
+
+
+def _hash_some(data: np.ndarray, starts: np.ndarray, n: np.ndarray) -> np.ndarray:
     total = int(n.sum())
     first = np.cumsum(n) - n
     place = np.arange(total, dtype=np.int64) - np.repeat(first, n)
@@ -105,7 +132,7 @@ def lowered(data: np.ndarray) -> np.ndarray:
 # --- links to components ---------------------------------------------------------------------------------------------
 
 
-def components(links: DataFrame, rounds: int = 40) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """(node, component) for every end of `links` (a, b): component is the smallest node that links reach.
 
     Large-star and small-star steps by turns (both are joins and minimum aggregates; no group is gathered), each
@@ -115,7 +142,7 @@ def components(links: DataFrame, rounds: int = 40) -> DataFrame:
     edges = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
     edges = cut(edges, "edges")
     state = None
-    for _ in range(rounds):
+    while True:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = cut(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "low")
         # large star: neighbours above a node go to the smallest of its neighbours
@@ -130,8 +157,6 @@ def components(links: DataFrame, rounds: int = 40) -> DataFrame:
         if now == state:
             break
         state = now
-    else:
-        raise RuntimeError(f"links did not settle in {rounds} rounds")
     stars = edges.groupBy("a").agg(F.min("b").alias("component")).withColumnRenamed("a", "node")
     roots = edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     return stars.union(roots).groupBy("node").agg(F.min("component").alias("component"))

@@ -6,8 +6,9 @@ pattern is each text's soft label. A linear scorer over hashed features is then
 sample of rows, and scores every row.
 
 Features are word shapes (runs of letters, capitals, digits and each mark), shape pairs, and bins of text statistics,
-hashed to a fixed number of slots; the whole text counts. Null and empty texts have no words: they score 0. Repeated rows
-score alike. An empty table gives an empty result.
+hashed to a fixed number of slots; the whole text counts, of any length (batches are cut by bytes). Null and empty texts
+have no words: they score 0. Repeated rows score alike, and train the scorer once. Null and repeated ids are rows like
+others. Kept columns travel inside a struct, so that none clashes with the score. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -16,10 +17,10 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column_bytes, cut, hash_spans, lowered, mix, word_spans
+from .common import byte_slices, column_bytes, cut, hash_spans, lowered, mix, word_spans
 
 SLOTS = 512
-#: Rows whose posteriors and features train the scorer: a bounded sample, by the smallest hashes of their ids.
+#: Distinct rows whose posteriors and features train the scorer: a bounded sample, those with the smallest hashes.
 TRAIN_ROWS = 4000
 #: Labellers, in the order of their votes.
 LABELLERS = ("marks", "letters", "pipes", "unbroken", "shouting", "exclaiming", "repeats", "variety", "prose", "sentences")
@@ -145,24 +146,21 @@ class Scorer:
     def __init__(self, weights: np.ndarray, offset: float, share: float, accuracies: np.ndarray):
         self.weights, self.offset, self.share, self.accuracies = weights, offset, share, accuracies
 
-    def score(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-        """The id and `keep` columns of each row with its score in 0..1; no shuffle."""
+    def rows(self, docs: DataFrame, text_col: str = "text") -> DataFrame:
+        """(row, score): every row of docs as a struct, and its score in 0..1; no shuffle."""
         w, b = self.weights, self.offset
-        names = keep or []
 
         def run(batches):
             import pyarrow as pa
 
             for batch in batches:
-                for at in range(0, batch.num_rows, 2000):
-                    part = batch.slice(at, 2000)
+                for part in byte_slices(batch):
                     _, x, n = describe(*column_bytes(part.column(0)))
                     s = np.where(n > 0, 1 / (1 + np.exp(-np.clip(x @ w + b, -30, 30))), 0.0)
-                    yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(s)], names=[*out_names, "score"])
+                    yield pa.RecordBatch.from_arrays([part.column(1), pa.array(s)], names=["row", "score"])
 
-        out_names = [id_col, *names]
-        rows = docs.select(F.col(text_col).cast("string").alias("_t"), id_col, *(F.col(c) for c in names))
-        return rows.mapInArrow(run, docs.select(id_col, *names).withColumn("score", F.lit(0.0)).schema)
+        rows = docs.select(F.col(text_col).cast("string").alias("t"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+        return rows.mapInArrow(run, rows.select("row", F.lit(0.0).alias("score")).schema)
 
 
 def vote_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -172,13 +170,16 @@ def vote_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
         import pyarrow as pa
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                part = batch.slice(at, 2000)
+            for part in byte_slices(batch):
                 stats, _, n = describe(*column_bytes(part.column(0)))
                 v = (votes(stats, n) + 49).astype(np.uint8)
                 yield pa.RecordBatch.from_arrays([part.column(1), pa.array([r.tobytes().decode() for r in v], pa.string())], names=["h", "pattern"])
 
-    return docs.select(F.col(text_col).cast("string").alias("_t"), F.xxhash64(id_col, text_col).alias("h")).mapInArrow(run, "h long, pattern string")
+    return _hashed(docs, id_col, text_col).mapInArrow(run, "h long, pattern string")
+
+
+def _hashed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(text_col).cast("string").alias("t"), F.xxhash64(id_col, text_col).alias("h"))
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = TRAIN_ROWS) -> Scorer:
@@ -191,27 +192,32 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: i
     counts = np.array([r["count"] for r in found], dtype=np.float64)
     share, accuracies, post = expectation_maximisation(patterns, counts)
     posterior = {r.pattern: p for r, p in zip(found, post)}
-    # the sample: the rows with the smallest hashes; their bound is the `rows`-th hash
-    low = voted.select("h").orderBy("h").limit(rows).agg(F.max("h")).first()[0]
+    # the sample: the distinct rows with the smallest hashes; their bound is the `rows`-th hash
+    low = voted.select("h").distinct().orderBy("h").limit(rows).agg(F.max("h")).first()[0]
 
     def features(batches):
         import pyarrow as pa
 
         for batch in batches:
-            stats, x, n = describe(*column_bytes(batch.column(0)))
-            v = (votes(stats, n) + 49).astype(np.uint8)
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([r.tobytes().decode() for r in v], pa.string()), pa.array([r.tobytes() for r in x.astype(np.float32)], pa.binary())], names=["h", "pattern", "x"])
+            for part in byte_slices(batch):
+                stats, x, n = describe(*column_bytes(part.column(0)))
+                v = (votes(stats, n) + 49).astype(np.uint8)
+                yield pa.RecordBatch.from_arrays([part.column(1), pa.array([r.tobytes().decode() for r in v], pa.string()), pa.array([r.tobytes() for r in x.astype(np.float32)], pa.binary())], names=["h", "pattern", "x"])
 
-    hashed = docs.select(F.col(text_col).cast("string").alias("_t"), F.xxhash64(id_col, text_col).alias("h")).where(F.col("h") <= low)
-    picked = hashed.mapInArrow(features, "h long, pattern string, x binary").limit(2 * rows).collect()
-    picked.sort(key=lambda r: (r.h, r.pattern))
+    picked = _hashed(docs, id_col, text_col).where(F.col("h") <= low).mapInArrow(features, "h long, pattern string, x binary").dropDuplicates(["h"]).collect()
+    picked.sort(key=lambda r: r.h)
     x = np.stack([np.frombuffer(r.x, dtype=np.float32) for r in picked]).astype(np.float64)
     y = np.array([posterior.get(r.pattern, share) for r in picked])
-    weight = np.ones(len(y))
-    w, b = train(x, y, weight / weight.sum())
+    w, b = train(x, y, np.full(len(y), 1 / len(y)))
     return Scorer(w, b, share, accuracies)
 
 
-def classify(docs: DataFrame, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """Fit on docs and score them: id, kept columns, score, good (score >= threshold)."""
-    return fit(docs, id_col, text_col).score(docs, id_col, text_col, keep).withColumn("good", F.col("score") >= threshold)
+def classify(docs: DataFrame, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Fit on docs and score them: id, score, good (score >= threshold)."""
+    scored = fit(docs, id_col, text_col).rows(docs.select(id_col, text_col), text_col)
+    return scored.select(F.col("row")[id_col].alias(id_col), "score", (F.col("score") >= threshold).alias("good"))
+
+
+def good_rows(docs: DataFrame, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs that score `threshold` or more, columns unchanged."""
+    return fit(docs, id_col, text_col).rows(docs, text_col).where(F.col("score") >= threshold).select("row.*")
