@@ -52,24 +52,30 @@ UNITS = ("mm", "cm", "m", "km", "inch", "inches", "feet", "foot", "mile", "miles
 def joined(text: Column) -> Column:
     """The text with JOINT in place of the blanks inside names and number words of several words."""
     number = "(?:" + "|".join(NUMBER_WORDS) + ")"
-    t = F.regexp_replace(F.coalesce(text, F.lit("")), rf"(?i)\b({number}) (?={number}\b)", f"$1{JOINT}")
-    openers = "|".join(w.capitalize() for w in OPENERS)
-    return F.regexp_replace(t, rf" (?=\p{{Lu}}\p{{L}})(?<=\p{{Lu}}[\p{{L}}'’-]{{0,30}} )(?<!(?<!\p{{L}})(?:{openers}) )", JOINT)
+    letters = "".join(sorted({w[0] for w in NUMBER_WORDS}))
+    return F.regexp_replace(text, rf" (?=[\p{{Lu}}{letters}])(?:(?=\p{{Lu}}\p{{L}})(?<=\p{{Lu}}[\p{{L}}'’-]{{0,30}} )|(?=[{letters}])(?={number}\b)(?<=\b{number} ))", JOINT)
 
 
 def canonical(text: Column) -> Column:
-    """A joined text with a placeholder for each whole word that is a number, a name or a unit, in lower case.
+    """The text with a placeholder for each whole word that is a number or a name, in lower case.
 
-    Words are replaced one for one, so that canonical and plain words stay aligned.
+    Words are replaced one for one, so that canonical and plain words stay aligned. Each pattern opens with a look at one
+    character, so that most places cost no more than that.
     """
     blank = r"\x20\x09-\x0D"
     openers = "|".join(w.capitalize() for w in OPENERS)
     t = F.regexp_replace(text, rf"(?=\p{{Lu}})(?<![^{blank}(\"'“‘\[])(?!(?:{openers})(?![\p{{L}}{JOINT}]))[^{blank}]+", "<name>")
     t = F.regexp_replace(t, rf"(?=[$€£+\-0-9])(?<![^{blank}])[$€£+\-]?[0-9][^{blank}]*", "<num>")
     number = "(?:" + "|".join(sorted(NUMBER_WORDS, key=len, reverse=True)) + ")"
-    low = F.regexp_replace(F.lower(t), rf"(?<![^{blank}(\"']){number}(?:[{JOINT}-]{number})*(?![^{blank}.,;:!?)\"'\]])", "<num>")
+    opens = "|".join(sorted({w[:2] for w in NUMBER_WORDS}))
+    return F.regexp_replace(F.lower(t), rf"(?=[{''.join(sorted({w[0] for w in NUMBER_WORDS}))}])(?<![^{blank}(\"'])(?={opens}){number}(?:[{JOINT}-]{number})*(?![^{blank}.,;:!?)\"'\]])", "<num>")
+
+
+def with_units(canon: Column) -> Column:
+    """Canonical text with a placeholder for unit words behind numbers."""
+    blank = r"\x20\x09-\x0D"
     units = "|".join(sorted(UNITS, key=len, reverse=True))
-    return F.when(F.contains(low, F.lit("<num>")), F.regexp_replace(low, rf"(?<=<num>[{blank}])(?:{units})(?=[.,;:!?\"')\]]*(?:[{blank}]|$))", "<unit>")).otherwise(low)
+    return F.when(F.contains(canon, F.lit("<num>")), F.regexp_replace(canon, rf"(?<=<num>[{blank}])(?:{units})(?=[.,;:!?\"')\]]*(?:[{blank}]|$))", "<unit>")).otherwise(canon)
 
 
 def split_words(text: Column) -> Column:
@@ -81,21 +87,26 @@ def split_words(text: Column) -> Column:
 def word_lists(rows: DataFrame, text_col: str, *keep: str) -> DataFrame:
     """keep, t, raw, plain, slots: canonical words and the plain ones aligned with them, all plain words singly, and
     whether canonical and plain ones may differ."""
-    w = rows.select(*keep, joined(F.col(text_col)).alias("j")).select(*keep, F.lower("j").alias("low"), canonical(F.col("j")).alias("canon"))
-    slots = F.col("canon").contains("<n") | F.col("canon").contains("<unit>")
-    w = w.select(*keep, split_words(F.col("canon")).alias("t"), split_words(F.col("low")).alias("raw"), slots.alias("slots"), F.when(F.col("low").contains(JOINT), F.col("low")).alias("low"))
-    return w.select(*keep, "t", "raw", "slots", F.when(F.col("low").isNull(), F.col("raw")).otherwise(split_words(F.replace(F.col("low"), F.lit(JOINT), F.lit(" ")))).alias("plain"))
+    w = rows.select(*keep, joined(F.coalesce(F.col(text_col), F.lit(""))).alias("j"))
+    # generators of one row: what they make is not worked out again for each use
+    w = w.select(*keep, F.explode(F.array(F.struct(canonical(F.col("j")).alias("canon"), F.lower("j").alias("low")))).alias("p"))
+    slots = F.col("p.canon").contains("<n")
+    several = F.when(F.col("p.low").contains(JOINT), split_words(F.translate(F.col("p.low"), JOINT, " ")))
+    w = w.select(*keep, F.explode(F.array(F.struct(split_words(with_units(F.col("p.canon"))).alias("t"), split_words(F.col("p.low")).alias("raw"), several.alias("several"), slots.alias("slots")))).alias("p"))
+    return w.select(*keep, "p.t", "p.raw", F.coalesce("p.several", "p.raw").alias("plain"), "p.slots")
 
 
-def opening_hashes(words: str) -> str:
-    return f"CASE WHEN size({words}) > 1 THEN transform(sequence(1, size({words}) - 1), i -> xxhash64(get({words}, i - 1), get({words}, i))) ELSE array() END"
+def opening_hashes(words: str, n: int) -> str:
+    places = ", ".join(f"get({words}, i + {k - 1})" for k in range(n))
+    return f"CASE WHEN size({words}) >= {n} THEN transform(sequence(1, size({words}) - {n - 1}), i -> xxhash64({places})) ELSE array() END"
 
 
-def windows(w: DataFrame, *keep: str, lengths: list[int], openings: tuple[str, int] | None) -> DataFrame:
+def windows(w: DataFrame, *keep: str, lengths: list[int], openings: dict[int, tuple[str, int]] | None) -> DataFrame:
     """keep, k, t, c, r, p, v for every window of word_lists: its kind (0 typed, 1 plain), hashes of its words, of its slot
     pattern and of its plain words, its place, and hashes of what fills its slots.
 
-    openings: the map of the first two words of the windows asked for; others are not built. None has all built.
+    openings: for each length of an opening, the map of those that the windows asked for begin with; others are not
+    built. None has all built.
     """
     # get reads one place of the array; slice inside a lambda would copy the whole array for each window
     at = lambda c, i, n: [F.get(F.col(c), i - 1 + k) for k in range(n)]
@@ -113,15 +124,18 @@ def windows(w: DataFrame, *keep: str, lengths: list[int], openings: tuple[str, i
         c = F.when(F.size(values) > 0, F.xxhash64(first_places)).otherwise(none)
         return F.when((n - F.size(values)) * 2 >= n, F.struct(F.lit(0).alias("k"), F.xxhash64(*at("t", i, n)).alias("t"), c.alias("c"), F.xxhash64(*at("raw", i, n)).alias("r"), i.alias("p"), values.alias("v")))
 
-    for k, words in ((0, "t"), (1, "plain")):
-        test = "true"
-        if openings:
-            bits, mask = openings
-            test = f"getbit(get({bits}, cast(shiftrightunsigned(h, 6) & {mask} as int)), cast(h & 63 as int)) = 1"
-        w = w.withColumn(f"at{k}", F.expr(f"array_compact(transform({opening_hashes(words)}, (h, i) -> CASE WHEN {test} THEN i + 1 END))"))
+    for size in sorted({opening_size(n) for n in lengths}):
+        for k, words in ((0, "t"), (1, "plain")):
+            test = "true"
+            if openings:
+                bits, mask = openings[size]
+                bit = lambda h: f"getbit(get({bits}, cast(shiftrightunsigned({h}, 6) & {mask} as int)), cast({h} & 63 as int)) = 1"
+                test = f"{bit('h')} AND {bit('shiftrightunsigned(h, 32)')}"
+            w = w.withColumn(f"at{size}_{k}", F.expr(f"array_compact(transform({opening_hashes(words, size)}, (h, i) -> CASE WHEN {test} THEN i + 1 END))"))
+
     def of_length(n):
         room = lambda words: lambda i: i + (n - 1) <= F.size(words)
-        typed, bare = F.filter("at0", room("t")), F.filter("at1", room("plain"))
+        typed, bare = F.filter(f"at{opening_size(n)}_0", room("t")), F.filter(f"at{opening_size(n)}_1", room("plain"))
         return F.when(F.col("slots"), F.transform(typed, lambda i: slotted(i, n))).otherwise(F.transform(typed, lambda i: plain(i, n, 0))), F.transform(bare, lambda i: plain(i, n, 1))
 
     every = [x for n in lengths for x in of_length(n)]
@@ -129,12 +143,20 @@ def windows(w: DataFrame, *keep: str, lengths: list[int], openings: tuple[str, i
     return w.select(*keep, F.explode_outer(F.concat(*every)).alias("x")).where("x is not null").select(*keep, "x.*")
 
 
-def opening_map(w: DataFrame) -> tuple[str, int]:
-    """A bit map of the hashes of all openings of the items' word lists, as SQL text, and the mask of its words."""
-    hashes = w.select(F.explode(F.expr(f"concat({opening_hashes('t')}, {opening_hashes('plain')})")).alias("h")).distinct()
-    size = 1 << 10
-    n = hashes.count()
-    while size < min(BITS * n, MOST_BITS):
+def opening_size(n: int) -> int:
+    """Words of the opening by which windows of n words are found."""
+    return min(n, 3)
+
+
+def opening_map(w: DataFrame, n: int) -> tuple[str, int]:
+    """A bit map of the hashes of all openings of n words of the items' word lists, as SQL text, and the mask of its words.
+
+    Each hash has two bits, of its low and of its high half.
+    """
+    hashes = w.select(F.explode(F.expr(f"concat({opening_hashes('t', n)}, {opening_hashes('plain', n)})")).alias("h")).distinct()
+    hashes = hashes.select(F.explode(F.array(F.col("h"), F.shiftrightunsigned("h", 32))).alias("h"))
+    count, size = hashes.count(), 1 << 10
+    while size < min(BITS * count, MOST_BITS):
         size *= 2
     mask = size // 64 - 1
     word = F.shiftrightunsigned("h", 6).bitwiseAND(F.lit(mask))
@@ -149,6 +171,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
     listed = word_lists(benchmark.where("item_id is not null"), "text", "item_id").where("size(t) > 1")
     listed = cut(listed.withColumn("own", F.least(F.size("t"), F.lit(WINDOW))), "items")
     lengths = sorted(r.own for r in listed.select("own").distinct().collect()) or [WINDOW]
+    openings = {size: opening_map(listed.where(F.least("own", F.lit(3)) == size), size) for size in sorted({opening_size(n) for n in lengths})}
     items = None
     for n in lengths:
         of = windows(listed.where(F.col("own") == n), "item_id", lengths=[n], openings=None)
@@ -158,7 +181,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
 
     # null ids are one more document: a struct of a null is a key like others
     texts = word_lists(docs.select(F.struct("doc_id").alias("d"), "text"), "text", "d")
-    found = windows(texts, "d", lengths=lengths, openings=opening_map(listed)).join(small_enough(items, BROADCAST_ROWS), ["k", "t"]).where(F.col("c") == F.col("item_c"))
+    found = windows(texts, "d", lengths=lengths, openings=openings).join(small_enough(items, BROADCAST_ROWS), ["k", "t"]).where(F.col("c") == F.col("item_c"))
     exact = (F.col("r") == F.col("item_r")).cast("int")
     found = cut(found.select("d", "item_id", "k", "t", exact.alias("exact"), (F.col("p") - F.col("item_p")).alias("apart"), F.arrays_zip(F.col("item_v").alias("slot"), F.col("v").alias("value")).alias("slots")), "found")
 
