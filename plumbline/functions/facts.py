@@ -6,8 +6,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import lexicon
-from .text import normalize_for_matching
+from .text import normalize_for_matching, once
 
+# fixed patterns of the fact kinds
 NUMBER = r"[0-9][0-9.,]*"
 MONEY = rf"\b({NUMBER})\s*(tl|lira|usd|eur|dolar|euro)[a-z']*\b"
 LIRA = rf"\b({NUMBER})\s*₺"
@@ -66,18 +67,27 @@ def extract_dates(normal: Column) -> Column:
 
 
 def extract_claim_facts(text: Column) -> Column:
-    """struct<percentages, money, durations, dates, numbers>, each a sorted array of canonical strings."""
+    """struct<percentages, money, durations, dates, numbers>, each a sorted array of canonical strings, empty for null.
+
+    The normal form is worked out once, and only for texts with a digit.
+    """
     n = normalize_for_matching(text)
-    n = F.regexp_replace(n, r"(?<!\d)\.(\d)(?=\s+ve\b)", "$1")
-    n = F.regexp_replace(n, r"(?<!\d)\.(\d)s?\s+inif\b", "$1 sinif")
-    money = F.transform(groups(n, MONEY, 2), lambda g: F.concat_ws(":", canonical_number(g["g1"]), canonical_money_unit(g["g2"])))
-    lira = F.transform(F.regexp_extract_all(n, F.lit(LIRA), F.lit(1)), lambda v: F.concat(canonical_number(v), F.lit(":try")))
+    n = F.regexp_replace(F.regexp_replace(n, r"(?<!\d)\.(\d)(?=\s+ve\b)", "$1"), r"(?<!\d)\.(\d)s?\s+inif\b", "$1 sinif")
+    none = F.expr("cast(array() as array<string>)")
+    nothing = F.struct(*(none.alias(k) for k in KINDS))
+    return F.when(F.regexp_like(text, F.lit("[0-9]")), once(n, lambda n: _facts(n, extract_percentages(text)))).otherwise(nothing)
+
+
+def _facts(n: Column, percentages: Column) -> Column:
+    none = F.expr("cast(array() as array<string>)")
+    money = F.transform(groups(n, MONEY, 2), lambda g: F.concat_ws(":", once(g["g1"], canonical_number), canonical_money_unit(g["g2"])))
+    lira = F.when(F.contains(n, F.lit("₺")), F.transform(F.regexp_extract_all(n, F.lit(LIRA), F.lit(1)), lambda v: F.concat(canonical_number(v), F.lit(":try")))).otherwise(none)
     durations = F.transform(groups(n, DURATION, 2), lambda g: F.concat_ws(":", canonical_number(g["g1"]), g["g2"]))
     rest = n
     for pattern in (rf"{DAY_FIRST}|{ISO}", NAMED, PERCENT, rf"{MONEY}|{LIRA}", DURATION):
         rest = F.regexp_replace(rest, pattern, " ")
     numbers = F.transform(F.regexp_extract_all(rest, F.lit(r"(?<![a-z])\d+(?:[.,]\d+)*(?![a-z])"), F.lit(0)), canonical_number)
-    return F.struct(extract_percentages(text).alias("percentages"), distinct_sorted(F.concat(money, lira)).alias("money"), distinct_sorted(durations).alias("durations"), extract_dates(n).alias("dates"), distinct_sorted(numbers).alias("numbers"))
+    return F.struct(percentages.alias("percentages"), distinct_sorted(F.concat(money, lira)).alias("money"), distinct_sorted(durations).alias("durations"), extract_dates(n).alias("dates"), distinct_sorted(numbers).alias("numbers"))
 
 
 KINDS = ("percentages", "money", "durations", "dates", "numbers")

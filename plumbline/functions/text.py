@@ -48,6 +48,11 @@ def claim_content_terms(text: Column) -> Column:
     return terms(text, lexicon.GENERIC_ANSWER_TERMS)
 
 
+def once(value: Column, f) -> Column:
+    """f of a value that is worked out once, however often f names it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def any_of(text: Column, markers) -> Column:
     """Whether the text contains one of the markers."""
     return reduce(lambda a, b: a | b, [F.contains(text, F.lit(m)) for m in markers])

@@ -146,6 +146,25 @@ def application_requirements(questions: DataFrame, sources: DataFrame, key: str
     return rows.select(key, sentences.alias("answer")).where("answer <> ''")
 
 
+# fixed value: said in place of a critique that its sources contradict
+SAFE_CRITIQUE = "Belgeye dayalı değerlendirme: İncelenen kaynaklarda doğrulanabilir belirgin bir olumsuz tespit bulunmuyor. Daha güçlü bir sunum için hedeflenen pozisyona en uygun proje, teknoloji ve ölçülebilir sonuçlar özet bölümünde önceliklendirilebilir."
+
+
+def safe_critique(answer: Column, context: Column, safe: str = SAFE_CRITIQUE) -> Column:
+    """The critique, or the safe text where the context contradicts it."""
+    return F.when(verification.grounded_critique(answer, context), answer).otherwise(F.lit(safe))
+
+
+def answer_payload(answers: DataFrame, sources: DataFrame, citations: DataFrame, key: str = "question_id") -> DataFrame:
+    """key, answer, sources, citations, trace: what one answer gives its reader; answers: key, answer, provider."""
+    s = sources.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("source_index", "text"))).alias("sources"))
+    c = citations.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("id", "source_index", "claim"))).alias("citations"))
+    out = answers.join(s, key, "left").join(c, key, "left")
+    n = F.coalesce(F.size("citations"), F.lit(0))
+    trace = F.struct("provider", F.coalesce(F.size("sources"), F.lit(0)).alias("retrieved"), F.greatest(n, F.lit(0)).alias("citation_count"), F.when(n > 0, "claim-level").otherwise("none").alias("citation_mode"))
+    return out.select(key, "answer", "sources", "citations", trace.alias("trace"))
+
+
 def order_answers(questions: DataFrame, chunks: DataFrame, k: int = 3, key: str = "question_id") -> DataFrame:
     """key, answer, provider, strategy of the questions that ask for the first or last part of their document.
 

@@ -51,11 +51,19 @@ def aggregate_results(scores: DataFrame) -> DataFrame:
     return scores.agg(
         F.count(F.lit(1)).alias("caseCount"), mean(on, d("passed")).alias("casePassRate"), mean(asked, d("recall")).alias("recallAtK"), mean(asked, d("precision")).alias("precisionAtK"), mean(asked, d("reciprocal_rank")).alias("meanReciprocalRank"),
         mean(asked, (F.col("recall") == 1).cast("double")).alias("hitRate"), mean(F.col("should_answer"), d("answer_correct")).alias("answerCorrectness"), mean(on, d("grounded")).alias("groundedness"), mean(~F.col("should_answer"), d("answer_correct")).alias("noAnswerAccuracy"),
+        *(mean(F.col(c).isNotNull(), d(c)).alias(name) for c, name in (("citation_correct", "citationAccuracy"), ("guard_correct", "guardAccuracy")) if c in scores.columns),
     )
 
 
 def quality_gates(metrics: DataFrame, gates: dict[str, float] = GATES) -> DataFrame:
-    """metric, value, minimum, passed of each gate that the one-row metrics have."""
-    names = [m for m in gates if m in metrics.columns]
-    pairs = F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value"), F.lit(gates[m]).alias("minimum")) for m in names))
-    return metrics.select(F.explode(pairs).alias("g")).select("g.*", (F.col("g.value") >= F.col("g.minimum")).alias("passed"))
+    """metric, value, minimum, passed of each gate; a gate whose metric is missing or null has no value and fails."""
+    value = lambda m: F.col(m).cast("double") if m in metrics.columns else F.lit(None).cast("double")
+    pairs = F.array(*(F.struct(F.lit(m).alias("metric"), value(m).alias("value"), F.lit(gates[m]).alias("minimum")) for m in gates))
+    return metrics.select(F.explode(pairs).alias("g")).select("g.*", F.coalesce(F.col("g.value") >= F.col("g.minimum"), F.lit(False)).alias("passed"))
+
+
+def citation_correct(cited: DataFrame, gold: DataFrame, key: str = "case_id", item: str = "chunk_index") -> DataFrame:
+    """key, citation_correct of every case with gold: one of its citations names a gold item."""
+    met = cited.join(gold.select(key, item).distinct(), [key, item], "left_semi").select(key).distinct().withColumn("hit", F.lit(True))
+    return gold.select(key).distinct().join(met, key, "left").select(key, F.coalesce("hit", F.lit(False)).alias("citation_correct"))
+

@@ -9,7 +9,8 @@ from ..functions import lexicon, text as T
 from .retrieval import classify_response_mode
 
 THRESHOLD = 0.10
-REFUSAL = "Bu soru belge kapsamı dışında görünüyor."
+# fixed value: the refusal of the default language pack
+REFUSAL = "Bu bilgi yüklenen belgede açıkça yer almıyor. Belgedeki başlıklar, kavramlar, kişiler, tarihler, maddeler veya bilgiler hakkında daha açık bir soru sor."
 
 
 def lits(words) -> Column:
@@ -48,6 +49,12 @@ def is_general_knowledge(question: Column, source_terms: Column) -> Column:
     return ~has_document_anchor(n) & (is_existential(question) | T.any_of(n, lexicon.DEFINITION_MARKERS) | outside)
 
 
+def guard_answer(reason: Column) -> Column:
+    """The standard refusal with its trace, no sources and no citations, where there is a reason; else null."""
+    none = F.expr("cast(array() as array<string>)")
+    return F.when(reason.isNotNull(), F.struct(F.lit(REFUSAL).alias("answer"), none.alias("sources"), none.alias("citations"), F.lit("relevance-guard").alias("provider"), reason.alias("reason")))
+
+
 def guard_reason(question: Column, source_terms: Column, best_score: Column, threshold: float = THRESHOLD) -> Column:
     """Reason of refusal, or null: general knowledge first; overview questions skip the other tests."""
     overview = classify_response_mode(question) == "summary"

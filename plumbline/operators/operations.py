@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MAX_RETRIES, RETRY_SECONDS = 3, 30
+MOST_ADMINS = 10_000
 #: Seconds that each kind of entry lives.
 TTL = {"answer": 3600, "profile": 21600, "embedding": 604800}
 TRANSIENT = ("ConnectException", "SocketTimeoutException", "HttpTimeoutException", "TransientDataAccessException")
@@ -30,7 +31,13 @@ def accessible_documents(users: DataFrame, documents: DataFrame) -> DataFrame:
     """
     u = users.withColumn("role", F.coalesce("role", F.lit("EMPLOYEE")))
     d = documents.withColumn("sharing_scope", F.coalesce("sharing_scope", F.lit("PRIVATE")))
-    every = u.where("role = 'ADMIN'").withColumn("k", F.lit(1)).join(d.withColumn("k", F.lit(1)), "k").select("user_id", "doc_id", F.lit(0).alias("branch"))
+    # every administrator sees every document: the answer itself is their product, made document by document from a list
+    # of administrators whose size is checked
+    admins = [r.user_id for r in u.where("role = 'ADMIN'").select("user_id").limit(MOST_ADMINS + 1).collect()]
+    if len(admins) > MOST_ADMINS:
+        raise ValueError(f"more than {MOST_ADMINS} administrators: they see all documents, use the role instead of rows")
+    listed = F.array(*map(F.lit, admins)) if admins else F.array().cast("array<bigint>")
+    every = d.select(F.explode(listed).alias("user_id"), "doc_id", F.lit(0).alias("branch"))
     rest = u.where("role <> 'ADMIN'")
     own = rest.join(d, rest.user_id == d.owner_id).select("user_id", "doc_id", F.lit(1).alias("branch"))
     shared = rest.join(d.where("sharing_scope = 'DEPARTMENT'"), "department_id").select("user_id", "doc_id", F.lit(2).alias("branch"))
@@ -72,6 +79,34 @@ def duplicate_departments(departments: DataFrame) -> DataFrame:
     return departments.groupBy(F.lower("name").alias("name")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
 
+def list_departments(departments: DataFrame) -> DataFrame:
+    """Departments by name."""
+    return departments.orderBy(F.lower("name"), "department_id")
+
+
+def document_listing(documents: DataFrame) -> DataFrame:
+    """The catalogue's rows as clients see them: null scopes are private, error texts are capped."""
+    return documents.select("doc_id", "owner_id", "department_id", F.coalesce("sharing_scope", F.lit("PRIVATE")).alias("sharing_scope"), "status", F.left("error", F.lit(2000)).alias("error"), F.coalesce("chunk_count", F.lit(0)).alias("chunk_count"))
+
+
+def ready_documents(documents: DataFrame) -> DataFrame:
+    return documents.where("status = 'READY'")
+
+
+def get_profile(profiles: DataFrame, documents: DataFrame) -> DataFrame:
+    """Profile of each asked document."""
+    return documents.select("doc_id").distinct().join(profiles, "doc_id")
+
+
+def submit_jobs(documents: DataFrame, requests: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(jobs, statuses): a job of each request for a known document; where publishing failed the document is FAILED, or
+    stays READY if it was. requests: doc_id, operation, published."""
+    both = requests.join(documents.select("doc_id", "owner_id", "department_id", F.col("status").alias("previous_status")), "doc_id")
+    jobs = both.where("published").select("doc_id", "owner_id", "department_id", "operation", "previous_status", F.lit(0).alias("retry_count"))
+    kept = (F.col("operation") == "REINDEX") & (F.col("previous_status") == "READY")
+    return jobs, both.select("doc_id", F.when(F.col("published"), "PROCESSING").when(kept, "READY").otherwise("FAILED").alias("status"))
+
+
 def chat_history(messages: DataFrame) -> DataFrame:
     """Messages of each (owner, document), oldest first, within the partition that holds them."""
     return messages.repartition("owner_id", "document_id").sortWithinPartitions("owner_id", "document_id", "created_at", "id")

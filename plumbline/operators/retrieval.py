@@ -64,12 +64,28 @@ def fulltext_search(questions: DataFrame, chunks: DataFrame, q_key: list[str], c
     return top_k(scored, q_key, [F.desc("sparse"), *map(F.asc, c_key)], k, "sparse_rank")
 
 
+def matching_terms(asked: DataFrame, held: DataFrame) -> DataFrame:
+    """(term, other): distinct terms of `asked` with the distinct terms of `held` that equal, contain or are in them.
+
+    A term that is in another shares its first three letters with some three letters of it: an equi-join on those, checked.
+    """
+    q, v = asked.select("term").distinct(), held.select(F.col("term").alias("other")).distinct()
+    grams = lambda c: F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - 2), lambda i: F.substring(F.col(c), i, F.lit(3))))).alias("g")
+    inside = q.withColumn("g", F.left("term", F.lit(3))).join(v.select("other", grams("other")), "g").where(F.contains("other", "term"))
+    around = v.withColumn("g", F.left("other", F.lit(3))).join(q.select("term", grams("term")), "g").where(F.contains("term", "other"))
+    return inside.select("term", "other").union(around.select("term", "other")).distinct()
+
+
 def lexical_search(questions: DataFrame, chunks: DataFrame, q_key: list[str], c_key: list[str]) -> DataFrame:
-    """q_key, c_key, sparse, sparse_rank: the share of a question's terms that a chunk holds, over an inverted join."""
-    q = inverted(questions, q_key)
+    """q_key, c_key, sparse, sparse_rank: the share of a question's terms that a chunk matches, over an inverted join.
+
+    Terms match as in `term_matches`, so that inflected forms count; vocabularies are matched once, not texts.
+    """
+    q, c = inverted(questions, q_key), inverted(chunks, c_key)
     total = q.groupBy(*q_key).agg(F.count(F.lit(1)).alias("total"))
-    met = q.join(inverted(chunks, c_key), "term").groupBy(*q_key, *c_key).agg(F.count(F.lit(1)).alias("n")).join(total, q_key)
-    scored = met.select(*q_key, *c_key, (F.col("n") / F.col("total")).alias("sparse"))
+    pairs = q.join(matching_terms(q, c), "term").select(*q_key, "term", F.col("other").alias("held"))
+    met = pairs.join(c.withColumnRenamed("term", "held"), "held").select(*q_key, *c_key, "term").distinct()
+    scored = met.groupBy(*q_key, *c_key).agg(F.count(F.lit(1)).alias("n")).join(total, q_key).select(*q_key, *c_key, (F.col("n") / F.col("total")).alias("sparse"))
     return scored.withColumn("sparse_rank", F.row_number().over(Window.partitionBy(*q_key).orderBy(F.desc("sparse"), *map(F.asc, c_key))))
 
 
@@ -103,6 +119,39 @@ def rerank(candidates: DataFrame, scores: DataFrame | None, q_key: list[str], c_
     return top_k(joined, q_key, [F.desc_nulls_last("reranker_score"), *map(F.asc, c_key)], k)
 
 
+def scan_chunks(chunks: DataFrame, documents: DataFrame | None = None) -> DataFrame:
+    """All chunks (of the given documents), score 1, in document order within each partition."""
+    rows = chunks if documents is None else chunks.join(documents.select("doc_id").distinct(), "doc_id", "left_semi")
+    return rows.withColumn("score", F.lit(1.0)).repartition("doc_id").sortWithinPartitions("doc_id", "chunk_index")
+
+
+def join_profile(questions: DataFrame, profiles: DataFrame) -> DataFrame:
+    """questions with title, summary and index_version of their document; index_missing where it has no profile."""
+    p = profiles.select("doc_id", "title", "summary", index_version(F.col("updated_at")).alias("index_version"), F.lit(False).alias("index_missing"))
+    out = questions.join(p, "doc_id", "left")
+    return out.withColumns({"index_missing": F.coalesce("index_missing", F.lit(True)), "index_version": F.coalesce("index_version", F.lit("missing"))})
+
+
+def index_version(updated_at: Column) -> Column:
+    return F.coalesce(F.date_format(updated_at, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("missing"))
+
+
+def select_sources(questions: DataFrame, chunks: DataFrame, found: DataFrame, k: int) -> DataFrame:
+    """question_id, doc_id, chunk_index, strategy, rank: ordered chunks for questions about order, the first k for summaries,
+    and for the rest the k best of `found` (question_id, doc_id, chunk_index, rank).
+
+    questions: question_id, doc_id, question; chunks: doc_id, chunk_index.
+    """
+    x = F.col("question")
+    asked = questions.select("question_id", "doc_id", F.coalesce(order_direction(x), F.when(classify_response_mode(x) == "summary", "summary"), F.lit("hybrid")).alias("strategy"))
+    c = chunks.select("doc_id", "chunk_index").join(asked.select("doc_id").distinct(), "doc_id", "left_semi")
+    first = top_k(c, ["doc_id"], [F.asc("chunk_index")], max(k, 1))
+    last = top_k(top_k(c, ["doc_id"], [F.desc("chunk_index")], max(k, 1)).drop("rank"), ["doc_id"], [F.asc("chunk_index")], max(k, 1))
+    by = lambda strategies, rows: asked.where(F.col("strategy").isin(*strategies)).join(rows, "doc_id").select("question_id", "doc_id", "chunk_index", "strategy", "rank")
+    hybrid = asked.where("strategy = 'hybrid'").select("question_id", "strategy").join(found.where(F.col("rank") <= k), "question_id").select("question_id", "doc_id", "chunk_index", "strategy", "rank")
+    return by(("first", "summary"), first).unionByName(by(("last",), last)).unionByName(hybrid)
+
+
 def initial_chunks(chunks: DataFrame, k: int, key: str = "doc_id", order: str = "chunk_index") -> DataFrame:
     return top_k(chunks, [key], [F.asc(order)], k)
 

@@ -26,7 +26,9 @@ def evidence_windows(text: Column) -> Column:
 
 def features(rows: DataFrame, column: str) -> DataFrame:
     c = F.col(column)
-    return rows.withColumns({"terms": T.claim_content_terms(c), "facts": K.extract_claim_facts(c), "relations": T.relation_concepts(c), "acronyms": T.extract_acronyms(c), "negative": T.has_negative_polarity(c), "normal": T.normalize_for_matching(c)})
+    made = F.struct(T.claim_content_terms(c).alias("terms"), K.extract_claim_facts(c).alias("facts"), T.relation_concepts(c).alias("relations"), T.extract_acronyms(c).alias("acronyms"), T.has_negative_polarity(c).alias("negative"), T.normalize_for_matching(c).alias("normal"))
+    # a generator of one row: features are worked out once here, not again for each use of them
+    return rows.select("*", F.explode(F.array(made)).alias("made")).select(*rows.columns, "made.*")
 
 
 def match_claims(answers: DataFrame, sources: DataFrame, key: str = "answer_id") -> DataFrame:
@@ -68,11 +70,11 @@ def question_aligned(question: Column, answer: Column) -> Column:
 def validate_answers(answers: DataFrame, sources: DataFrame, key: str = "answer_id") -> DataFrame:
     """key, n_claims, n_supported, aligned, supported, reason of every answer (answers may have a `question` column)."""
     m = match_claims(answers, sources, key)
-    per = m.groupBy(key).agg(F.count(F.lit(1)).alias("n_claims"), F.count_if("supported").alias("n_supported"), F.min_by("reason", F.when(~F.col("supported"), F.col("claim_no"))).alias("first_reason"))
+    per = m.groupBy(key).agg(F.count(F.lit(1)).alias("n_claims"), F.count_if("supported").alias("n_supported"))
     aligned = question_aligned(F.col("question"), F.col("answer")) if "question" in answers.columns else F.lit(True)
     out = answers.select(key, aligned.alias("aligned")).join(per, key, "left").fillna(0, ["n_claims", "n_supported"])
     fine = (F.col("n_claims") > 0) & (F.col("n_supported") == F.col("n_claims")) & F.col("aligned")
-    reason = F.when(F.col("n_claims") == 0, "answer-has-no-verifiable-claims").when(fine, "all-claims-supported").when(~F.col("aligned"), "question-fact-missing").otherwise(F.col("first_reason"))
+    reason = F.when(F.col("n_claims") == 0, "answer-has-no-verifiable-claims").when(fine, "all-claims-supported").when(~F.col("aligned"), "question-fact-mismatch").otherwise("unsupported-answer-claims")
     return out.select(key, "n_claims", "n_supported", "aligned", fine.alias("supported"), reason.alias("reason"))
 
 
@@ -97,6 +99,16 @@ def evidence_support(questions: DataFrame, sources: DataFrame, key: str = "quest
     return questions.select(key).join(best, key, "left").select(key, F.coalesce("b.supported", F.lit(False)).alias("supported"), F.coalesce("b.reason", F.lit("no-retrieved-chunk-supports-main-claim")).alias("reason"), F.col("b.source_index").alias("source_index"), F.coalesce("b.m_pct", none).alias("percentages"), F.coalesce("b.m_rel", none).alias("relations"))
 
 
+def grounded_answers(answers: DataFrame, sources: DataFrame, key: str = "answer_id") -> DataFrame:
+    """key, grounded of every answer: empty and no-answer ones are not; critiques must not contradict their sources; the
+    others must have every claim supported. answers: key, answer, mode."""
+    context = sources.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("source_index", "text"))).alias("s")).select(key, F.array_join(F.transform("s", lambda x: x["text"]), "\n").alias("context"))
+    plain = answers.where((F.trim(F.coalesce("answer", F.lit(""))) != "") & ~T.is_no_answer_response(F.col("answer")))
+    critiques = plain.where("mode = 'critique'").join(context, key, "left").select(key, grounded_critique(F.col("answer"), F.coalesce("context", F.lit(""))).alias("ok"))
+    claims = validate_answers(plain.where("mode <> 'critique'"), sources, key).select(key, F.col("supported").alias("ok"))
+    return answers.select(key).join(critiques.union(claims), key, "left").select(key, F.coalesce("ok", F.lit(False)).alias("grounded"))
+
+
 def grounded_critique(answer: Column, context: Column) -> Column:
     a, c = T.normalize_for_matching(answer), T.normalize_for_matching(context)
     dates = c.rlike(r"\b(?:19|20)\d{2}\b") & T.any_of(a, ("tarihlendirilmemis", "tarih yok"))

@@ -68,6 +68,11 @@ def delete_documents(rows: DataFrame, tombstones: DataFrame, key: str = "doc_id"
     return rows.join(tombstones.select(key).distinct(), key, "left_anti")
 
 
+def delete_cascade(tombstones: DataFrame, *tables: DataFrame, key: str = "doc_id") -> list[DataFrame]:
+    """Each table (chunks, profiles, chat rows, cached answers) without the rows of the deleted documents."""
+    return [delete_documents(t, tombstones, key) for t in tables]
+
+
 def write_version(rows: DataFrame, base: str, key: str = "doc_id") -> str:
     """Write a new version of a table beside the one that is read; returns its path."""
     path = f"{base.rstrip('/')}/version-{uuid.uuid4().hex}"
@@ -111,12 +116,19 @@ def chat_rows(answers: DataFrame) -> DataFrame:
     return answers.select("owner_id", "doc_id", F.left("question", F.lit(2000)).alias("question"), "answer", F.coalesce(F.to_json("sources"), F.lit("[]")).alias("sources_json"), F.coalesce(F.to_json("citations"), F.lit("[]")).alias("citations_json"), "created_at")
 
 
+def shared_base(spark: SparkSession) -> str:
+    """spark.checkpoint.dir, which driver and executors share; local runs without it use the warehouse."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return base or spark.conf.get("spark.sql.warehouse.dir")
+
+
 def written(df: DataFrame) -> DataFrame:
     """df written as Parquet below spark.checkpoint.dir (else the warehouse) and read back, where a plan would be computed twice."""
     import uuid
 
     spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    path = f"{base.rstrip('/')}/plumbline/step-{uuid.uuid4().hex}"
+    path = f"{shared_base(spark).rstrip('/')}/plumbline/step-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -84,3 +84,32 @@ def test_rrf(spark):
     d = spark.createDataFrame([(1, 10, 0.5, 1)], "q int, c int, dense double, dense_rank int")
     s = spark.createDataFrame([(1, 11, 0.5, 1)], "q int, c int, sparse double, sparse_rank int")
     assert {r.c: round(r.hybrid, 6) for r in R.rrf_merge(d, s, ["q", "c"]).collect()} == {10: round(1 / 61, 6), 11: round(1 / 61, 6)}
+
+
+def test_grounded_answers(spark):
+    answers = spark.createDataFrame([(1, "Burs oranı %50 olarak uygulanır.", "factual"), (2, "", "factual"), (3, "Bu bilgi belgede yok", "factual"), (4, "Teknik beceriler eksik.", "critique"), (5, "Anlatım açık.", "critique"), (6, None, "critique")], "answer_id long, answer string, mode string")
+    sources = spark.createDataFrame([(i, 0, "Burs oranı %50 olarak uygulanır. Java ve Python bilir.") for i in range(1, 7)], "answer_id long, source_index int, text string")
+    assert dict(V.grounded_answers(answers, sources).collect()) == {1: True, 2: False, 3: False, 4: False, 5: True, 6: False}
+
+
+def test_inflected_terms_match(spark):
+    q = spark.createDataFrame([(1, "burs kitap"), (2, "xyz")], "q long, text string")
+    c = spark.createDataFrame([(1, "kitaplar burada"), (2, "bursun kitabi ve kitap"), (3, None)], "c long, text string")
+    assert {(r.q, r.c): r.sparse for r in R.lexical_search(q, c, ["q"], ["c"]).collect()} == {(1, 1): 0.5, (1, 2): 1.0}
+
+
+def test_missing_gates_fail(spark):
+    from plumbline.operators import evaluation
+
+    rows = evaluation.quality_gates(spark.createDataFrame([(1.0, None)], "casePassRate double, recallAtK double")).collect()
+    assert len(rows) == 9 and [r.metric for r in rows if r.passed] == ["casePassRate"]
+
+
+def test_answer_payload(spark):
+    from plumbline.operators import answering as A
+
+    a = spark.createDataFrame([(1, "x", "generated"), (2, "y", "none")], "question_id long, answer string, provider string")
+    s = spark.createDataFrame([(1, 0, "s"), (1, 1, "t")], "question_id long, source_index int, text string")
+    c = spark.createDataFrame([(1, 1, 0, "x")], "question_id long, id int, source_index int, claim string")
+    got = {r.question_id: r.trace for r in A.answer_payload(a, s, c).collect()}
+    assert (got[1].retrieved, got[1].citation_count, got[1].citation_mode) == (2, 1, "claim-level") and (got[2].retrieved, got[2].citation_count, got[2].citation_mode) == (0, 0, "none")
