@@ -6,6 +6,8 @@ customers users of departments (nations).
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -111,9 +113,12 @@ def shorten(spark, d):
     return t(spark, d, "documents").select("doc_id", F.md5(T.shorten(F.col("text"), 1000)).alias("short"))
 
 
-@query()
+@query("""
+WITH a AS (SELECT doc_id, trim(text, ' ') AS x, length(trim(text, ' ')) AS n FROM documents),
+c AS (SELECT *, list_max(list_transform(['. ', '? ', '! ', chr(10)], lambda m: CASE WHEN contains(x, m) THEN n - instr(reverse(x), reverse(m)) - length(m) + 1 ELSE -1 END)) AS cut FROM a)
+SELECT doc_id, md5(CASE WHEN n >= 300 AND cut > floor(n * 0.55) THEN left(x, cut + 1) ELSE x END) AS trimmed FROM c""")
 def trim_to_sentence(spark, d):
-    return t(spark, d, "documents").select("doc_id", F.length(T.trim_to_sentence(F.col("text"))).alias("n"))
+    return t(spark, d, "documents").select("doc_id", F.md5(T.trim_to_sentence(F.col("text"))).alias("trimmed"))
 
 
 @query(rf"""
@@ -164,27 +169,96 @@ def page_lines(spark, d):
     return x.select("doc_id", "n_lines", F.md5(F.array_join(F.transform("l", lambda r: r["line"]), "|")).alias("lines"))
 
 
-@query()
-def heading_sections(spark, d):
-    return chunking.heading_sections(pages(spark, d)).select("doc_id", "section", "heading", F.length("text").alias("n"))
+_SPACED = lambda c: rf"trim(regexp_replace({c}, '\s+', ' ', 'g'), ' ')"
+_LOUD = lambda c: f"(regexp_matches({c}, '[{_LET}]') AND NOT contains({c}, '?') AND len(regexp_extract_all({c}, '[{_UP}]')) >= 0.7 * len(regexp_extract_all({c}, '[{_LET}]')))"
+_LINES = rf"(SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS i FROM (SELECT doc_id, list_filter(list_transform(string_split_regex({_CLEAN}, '\r\n|[\n\r\x0b\x0c]'), lambda x: {_SPACED('x')}), lambda x: x <> '') AS l FROM documents))"
 
 
-@query()
-def semantic_blocks(spark, d):
-    return chunking.semantic_blocks(pages(spark, d)).select("doc_id", "block_no", F.length("block").alias("n"))
+@query(rf"""
+WITH h AS (SELECT *, trim({norm('line')}, ' ') AS n FROM {_LINES}),
+f AS (SELECT *, CASE WHEN n = '' OR length(line) > 180 OR ends_with(line, '.') THEN false WHEN regexp_matches(n, '^(?:madde|bolum|chapter|section)\s+[0-9ivxlcdm]+(?:\b|[.)-])') OR regexp_matches(n, '^[0-9]+(?:\.[0-9]+){{0,4}}[.)-]?\s+\S+') OR regexp_matches(n, '^[a-z]\)\s+\S+') OR list_contains({q_list(lexicon.SECTION_WORDS)}, n) THEN true
+      ELSE length(line) <= 140 AND (ends_with(line, ':') OR {_LOUD('line')}) END AS head FROM h),
+s AS (SELECT *, (sum(head::INT) OVER (PARTITION BY doc_id ORDER BY i))::BIGINT AS section FROM f)
+SELECT doc_id, section, coalesce(arg_min(line, i) FILTER (head), '') AS heading, md5(string_agg(line, chr(10) ORDER BY i)) AS text FROM s GROUP BY 1, 2""")
+def heading_sections(spark, d):
+    return chunking.heading_sections(pages(spark, d)).select("doc_id", "section", "heading", F.md5("text").alias("text"))
 
 
-@query()
+@query(rf"""
+WITH p AS (SELECT doc_id, list_filter(string_split_regex({_CLEAN}, '\n\s*\n+'), lambda x: trim(x, ' ') <> '') AS p FROM documents),
+u AS (SELECT doc_id, unnest(p) AS p, generate_subscripts(p, 1) AS paragraph FROM p),
+l AS (SELECT doc_id, paragraph, list_filter(list_transform(string_split_regex(p, '\r\n|[\n\r\x0b\x0c]'), lambda x: {_SPACED('x')}), lambda x: x <> '') AS l FROM u),
+r AS (SELECT doc_id, paragraph, unnest(l) AS line, generate_subscripts(l, 1) AS i FROM l),
+c AS (SELECT *, sum((i > 1 AND (regexp_matches({norm('line')}, '^(?:{'|'.join(lexicon.BLOCK_HEADINGS)})') OR regexp_matches(line, '^\d+(?:\.\d+)*[.)-]\s+\S+') OR (length(line) <= 140 AND (ends_with(line, ':') OR {_LOUD('line')}))))::INT) OVER (PARTITION BY doc_id, paragraph ORDER BY i) AS part FROM r),
+b AS (SELECT doc_id, paragraph, part, string_agg(line, chr(10) ORDER BY i) AS block FROM c GROUP BY 1, 2, 3)
+SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY paragraph, part) - 1)::INT AS block_no, md5(block) AS block FROM b""")
+def semantic_blocks(spark, d):
+    return chunking.semantic_blocks(pages(spark, d)).select("doc_id", "block_no", F.md5("block").alias("block"))
+
+
+def _packed(items: str, name: str) -> str:
+    """CTEs that pack items (block, k, grp, size, solo, item) of the table `items` into lines of up to size characters, as
+    (block, line, text). Only lengths are carried from item to item."""
+    return f"""
+{name}_f AS (SELECT block, k, grp, solo, length(item) AS n, 1 AS line FROM {items} WHERE k = 1 UNION ALL
+  SELECT i.block, i.k, i.grp, i.solo, CASE WHEN fresh THEN length(item) ELSE n + 1 + length(item) END, line + fresh::INT
+  FROM (SELECT i.*, f.n, f.line, i.grp <> f.grp OR i.solo OR f.solo OR f.n + 1 + length(i.item) > i.size AS fresh FROM {name}_f f JOIN {items} i ON i.block = f.block AND i.k = f.k + 1) i),
+{name} AS (SELECT block, line, string_agg(item, ' ' ORDER BY k) AS text FROM {name}_f JOIN {items} USING (block, k) GROUP BY 1, 2)"""
+
+
+def _oversized(blocks: str, name: str) -> str:
+    """CTEs that cut the texts of `blocks` (block, size, body) into pieces (block, line, text): whole, by sentences or by words."""
+    return rf"""
+{name}_s AS (SELECT *, list_filter(list_transform(string_split(regexp_replace(regexp_replace(body, '([.!?])\s+', '\1' || chr(1), 'g'), '\n+', chr(1), 'g'), chr(1)), lambda x: {_SPACED('x')}), lambda x: x <> '') AS l FROM {blocks}),
+{name}_u AS (SELECT block, size, CASE WHEN length(body) <= size THEN 0 WHEN len(l) < 2 THEN 2 ELSE 1 END AS way, unnest(CASE WHEN length(body) <= size OR len(l) < 2 THEN [body] ELSE l END) AS s, generate_subscripts(CASE WHEN length(body) <= size OR len(l) < 2 THEN [body] ELSE l END, 1) AS nth FROM {name}_s),
+{name}_w AS (SELECT *, way > 0 AND (way = 2 OR length(s) > size) AS wide FROM {name}_u),
+{name}_x AS (SELECT block, size, wide, nth, unnest(CASE WHEN wide THEN list_filter(string_split_regex(s, '\s+'), lambda x: x <> '') ELSE [s] END) AS w, generate_subscripts(CASE WHEN wide THEN list_filter(string_split_regex(s, '\s+'), lambda x: x <> '') ELSE [s] END, 1) AS place FROM {name}_w),
+{name}_y AS (SELECT block, size, nth, place, CASE WHEN wide THEN nth ELSE 0 END AS own, wide AND length(w) > size AS solo, unnest(CASE WHEN wide AND length(w) > size THEN list_transform(range(0, length(w), size), lambda p: substr(w, p + 1, size)) ELSE [w] END) AS item, generate_subscripts(CASE WHEN wide AND length(w) > size THEN range(0, length(w), size) ELSE [0] END, 1) AS part FROM {name}_x),
+{name}_i AS (SELECT *, row_number() OVER (PARTITION BY block ORDER BY nth, place, part) AS k, CASE WHEN own > 0 THEN own ELSE -(count(*) FILTER (own > 0) OVER (PARTITION BY block ORDER BY nth, place, part)) END AS grp FROM {name}_y),
+{_packed(f'{name}_i', name)}"""
+
+
+_CHUNKS = rf"""
+hs AS (SELECT row_number() OVER (ORDER BY doc_id, section) AS block, * FROM ({ORACLE_SQL['heading_sections'].replace('md5(string_agg(line, chr(10) ORDER BY i))', 'string_agg(line, chr(10) ORDER BY i)')})),
+hd AS (SELECT doc_id FROM hs WHERE heading <> '' GROUP BY 1 HAVING count(*) >= 3),
+hb AS (SELECT block, CASE WHEN length(text) <= 1200 THEN 1200 ELSE greatest(300, 1200 - length(heading) - 2) END AS size, CASE WHEN length(text) <= 1200 OR heading = '' THEN text ELSE regexp_replace(substr(text, length(heading) + 1), '^\s+|\s+$', '', 'g') END AS body FROM hs JOIN hd USING (doc_id)),
+{_oversized('hb', 'hp')},
+hc AS (SELECT doc_id, block AS section, line AS part, trim(CASE WHEN heading <> '' AND length(hs.text) > 1200 THEN heading || chr(10) || chr(10) || hp.text ELSE hp.text END, ' ' || chr(10)) AS text FROM hp JOIN hs USING (block)),
+hk AS (SELECT * FROM hc WHERE length(text) >= 80),
+bb AS (SELECT row_number() OVER (ORDER BY doc_id, block_no) AS block, doc_id, block_no, 1200 AS size, block AS body FROM ({ORACLE_SQL['semantic_blocks'].replace('md5(block)', 'block')}) WHERE doc_id NOT IN (SELECT doc_id FROM hk)),
+{_oversized('(SELECT block, size, body FROM bb)', 'bp')},
+pp AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY block, line) AS k, bp.text FROM bp JOIN bb USING (block)),
+pl AS (SELECT doc_id, list(text ORDER BY k) AS p, list(length(text) + 2 ORDER BY k) AS n FROM pp GROUP BY 1),
+pf AS (SELECT doc_id, 1 AS k, 1 AS first, NULL::INT AS closed, NULL::INT AS opened FROM pl UNION ALL
+  SELECT doc_id, k + 1, CASE WHEN list_sum(n[first:k + 1]) - 2 <= 1200 THEN first WHEN list_sum(n[kept:k + 1]) - 2 <= 1200 THEN kept ELSE k + 1 END, CASE WHEN list_sum(n[first:k + 1]) - 2 > 1200 THEN k END, first
+  FROM (SELECT f.*, l.n, len(l.p) AS most, coalesce(list_min(list_filter(range(1, f.k + 1), lambda s: list_sum(l.n[s:f.k]) - 2 <= 200)), f.k + 1) AS kept FROM pf f JOIN pl l USING (doc_id)) WHERE k < most),
+pe AS (SELECT doc_id, opened AS a, closed AS b FROM pf WHERE closed IS NOT NULL UNION ALL SELECT doc_id, first, k FROM pf JOIN pl USING (doc_id) WHERE k = len(p)),
+pc AS (SELECT doc_id, b AS section, 0 AS part, trim(array_to_string(p[a:b], chr(10) || chr(10)), ' ' || chr(10)) AS text FROM pe JOIN pl USING (doc_id)),
+chunks AS (SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY section, part) - 1)::INT AS chunk_index, text FROM (SELECT * FROM hk UNION ALL SELECT * FROM pc WHERE length(text) >= 80))"""
+
+
+@query(f"WITH RECURSIVE {_CHUNKS} SELECT doc_id, chunk_index, length(text)::INT AS n, md5(text) AS hash FROM chunks")
 def chunk_documents(spark, d):
     return chunking.chunk_documents(pages(spark, d)).select("doc_id", "chunk_index", F.length("text").alias("n"), F.md5("text").alias("hash"))
 
 
-@query()
+_BARE = lambda c: f"regexp_replace({c}, '[.:]+$', '')"
+
+
+@query(rf"""WITH RECURSIVE {_CHUNKS},
+tl AS (SELECT doc_id, chunk_index, list_transform(string_split_regex(text, '\r\n|[\n\r\x0b\x0c]'), lambda x: {_SPACED('x')}) AS l FROM chunks WHERE chunk_index < 3),
+tu AS (SELECT doc_id, chunk_index, unnest(l) AS line, generate_subscripts(l, 1) AS i FROM tl),
+tf AS (SELECT *, {norm('line')} AS n, lag(line) OVER (PARTITION BY doc_id ORDER BY chunk_index, i) AS above FROM tu WHERE length(line) BETWEEN 12 AND 280 AND regexp_matches(line, '[{_LET}]')),
+tt AS (SELECT doc_id, arg_min(CASE WHEN coalesce({_LOUD('above')} AND NOT {like(norm('above'), lexicon.INSTITUTION_MARKERS)}, false) THEN {_BARE('above')} || ' — ' || {_BARE('line')} ELSE {_BARE('line')} END, (chunk_index, i)) FILTER ({like('n', lexicon.TITLE_MARKERS)}) AS marked,
+       arg_min({_BARE('line')}, (chunk_index, i)) FILTER (NOT list_contains({q_list(lexicon.METADATA_LABELS)}, n)) AS plain FROM tf GROUP BY 1),
+ts AS (SELECT doc_id, {_BARE(_SPACED("string_split(regexp_replace(text, '([.!?])" + chr(92) + "s+', '" + chr(92) + "1' || chr(1), 'g'), chr(1))[1]"))} AS sentence FROM chunks WHERE chunk_index = 0),
+tn AS (SELECT doc_id, coalesce(marked, plain, nullif(sentence, ''), '') AS title FROM ts LEFT JOIN tt USING (doc_id))
+SELECT doc_id, title, CASE WHEN title = '' THEN 'Bu belge için güvenilir bir başlık veya özet çıkarılamadı.' ELSE 'Bu belge, “' || title || '” başlıklı bir ' || CASE {' '.join(f"WHEN contains({norm('title')}, '{m}') THEN '{kind}'" for m, kind in lexicon.DOCUMENT_KINDS)} ELSE 'belgedir' END || '.' END AS summary FROM tn""")
 def build_profile(spark, d):
     return profile.build_profile(chunking.chunk_documents(pages(spark, d)))
 
 
-@query()
+@query(f"WITH RECURSIVE {_CHUNKS} SELECT doc_id, 'no readable text' AS error FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM chunks)")
 def without_chunks(spark, d):
     p = pages(spark, d)
     return chunking.without_chunks(p, chunking.chunk_documents(p))
@@ -243,14 +317,27 @@ def hybrid_search(spark, d):
     return _hybrid(spark, d).select("item_id", "doc_id", "rank", F.round("score", 6).alias("score"))
 
 
-@query()
+@query(rf"""WITH top AS (SELECT item_id, doc_id, score FROM ({ORACLE_SQL['hybrid_search']}) WHERE rank = 1),
+b AS (SELECT item_id, doc_id, score, b.text AS asked, replace(replace(regexp_replace(x.text, '\n{{2,}}', chr(2), 'g'), chr(10), ' '), chr(2), chr(10) || chr(10)) AS flat FROM top JOIN benchmark b USING (item_id) JOIN documents x USING (doc_id)),
+p AS (SELECT item_id, list_filter(list_transform(string_split(regexp_replace(regexp_replace(flat, '([.!?])\s+', '\1' || chr(1), 'g'), '\n{{2,}}', chr(1), 'g'), chr(1)), lambda x: {_SPACED('x')}), lambda x: x <> '') AS p FROM b),
+u AS (SELECT item_id, unnest(p) AS s, generate_subscripts(p, 1) AS i FROM p),
+o AS (SELECT item_id, s, i, len(list_intersect({terms_sql('s')}, {terms_sql('asked')})) AS n FROM u JOIN b USING (item_id)),
+k AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY n DESC, i) AS place FROM o WHERE n > 0),
+f AS (SELECT item_id, string_agg(s, ' ' ORDER BY i) AS found FROM k WHERE place <= 2 GROUP BY 1),
+g AS (SELECT item_id, doc_id, score, coalesce(found, p[1], '') AS x, CASE WHEN found IS NULL THEN 450 ELSE 550 END AS most FROM b JOIN p USING (item_id) LEFT JOIN f USING (item_id)),
+h AS (SELECT *, left(x, most) AS s FROM g), c AS (SELECT *, CASE WHEN contains(s, '. ') THEN length(s) - instr(reverse(s), ' .') - 1 ELSE -1 END AS cut FROM h)
+SELECT item_id, doc_id, score, CASE WHEN length(x) <= most THEN x ELSE trim(CASE WHEN cut > 300 THEN left(s, cut + 1) ELSE s END, ' ') || '...' END AS passage FROM c""")
 def hybrid_passages(spark, d):
     top = _hybrid(spark, d).where("rank = 1").select("item_id", "doc_id", "score")
     both = top.join(questions(spark, d).select("item_id", T.meaningful_terms(F.col("text")).alias("terms")), "item_id").join(t(spark, d, "documents").select("doc_id", "text"), "doc_id")
     return both.select("item_id", "doc_id", F.round("score", 6).alias("score"), R.relevant_passage(F.col("terms"), F.col("text")).alias("passage"))
 
 
-@query()
+@query(rf"""
+WITH q AS (SELECT item_id, unnest({terms_sql('text')}) AS term FROM benchmark), w AS (SELECT item_id, count(*) AS need FROM q GROUP BY 1),
+x AS (SELECT doc_id, regexp_extract_all({TR}, '[a-z0-9]+') AS l FROM documents), k AS (SELECT doc_id, unnest(l) AS term, generate_subscripts(l, 1) AS place FROM x),
+f AS (SELECT doc_id, term, min(place) AS place FROM k GROUP BY 1, 2), m AS (SELECT item_id, doc_id, count(*) AS n, max(place) - min(place) + 1 AS span FROM f JOIN q USING (term) GROUP BY 1, 2)
+SELECT item_id, doc_id, n / span AS sparse, row_number() OVER (PARTITION BY item_id ORDER BY n / span DESC, doc_id) AS sparse_rank FROM m JOIN w USING (item_id) WHERE n = need QUALIFY sparse_rank <= 20""")
 def fulltext_search(spark, d):
     return R.fulltext_search(questions(spark, d), t(spark, d, "documents"), ["item_id"], ["doc_id"], 20)
 
@@ -275,7 +362,13 @@ def question_modes(spark, d):
     return turns(spark, d).where("role = 'user'").select("conv_id", "turn", R.classify_response_mode(x).alias("mode"), R.order_direction(x).alias("direction"))
 
 
-@query()
+_MARKED = lambda ms: "(" + " OR ".join(f"contains(q, '{m}')" if " " in m else rf"regexp_matches(q, '\b{m}\b')" for m in ms) + ")"
+
+
+@query(f"""
+WITH a AS (SELECT conv_id, turn, {TR} AS n, {reduce(lambda q, x: f"regexp_replace({q}, '{chr(92)}b{x[0]}{chr(92)}b', '{x[1]}', 'g')", lexicon.TYPOS, TR)} AS q FROM conversations WHERE role = 'user'),
+b AS (SELECT *, flatten([{', '.join(f"CASE WHEN {_MARKED(triggers)} THEN {q_list(aliases)} ELSE [] END" for triggers, aliases in lexicon.ALIAS_GROUPS)}, CASE WHEN NOT {like(norm('q'), lexicon.CRITIQUE_MARKERS)} AND {like(norm('q'), lexicon.SUMMARY_MARKERS)} THEN {q_list(lexicon.SUMMARY_ALIASES)} ELSE [] END]) AS l FROM a)
+SELECT conv_id, turn, {_SPACED("q || ' ' || coalesce(array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i), ' '), '')")} AS expanded, contains(n, 'ders') AND {like('n', lexicon.LATEST_COURSE_MARKERS)} AS latest_course FROM b""")
 def expand_questions(spark, d):
     x = F.col("text")
     return turns(spark, d).where("role = 'user'").select("conv_id", "turn", R.expand_aliases(x).alias("expanded"), R.is_latest_course_question(x).alias("latest_course"))
@@ -308,7 +401,23 @@ def _asked(spark, d):
     return q, s.select("question_id", "source_index", "text")
 
 
-@query()
+_ASKED = f"""q AS (SELECT conv_id * 1000 + turn AS question_id, conv_id, text, {TR} AS n, {terms_sql('text')} AS terms FROM conversations WHERE role = 'user'),
+s AS (SELECT question_id, (row_number() OVER (PARTITION BY question_id ORDER BY c.turn) - 1)::INT AS source_index, c.text FROM q JOIN conversations c USING (conv_id) WHERE c.role <> 'user')"""
+_EXISTS = lambda a, test: f"(len(list_filter({a}, lambda y: {test})) > 0)"
+_CONTAINED = "(y = x OR (length(x) >= 3 AND length(y) >= 3 AND (contains(x, y) OR contains(y, x))))"
+
+
+@query(f"""
+WITH {_ASKED}, k AS (SELECT question_id, list_distinct(flatten(list({terms_sql('text')}))) AS held FROM s GROUP BY 1),
+a AS (SELECT q.*, coalesce(held, []) AS held, regexp_extract_all(n, '[a-z0-9]+') AS tokens, regexp_extract_all(n, '[a-z]+') AS letters FROM q LEFT JOIN k USING (question_id)),
+b AS (SELECT *, len(list_filter(terms, lambda x: {_EXISTS('held', _CONTAINED)})) / greatest(len(terms), 1) AS score,
+      len(list_filter(terms, lambda x: {_EXISTS('held', '(y = x OR (least(length(x), length(y)) >= 5 AND (starts_with(x, y) OR starts_with(y, x))))')})) > 0 AS overlap,
+      list_has_any(terms, {q_list(lexicon.ABSTRACT_TERMS)}) AND {like('n', lexicon.ABSTRACT_MARKERS)} AS existential, list_has_any(terms, {q_list(lexicon.EXTERNAL_TOPICS)}) OR {like('n', lexicon.PROCEDURE_MARKERS)} AS beyond FROM a)
+SELECT question_id, CASE WHEN NOT {like('n', lexicon.ANCHORS)} AND (existential OR {like('n', lexicon.DEFINITION_MARKERS)} OR (beyond AND NOT overlap)) THEN 'general-knowledge'
+  WHEN NOT {like('n', lexicon.CRITIQUE_MARKERS)} AND {like('n', lexicon.SUMMARY_MARKERS)} THEN NULL
+  WHEN len(letters) = 1 AND length(letters[1]) >= 7 AND len(regexp_extract_all(letters[1], '[aeiou]')) < length(letters[1]) * 0.15 THEN 'gibberish'
+  WHEN len(tokens) = 0 OR {like('n', lexicon.NOISE_PHRASES)} OR (list_has_any(tokens, {q_list(lexicon.SLANG)}) AND len(tokens) <= 3) OR len(terms) = 0 OR (len(terms) <= 2 AND NOT overlap) OR (len(terms) <= 3 AND NOT overlap AND NOT {like('n', lexicon.QUESTION_SHAPES)}) THEN 'low-information'
+  WHEN score < 0.1 THEN 'low-retrieval-score' END AS reason, round(score, 4) AS score FROM b""")
 def guard_reasons(spark, d):
     q, s = _asked(spark, d)
     terms = s.groupBy("question_id").agg(F.array_distinct(F.flatten(F.collect_list(T.meaningful_terms(F.col("text"))))).alias("terms"))
@@ -335,7 +444,20 @@ def validate_answers(spark, d):
     return V.validate_answers(*_answers(spark, d))
 
 
-@query()
+_PCT = lambda n: rf"list_distinct(list_transform(regexp_extract_all({n}, '(?:%\s*|\byuzde\s+)(\d+(?:[.,]\d+)?)', 1), lambda v: CASE WHEN contains(replace(v, ',', '.'), '.') THEN regexp_replace(replace(v, ',', '.'), '\.?0+$', '') ELSE v END))"
+_TAILED = lambda n, m: f"contains({n}, '{m}')" if " " in m else rf"regexp_matches({n}, '\b{m}[a-z]*\b')"
+_RELATED = lambda n: "list_filter([" + ", ".join(f"CASE WHEN {' OR '.join(_TAILED(n, m) for m in ms)} THEN '{name}' END" for name, ms in lexicon.RELATIONS.items()) + "], lambda x: x IS NOT NULL)"
+_SHORT = "least(length(x), length(y))"
+_ENTITY = f"({_CONTAINED} OR ({_SHORT} >= greatest(4, ceil({_SHORT} * 0.75)) AND left(x, greatest(4, ceil({_SHORT} * 0.75))::INT) = left(y, greatest(4, ceil({_SHORT} * 0.75))::INT)))"
+
+
+@query(rf"""
+WITH {_ASKED}, a AS (SELECT question_id, {_PCT('n')} AS q_pct, {_RELATED('n')} AS q_rel, list_filter(terms, lambda x: x NOT IN ('hangi', 'kac', 'nedir')) AS q_terms, list_filter(terms, lambda x: NOT list_contains({q_list(lexicon.NON_ENTITY_TERMS)}, x) AND NOT regexp_matches(x, '^[0-9]+$')) AS q_ent FROM q),
+b AS (SELECT question_id, source_index, {_PCT(TR)} AS pct, {_RELATED(TR)} AS rel, {terms_sql('text')} AS held FROM s),
+c AS (SELECT *, len(list_intersect(q_pct, pct)) AS m_pct, len(list_intersect(q_rel, rel)) AS m_rel, len(list_filter(q_ent, lambda x: {_EXISTS('held', _ENTITY)})) AS m_ent, len(list_filter(q_terms, lambda x: {_EXISTS('held', _ENTITY)})) AS m_terms FROM a JOIN b USING (question_id)),
+e AS (SELECT *, len(q_pct) > 0 AS exact, CASE WHEN len(q_pct) > 0 THEN m_pct = len(q_pct) AND m_ent > 0 AND m_rel > 0 ELSE m_ent > 0 AND (m_rel > 0 OR m_terms >= 3) AND m_terms / greatest(len(q_terms), 1) >= 0.6 END AS ok FROM c),
+r AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY question_id ORDER BY m_pct * 4 + m_ent * 2 + m_rel + CASE WHEN ok THEN 100 ELSE 0 END DESC, source_index) = 1)
+SELECT q.question_id, coalesce(ok, false) AS supported, CASE WHEN ok IS NULL THEN 'no-retrieved-chunk-supports-main-claim' WHEN exact AND ok THEN 'exact-percentage-entity-relation-match' WHEN exact THEN 'percentage-without-entity-relation-support' WHEN ok THEN 'entity-relation-match' ELSE 'insufficient-claim-overlap' END AS reason, source_index FROM q LEFT JOIN r USING (question_id)""")
 def evidence_support(spark, d):
     return V.evidence_support(*_asked(spark, d)).drop("percentages", "relations")
 
@@ -385,7 +507,10 @@ def build_answers(spark, d):
     return answering.build_answers(q.withColumn("mode", R.classify_response_mode(F.col("question"))), s)
 
 
-@query()
+@query(f"""
+WITH {_ASKED}, k AS (SELECT question_id, string_agg('[' || (source_index + 1) || '] ' || left(text, 1600), chr(10) || chr(10) ORDER BY source_index) AS listed FROM s GROUP BY 1),
+m AS (SELECT question_id, text, {_MODE} AS mode FROM q)
+SELECT question_id, concat_ws(chr(10) || chr(10), CASE mode WHEN 'summary' THEN 'Summarise only what the sources say.' WHEN 'critique' THEN 'Assess only what the sources show.' ELSE 'Answer only from the sources.' END, listed, 'Question: ' || text) AS prompt FROM m LEFT JOIN k USING (question_id)""")
 def build_prompts(spark, d):
     q, s = _asked(spark, d)
     return answering.build_prompts(q.withColumn("mode", R.classify_response_mode(F.col("question"))), s)
@@ -424,7 +549,14 @@ def latency_percentiles(spark, d):
     return evaluation.latency(t(spark, d, "events").select("event_type", F.col("value").alias("duration_ms")), "event_type")
 
 
-@query()
+_FOLDED = lambda c: _SPACED(f"translate(lower(replace(replace({c}, 'İ', 'i̇'), 'ß', 'ss')), 'çğıöşü', 'cgiosu')")
+
+
+@query(f"""WITH {_EVAL},
+y AS (SELECT b.item_id AS case_id, recall, {_FOLDED('text')} AS a, {_FOLDED('substring(text, 1, 12)')} AS needed FROM benchmark b LEFT JOIN r USING (item_id)),
+k AS (SELECT *, {like('a', lexicon.EVALUATION_NO_ANSWER_MARKERS)} AS refused, needed <> '' AND CASE WHEN regexp_matches(needed, '^[0-9]+$') THEN regexp_matches(a, '(?:^|[^a-z0-9])' || needed || '(?:$|[^a-z0-9])') ELSE contains(a, needed) END AS met, contains(a, 'yuzde 100') AS bad FROM y),
+z AS (SELECT *, CASE WHEN case_id % 5 <> 0 THEN NOT refused AND met AND NOT bad ELSE refused AND NOT bad END AS answer_correct, coalesce(recall > 0, false) OR (case_id % 5 = 0 AND refused) AS grounded, coalesce(recall < 1, false) AS short FROM k)
+SELECT case_id, answer_correct, grounded, answer_correct AND grounded AND NOT short AS passed, concat_ws(',', CASE WHEN NOT answer_correct THEN 'answer' END, CASE WHEN NOT grounded THEN 'groundedness' END, CASE WHEN short THEN 'retrieval' END) AS failures FROM z""")
 def score_cases(spark, d):
     m = evaluation.retrieval_metrics(*_scores(spark, d), "item_id", "doc_id")
     cases = questions(spark, d).join(m, "item_id", "left").select(F.col("item_id").alias("case_id"), F.col("text").alias("answer"), (F.col("item_id") % 5 != 0).alias("should_answer"), F.array(F.array(F.substring("text", 1, 12))).alias("required"), F.array(F.lit("yuzde 100")).alias("forbidden"), (F.col("recall") > 0).alias("supported"), "recall", "precision", "reciprocal_rank")
