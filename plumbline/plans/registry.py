@@ -129,7 +129,33 @@ def extract_percentages(spark, d):
     return t(spark, d, "documents").select("doc_id", F.array_join(K.extract_percentages(F.col("text")), ",").alias("percentages"))
 
 
-@query()
+def _number(l: str) -> str:
+    """SQL: the numbers of list l as canonical strings, one step a list."""
+    both = "CASE WHEN contains(v, ',') AND contains(v, '.') THEN CASE WHEN instr(reverse(v), ',') < instr(reverse(v), '.') THEN replace(replace(v, '.', ''), ',', '.') ELSE replace(v, ',', '') END WHEN contains(v, ',') THEN replace(v, ',', '.') WHEN regexp_matches(v, '^[0-9]{0,3}[.][0-9]{3}$') OR length(v) - length(replace(v, '.', '')) > 1 THEN replace(v, '.', '') ELSE v END"
+    plain = "CASE WHEN regexp_matches(v, '^([0-9]+[.]?[0-9]*|[.][0-9]+)$') THEN regexp_replace(CASE WHEN contains(v, '.') THEN rtrim(rtrim(v, '0'), '.') ELSE v END, '^0+([0-9])', '\\1') ELSE v END"
+    return f"list_transform(list_transform({l}, lambda v: {both}), lambda v: {plain})"
+
+
+def _facts_sql(table: str, keys: str) -> str:
+    every = lambda pattern, *k: ", ".join(f"regexp_extract_all(n, '{pattern}', {i}) AS {name}" for i, name in enumerate(k, 1))
+    rest = "n"
+    for pattern in (rf"{K.DAY_FIRST}|{K.ISO}", K.NAMED, K.PERCENT, rf"{K.MONEY}|{K.LIRA}", K.DURATION):
+        rest = f"regexp_replace({rest}, '{pattern.replace(chr(39), chr(39) * 2)}', ' ', 'g')"
+    money, lasting = K.MONEY.replace("'", "''"), K.DURATION.replace("'", "''")
+    months = q_list(lexicon.MONTHS)
+    line = lambda c: f"array_to_string(list_sort(list_distinct({c})), ',')"
+    # every letter twice, so that a number sees the letters at both its ends; a digit beside a letter belongs to a shorter number
+    seen = f"list_filter(list_transform(regexp_extract_all(regexp_replace({rest}, '([a-z])', '\\1\\1', 'g'), '[a-z]?[0-9]+(?:[.,][0-9]+)*[a-z]?'), lambda x: regexp_replace(regexp_replace(x, '^[a-z][0-9][.,]?', ''), '[.,]?[0-9]?[a-z]$', '')), lambda x: regexp_matches(x, '^[0-9]'))"
+    return rf"""WITH a AS (SELECT {keys}, regexp_replace(regexp_replace({TR}, '(^|[^0-9])[.]([0-9])(\s+ve\b)', '\1\2\3', 'g'), '(^|[^0-9])[.]([0-9])s?\s+inif\b', '\1\2 sinif', 'g') AS n FROM {table}),
+b AS (SELECT {keys}, n, {every(money, 'm1', 'm2')}, {every(K.LIRA, 'l1')}, {every(lasting, 'u1', 'u2')}, {every(K.DAY_FIRST, 'd1', 'd2', 'd3')}, {every(K.ISO, 'i1', 'i2', 'i3')}, {every(K.NAMED, 'n1', 'n2', 'n3')}, {every(K.PERCENT, 'p1')}, {seen} AS seen FROM a)
+SELECT {keys}, {line("list_transform(p1, lambda v: CASE WHEN contains(replace(v, ',', '.'), '.') THEN rtrim(rtrim(replace(v, ',', '.'), '0'), '.') ELSE v END)")} AS percentages,
+{line(f"list_concat(list_transform(list_zip({_number('m1')}, m2), lambda x: x[1] || ':' || CASE WHEN x[2] IN ('tl', 'lira') THEN 'try' WHEN x[2] IN ('usd', 'dolar') THEN 'usd' ELSE 'eur' END), list_transform({_number('l1')}, lambda x: x || ':try'))")} AS money,
+{line(f"list_transform(list_zip({_number('u1')}, u2), lambda x: x[1] || ':' || x[2])")} AS durations,
+{line(f"list_concat(list_concat(list_transform(list_zip(d1, d2, d3), lambda x: CASE WHEN length(x[3]) = 2 THEN '20' ELSE '' END || x[3] || '-' || lpad(x[2], 2, '0') || '-' || lpad(x[1], 2, '0')), list_transform(list_zip(i1, i2, i3), lambda x: x[1] || '-' || x[2] || '-' || x[3])), list_transform(list_zip(n1, n2, n3), lambda x: x[3] || '-' || lpad(list_position({months}, x[2])::VARCHAR, 2, '0') || '-' || lpad(x[1], 2, '0')))")} AS dates,
+{line(_number('seen'))} AS numbers FROM b"""
+
+
+@query(_facts_sql("documents", "doc_id"))
 def extract_claim_facts(spark, d):
     x = t(spark, d, "documents").select("doc_id", F.explode(F.array(K.extract_claim_facts(F.col("text")))).alias("f"))
     return x.select("doc_id", *(F.array_join(F.col("f")[k], ",").alias(k) for k in K.KINDS))
@@ -317,16 +343,23 @@ def hybrid_search(spark, d):
     return _hybrid(spark, d).select("item_id", "doc_id", "rank", F.round("score", 6).alias("score"))
 
 
-@query(rf"""WITH top AS (SELECT item_id, doc_id, score FROM ({ORACLE_SQL['hybrid_search']}) WHERE rank = 1),
-b AS (SELECT item_id, doc_id, score, b.text AS asked, replace(replace(regexp_replace(x.text, '\n{{2,}}', chr(2), 'g'), chr(10), ' '), chr(2), chr(10) || chr(10)) AS flat FROM top JOIN benchmark b USING (item_id) JOIN documents x USING (doc_id)),
-p AS (SELECT item_id, list_filter(list_transform(string_split(regexp_replace(regexp_replace(flat, '([.!?])\s+', '\1' || chr(1), 'g'), '\n{{2,}}', chr(1), 'g'), chr(1)), lambda x: {_SPACED('x')}), lambda x: x <> '') AS p FROM b),
-u AS (SELECT item_id, unnest(p) AS s, generate_subscripts(p, 1) AS i FROM p),
-o AS (SELECT item_id, s, i, len(list_intersect({terms_sql('s')}, {terms_sql('asked')})) AS n FROM u JOIN b USING (item_id)),
-k AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY n DESC, i) AS place FROM o WHERE n > 0),
-f AS (SELECT item_id, string_agg(s, ' ' ORDER BY i) AS found FROM k WHERE place <= 2 GROUP BY 1),
-g AS (SELECT item_id, doc_id, score, coalesce(found, p[1], '') AS x, CASE WHEN found IS NULL THEN 450 ELSE 550 END AS most FROM b JOIN p USING (item_id) LEFT JOIN f USING (item_id)),
-h AS (SELECT *, left(x, most) AS s FROM g), c AS (SELECT *, CASE WHEN contains(s, '. ') THEN length(s) - instr(reverse(s), ' .') - 1 ELSE -1 END AS cut FROM h)
-SELECT item_id, doc_id, score, CASE WHEN length(x) <= most THEN x ELSE trim(CASE WHEN cut > 300 THEN left(s, cut + 1) ELSE s END, ' ') || '...' END AS passage FROM c""")
+def _passages(rows: str, key: str) -> str:
+    """CTEs that end in `passages` (key, passage), from a table of key, asked, text."""
+    return rf"""
+pb AS (SELECT {key}, asked, replace(replace(regexp_replace(text, '\n{{2,}}', chr(2), 'g'), chr(10), ' '), chr(2), chr(10) || chr(10)) AS flat FROM {rows}),
+pp AS (SELECT {key}, asked, list_filter(list_transform(string_split(regexp_replace(regexp_replace(flat, '([.!?])\s+', '\1' || chr(1), 'g'), '\n{{2,}}', chr(1), 'g'), chr(1)), lambda x: {_SPACED('x')}), lambda x: x <> '') AS p FROM pb),
+pu AS (SELECT {key}, asked, unnest(p) AS s, generate_subscripts(p, 1) AS i FROM pp),
+po AS (SELECT {key}, s, i, len(list_intersect({terms_sql('s')}, {terms_sql('asked')})) AS n FROM pu),
+pk AS (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY n DESC, i) AS place FROM po WHERE n > 0),
+pf AS (SELECT {key}, string_agg(s, ' ' ORDER BY i) AS found FROM pk WHERE place <= 2 GROUP BY 1),
+pg AS (SELECT {key}, coalesce(found, p[1], '') AS x, CASE WHEN found IS NULL THEN 450 ELSE 550 END AS most FROM pp LEFT JOIN pf USING ({key})),
+ph AS (SELECT *, left(x, most) AS s FROM pg), pc AS (SELECT *, CASE WHEN contains(s, '. ') THEN length(s) - instr(reverse(s), ' .') - 1 ELSE -1 END AS cut FROM ph),
+passages AS (SELECT {key}, CASE WHEN length(x) <= most THEN x ELSE trim(CASE WHEN cut > 300 THEN left(s, cut + 1) ELSE s END, ' ') || '...' END AS passage FROM pc)"""
+
+
+@query(f"""WITH top AS (SELECT item_id, doc_id, score FROM ({ORACLE_SQL['hybrid_search']}) WHERE rank = 1),
+rows AS (SELECT item_id, b.text AS asked, x.text FROM top JOIN benchmark b USING (item_id) JOIN documents x USING (doc_id)), {_passages('rows', 'item_id')}
+SELECT item_id, doc_id, score, passage FROM top JOIN passages USING (item_id)""")
 def hybrid_passages(spark, d):
     top = _hybrid(spark, d).where("rank = 1").select("item_id", "doc_id", "score")
     both = top.join(questions(spark, d).select("item_id", T.meaningful_terms(F.col("text")).alias("terms")), "item_id").join(t(spark, d, "documents").select("doc_id", "text"), "doc_id")
@@ -501,7 +534,9 @@ def attach_citations(spark, d):
     return citations.attach_citations(a, V.match_claims(a, s), s).select("answer_id", "answer", F.size("citations").alias("n_citations"))
 
 
-@query()
+@query(f"""WITH {_ASKED}, k AS (SELECT question_id, string_agg(text, chr(10) ORDER BY source_index) AS text FROM s WHERE source_index < 3 GROUP BY 1),
+rows AS (SELECT question_id, q.text AS asked, k.text FROM q JOIN k USING (question_id)), {_passages('rows', 'question_id')}
+SELECT question_id, CASE WHEN passage IS NULL THEN 'Bu bilgi yüklenen belgede açıkça yer almıyor.' ELSE 'Belgeye göre: ' || passage END AS answer, CASE WHEN passage IS NULL THEN 'none' ELSE 'extractive' END AS provider FROM q LEFT JOIN passages USING (question_id)""")
 def build_answers(spark, d):
     q, s = _asked(spark, d)
     return answering.build_answers(q.withColumn("mode", R.classify_response_mode(F.col("question"))), s)
