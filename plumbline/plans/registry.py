@@ -467,23 +467,55 @@ def _answers(spark, d):
     return a.select("answer_id", "answer", "mode"), s
 
 
-@query()
+_PCT = lambda n: rf"list_distinct(list_transform(regexp_extract_all({n}, '(?:%\s*|\byuzde\s+)(\d+(?:[.,]\d+)?)', 1), lambda v: CASE WHEN contains(replace(v, ',', '.'), '.') THEN regexp_replace(replace(v, ',', '.'), '\.?0+$', '') ELSE v END))"
+_TAILED = lambda n, m: f"contains({n}, '{m}')" if " " in m else rf"regexp_matches({n}, '\b{m}[a-z]*\b')"
+_RELATED = lambda n: "list_filter([" + ", ".join(f"CASE WHEN {' OR '.join(_TAILED(n, m) for m in ms)} THEN '{name}' END" for name, ms in lexicon.RELATIONS.items()) + "], lambda x: x IS NOT NULL)"
+_SHORT = "least(length(x), length(y))"
+_ENTITY = f"({_CONTAINED} OR ({_SHORT} >= greatest(4, ceil({_SHORT} * 0.75)) AND left(x, greatest(4, ceil({_SHORT} * 0.75))::INT) = left(y, greatest(4, ceil({_SHORT} * 0.75))::INT)))"
+
+
+def _featured(table: str, keys: str) -> str:
+    """SQL: keys, text and the features of a table's texts."""
+    apart = r"regexp_replace(text, '([^\p{L}\p{N}_/])', '\1\1', 'g')"
+    acronyms = rf"list_transform(regexp_extract_all({apart}, '(?:^|[^\p{{L}}\p{{N}}_])([{_UP}]{{2,}}(?:/[{_UP}]{{2,}})*)(?:$|[^\p{{L}}\p{{N}}_])', 1), lambda x: {norm('x')})"
+    negative = rf"({like(chr(39) + ' ' + chr(39) + ' || ' + TR, lexicon.NEGATIVE_MARKERS)} OR regexp_matches({TR}, '\b[a-z]+(?:maz|mez|miyor|miyorlar)\b'))"
+    return f"(SELECT *, percentages || money || durations || dates || numbers <> '' AS critical, {terms_sql('text', lexicon.GENERIC_ANSWER_TERMS)} AS terms, {_RELATED(TR)} AS relations, {acronyms} AS acronyms, {negative} AS negative, {TR} AS n FROM ({_facts_sql(table, keys + ', text')}))"
+
+
+_ENDS = lambda c: rf"regexp_replace({c}, '(^|[^0-9])([.!?])\s+([{_UP}])', '\1\2' || chr(1) || '\3', 'g')"
+_UNITS = r"regexp_replace(regexp_replace(f, '(^|[^0-9])([.!?])\s+', '\1\2' || chr(1), 'g'), '\s+(\([0-9]+\)\s)', chr(1) || '\1', 'g')"
+_LACKS = lambda k: f"len(list_filter(string_split(c.{k}, ','), lambda x: x <> '' AND NOT list_contains(string_split(w.{k}, ','), x))) = 0"
+_CLAIMS = rf"""
+c0 AS (SELECT conv_id * 1000 + turn AS answer_id, conv_id, turn AS until, regexp_replace({_SPACED('text')}, '(?i)^belgeye\s+göre\s*:?\s+', '') AS a FROM conversations WHERE role = 'assistant'),
+c1 AS (SELECT answer_id, conv_id, until, list_filter(list_transform(string_split({_ENDS(_ENDS("regexp_replace(a, '" + chr(92) + "s*;" + chr(92) + "s+', chr(1), 'g')"))}, chr(1)), lambda x: trim({_SPACED('x')}, ' -')), lambda x: x <> '') AS l FROM c0),
+c2 AS (SELECT answer_id, conv_id, until, unnest(l) AS text, (generate_subscripts(l, 1) - 1)::INT AS claim_no FROM c1),
+s0 AS (SELECT conv_id, turn AS source_index, replace(replace(regexp_replace(text, '\n{{2,}}', chr(2), 'g'), chr(10), ' '), chr(2), chr(10) || chr(10)) AS f FROM conversations),
+s1 AS (SELECT conv_id, source_index, list_filter(list_transform(string_split(regexp_replace({_UNITS}, '\n{{2,}}', chr(1), 'g'), chr(1)), lambda x: {_SPACED('x')}), lambda x: x <> '') AS l FROM s0),
+s2 AS (SELECT conv_id, source_index, list_concat(list_concat(list_transform(l, lambda x: {{'t': x, 'u': 1}}), list_transform(range(1, len(l)), lambda i: {{'t': l[i] || ' ' || l[i + 1], 'u': 2}})), list_transform(range(1, len(l) - 1), lambda i: {{'t': l[i] || ' ' || l[i + 1] || ' ' || l[i + 2], 'u': 3}})) AS w FROM s1),
+s3 AS (SELECT conv_id, source_index, unnest(w) AS w, generate_subscripts(w, 1) AS ord FROM s2),
+s4 AS (SELECT conv_id, source_index, w.t AS text, min(ord) AS ord, arg_min(w.u, ord) AS units FROM s3 GROUP BY 1, 2, 3),
+c AS MATERIALIZED {_featured('c2', 'answer_id, conv_id, until, claim_no')}, w AS MATERIALIZED {_featured('s4', 'conv_id, source_index, ord, units')},
+m0 AS (SELECT c.answer_id, c.claim_no, w.source_index, w.ord, c.critical, len(c.terms) AS most, len(c.acronyms) > 0 AS named, len(c.relations) = 0 AS free, {' AND '.join(map(_LACKS, K.KINDS))} AS facts_ok, list_has_any(c.relations, w.relations) AS related, len(list_filter(c.acronyms, lambda x: NOT contains(w.n, x))) = 0 AS acronyms_ok, c.negative = w.negative AS polarity_ok,
+       len(list_filter(c.terms, lambda x: {_EXISTS('w.terms', _ENTITY)})) AS met FROM c JOIN w ON c.conv_id = w.conv_id AND w.source_index < c.until AND (NOT c.critical OR w.units = 1)),
+m1 AS (SELECT *, met::DOUBLE / greatest(most, 1) AS coverage, CASE WHEN critical THEN 0.35::DOUBLE ELSE 0.65::DOUBLE END AS least_share FROM m0),
+m2 AS (SELECT *, facts_ok AND (free OR related) AND acronyms_ok AND polarity_ok AND met >= CASE WHEN most <= 2 THEN 1 ELSE 2 END AND coverage >= least_share AS ok FROM m1),
+m3 AS (SELECT *, CASE WHEN ok THEN 'claim-supported' WHEN NOT facts_ok THEN 'critical-fact-mismatch' WHEN NOT polarity_ok THEN 'claim-polarity-mismatch' WHEN NOT acronyms_ok THEN 'named-entity-mismatch' WHEN NOT (free OR related) THEN 'claim-relation-mismatch' WHEN coverage < least_share THEN 'insufficient-claim-coverage' ELSE 'insufficient-claim-evidence' END AS reason,
+       coverage + CASE WHEN facts_ok AND critical THEN 0.35::DOUBLE ELSE 0 END + CASE WHEN related THEN 0.15::DOUBLE ELSE 0 END + CASE WHEN acronyms_ok AND named THEN 0.1::DOUBLE ELSE 0 END + CASE WHEN polarity_ok THEN 0.1::DOUBLE ELSE 0 END + CASE WHEN ok THEN 10 ELSE 0 END AS score FROM m2),
+m4 AS (SELECT * FROM m3 QUALIFY row_number() OVER (PARTITION BY answer_id, claim_no ORDER BY score DESC, source_index, ord) = 1),
+matches AS (SELECT c2.answer_id, c2.claim_no, c2.text AS claim, coalesce(ok, false) AS supported, coalesce(reason, 'no-source-evidence-window') AS reason, source_index::INT AS source_index, coalesce(round(coverage, 4), 0) AS coverage FROM c2 LEFT JOIN m4 USING (answer_id, claim_no))"""
+
+
+@query(f"WITH {_CLAIMS} SELECT * FROM matches")
 def match_claims(spark, d):
     return V.match_claims(*_answers(spark, d)).drop("matched")
 
 
-@query()
+@query(f"""WITH {_CLAIMS}, v AS (SELECT c0.answer_id, count(claim) AS n_claims, count(claim) FILTER (supported) AS n_supported FROM c0 LEFT JOIN matches USING (answer_id) GROUP BY 1)
+SELECT answer_id, n_claims, n_supported, true AS aligned, n_claims > 0 AND n_claims = n_supported AS supported, CASE WHEN n_claims = 0 THEN 'answer-has-no-verifiable-claims' WHEN n_claims = n_supported THEN 'all-claims-supported' ELSE 'unsupported-answer-claims' END AS reason FROM v""")
 def validate_answers(spark, d):
     return V.validate_answers(*_answers(spark, d))
 
 
-_PCT = lambda n: rf"list_distinct(list_transform(regexp_extract_all({n}, '(?:%\s*|\byuzde\s+)(\d+(?:[.,]\d+)?)', 1), lambda v: CASE WHEN contains(replace(v, ',', '.'), '.') THEN regexp_replace(replace(v, ',', '.'), '\.?0+$', '') ELSE v END))"
-_TAILED = lambda n, m: f"contains({n}, '{m}')" if " " in m else rf"regexp_matches({n}, '\b{m}[a-z]*\b')"
-_RELATED = lambda n: "list_filter([" + ", ".join(f"CASE WHEN {' OR '.join(_TAILED(n, m) for m in ms)} THEN '{name}' END" for name, ms in lexicon.RELATIONS.items()) + "], lambda x: x IS NOT NULL)"
-_SHORT = "least(length(x), length(y))"
-_ENTITY = f"({_CONTAINED} OR ({_SHORT} >= greatest(4, ceil({_SHORT} * 0.75)) AND left(x, greatest(4, ceil({_SHORT} * 0.75))::INT) = left(y, greatest(4, ceil({_SHORT} * 0.75))::INT)))"
-
-
 @query(rf"""
 WITH {_ASKED}, a AS (SELECT question_id, {_PCT('n')} AS q_pct, {_RELATED('n')} AS q_rel, list_filter(terms, lambda x: x NOT IN ('hangi', 'kac', 'nedir')) AS q_terms, list_filter(terms, lambda x: NOT list_contains({q_list(lexicon.NON_ENTITY_TERMS)}, x) AND NOT regexp_matches(x, '^[0-9]+$')) AS q_ent FROM q),
 b AS (SELECT question_id, source_index, {_PCT(TR)} AS pct, {_RELATED(TR)} AS rel, {terms_sql('text')} AS held FROM s),
