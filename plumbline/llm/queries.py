@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, curriculum, decontaminate, html, jaccard, licenses, quality, secrets, shards, warc
+from . import ann, curriculum, decontaminate, html, jaccard, licenses, negatives, quality, secrets, shards, warc
 from .common import table
 
 
@@ -50,13 +50,19 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
 
+def op13_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(e.select("vec_id", label.alias("label"), "embedding"), F.col("id") % 50 == 0)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_licenses, op3_warc, op4_shards, op5_main_text, op6_mix, op7_ann, op8_jaccard, op9_quality, op10_secrets, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_licenses, op3_warc, op4_shards, op5_main_text, op6_mix, op7_ann, op8_jaccard, op9_quality, op10_secrets, op13_negatives, pipeline)}
 
 #: DuckDB SQL. The base-32 text of a SHA-1 is built from its eight groups of 20 bits.
 _B32 = " || ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(h, {5 * g + 1}, 5))::INT >> {s}) & 31), 1)" for g in range(8) for s in (15, 10, 5, 0))
@@ -66,4 +72,11 @@ WITH p AS (SELECT page_id, coalesce(html, '') AS body, sha1(coalesce(html, ''))
 q AS (SELECT page_id, strlen(body)::BIGINT AS payload_bytes, {_B32} AS payload_digest, min(page_id) OVER (PARTITION BY body) AS holder FROM p)
 SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = holder THEN 'response' ELSE 'revisit' END AS record_type,
        CASE WHEN page_id <> holder THEN holder END AS refers_to FROM q""",
+    "op13_negatives": """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS q FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, list_dot_product(a.q::DOUBLE[], b.q::DOUBLE[])::BIGINT AS score FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id, (row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id))::INT AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score QUALIFY rank <= 3""",
 }
