@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, curriculum, decontaminate, html, jaccard, licenses, negatives, phrases, quality, secrets, shards, warc
+from . import ann, curriculum, decontaminate, html, jaccard, language, licenses, negatives, phrases, quality, secrets, shards, warc
 from .common import table
 
 
@@ -54,6 +54,11 @@ def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.mine(table(spark, sf_dir, "documents"))
 
 
+def op12_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language.predict(docs, F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0)
+
+
 def op13_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings")
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
@@ -66,7 +71,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_licenses, op3_warc, op4_shards, op5_main_text, op6_mix, op7_ann, op8_jaccard, op9_quality, op10_secrets, op11_phrases, op13_negatives, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_licenses, op3_warc, op4_shards, op5_main_text, op6_mix, op7_ann, op8_jaccard, op9_quality, op10_secrets, op11_phrases, op12_language, op13_negatives, pipeline)}
 
 #: DuckDB SQL. The base-32 text of a SHA-1 is built from its eight groups of 20 bits.
 _B32 = " || ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(h, {5 * g + 1}, 5))::INT >> {s}) & 31), 1)" for g in range(8) for s in (15, 10, 5, 0))
