@@ -6,14 +6,16 @@ is split three ways around a pivot word, the part that equals the pivot goes on
 size of an equal part is the count of its phrase, and parts with less than `least` occurrences are abandoned. All
 partitions of a level are split in one numpy pass.
 
-Three scans of the texts, none of which moves a text:
+Four scans of the texts, none of which moves a text:
 1. every task counts its pairs of adjacent words in cells of a hash table of fixed size, and ships its cells; the cells
    that reach `least` over all tasks are a bit map of 2^26 bits, which is broadcast (its size never grows). A pair whose
    cell falls short cannot be a phrase; a full map only lets more pairs pass.
-2. tasks sort the pointers of the pairs that pass, which counts equal suffixes where they lie, and route what they have by
-   the two leading words, so that a frequent leading word is dealt out by its followers, and a frequent pair is one row
-   from each task at most. Where they arrive, the same sort adds the counts up, in runs of bounded size.
-3. words of the phrases found are counted, with their text, and all words of each language.
+2. the same for three words whose two pairs pass.
+3. tasks sort the pointers of the pairs that pass, which counts equal suffixes where they lie, and route what they have by
+   buckets of the two leading words, so that a frequent leading word is dealt out by its followers, and a frequent pair
+   is one entry of each task's run at most. A run's suffixes of one bucket travel as one row of packed columns, sorted.
+   Where they arrive, the same sort adds the counts up, one bucket at a time; the number of buckets grows with the pairs.
+4. words of the phrases found are counted, with their text, and all words of each language.
 
 Words are 64-bit hashes of language and text up to the last step. If two different words share a hash that any phrase
 uses, the whole is done again with another seed: counts are exact. Scores are integers in decimal(38).
@@ -31,11 +33,11 @@ from pyspark.sql import functions as F
 
 from .common import byte_slices, column_bytes, cut, hash_spans, lowered, mix
 
-#: Bits of the maps of pairs and words, bits of a block of cells, pointers that a task sorts at once.
-BITS, BLOCK_BITS, RUN = 26, 16, 1 << 20
+#: Bits of the maps of pairs and words, bits of a block of cells, pointers that a task sorts at once, pairs of a bucket.
+BITS, BLOCK_BITS, RUN, BUCKET_PAIRS = 26, 16, 1 << 20, 1 << 18
 DEPTH = 3
 CELLS = "block int, cells binary, counts binary"
-SUFFIXES = "a long, b long, c long, n long"
+SUFFIXES, PACKED = "a long, b long, c long, n long", "bucket int, a binary, b binary, c binary, n binary"
 
 _blank, _end = np.zeros(256, bool), np.zeros(256, bool)
 _blank[[32, 9]] = True
@@ -78,11 +80,21 @@ class Words:
             with np.errstate(over="ignore"):
                 self.hash = np.maximum(mix(hash_spans(self.data, self.starts, self.ends) + salts[self.lang]), np.uint64(1))  # 0: no word
 
-    def pair_cells(self) -> np.ndarray:
-        """The cell of each word and its follower (meant only where there is one)."""
+    def joined(self, h: np.ndarray) -> np.ndarray:
+        """A hash of each word and what h says of the next (meant only where there is one)."""
         with np.errstate(over="ignore"):
-            second = np.append(self.hash[1:], np.uint64(1))[: len(self.hash)]
-            return cell(mix(self.hash * np.uint64(0x9E3779B97F4A7C15) + second))
+            return mix(self.hash * np.uint64(0x9E3779B97F4A7C15) + np.append(h[1:], np.uint64(1))[: len(h)])
+
+    def pairs(self, bits: np.ndarray) -> np.ndarray:
+        """Whether each word begins a pair that passes."""
+        return self.follows & is_set(bits, cell(self.joined(self.hash)))
+
+    def threes(self, pairs: np.ndarray, bits: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        """Words that begin two pairs that pass, and the cells of their three words; with bits, only those that pass."""
+        at = np.flatnonzero(pairs[:-1] & pairs[1:])
+        cells = cell(self.joined(self.joined(self.hash)))[at]
+        fine = slice(None) if bits is None else is_set(bits, cells)
+        return at[fine], cells[fine]
 
 
 def lang_hash(lang: str, seed: int) -> int:
@@ -117,14 +129,15 @@ def cell_rows(cells: np.ndarray, counts: np.ndarray):
     return pa.RecordBatch.from_arrays([pa.array(block[at]), pick(low), pick(n)], names=["block", "cells", "counts"])
 
 
-def bit_map(counted: DataFrame, least: int) -> np.ndarray:
-    """Bits of the cells whose counts in CELLS rows reach `least` (at most 255): 2^26 bits, whatever the input."""
+def bit_map(counted: DataFrame, least: int) -> tuple[np.ndarray, int]:
+    """Bits of the cells whose counts in CELLS rows reach `least` (at most 255): 2^26 bits, whatever the input; and the sum
+    of their counts."""
 
     def run(batches):
         import pyarrow as pa
 
-        last, total = None, np.zeros(2**BLOCK_BITS, np.int64)
-        out = lambda: pa.RecordBatch.from_arrays([pa.array([last], pa.int32()), pa.array([np.packbits(total >= least, bitorder="little").tobytes()], pa.binary())], names=["block", "bits"])
+        last, total, least_n = None, np.zeros(2**BLOCK_BITS, np.int64), min(least, 255)
+        out = lambda: pa.RecordBatch.from_arrays([pa.array([last], pa.int32()), pa.array([np.packbits(total >= least_n, bitorder="little").tobytes()], pa.binary()), pa.array([int(total[total >= least_n].sum())])], names=["block", "bits", "n"])
         for b in batches:
             for block, cells, n in zip(b.column(0).to_pylist(), b.column(1), b.column(2)):
                 if block != last and last is not None:
@@ -135,11 +148,12 @@ def bit_map(counted: DataFrame, least: int) -> np.ndarray:
         if last is not None:
             yield out()
 
-    bits = np.zeros(2 ** (BITS - 3), np.uint8)
+    bits, n = np.zeros(2 ** (BITS - 3), np.uint8), 0
     size = 2 ** (BLOCK_BITS - 3)
-    for r in counted.repartition("block").sortWithinPartitions("block").mapInArrow(run, "block int, bits binary").toLocalIterator():
+    for r in counted.repartition("block").sortWithinPartitions("block").mapInArrow(run, "block int, bits binary, n long").collect():
         bits[r.block * size : (r.block + 1) * size] = np.frombuffer(r.bits, np.uint8)
-    return bits
+        n += r.n
+    return bits, n
 
 
 def prefix_counts(keys: np.ndarray, weight: np.ndarray, least: int = 1) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -184,13 +198,13 @@ def suffix_batch(keys: np.ndarray, n: np.ndarray):
     return pa.RecordBatch.from_arrays([*(pa.array(k.view(np.int64)) for k in keys), pa.array(n)], names=["a", "b", "c", "n"])
 
 
-def pair_counts(seed: int):
-    """Task of the first scan: its pairs, counted by cell."""
+def cell_counts(seed: int, bits=None):
+    """Task of the first two scans: pairs, or with the bits of pairs three words, counted by cell."""
 
     def run(batches):
         held, n = [], 0
         for w in slices(batches, seed):
-            held.append(w.pair_cells()[w.follows])
+            held.append(cell(w.joined(w.hash))[w.follows] if bits is None else w.threes(w.pairs(bits.value), None)[1])
             n += len(held[-1])
             if n >= 4 * RUN:
                 yield cell_rows(*np.unique(np.concatenate(held), return_counts=True))
@@ -201,57 +215,67 @@ def pair_counts(seed: int):
     return run
 
 
-def suffixes(seed: int, bits):
-    """Task of the second scan: equal suffixes of the pairs that pass, counted; c is 0 where the second pair does not."""
+def suffixes(seed: int, bits, bits_of_threes, buckets: int):
+    """Task of the third scan: equal suffixes of the pairs that pass, counted and packed by bucket; c is 0 where the three
+    words do not pass."""
 
     def run(batches):
+        import pyarrow as pa
+
         held, n = [], 0
 
-        def counted():
+        def packed():
             keys = np.concatenate(held, axis=1)
             at, count = prefix_counts(keys, np.ones(keys.shape[1], np.int64))[DEPTH - 1]
-            return suffix_batch(keys[:, at], count)
+            keys = keys[:, at]
+            with np.errstate(over="ignore"):
+                bucket = (mix(keys[0] * np.uint64(0x9E3779B97F4A7C15) + keys[1]) % np.uint64(buckets)).astype(np.int32)
+            order = np.lexsort((keys[0], bucket))
+            bucket, columns = bucket[order], [*(k[order] for k in keys), count[order].astype(np.uint32)]
+            first = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+            ends = np.append(first[1:], len(bucket))
+            pack = lambda x: pa.array([x[i:j].tobytes() for i, j in zip(first, ends)], pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(bucket[first]), *map(pack, columns)], names=["bucket", "a", "b", "c", "n"])
 
         for w in slices(batches, seed):
-            fine = w.follows & is_set(bits.value, w.pair_cells())
+            fine = w.pairs(bits.value)
+            third = np.zeros(len(fine), np.uint64)
+            longer = w.threes(fine, bits_of_threes.value)[0]
+            third[longer] = w.hash[longer + 2]
             at = np.flatnonzero(fine)
-            third = np.append(np.where(fine[1:-1], w.hash[2:], np.uint64(0)), np.zeros(2, np.uint64))[: len(fine)]
             held.append(np.stack([w.hash[at], w.hash[at + 1], third[at]]))
             n += len(at)
             if n >= RUN:
-                yield counted()
+                yield packed()
                 held, n = [], 0
         if n:
-            yield counted()
+            yield packed()
 
     return run
 
 
 def added_up(least: int):
-    """Task behind the routing: suffixes come in runs of whole buckets; prefixes of two and three words that are frequent."""
+    """Task behind the routing, a bucket at a time: prefixes of two and three words that are frequent."""
 
-    def run(batches):
-        held, n = [], 0
-
-        def frequent(x):
-            keys, weight = x[:3].view(np.uint64), x[3]
-            out = prefix_counts(keys, weight, least)
-            pairs, threes = keys[:, out[1][0]].copy(), keys[:, out[2][0]]
-            pairs[2] = 0
-            real = threes[2] != 0
-            return suffix_batch(np.concatenate([pairs, threes[:, real]], axis=1), np.concatenate([out[1][1], out[2][1][real]]))
+    def frequent(held):
+        keys = np.stack([np.frombuffer(b"".join(r[k] for r in held), np.uint64) for k in range(DEPTH)])
+        out = prefix_counts(keys, np.frombuffer(b"".join(r[DEPTH] for r in held), np.uint32).astype(np.int64), least)
+        pairs, threes = keys[:, out[1][0]], keys[:, out[2][0]]
+        pairs[2] = 0
+        real = threes[2] != 0
+        return suffix_batch(np.concatenate([pairs, threes[:, real]], axis=1), np.concatenate([out[1][1], out[2][1][real]]))
 
+    def run(batches):
+        last, held = None, []
         for b in batches:
-            held.append(np.stack([c.to_numpy() for c in b.columns]))
-            n += b.num_rows
-            if n >= RUN:
-                x = np.concatenate(held, axis=1)
-                end = int(np.flatnonzero(x[4] != x[4, -1])[-1]) + 1 if x[4, 0] != x[4, -1] else 0
-                if end:
-                    yield frequent(x[:, :end])
-                held, n = [x[:, end:]], n - end
-        if n:
-            yield frequent(np.concatenate(held, axis=1))
+            for bucket, *columns in zip(*(c.to_pylist() for c in b.columns)):
+                if bucket != last and held:
+                    yield frequent(held)
+                    held = []
+                last = bucket
+                held.append(columns)
+        if held:
+            yield frequent(held)
 
     return run
 
@@ -264,7 +288,7 @@ def word_cells(batches):
 
 
 def words_of(seed: int, bits):
-    """Task of the third scan: (h, lang, word, n) of words whose bit is set, and (h, lang, null, n) of all words of a language."""
+    """Task of the fourth scan: (h, lang, word, n) of words whose bit is set, and (h, lang, null, n) of all words of a language."""
 
     def run(batches):
         import pyarrow as pa
@@ -289,11 +313,13 @@ def counted(docs: DataFrame, least: int, lang_col: str, text_col: str) -> tuple[
     rows = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     seed = 0
     while True:
-        pairs = sc.broadcast(bit_map(rows.mapInArrow(pair_counts(seed), CELLS), least))
-        routed = rows.mapInArrow(suffixes(seed, pairs), SUFFIXES).withColumn("bucket", F.pmod(F.xxhash64("a", "b"), F.lit(65_536)))
-        routed = routed.repartition("a", "b").sortWithinPartitions("bucket")
+        bits, n = bit_map(rows.mapInArrow(cell_counts(seed), CELLS), least)
+        pairs = sc.broadcast(bits)
+        threes = sc.broadcast(bit_map(rows.mapInArrow(cell_counts(seed, pairs), CELLS), least)[0])
+        routed = rows.mapInArrow(suffixes(seed, pairs, threes, max(64, n // BUCKET_PAIRS)), PACKED)
+        routed = routed.repartition("bucket").sortWithinPartitions("bucket")
         phrases = cut(routed.mapInArrow(added_up(least), SUFFIXES), "phrases")
-        used = sc.broadcast(bit_map(phrases.select("a", "b", "c").mapInArrow(word_cells, CELLS), 1))
+        used = sc.broadcast(bit_map(phrases.select("a", "b", "c").mapInArrow(word_cells, CELLS), 1)[0])
         each = rows.mapInArrow(words_of(seed, used), "h long, lang string, word string, n long")
         words = each.groupBy("h").agg(F.sum("n").alias("n"), F.min(F.struct("lang", "word")).alias("w"), F.max(F.struct("lang", "word")).alias("other"))
         words = cut(words, "words")
