@@ -61,3 +61,12 @@ DOCUMENT_KINDS = (
     ("elektronik bilet", "elektronik bilet yolcu seyahat belgesidir"), ("electronic ticket", "elektronik bilet yolcu seyahat belgesidir"), ("passenger itinerary", "elektronik bilet yolcu seyahat belgesidir"), ("seyahat belgesi", "seyahat belgesidir"),
     ("bilet", "bilettir"), ("anket", "ankettir"), ("form", "formdur"), ("sozlesme", "sözleşmedir"), ("rapor", "rapordur"), ("kilavuz", "kılavuzdur"), ("yonerge", "yönergedir"), ("prosedur", "prosedürdür"),
 )
+
+# Turkish noun endings without diacritics, outermost group first: copula, case, possessive, plural. Single
+# vowels are not among them, as many stems end in one.
+SUFFIX_RULES = (
+    ("dir", "dur", "tir", "tur"),
+    ("ndan", "nden", "dan", "den", "tan", "ten", "nda", "nde", "da", "de", "ta", "te", "nin", "nun", "in", "un", "yla", "yle", "ya", "ye", "yi", "yu"),
+    ("imiz", "umuz", "iniz", "unuz", "lari", "leri", "si", "su", "im", "um", "in", "un"),
+    ("lar", "ler"),
+)

@@ -16,7 +16,12 @@ UPPER = "A-ZÇĞİÖŞÜ"
 
 def normalize_for_matching(text: Column) -> Column:
     """Lower case without Turkish diacritics; both capital I forms end as i."""
-    return F.translate(F.lower(F.translate(text, "Iİ", "ıi")), "çğıöşü", "cgiosu")
+    return _plain(F.lower(F.replace(text, F.lit("İ"), F.lit("i"))))
+
+
+def _plain(text: Column) -> Column:
+    """Small letters without Turkish diacritics: one search for each is much faster than a table look-up for each letter."""
+    return reduce(lambda t, c: F.replace(t, F.lit(c[0]), F.lit(c[1])), zip("çğıöşü", "cgiosu"), text)
 
 
 def normalize_whitespace(text: Column) -> Column:
@@ -26,7 +31,7 @@ def normalize_whitespace(text: Column) -> Column:
 def eval_normalize(text: Column) -> Column:
     """The evaluation's own normal form: case folding keeps the dot of a capital dotted I, sharp s is ss."""
     folded = F.lower(F.replace(F.replace(F.coalesce(text, F.lit("")), F.lit("İ"), F.lit("i̇")), F.lit("ß"), F.lit("ss")))
-    return normalize_whitespace(F.translate(folded, "çğıöşü", "cgiosu"))
+    return normalize_whitespace(_plain(folded))
 
 
 def normalize_cache_text(text: Column) -> Column:

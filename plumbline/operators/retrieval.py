@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import lexicon, text as T
+from ..sources.tables import spread, written
 
 RRF, DIM, CANDIDATES = 60, 384, 20
 
@@ -35,13 +36,26 @@ def embed_questions(questions: DataFrame, key: list[str], text_col: str = "text"
     return asked.join(embedder(once, ["question_text"], "text"), "question_text").drop("question_text")
 
 
-def sparse_cosine(questions: DataFrame, chunks: DataFrame, q_key: list[str], c_key: list[str]) -> DataFrame:
-    """q_key, c_key, dense: dot products of sparse unit vectors, met in their buckets."""
-    return questions.select(*q_key, "bucket", F.col("weight").alias("w")).join(chunks, "bucket").groupBy(*q_key, *c_key).agg(F.sum(F.col("w") * F.col("weight")).alias("dense"))
+def hash_vectors(rows: DataFrame, key: list[str], text_col: str = "text", dim: int = DIM) -> DataFrame:
+    """key, vec: `hash_embed` with every bucket in place, made row by row; texts without tokens have no row."""
+    tokens = F.regexp_extract_all(F.lower(text_col), F.lit(r"(?U)\b\w\w+\b"), F.lit(0))
+
+    def count(batches):
+        import hashlib
+
+        import numpy as np
+        import pyarrow as pa
 
+        for b in batches:
+            n = np.diff(b.column(0).offsets.to_numpy())
+            owner, words = np.repeat(np.arange(len(n)), n), b.column(0).flatten().dictionary_encode()
+            bucket = np.array([int.from_bytes(hashlib.md5(w.encode()).digest()[:4], "big") % dim for w in words.dictionary.to_pylist()], np.int64)
+            x = np.bincount(owner * dim + bucket[words.indices.to_numpy()], minlength=len(n) * dim).reshape(len(n), dim)
+            x = x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(list(x), pa.list_(pa.float64()))], names=[*b.schema.names[1:], "vec"])
 
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+    each = spread(rows).select(tokens.alias("tokens"), *key).where(F.size("tokens") > 0)
+    return each.mapInArrow(count, each.select(*key, F.array(F.lit(0.0)).alias("vec")).schema)
 
 
 def top_k(scored: DataFrame, key: list[str], order: list[Column], k: int, rank: str = "rank") -> DataFrame:
@@ -53,40 +67,103 @@ def inverted(rows: DataFrame, key: list[str], text_col: str = "text") -> DataFra
     return rows.select(*key, F.explode(T.meaningful_terms(F.col(text_col))).alias("term"))
 
 
+def stem(term: Column, rules=lexicon.SUFFIX_RULES) -> Column:
+    """A term without its inflections: each rule takes one ending off, from the outermost in, if four letters stay."""
+    return reduce(lambda t, endings: F.regexp_replace(t, rf"^([a-z]{{4,}}?)(?:{'|'.join(endings)})$", "$1"), rules, term)
+
+
+def positional_postings(chunks: DataFrame, c_key: list[str]) -> DataFrame:
+    """c_key, stem, places: where each stem stands in each chunk, in words from 0."""
+    words = F.regexp_extract_all(T.normalize_for_matching(F.col("text")), F.lit("[a-z0-9]+"), F.lit(0))
+    each = spread(chunks).select(*c_key, F.posexplode(words).alias("place", "term"))
+    return each.groupBy(*c_key, stem(F.col("term")).alias("stem")).agg(F.array_sort(F.collect_list("place")).alias("places"))
+
+
+def cover_density(occurrences: Column, need: Column) -> Column:
+    """Sum over the minimal covers of 0.1 / (1 + other words inside). occurrences: (place, term 0..need-1), sorted.
+
+    A sweep over the occurrences keeps the last one of each term; the smallest of these begins a cover that ends here. It is
+    minimal if it begins later than the one before.
+    """
+    numbered = F.transform(occurrences, lambda o, i: F.struct(o["place"].alias("place"), o["term"].alias("term"), i.alias("i")))
+    none = F.struct(F.transform(F.sequence(F.lit(1), need), lambda _: F.lit(-1)).alias("last"), F.lit(-1).alias("begin"), F.lit(0.0).alias("score"))
+
+    def step(s, o):
+        last = F.transform(s["last"], lambda v, t: F.when(t == o["term"], o["i"]).otherwise(v))
+        begin = F.array_min(last)
+        between = o["place"] - F.get(occurrences, F.greatest(begin, F.lit(0)))["place"] - (o["i"] - begin)
+        score = s["score"] + F.when(begin > s["begin"], F.lit(0.1) / (1 + between)).otherwise(0.0)
+        return F.struct(last.alias("last"), F.greatest(begin, s["begin"]).alias("begin"), score.alias("score"))
+
+    return F.aggregate(numbered, none, step, lambda s: s["score"])
+
+
 def fulltext_search(questions: DataFrame, chunks: DataFrame, q_key: list[str], c_key: list[str], k: int) -> DataFrame:
-    """Chunks that hold every term of a question, ranked by how close together its terms first stand (a cover density)."""
-    q = inverted(questions, q_key)
-    need = q.groupBy(*q_key).agg(F.count(F.lit(1)).alias("need"))
-    tokens = chunks.select(*c_key, F.posexplode(F.regexp_extract_all(T.normalize_for_matching(F.col("text")), F.lit("[a-z0-9]+"), F.lit(0))).alias("place", "term"))
-    first = tokens.groupBy(*c_key, "term").agg(F.min("place").alias("place"))
-    met = first.join(q, "term").groupBy(*q_key, *c_key).agg(F.count(F.lit(1)).alias("n"), (F.max("place") - F.min("place") + 1).alias("span")).join(need, q_key).where("n = need")
-    scored = met.select(*q_key, *c_key, (F.col("n") / F.col("span")).alias("sparse"))
+    """q_key, c_key, sparse, sparse_rank: the k chunks that hold every term of a question, by the density of its covers.
+
+    Terms match by their stems. Candidates come from the postings of a question's rarest stem; the others are looked up.
+    """
+    q = written(questions.select(*q_key, F.array_distinct(F.transform(T.meaningful_terms(F.col("text")), lambda t: stem(t))).alias("stems")).select(*q_key, F.size("stems").alias("need"), F.posexplode("stems").alias("term", "stem")))
+    postings = written(positional_postings(chunks, c_key))
+    spreads = postings.groupBy("stem").agg(F.count(F.lit(1)).alias("n"))
+    rarest = q.join(spreads, "stem", "left").groupBy(*q_key).agg(F.min_by("stem", F.struct(F.coalesce("n", F.lit(0)), "stem")).alias("stem"))
+    found = rarest.join(postings.select(*c_key, "stem"), "stem").drop("stem")
+    met = found.join(q, q_key).join(postings, [*c_key, "stem"]).groupBy(*q_key, *c_key, "need").agg(F.collect_list(F.struct("places", "term")).alias("met")).where(F.size("met") == F.col("need"))
+    places = F.array_sort(F.flatten(F.transform("met", lambda m: F.transform(m["places"], lambda p: F.struct(p.alias("place"), m["term"].alias("term"))))))
+    met = met.withColumn("occurrences", places)
+    scored = met.select(*q_key, *c_key, F.round(cover_density(F.col("occurrences"), F.col("need")), 9).alias("sparse"))
     return top_k(scored, q_key, [F.desc("sparse"), *map(F.asc, c_key)], k, "sparse_rank")
 
 
 def matching_terms(asked: DataFrame, held: DataFrame) -> DataFrame:
     """(term, other): distinct terms of `asked` with the distinct terms of `held` that equal, contain or are in them.
 
-    A term that is in another shares its first three letters with some three letters of it: an equi-join on those, checked.
+    Either way is an equi-join on the parts of three letters or more of the longer term; a held term is cut into parts of
+    the lengths only that asked terms have, so that a long one has no more parts than its letters times these lengths.
+    """
+    q, v = written(asked.select("term").distinct()), written(held.select(F.col("term").alias("other")).distinct())
+    parts = lambda c, lengths: F.explode(F.array_distinct(F.flatten(F.transform(lengths, lambda n: F.when(F.length(c) >= n, F.transform(F.sequence(F.lit(1), F.length(c) - n + 1), lambda i: F.substring(F.col(c), i, n))).otherwise(F.array().cast("array<string>"))))))
+    sizes = sorted(r.n for r in q.select(F.length("term").alias("n")).distinct().collect())
+    inside = v.select("other", parts("other", F.array(*map(F.lit, sizes)) if sizes else F.array().cast("array<int>")).alias("term")).join(q, "term")
+    around = q.select("term", parts("term", F.sequence(F.lit(3), F.length("term"))).alias("other")).join(v, "other").where("term <> other")
+    return inside.select("term", "other").union(around.select("term", "other"))
+
+
+def lexical_counts(questions: DataFrame, chunks: DataFrame, q_key: list[str], c_key: list[str]) -> DataFrame:
+    """q_key, c_key, n, total: how many of a question's terms a chunk matches, and how many it has.
+
+    Vocabularies are matched once. A chunk gathers the set of asked terms that it matches, at most those of all questions
+    together, and each of its terms counts for the questions that have it.
     """
-    q, v = asked.select("term").distinct(), held.select(F.col("term").alias("other")).distinct()
-    grams = lambda c: F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - 2), lambda i: F.substring(F.col(c), i, F.lit(3))))).alias("g")
-    inside = q.withColumn("g", F.left("term", F.lit(3))).join(v.select("other", grams("other")), "g").where(F.contains("other", "term"))
-    around = v.withColumn("g", F.left("other", F.lit(3))).join(q.select("term", grams("term")), "g").where(F.contains("term", "other"))
-    return inside.select("term", "other").union(around.select("term", "other")).distinct()
+    asked = questions.select(*q_key, T.meaningful_terms(F.col("text")).alias("terms"))
+    q = written(asked.select(*q_key, F.size("terms").alias("total"), F.explode("terms").alias("term")))
+    c = written(inverted(spread(chunks), c_key))
+    ids = written(q.select("term").distinct().withColumn("id", F.monotonically_increasing_id()))
+    match = matching_terms(q, c).join(ids, "term").select("id", F.col("other").alias("term"))
+    sets = c.join(match, "term").groupBy(*c_key).agg(F.collect_set("id").alias("ids"))
+    has = q.join(ids, "term").select(*q_key, "total", "id")
+    met = sets.select(*c_key, F.explode("ids").alias("id")).join(has, "id")
+    return met.groupBy(*q_key, *c_key, "total").agg(F.count(F.lit(1)).alias("n")).select(*q_key, *c_key, "n", "total")
+
+
+def ranked(rows: DataFrame, key: list[str], order: list[Column], rank: str) -> DataFrame:
+    """rows with their rank in each key, without a key's rows meeting in one task: sorted ranges are numbered one by one, and
+    the numbers of a key's rows in the ranges before are added."""
+    spread = rows.repartitionByRange(*key, *order).withColumn("range", F.spark_partition_id())
+    spread = written(spread)
+    n = spread.groupBy(*key, "range").agg(F.count(F.lit(1)).alias("n"))
+    before = n.withColumn("before", F.sum("n").over(Window.partitionBy(*key).orderBy("range")) - F.col("n")).drop("n")
+    own = F.row_number().over(Window.partitionBy("range", *key).orderBy(*order))
+    return spread.withColumn(rank, own).join(before, [*key, "range"]).withColumn(rank, F.col(rank) + F.col("before")).drop("range", "before")
 
 
 def lexical_search(questions: DataFrame, chunks: DataFrame, q_key: list[str], c_key: list[str]) -> DataFrame:
     """q_key, c_key, sparse, sparse_rank: the share of a question's terms that a chunk matches, over an inverted join.
 
-    Terms match as in `term_matches`, so that inflected forms count; vocabularies are matched once, not texts.
+    Terms match as in `term_matches`, so that inflected forms count.
     """
-    q, c = inverted(questions, q_key), inverted(chunks, c_key)
-    total = q.groupBy(*q_key).agg(F.count(F.lit(1)).alias("total"))
-    pairs = q.join(matching_terms(q, c), "term").select(*q_key, "term", F.col("other").alias("held"))
-    met = pairs.join(c.withColumnRenamed("term", "held"), "held").select(*q_key, *c_key, "term").distinct()
-    scored = met.groupBy(*q_key, *c_key).agg(F.count(F.lit(1)).alias("n")).join(total, q_key).select(*q_key, *c_key, (F.col("n") / F.col("total")).alias("sparse"))
-    return scored.withColumn("sparse_rank", F.row_number().over(Window.partitionBy(*q_key).orderBy(F.desc("sparse"), *map(F.asc, c_key))))
+    scored = lexical_counts(questions, chunks, q_key, c_key).select(*q_key, *c_key, (F.col("n") / F.col("total")).alias("sparse"))
+    return ranked(scored, q_key, [F.desc("sparse"), *map(F.asc, c_key)], "sparse_rank")
 
 
 def lexical_score(question_terms: Column, chunk_terms: Column) -> Column:
@@ -102,9 +179,14 @@ def rrf_merge(dense: DataFrame, sparse: DataFrame, key: list[str]) -> DataFrame:
 
 
 def hybrid_search(dense: DataFrame, sparse: DataFrame, q_key: list[str], c_key: list[str], k: int) -> DataFrame:
-    cap = max(5 * k, CANDIDATES)
-    ranked = top_k(dense, q_key, [F.desc("dense"), *map(F.asc, c_key)], cap, "dense_rank")
-    return top_k(rrf_merge(ranked, sparse, [*q_key, *c_key]), q_key, [F.desc("hybrid"), F.desc("score"), *map(F.asc, c_key)], k)
+    """The k best of the fused lists. dense: a ranked list of max(5k, CANDIDATES) chunks a question; sparse: all ranked.
+
+    A chunk outside the dense list can only come among the k best with one of the first ranks of the sparse one.
+    """
+    key, cap = [*q_key, *c_key], max(5 * k, CANDIDATES)
+    dense = dense.where(F.col("dense_rank") <= cap)
+    near = sparse.where(F.col("sparse_rank") <= k + cap).unionByName(sparse.where(F.col("sparse_rank") > k + cap).join(dense.select(*key), key, "left_semi"))
+    return top_k(rrf_merge(dense, near, key), q_key, [F.desc("hybrid"), F.desc("score"), *map(F.asc, c_key)], k)
 
 
 def candidate_count(k: int, reranker: bool, least: int = CANDIDATES) -> int:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import facts as K, lexicon, text as T
-from ..operators import answering, chunking, citations, evaluation, guard, operations as O, profile, retrieval as R, verification as V
+from ..operators import answering, chunking, citations, dense, evaluation, guard, operations as O, profile, retrieval as R, verification as V
 from ..sources import tables as S
 from ..streaming import streams
 
@@ -326,8 +326,8 @@ def lexical_search(spark, d):
 
 def _hybrid(spark, d):
     docs, q = t(spark, d, "documents").select("doc_id", "text"), questions(spark, d)
-    dense = R.sparse_cosine(R.hash_embed(q, ["item_id"]), R.hash_embed(docs, ["doc_id"]), ["item_id"], ["doc_id"])
-    return R.hybrid_search(dense.withColumn("dense", F.round("dense", 9)), R.lexical_search(q, docs, ["item_id"], ["doc_id"]), ["item_id"], ["doc_id"], 4)
+    near = dense.dense_search(R.hash_vectors(q, ["item_id"]), R.hash_vectors(docs, ["doc_id"]), ["item_id"], ["doc_id"], R.CANDIDATES)
+    return R.hybrid_search(near.where("dense > 0"), R.lexical_search(q, docs, ["item_id"], ["doc_id"]), ["item_id"], ["doc_id"], 4)
 
 
 _VEC = lambda table, key: rf"""(SELECT {key}, bucket, n / sqrt(sum(n * n) OVER (PARTITION BY {key})) AS weight FROM (SELECT {key}, (('0x' || substr(md5(w), 1, 8))::BIGINT % 384) AS bucket, count(*) AS n FROM (SELECT {key}, unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]{{2,}}')) AS w FROM {table}) GROUP BY ALL))"""
@@ -366,24 +366,33 @@ def hybrid_passages(spark, d):
     return both.select("item_id", "doc_id", F.round("score", 6).alias("score"), R.relevant_passage(F.col("terms"), F.col("text")).alias("passage"))
 
 
+_STEM = lambda c: reduce(lambda t, endings: f"regexp_replace({t}, '^([a-z]{{4,}}?)(?:{'|'.join(endings)})$', '{chr(92)}1')", lexicon.SUFFIX_RULES, c)
+
+
 @query(rf"""
-WITH q AS (SELECT item_id, unnest({terms_sql('text')}) AS term FROM benchmark), w AS (SELECT item_id, count(*) AS need FROM q GROUP BY 1),
-x AS (SELECT doc_id, regexp_extract_all({TR}, '[a-z0-9]+') AS l FROM documents), k AS (SELECT doc_id, unnest(l) AS term, generate_subscripts(l, 1) AS place FROM x),
-f AS (SELECT doc_id, term, min(place) AS place FROM k GROUP BY 1, 2), m AS (SELECT item_id, doc_id, count(*) AS n, max(place) - min(place) + 1 AS span FROM f JOIN q USING (term) GROUP BY 1, 2)
-SELECT item_id, doc_id, n / span AS sparse, row_number() OVER (PARTITION BY item_id ORDER BY n / span DESC, doc_id) AS sparse_rank FROM m JOIN w USING (item_id) WHERE n = need QUALIFY sparse_rank <= 20""")
+WITH q AS (SELECT DISTINCT item_id, {_STEM('term')} AS term FROM (SELECT item_id, unnest({terms_sql('text')}) AS term FROM benchmark)), w AS (SELECT item_id, count(*) AS need FROM q GROUP BY 1),
+x AS (SELECT doc_id, regexp_extract_all({TR}, '[a-z0-9]+') AS l FROM documents), y AS (SELECT doc_id, unnest(l) AS word, generate_subscripts(l, 1) AS place FROM x),
+v AS (SELECT word, {_STEM('word')} AS term FROM (SELECT DISTINCT word FROM y)), k AS (SELECT doc_id, term, place FROM y JOIN v USING (word) WHERE term IN (SELECT term FROM q)),
+f AS (SELECT item_id, doc_id FROM (SELECT DISTINCT doc_id, term FROM k) JOIN q USING (term) JOIN w USING (item_id) GROUP BY 1, 2, need HAVING count(*) = need),
+o AS (SELECT item_id, doc_id, term, place, row_number() OVER (PARTITION BY item_id, doc_id ORDER BY place) AS i FROM f JOIN q USING (item_id) JOIN k USING (doc_id, term)),
+l AS (SELECT e.item_id, e.doc_id, e.i, b.term, max(b.i) AS i0, max(b.place) AS p0, any_value(e.place) AS p FROM o e JOIN o b ON e.item_id = b.item_id AND e.doc_id = b.doc_id AND b.i <= e.i GROUP BY 1, 2, 3, 4),
+c AS (SELECT item_id, doc_id, i, min(i0) AS begin, min(p0) AS p0, any_value(p) AS p FROM l JOIN w USING (item_id) GROUP BY 1, 2, 3, need HAVING count(*) = need),
+d AS (SELECT *, lag(begin) OVER (PARTITION BY item_id, doc_id ORDER BY i) AS earlier FROM c),
+s AS (SELECT item_id, doc_id, round(sum(0.1::DOUBLE / (1 + (p - p0) - (i - begin))), 9) AS sparse FROM d WHERE earlier IS NULL OR begin > earlier GROUP BY 1, 2)
+SELECT item_id, doc_id, sparse, row_number() OVER (PARTITION BY item_id ORDER BY sparse DESC, doc_id) AS sparse_rank FROM s QUALIFY sparse_rank <= 20""")
 def fulltext_search(spark, d):
     return R.fulltext_search(questions(spark, d), t(spark, d, "documents"), ["item_id"], ["doc_id"], 20)
 
 
 @query("""
-WITH p AS (SELECT a.label, a.vec_id AS query_id, b.vec_id, list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS s FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0)
-SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, vec_id) AS rank, round(s, 6) AS score FROM p QUALIFY rank <= 4""")
+WITH u AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
+p AS (SELECT a.vec_id AS query_id, b.vec_id, round(list_cosine_similarity(a.e, b.e), 9) AS s FROM u a JOIN u b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0)
+SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id) AS rank, round(s, 6) AS score FROM p QUALIFY rank <= 4""")
 def dense_search(spark, d):
-    """Exact top-k inside a document (here a label), for every 50th vector as a question."""
-    e = t(spark, d, "embeddings")
-    q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), "label")
-    s = q.join(e, "label").where("query_id <> vec_id").select("query_id", "vec_id", R.dot(F.col("q"), F.col("embedding")).alias("s"))
-    return R.top_k(s, ["query_id"], [F.desc(F.round("s", 9)), F.asc("vec_id")], 4).select("query_id", "vec_id", "rank", F.round("s", 6).alias("score"))
+    """The exact nearest inside a document (here a label), for every 50th vector as a question: itself and four more."""
+    e = t(spark, d, "embeddings").select("vec_id", "label", dense.unit(F.col("embedding")).alias("vec"))
+    found = dense.dense_search(e.where("vec_id % 50 = 0").withColumnRenamed("vec_id", "query_id"), e, ["query_id"], ["vec_id"], 5, within=["label"])
+    return R.top_k(found.where("query_id <> vec_id"), ["query_id"], [F.desc("dense"), F.asc("vec_id")], 4).select("query_id", "vec_id", "rank", F.round("dense", 6).alias("score"))
 
 
 _MODE = f"CASE WHEN {like(TR, lexicon.CRITIQUE_MARKERS)} THEN 'critique' WHEN {like(TR, lexicon.SUMMARY_MARKERS)} THEN 'summary' ELSE 'factual' END"

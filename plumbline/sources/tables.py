@@ -132,3 +132,9 @@ def written(df: DataFrame) -> DataFrame:
     path = f"{shared_base(spark).rstrip('/')}/plumbline/step-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df, dealt out evenly if it comes in fewer partitions than there are cores: a small table of long texts."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(2 * cores) if df.rdd.getNumPartitions() < cores else df
