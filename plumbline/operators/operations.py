@@ -129,6 +129,11 @@ def route_failures(jobs: DataFrame) -> DataFrame:
     return jobs.withColumns({"route": F.when(again, "retry").otherwise("dlq"), "retry_count": F.when(again, F.col("retry_count") + 1).otherwise(F.col("retry_count")), "last_error": F.left("error", F.lit(1000)), "not_before": F.when(again, F.col("failed_at") + F.expr(f"INTERVAL {RETRY_SECONDS} SECONDS"))})
 
 
+def failed_status(operation: Column, previous_status: Column) -> Column:
+    """A failed reindex of a ready document leaves it ready."""
+    return F.when((operation == "REINDEX") & (previous_status == "READY"), "READY").otherwise("FAILED")
+
+
 def document_status(events: DataFrame) -> DataFrame:
     """Latest status of each document: a failed reindex of a ready document leaves it ready."""
     status = F.when((F.col("status") == "FAILED") & (F.col("operation") == "REINDEX") & (F.col("previous_status") == "READY"), "READY").otherwise(F.col("status"))
