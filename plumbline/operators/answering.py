@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..sources.tables import written
 from . import verification
+from .guard import REFUSAL
 from .retrieval import is_latest_course_question, latest_course, order_direction, ordered_sources, relevant_passage
 
 # fixed values: sentences of the default language pack
-NO_ANSWER = "Bu bilgi yüklenen belgede açıkça yer almıyor."
+NO_SOURCES = "Bu belge içinde soruyla ilişkili bir bölüm bulunamadı."
+CRITIQUE_NOTICE = "Belgeye dayalı değerlendirme üretmek için yerel LLM yanıt üretimi etkin olmalıdır. İlgili kaynak parçaları aşağıda gösterilmiştir."
 PREFIX = "Belgeye göre: "
 LATEST_COURSE = "Belgeye göre en son dönem %s; bu dönemde görünen ders %s %s dersidir."
 DISCOUNT = "Belgeye göre %s%%%s indirimli kontenjana yerleşen öğrenci %%%s öğrenim ücreti indirimi alır."
@@ -49,21 +51,24 @@ def extractive_answers(questions: DataFrame, sources: DataFrame, key: str = "que
 
 
 def build_answers(questions: DataFrame, sources: DataFrame, candidates: DataFrame | None = None, spans: DataFrame | None = None, profiles: DataFrame | None = None, key: str = "question_id") -> DataFrame:
-    """key, answer, provider: no sources, generated candidate, profile of a summary question, best span, extractive passage.
+    """key, answer, provider: no sources, application criteria, generated candidate, profile of a summary question, notice for
+    a critique that no model wrote, best span, extractive passage.
 
-    Each branch takes the questions that the ones before it left (left anti joins), so that hooks see few rows.
+    questions: key, question, mode (and doc_id, if there are profiles). Each branch takes the questions that the ones before
+    it left (left anti joins), so that hooks see few rows.
     """
     with_sources = sources.select(key).distinct()
-    out = questions.join(with_sources, key, "left_anti").select(key, F.lit(NO_ANSWER).alias("answer"), F.lit("none").alias("provider"))
+    out = questions.join(with_sources, key, "left_anti").select(key, F.lit(NO_SOURCES).alias("answer"), F.lit("retrieval").alias("provider"))
     left = questions.join(with_sources, key, "left_semi")
-    branches = []
+    branches = [(application_requirements(questions, sources, key), "application-requirements-structure")]
     if candidates is not None:
         branches.append((candidates.where(F.trim(F.coalesce("answer", F.lit(""))) != "").select(key, sanitize_answer(F.col("answer")).alias("answer")), "generated"))
     if profiles is not None:
-        branches.append((left.where("mode = 'summary'").join(profiles, "doc_id").where("summary <> ''").select(key, F.col("summary").alias("answer")), "profile"))
+        branches.append((left.where("mode = 'summary'").join(profiles, "doc_id").where("summary <> ''").select(key, F.col("summary").alias("answer")), "document-profile"))
+    branches.append((questions.where("mode = 'critique'").select(key, F.lit(CRITIQUE_NOTICE).alias("answer")), "critique-fallback"))
     if spans is not None:
         branches.append((best_span(spans, key), "span"))
-    branches.append((extractive_answers(questions, sources, key), "extractive"))
+    branches.append((extractive_answers(questions, sources, key), "extractive-fallback"))
     for rows, provider in branches:
         took = left.select(key).join(rows, key)
         out = out.unionByName(took.select(key, "answer", F.lit(provider).alias("provider")))
@@ -118,7 +123,7 @@ def finalize_candidates(questions: DataFrame, candidates: DataFrame, sources: Da
     other = evidence_fallback(replaced, sources, evidence, key).select(key, F.col("answer").alias("fallback"), F.col("supported").alias("fallback_supported"))
     out = rows.join(other, key, "left")
     decision = F.col("decision")
-    answer = F.when(decision == "evidence-fallback", F.col("fallback")).when(decision == "refuse", NO_ANSWER).otherwise(F.col("answer"))
+    answer = F.when(decision == "evidence-fallback", F.col("fallback")).when(decision == "refuse", REFUSAL).otherwise(F.col("answer"))
     provider = F.when(decision == "evidence-fallback", "evidence-supported-fallback").when(decision == "refuse", "answer-grounding-guard").otherwise("generated")
     reason = (
         F.when(decision == "confirmed-no-answer", "no-retrieved-chunk-supports-main-claim").when(decision == "refuse", "unsupported-generated-answer")

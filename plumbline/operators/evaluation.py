@@ -21,19 +21,23 @@ def retrieval_metrics(retrieved: DataFrame, gold: DataFrame, key: str = "case_id
 
 
 def score_cases(cases: DataFrame) -> DataFrame:
-    """answer_correct, grounded, failures and pass flag of each case.
+    """answer_correct, grounded, guard_correct (guard cases only), failures and pass flag of each case.
 
-    cases: case_id, answer, should_answer, required (array of any-of groups), forbidden, supported, recall (nullable).
+    cases: case_id, answer, should_answer, required (array of any-of groups), forbidden, supported, recall (null where it
+    does not apply); perhaps citation_correct (null where it does not apply) and evaluation_mode (pipeline, if not given).
     """
     a = T.eval_normalize(F.col("answer"))
     missing = F.filter("required", lambda g: ~F.exists(g, lambda t: T.contains_term(a, T.eval_normalize(t))))
     bad = F.filter("forbidden", lambda t: T.contains_term(a, T.eval_normalize(t)))
     refused = T.is_no_answer(F.col("answer"))
-    correct = F.when(F.col("should_answer"), ~refused & (F.size(missing) == 0) & (F.size(bad) == 0)).otherwise(refused & (F.size(bad) == 0))
-    grounded = F.coalesce("supported", F.lit(False)) | (~F.col("should_answer") & refused)
+    correct = F.when(F.col("should_answer"), ~refused & (F.size(missing) == 0) & (F.size(bad) == 0)).otherwise(refused)
+    grounded = F.when(~F.col("should_answer") & refused, True).otherwise(F.coalesce("supported", F.lit(False)))
+    guard = F.col("evaluation_mode") == "guard" if "evaluation_mode" in cases.columns else F.lit(False)
+    cited = F.coalesce("citation_correct", F.lit(True)) if "citation_correct" in cases.columns else F.lit(True)
     out = cases.withColumns({"answer_correct": correct, "grounded": grounded})
-    failures = F.array_compact(F.array(F.when(~F.col("answer_correct"), "answer"), F.when(~F.col("grounded"), "groundedness"), F.when(F.coalesce(F.col("recall") < 1, F.lit(False)), "retrieval")))
-    return out.withColumn("failures", failures).withColumn("passed", F.size("failures") == 0)
+    out = out.withColumn("guard_correct", F.when(guard, F.col("answer_correct")))
+    failures = [(F.coalesce(F.col("recall") < 1, F.lit(False)), "expected-source-not-retrieved"), (~F.col("answer_correct"), "answer-expectation-failed"), (~F.col("grounded"), "answer-not-grounded"), (~cited, "supporting-source-not-cited"), (guard & ~F.col("answer_correct"), "guard-expectation-failed")]
+    return out.withColumn("failures", F.array_compact(F.array(*(F.when(test, name) for test, name in failures)))).withColumn("passed", F.size("failures") == 0)
 
 
 def latency(rows: DataFrame, *by: str) -> DataFrame:
@@ -50,7 +54,7 @@ def aggregate_results(scores: DataFrame) -> DataFrame:
     on, asked = F.lit(True), F.col("recall").isNotNull()
     return scores.agg(
         F.count(F.lit(1)).alias("caseCount"), mean(on, d("passed")).alias("casePassRate"), mean(asked, d("recall")).alias("recallAtK"), mean(asked, d("precision")).alias("precisionAtK"), mean(asked, d("reciprocal_rank")).alias("meanReciprocalRank"),
-        mean(asked, (F.col("recall") == 1).cast("double")).alias("hitRate"), mean(F.col("should_answer"), d("answer_correct")).alias("answerCorrectness"), mean(on, d("grounded")).alias("groundedness"), mean(~F.col("should_answer"), d("answer_correct")).alias("noAnswerAccuracy"),
+        mean(asked, (F.col("recall") == 1).cast("double")).alias("hitRate"), mean(on, d("answer_correct")).alias("answerCorrectness"), mean(F.col("should_answer"), d("grounded")).alias("groundedness"), mean(~F.col("should_answer"), d("answer_correct")).alias("noAnswerAccuracy"),
         *(mean(F.col(c).isNotNull(), d(c)).alias(name) for c, name in (("citation_correct", "citationAccuracy"), ("guard_correct", "guardAccuracy")) if c in scores.columns),
     )
 

@@ -49,16 +49,17 @@ def is_general_knowledge(question: Column, source_terms: Column) -> Column:
     return ~has_document_anchor(n) & (is_existential(question) | T.any_of(n, lexicon.DEFINITION_MARKERS) | outside)
 
 
-def guard_answer(reason: Column) -> Column:
+def guard_answer(reason: Column, best_score: Column, threshold: float = THRESHOLD) -> Column:
     """The standard refusal with its trace, no sources and no citations, where there is a reason; else null."""
     none = F.expr("cast(array() as array<string>)")
-    return F.when(reason.isNotNull(), F.struct(F.lit(REFUSAL).alias("answer"), none.alias("sources"), none.alias("citations"), F.lit("relevance-guard").alias("provider"), reason.alias("reason")))
+    scores = F.round(F.coalesce(best_score, F.lit(0.0)), 4).alias("max_score"), F.lit(min(1.0, max(0.0, threshold))).alias("min_score")
+    return F.when(reason.isNotNull(), F.struct(F.lit(REFUSAL).alias("answer"), none.alias("sources"), none.alias("citations"), F.lit("retrieval-guard").alias("provider"), reason.alias("reason"), *scores))
 
 
 def guard_reason(question: Column, source_terms: Column, best_score: Column, threshold: float = THRESHOLD) -> Column:
     """Reason of refusal, or null: general knowledge first; overview questions skip the other tests."""
     overview = classify_response_mode(question) == "summary"
     return (
-        F.when(is_general_knowledge(question, source_terms), "general-knowledge").when(overview, None).when(is_gibberish(question), "gibberish")
-        .when(is_low_information(question, source_terms), "low-information").when(F.coalesce(best_score, F.lit(0.0)) < min(1.0, max(0.0, threshold)), "low-retrieval-score")
+        F.when(is_general_knowledge(question, source_terms), "general-knowledge-question").when(overview, None).when(is_gibberish(question), "gibberish-question")
+        .when(is_low_information(question, source_terms), "low-information-question").when(F.coalesce(best_score, F.lit(0.0)) < min(1.0, max(0.0, threshold)), "low-retrieval-score")
     )

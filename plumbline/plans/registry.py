@@ -15,6 +15,7 @@ from ..functions import facts as K, lexicon, text as T
 from ..operators import answering, chunking, citations, dense, evaluation, guard, operations as O, profile, retrieval as R, verification as V
 from ..sources import tables as S
 from ..streaming import streams
+from . import evaluate
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -455,10 +456,10 @@ a AS (SELECT q.*, coalesce(held, []) AS held, regexp_extract_all(n, '[a-z0-9]+')
 b AS (SELECT *, len(list_filter(terms, lambda x: {_EXISTS('held', _CONTAINED)})) / greatest(len(terms), 1) AS score,
       len(list_filter(terms, lambda x: {_EXISTS('held', '(y = x OR (least(length(x), length(y)) >= 5 AND (starts_with(x, y) OR starts_with(y, x))))')})) > 0 AS overlap,
       list_has_any(terms, {q_list(lexicon.ABSTRACT_TERMS)}) AND {like('n', lexicon.ABSTRACT_MARKERS)} AS existential, list_has_any(terms, {q_list(lexicon.EXTERNAL_TOPICS)}) OR {like('n', lexicon.PROCEDURE_MARKERS)} AS beyond FROM a)
-SELECT question_id, CASE WHEN NOT {like('n', lexicon.ANCHORS)} AND (existential OR {like('n', lexicon.DEFINITION_MARKERS)} OR (beyond AND NOT overlap)) THEN 'general-knowledge'
+SELECT question_id, CASE WHEN NOT {like('n', lexicon.ANCHORS)} AND (existential OR {like('n', lexicon.DEFINITION_MARKERS)} OR (beyond AND NOT overlap)) THEN 'general-knowledge-question'
   WHEN NOT {like('n', lexicon.CRITIQUE_MARKERS)} AND {like('n', lexicon.SUMMARY_MARKERS)} THEN NULL
-  WHEN len(letters) = 1 AND length(letters[1]) >= 7 AND len(regexp_extract_all(letters[1], '[aeiou]')) < length(letters[1]) * 0.15 THEN 'gibberish'
-  WHEN len(tokens) = 0 OR {like('n', lexicon.NOISE_PHRASES)} OR (list_has_any(tokens, {q_list(lexicon.SLANG)}) AND len(tokens) <= 3) OR len(terms) = 0 OR (len(terms) <= 2 AND NOT overlap) OR (len(terms) <= 3 AND NOT overlap AND NOT {like('n', lexicon.QUESTION_SHAPES)}) THEN 'low-information'
+  WHEN len(letters) = 1 AND length(letters[1]) >= 7 AND len(regexp_extract_all(letters[1], '[aeiou]')) < length(letters[1]) * 0.15 THEN 'gibberish-question'
+  WHEN len(tokens) = 0 OR {like('n', lexicon.NOISE_PHRASES)} OR (list_has_any(tokens, {q_list(lexicon.SLANG)}) AND len(tokens) <= 3) OR len(terms) = 0 OR (len(terms) <= 2 AND NOT overlap) OR (len(terms) <= 3 AND NOT overlap AND NOT {like('n', lexicon.QUESTION_SHAPES)}) THEN 'low-information-question'
   WHEN score < 0.1 THEN 'low-retrieval-score' END AS reason, round(score, 4) AS score FROM b""")
 def guard_reasons(spark, d):
     q, s = _asked(spark, d)
@@ -577,7 +578,8 @@ def attach_citations(spark, d):
 
 @query(f"""WITH {_ASKED}, k AS (SELECT question_id, string_agg(text, chr(10) ORDER BY source_index) AS text FROM s WHERE source_index < 3 GROUP BY 1),
 rows AS (SELECT question_id, q.text AS asked, k.text FROM q JOIN k USING (question_id)), {_passages('rows', 'question_id')}
-SELECT question_id, CASE WHEN passage IS NULL THEN 'Bu bilgi yüklenen belgede açıkça yer almıyor.' ELSE 'Belgeye göre: ' || passage END AS answer, CASE WHEN passage IS NULL THEN 'none' ELSE 'extractive' END AS provider FROM q LEFT JOIN passages USING (question_id)""")
+SELECT question_id, CASE WHEN passage IS NULL THEN 'Bu belge içinde soruyla ilişkili bir bölüm bulunamadı.' WHEN {like('n', lexicon.CRITIQUE_MARKERS)} THEN 'Belgeye dayalı değerlendirme üretmek için yerel LLM yanıt üretimi etkin olmalıdır. İlgili kaynak parçaları aşağıda gösterilmiştir.' ELSE 'Belgeye göre: ' || passage END AS answer,
+CASE WHEN passage IS NULL THEN 'retrieval' WHEN {like('n', lexicon.CRITIQUE_MARKERS)} THEN 'critique-fallback' ELSE 'extractive-fallback' END AS provider FROM q LEFT JOIN passages USING (question_id)""")
 def build_answers(spark, d):
     q, s = _asked(spark, d)
     return answering.build_answers(q.withColumn("mode", R.classify_response_mode(F.col("question"))), s)
@@ -631,8 +633,8 @@ _FOLDED = lambda c: _SPACED(f"translate(lower(replace(replace({c}, 'İ', 'i̇'),
 @query(f"""WITH {_EVAL},
 y AS (SELECT b.item_id AS case_id, recall, {_FOLDED('text')} AS a, {_FOLDED('substring(text, 1, 12)')} AS needed FROM benchmark b LEFT JOIN r USING (item_id)),
 k AS (SELECT *, {like('a', lexicon.EVALUATION_NO_ANSWER_MARKERS)} AS refused, needed <> '' AND CASE WHEN regexp_matches(needed, '^[0-9]+$') THEN regexp_matches(a, '(?:^|[^a-z0-9])' || needed || '(?:$|[^a-z0-9])') ELSE contains(a, needed) END AS met, contains(a, 'yuzde 100') AS bad FROM y),
-z AS (SELECT *, CASE WHEN case_id % 5 <> 0 THEN NOT refused AND met AND NOT bad ELSE refused AND NOT bad END AS answer_correct, coalesce(recall > 0, false) OR (case_id % 5 = 0 AND refused) AS grounded, coalesce(recall < 1, false) AS short FROM k)
-SELECT case_id, answer_correct, grounded, answer_correct AND grounded AND NOT short AS passed, concat_ws(',', CASE WHEN NOT answer_correct THEN 'answer' END, CASE WHEN NOT grounded THEN 'groundedness' END, CASE WHEN short THEN 'retrieval' END) AS failures FROM z""")
+z AS (SELECT *, CASE WHEN case_id % 5 <> 0 THEN NOT refused AND met AND NOT bad ELSE refused END AS answer_correct, coalesce(recall > 0, false) OR (case_id % 5 = 0 AND refused) AS grounded, coalesce(recall < 1, false) AS short FROM k)
+SELECT case_id, answer_correct, grounded, answer_correct AND grounded AND NOT short AS passed, concat_ws(',', CASE WHEN short THEN 'expected-source-not-retrieved' END, CASE WHEN NOT answer_correct THEN 'answer-expectation-failed' END, CASE WHEN NOT grounded THEN 'answer-not-grounded' END) AS failures FROM z""")
 def score_cases(spark, d):
     m = evaluation.retrieval_metrics(*_scores(spark, d), "item_id", "doc_id")
     cases = questions(spark, d).join(m, "item_id", "left").select(F.col("item_id").alias("case_id"), F.col("text").alias("answer"), (F.col("item_id") % 5 != 0).alias("should_answer"), F.array(F.array(F.substring("text", 1, 12))).alias("required"), F.array(F.lit("yuzde 100")).alias("forbidden"), (F.col("recall") > 0).alias("supported"), "recall", "precision", "reciprocal_rank")
@@ -641,8 +643,9 @@ def score_cases(spark, d):
 
 def _cases(spark, d):
     """Retrieval metrics, and the question's own verdicts: every item that documents quote should be answered."""
-    m = evaluation.retrieval_metrics(*_scores(spark, d), "item_id", "doc_id")
     found, gold = _scores(spark, d)
+    found = S.written(found)
+    m = evaluation.retrieval_metrics(found, gold, "item_id", "doc_id")
     cited = evaluation.citation_correct(found, gold, "item_id", "doc_id")
     hit = F.coalesce(F.col("recall") > 0, F.lit(False))
     return questions(spark, d).join(m, "item_id", "left").join(cited, "item_id", "left").select("item_id", hit.alias("passed"), F.col("recall").isNotNull().alias("should_answer"), hit.alias("answer_correct"), hit.alias("grounded"), "recall", "precision", "reciprocal_rank", "citation_correct")
@@ -650,13 +653,31 @@ def _cases(spark, d):
 
 @query(f"""WITH {_EVAL}, a AS (SELECT b.item_id, r.*, coalesce(recall > 0, false) AS hit FROM benchmark b LEFT JOIN r USING (item_id)),
 x AS (SELECT avg(hit::INT) AS passes, coalesce(avg(recall), 0) AS recall, coalesce(avg(precision), 0) AS precision, coalesce(avg(reciprocal_rank), 0) AS mrr, coalesce(avg(hit::INT) FILTER (recall IS NOT NULL), 0) AS correct, avg((recall > 0)::INT) AS cited, coalesce(avg(hit::INT) FILTER (recall IS NULL), 0) AS none FROM a),
-k AS (SELECT unnest([{{'metric': 'casePassRate', 'value': passes, 'minimum': 0.9}}, {{'metric': 'recallAtK', 'value': recall, 'minimum': 0.9}}, {{'metric': 'precisionAtK', 'value': precision, 'minimum': 0.3}}, {{'metric': 'meanReciprocalRank', 'value': mrr, 'minimum': 0.8}}, {{'metric': 'answerCorrectness', 'value': correct, 'minimum': 0.9}}, {{'metric': 'groundedness', 'value': passes, 'minimum': 0.9}}, {{'metric': 'citationAccuracy', 'value': coalesce(cited, 0), 'minimum': 0.9}}, {{'metric': 'noAnswerAccuracy', 'value': none, 'minimum': 1.0}}, {{'metric': 'guardAccuracy', 'value': NULL, 'minimum': 1.0}}]) AS g FROM x)
+k AS (SELECT unnest([{{'metric': 'casePassRate', 'value': passes, 'minimum': 0.9}}, {{'metric': 'recallAtK', 'value': recall, 'minimum': 0.9}}, {{'metric': 'precisionAtK', 'value': precision, 'minimum': 0.3}}, {{'metric': 'meanReciprocalRank', 'value': mrr, 'minimum': 0.8}}, {{'metric': 'answerCorrectness', 'value': passes, 'minimum': 0.9}}, {{'metric': 'groundedness', 'value': correct, 'minimum': 0.9}}, {{'metric': 'citationAccuracy', 'value': coalesce(cited, 0), 'minimum': 0.9}}, {{'metric': 'noAnswerAccuracy', 'value': none, 'minimum': 1.0}}, {{'metric': 'guardAccuracy', 'value': NULL, 'minimum': 1.0}}]) AS g FROM x)
 SELECT k.g.metric AS metric, round(k.g.value, 3) AS value, coalesce(round(k.g.value, 4) >= k.g.minimum, false) AS passed FROM k""")
 def quality_gates(spark, d):
     """All nine gates; no case here is a guard case, so that the guard's gate has no value and fails."""
     return evaluation.quality_gates(evaluation.aggregate_results(_cases(spark, d))).select("metric", F.round("value", 3).alias("value"), "passed")
 
 
+def _case_table(spark, d):
+    """Conversations as evaluation cases: the last user turn asks, the other speakers' turns are the chunks, and the turn after
+    the question is expected; every third case brings that reply as a candidate for the guard, every fifth expects none."""
+    c = turns(spark, d).where("text IS NOT NULL")
+    q = c.where("role = 'user'").groupBy("conv_id").agg(F.max_by("text", "turn").alias("question"), F.max("turn").alias("asked"))
+    chunks = c.where("role <> 'user'").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("x"))
+    both = q.join(chunks, "conv_id").withColumn("place", F.size(F.filter("x", lambda y: y["turn"] < F.col("asked"))))
+    reply = F.get(F.col("x"), F.least("place", F.size("x") - 1))["text"]
+    guard = F.col("conv_id") % 3 == 0
+    chunk = F.transform("x", lambda y: F.struct(F.lit(1).alias("pageNumber"), y["text"].alias("text"), F.lit(1.0).alias("score")))
+    return both.select(F.col("conv_id").cast("string").alias("id"), F.lit("conversation").alias("category"), F.when(guard, "guard").otherwise("pipeline").alias("evaluationMode"), "question", F.when(guard, reply).alias("candidateAnswer"), (3 + F.col("conv_id") % 2).cast("int").alias("topK"), chunk.alias("chunks"), F.array(F.least("place", F.size("x") - 1)).alias("expectedSourceChunks"), F.slice(T.meaningful_terms(reply), 1, 1).alias("requiredAnswerTerms"), F.lit(None).cast("array<array<string>>").alias("requiredAnswerTermGroups"), F.array(F.lit("yuzde 100")).alias("forbiddenAnswerTerms"), (F.col("conv_id") % 5 != 0).alias("shouldAnswer"))
+
+
+@query()
+def run_evaluation(spark, d):
+    return evaluate.run_evaluation(_case_table(spark, d)).select("case_id", "evaluation_mode", "provider", "guard_reason", "answer_correct", "grounded", "citation_correct", "guard_correct", F.array_join("failures", ",").alias("failures"), "passed")
+
+
 # --- operations ------------------------------------------------------------------------------------------------------
 
 _TRACE = "(SELECT event_id AS id, user_id, CASE WHEN event_type = 'click' THEN 'ollama-chat' ELSE 'extractive' END AS provider, CASE WHEN event_type = 'error' THEN 'failed' END AS error, value AS duration_ms, ts AS created_at FROM events)"
@@ -931,10 +952,10 @@ def delete_cascade(spark, d):
     return n(chat, "chat").union(n(cache, "cache"))
 
 
-@query("SELECT event_id, event_type = 'error' AS refused, CASE WHEN event_type = 'error' THEN 'low-information' END AS reason FROM events")
+@query(f"SELECT question_id, reason IS NOT NULL AS refused, reason, CASE WHEN reason IS NOT NULL THEN 'retrieval-guard' END AS provider, CASE WHEN reason IS NOT NULL THEN score END AS max_score, CASE WHEN reason IS NOT NULL THEN 0.1::DOUBLE END AS min_score FROM ({ORACLE_SQL['guard_reasons']})")
 def guard_answer(spark, d):
-    a = guard.guard_answer(F.when(F.col("event_type") == "error", "low-information"))
-    return t(spark, d, "events").select("event_id", F.explode(F.array(a)).alias("a")).select("event_id", F.col("a").isNotNull().alias("refused"), F.col("a.reason").alias("reason"))
+    a = guard_reasons(spark, d).select("question_id", F.explode(F.array(guard.guard_answer(F.col("reason"), F.col("score")))).alias("a"))
+    return a.select("question_id", F.col("a").isNotNull().alias("refused"), "a.reason", "a.provider", "a.max_score", "a.min_score")
 
 
 @query("SELECT c_custkey AS id, regexp_replace(c_name, '[^a-zA-Z0-9._-]', '_', 'g') AS name, regexp_matches(c_acctbal::VARCHAR, '^\\s*[0-9]+([.,][0-9]+)?\\s*$') AS usable FROM customer")

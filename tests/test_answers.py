@@ -14,7 +14,7 @@ def test_finalize_candidates(spark):
     c = spark.createDataFrame([(1, fact), (2, "Burs oranı %90 olarak uygulanır."), (3, "Bu bilgi belgede yer almıyor"), (4, "Gökyüzünde 9000 yıldız görünür."), (5, None)], "question_id long, answer string")
     got = {r.question_id: r for r in A.finalize_candidates(q, c, s).collect()}
     assert [got[i].decision for i in range(1, 6)] == ["keep", "evidence-fallback", "evidence-fallback", "refuse", "evidence-fallback"]
-    assert got[1].answer == fact and got[2].answer == A.PREFIX + fact and got[4].answer == A.NO_ANSWER
+    assert got[1].answer == fact and got[2].answer == A.PREFIX + fact and got[4].answer == A.REFUSAL
     assert got[2].reason == "unsupported-generation-replaced-by-supported-evidence" and got[3].reason == "model-no-answer-despite-supported-evidence" and got[2].supported
     assert A.finalize_candidates(q.limit(0), c, s).count() == 0
 

@@ -62,7 +62,7 @@ def test_question_analysis(spark):
 def test_guard(spark):
     q = spark.createDataFrame([("asdkjhgtr",), ("Mars roket nasil gidilir",), ("burs orani nedir",)], "q string")
     got = [r[0] for r in q.select(guard.guard_reason(F.col("q"), F.array(F.lit("burs"), F.lit("orani")), F.lit(0.5))).collect()]
-    assert got == ["gibberish", "general-knowledge", None]
+    assert got == ["gibberish-question", "general-knowledge-question", None]
 
 
 def test_claims(spark):
