@@ -60,7 +60,8 @@ def canonical(text: Column) -> Column:
     """The text with a placeholder for each whole word that is a number or a name, in lower case.
 
     Words are replaced one for one, so that canonical and plain words stay aligned. Each pattern opens with a look at one
-    character, so that most places cost no more than that.
+    character, so that most places cost no more than that. The repeat of number words is possessive: a joint cannot end a
+    number word, so nothing is given back, and the repeat is a loop instead of a recursion.
     """
     blank = r"\x20\x09-\x0D"
     openers = "|".join(w.capitalize() for w in OPENERS)
@@ -68,7 +69,7 @@ def canonical(text: Column) -> Column:
     t = F.regexp_replace(t, rf"(?=[$€£+\-0-9])(?<![^{blank}])[$€£+\-]?[0-9][^{blank}]*", "<num>")
     number = "(?:" + "|".join(sorted(NUMBER_WORDS, key=len, reverse=True)) + ")"
     opens = "|".join(sorted({w[:2] for w in NUMBER_WORDS}))
-    return F.regexp_replace(F.lower(t), rf"(?=[{''.join(sorted({w[0] for w in NUMBER_WORDS}))}])(?<![^{blank}(\"'])(?={opens}){number}(?:[{JOINT}-]{number})*(?![^{blank}.,;:!?)\"'\]])", "<num>")
+    return F.regexp_replace(F.lower(t), rf"(?=[{''.join(sorted({w[0] for w in NUMBER_WORDS}))}])(?<![^{blank}(\"'])(?={opens}){number}(?:[{JOINT}-]{number})*+(?![^{blank}.,;:!?)\"'\]])", "<num>")
 
 
 def with_units(canon: Column) -> Column:
@@ -79,9 +80,12 @@ def with_units(canon: Column) -> Column:
 
 
 def split_words(text: Column) -> Column:
-    """Words without punctuation at their ends; white space separates them, with the punctuation beside it."""
+    """Words without punctuation at their ends; white space separates them, with the punctuation beside it.
+
+    A separator begins where a run of punctuation does, so that a long run is read once, not from each of its marks.
+    """
     p = re.escape(PUNCTUATION)
-    return F.split(F.btrim(text, F.lit(PUNCTUATION + " \t\n\v\f\r")), rf"[{p}]*[\x20\x09-\x0D][{p}\x20\x09-\x0D]*")
+    return F.split(F.btrim(text, F.lit(PUNCTUATION + " \t\n\v\f\r")), rf"(?<![{p}])[{p}]*+[\x20\x09-\x0D][{p}\x20\x09-\x0D]*+")
 
 
 def word_lists(rows: DataFrame, text_col: str, *keep: str) -> DataFrame:

@@ -355,3 +355,25 @@ def test_resumed_reading(spark):
     every = {r.slot: r.doc_id for r in shards.read_shards(spark, path, length=16, per_shard=8).collect()}
     late = {r.slot: r.doc_id for r in shards.read_shards(spark, path, length=16, per_shard=8, first_slot=21).collect()}
     assert len(every) == n == 50 and late == {s: i for s, i in every.items() if s >= 21}
+
+
+def test_decontaminate_reads_odd_long_texts_in_time(spark):
+    import time
+
+    item = "the quick brown fox jumps over the lazy sleeping dog near a river"
+    odd = ["two-" * 250_000 + "two", "a" + "." * 1_000_000 + "a", "A b " * 250_000, "w" * 1_000_000, " ,;" * 300_000, "Two " * 250_000, "1" * 500_000 + " " + "$" * 500_000]
+    rows = [(i, f"{item} {x} more words") for i, x in enumerate(odd)] + [(100 + i, x) for i, x in enumerate(odd)]
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    for k, row in enumerate(rows):
+        began = time.time()
+        left = decontaminate.clean(spark.createDataFrame([row], "doc_id long, text string"), bench).count()
+        assert left == (row[0] >= 100) and time.time() - began < 25, (k, time.time() - began)
+
+
+def test_split_words_drops_marks_beside_white_space(spark):
+    texts = ["a ,, b", "...a...b... c.", " . ", "", "a", "(a) [b]\t'c'", "a.b ,c", ",,, a"]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", decontaminate.split_words(F.col("t")).alias("w")).collect()
+    marks = decontaminate.PUNCTUATION
+    for r in got:
+        want = [w for w in (x.strip(marks) for x in re.split(r"[\x20\x09-\x0D]+", r.t)) if w]
+        assert [w for w in r.w if w] == want
