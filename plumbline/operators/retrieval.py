@@ -152,9 +152,12 @@ def ranked(rows: DataFrame, key: list[str], order: list[Column], rank: str) -> D
     spread = rows.repartitionByRange(*key, *order).withColumn("range", F.spark_partition_id())
     spread = written(spread)
     n = spread.groupBy(*key, "range").agg(F.count(F.lit(1)).alias("n"))
-    before = n.withColumn("before", F.sum("n").over(Window.partitionBy(*key).orderBy("range")) - F.col("n")).drop("n")
+    before = n.withColumn("before", F.sum("n").over(Window.partitionBy(*key).orderBy("range")) - F.col("n"))
+    before = before.select(F.struct(*key, "range").alias("of"), "before")
     own = F.row_number().over(Window.partitionBy("range", *key).orderBy(*order))
-    return spread.withColumn(rank, own).join(before, [*key, "range"]).withColumn(rank, F.col(rank) + F.col("before")).drop("range", "before")
+    out = spread.withColumn(rank, own).withColumn("own", F.struct(*key, "range"))
+    # structs are equal where their nulls are too
+    return out.join(before, F.col("own").eqNullSafe(F.col("of"))).withColumn(rank, F.col(rank) + F.col("before")).drop("range", "before", "own", "of")
 
 
 def lexical_search(questions: DataFrame, chunks: DataFrame, q_key: list[str], c_key: list[str]) -> DataFrame:

@@ -75,3 +75,18 @@ def test_normal_form_of_every_letter(spark):
     old = F.translate(F.lower(F.translate(F.lit(s), "Iİ", "ıi")), "çğıöşü", "cgiosu")
     r = spark.range(1).select(old.alias("a"), T.normalize_for_matching(F.lit(s)).alias("b")).first()
     assert r.a == r.b
+
+
+def test_percentiles_are_exact_in_every_group(spark):
+    from plumbline.operators.evaluation import latency
+
+    rng = np.random.default_rng(5)
+    groups = {"a": rng.normal(100, 30, 501), "b": np.array([10.0, 30.0]), None: np.array([7.0, 7.0, 1.0, 2.0]), "c": np.array([])}
+    rows = [(g, float(x), "p") for g, xs in groups.items() for x in xs] + [("c", None, "p"), ("a", None, "p")]
+    df = spark.createDataFrame(rows, "g string, duration_ms double, place string").repartition(7)
+    got = {r.g: tuple(r)[1:] for r in latency(df, "g").collect()}
+    want = {g: tuple(round(float(v), 2) for v in (x.mean(), np.quantile(x, 0.5), np.quantile(x, 0.95), x.max())) if len(x) else (0.0,) * 4 for g, x in groups.items()}
+    assert got.keys() == want.keys() and all(np.allclose(got[g], want[g], atol=0.011) for g in want)
+    every = np.concatenate(list(groups.values()))
+    assert np.allclose(tuple(latency(df).first()), (every.mean(), np.quantile(every, 0.5), np.quantile(every, 0.95), every.max()), atol=0.011)
+    assert tuple(latency(df.limit(0)).first()) == (0.0,) * 4
