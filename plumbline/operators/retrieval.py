@@ -248,6 +248,7 @@ def ordered_sources(chunks: DataFrame, direction: str, k: int, key: str = "doc_i
 
 def order_direction(question: Column) -> Column:
     n = T.normalize_for_matching(question)
+    # fixed values: words that ask for the last or the first part
     return F.when(n.rlike(r"\b(?:en\s+son|son|sonuncu|en\s+yeni|guncel|latest)\b"), "last").when(n.rlike(r"\b(?:ilk|birinci|baslangic|en\s+eski|oldest)\b"), "first")
 
 
@@ -278,6 +279,7 @@ def latest_course(chunks: DataFrame) -> DataFrame:
     """(doc_id, term, code, name): the last course row of each document's latest term, terms carried forward over lines."""
     lines = F.filter(F.transform(F.split("text", r"\R"), T.normalize_whitespace), lambda x: x != "")
     rows = chunks.select("doc_id", "chunk_index", F.posexplode(lines).alias("line_no", "line"))
+    # fixed values: the shapes of a term and of a course row in a transcript
     found = r"(\d{4}-\d{4})\s*((?i:Güz|Bahar|Yaz))"
     year, season = F.regexp_extract("line", found, 1), F.regexp_extract("line", found, 2)
     rows = rows.withColumn("t", F.when(year != "", F.struct(T.term_sort_key(year, season).alias("key"), F.concat_ws(" ", year, season).alias("label"))))
