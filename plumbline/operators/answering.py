@@ -180,11 +180,12 @@ def order_answers(questions: DataFrame, chunks: DataFrame, k: int = 3, key: str
     asked = questions.withColumn("direction", order_direction(F.col("question"))).where("direction IS NOT NULL")
     chunks = chunks.join(asked.select("doc_id").distinct(), "doc_id", "left_semi")
     course = asked.where(is_latest_course_question(F.col("question"))).join(latest_course(chunks), "doc_id")
-    found = course.select(key, F.format_string(LATEST_COURSE, "term", "code", "name").alias("answer"), F.lit("transcript-structure").alias("provider"), F.lit(None).cast("string").alias("strategy"))
+    found = written(course.select(key, F.format_string(LATEST_COURSE, "term", "code", "name").alias("answer"), F.lit("transcript-structure").alias("provider"), F.lit(None).cast("string").alias("strategy")))
     left = asked.join(found.select(key), key, "left_anti")
     picked = reduce(DataFrame.unionByName, [ordered_sources(chunks, d, k).withColumn("direction", F.lit(d)) for d in ("first", "last")])
     place = F.row_number().over(Window.partitionBy(key).orderBy("chunk_index")) - 1
-    sources = left.select(key, "doc_id", "direction").join(picked, ["doc_id", "direction"]).select(key, place.alias("source_index"), "text")
+    # the branches of build_answers read the sources several times
+    sources = written(left.select(key, "doc_id", "direction").join(picked, ["doc_id", "direction"]).select(key, place.alias("source_index"), "text"))
     built = build_answers(left.join(sources.select(key).distinct(), key, "left_semi"), sources, key=key)
     return found.unionByName(built.join(left.select(key, F.concat(F.lit("document-order-"), "direction").alias("strategy")), key).select(key, "answer", "provider", "strategy"))
 

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MAX_RETRIES, RETRY_SECONDS = 3, 30
-MOST_ADMINS = 10_000
+#: Parts that the documents of a scope are dealt into.
+SALTS = 32
 #: Seconds that each kind of entry lives.
 TTL = {"answer": 3600, "profile": 21600, "embedding": 604800}
 TRANSIENT = ("ConnectException", "SocketTimeoutException", "HttpTimeoutException", "TransientDataAccessException")
@@ -24,24 +25,51 @@ def newest(rows: DataFrame, n: int = 100, created: str = "created_at", key: str
     return rows.orderBy(F.desc(created), F.desc(key)).limit(n)
 
 
+def user_scopes(users: DataFrame) -> DataFrame:
+    """user_id, branch, scope: the scopes that a user sees. 0: everything (administrators); 1: what the user owns; 2: what the
+    user's department shares. At most two rows a user; a null role is an employee's."""
+    scope = lambda branch, of: F.struct(F.lit(branch).alias("branch"), of.cast("long").alias("scope"))
+    every = F.coalesce("role", F.lit("EMPLOYEE")) == "ADMIN"
+    both = F.array(scope(1, F.col("user_id")), scope(2, F.col("department_id")))
+    return users.select("user_id", F.inline(F.when(every, F.array(scope(0, F.lit(0)))).otherwise(both))).where("scope IS NOT NULL")
+
+
+def document_scopes(documents: DataFrame) -> DataFrame:
+    """doc_id, branch, scope: the scopes that a document lies in, at most three rows each; a null sharing scope is private."""
+    scope = lambda branch, of: F.struct(F.lit(branch).alias("branch"), of.cast("long").alias("scope"))
+    shared = F.when(F.col("sharing_scope") == "DEPARTMENT", F.col("department_id"))
+    return documents.select("doc_id", F.inline(F.array(scope(0, F.lit(0)), scope(1, F.col("owner_id")), scope(2, shared)))).where("scope IS NOT NULL")
+
+
+def access_branches(asked: DataFrame, users: DataFrame, documents: DataFrame) -> DataFrame:
+    """user_id, doc_id, branch of those asked (user_id, doc_id) that are granted: both sides meet by scope, and only for what
+    is asked, however many administrators there are. Repeated questions count once; unknown users and documents get nothing."""
+    pairs = asked.select("user_id", "doc_id").distinct()
+    met = pairs.join(user_scopes(users), "user_id").join(document_scopes(documents), ["doc_id", "branch", "scope"])
+    return met.groupBy("user_id", "doc_id").agg(F.min("branch").alias("branch"))
+
+
+def check_permissions(asked: DataFrame, users: DataFrame, documents: DataFrame) -> DataFrame:
+    """user_id, doc_id, can_access, can_manage, can_reindex of every asked pair; what is not granted is false throughout."""
+    pairs = asked.select("user_id", "doc_id").distinct()
+    out = pairs.join(access_branches(pairs, users, documents), ["user_id", "doc_id"], "left").join(users.select("user_id", "role"), "user_id", "left")
+    manage = F.coalesce(F.col("branch") <= 1, F.lit(False))
+    lead = F.coalesce((F.col("role") == "MANAGER") & (F.col("branch") == 2), F.lit(False))
+    return out.select("user_id", "doc_id", F.col("branch").isNotNull().alias("can_access"), manage.alias("can_manage"), (manage | lead).alias("can_reindex"))
+
+
 def accessible_documents(users: DataFrame, documents: DataFrame) -> DataFrame:
     """(user_id, doc_id, branch): administrators see all, others their own, then what their department shares.
 
-    The disjunction is a union of three equi-joins; each (user, document) keeps its first branch.
+    All pairs, so for listings of few users; `access_branches` answers for pairs that are asked. Users and documents meet by
+    scope. Documents of a scope are dealt into SALTS parts, which its users join one by one, so that no scope is one task;
+    owners, of whom there are many with few documents each, have one part.
     """
-    u = users.withColumn("role", F.coalesce("role", F.lit("EMPLOYEE")))
-    d = documents.withColumn("sharing_scope", F.coalesce("sharing_scope", F.lit("PRIVATE")))
-    # every administrator sees every document: the answer itself is their product, made document by document from a list
-    # of administrators whose size is checked
-    admins = [r.user_id for r in u.where("role = 'ADMIN'").select("user_id").limit(MOST_ADMINS + 1).collect()]
-    if len(admins) > MOST_ADMINS:
-        raise ValueError(f"more than {MOST_ADMINS} administrators: they see all documents, use the role instead of rows")
-    listed = F.array(*map(F.lit, admins)) if admins else F.array().cast("array<bigint>")
-    every = d.select(F.explode(listed).alias("user_id"), "doc_id", F.lit(0).alias("branch"))
-    rest = u.where("role <> 'ADMIN'")
-    own = rest.join(d, rest.user_id == d.owner_id).select("user_id", "doc_id", F.lit(1).alias("branch"))
-    shared = rest.join(d.where("sharing_scope = 'DEPARTMENT'"), "department_id").select("user_id", "doc_id", F.lit(2).alias("branch"))
-    return every.union(own).union(shared).groupBy("user_id", "doc_id").agg(F.min("branch").alias("branch"))
+    part = F.when(F.col("branch") == 1, 0).otherwise(F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))).cast("int")
+    parts = F.when(F.col("branch") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    u = user_scopes(users).withColumn("part", F.explode(parts))
+    met = u.join(document_scopes(documents).withColumn("part", part), ["branch", "scope", "part"])
+    return met.groupBy("user_id", "doc_id").agg(F.min("branch").alias("branch"))
 
 
 def document_permissions(users: DataFrame, documents: DataFrame) -> DataFrame:

@@ -197,11 +197,20 @@ def candidate_count(k: int, reranker: bool, least: int = CANDIDATES) -> int:
 
 
 def rerank(candidates: DataFrame, scores: DataFrame | None, q_key: list[str], c_key: list[str], k: int) -> DataFrame:
-    """The first k by a table of model scores; without scores the given order stays."""
+    """The first max(k, 1) candidates of each question by a table of model scores (q_key, c_key, reranker_score).
+
+    The given order (`rank`) settles ties. It stays whole without scores, for a question that has no more than k candidates,
+    and for one with a candidate that has no score, as the model failed there.
+    """
+    k = max(k, 1)
     if scores is None:
         return candidates.where(F.col("rank") <= k)
-    joined = candidates.drop("rank").join(scores, [*q_key, *c_key], "left")
-    return top_k(joined, q_key, [F.desc_nulls_last("reranker_score"), *map(F.asc, c_key)], k)
+    each = Window.partitionBy(*q_key)
+    joined = candidates.join(scores.select(*q_key, *c_key, "reranker_score"), [*q_key, *c_key], "left")
+    fine = (F.count(F.lit(1)).over(each) > k) & (F.count("reranker_score").over(each) == F.count(F.lit(1)).over(each))
+    joined = joined.withColumn("reranked", fine).withColumnRenamed("rank", "given")
+    order = [F.desc(F.when(F.col("reranked"), F.col("reranker_score"))), F.asc("given")]
+    return top_k(joined, q_key, order, k).drop("given")
 
 
 def scan_chunks(chunks: DataFrame, documents: DataFrame | None = None) -> DataFrame:

@@ -6,14 +6,15 @@ customers users of departments (nations).
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import facts as K, lexicon, text as T
-from ..operators import answering, chunking, citations, dense, evaluation, guard, operations as O, profile, retrieval as R, verification as V
-from ..sources import tables as S
+from ..operators import answering, chunking, citations, dense, evaluation, guard, models, operations as O, profile, retrieval as R, verification as V
+from ..sources import tables as S, versions
 from ..streaming import streams
 from . import evaluate
 
@@ -370,6 +371,45 @@ def hybrid_passages(spark, d):
 _STEM = lambda c: reduce(lambda t, endings: f"regexp_replace({t}, '^([a-z]{{4,}}?)(?:{'|'.join(endings)})$', '{chr(92)}1')", lexicon.SUFFIX_RULES, c)
 
 
+# tiny models stand in for trained ones: the hooks are what is run
+
+
+def _shared_words():
+    """A reranker: how many of the question's distinct words the text has."""
+    return lambda questions, texts: [float(len(set(q.split(" ")) & set(x.split(" ")))) for q, x in zip(questions, texts)]
+
+
+def _measures():
+    """A sentence model: length, number of spaces and one; it has nothing to say of texts of more than 400 characters."""
+    return lambda texts: [[float(len(x)), float(x.count(" ")), 1.0] if len(x) <= 400 else None for x in texts]
+
+
+def _openings():
+    """A span model: the first 20 characters, with a score from the text's length."""
+    return lambda questions, texts: [(x[:20], len(x) % 100 / 100) for x in texts]
+
+
+@query(f"""WITH h AS ({ORACLE_SQL['hybrid_search']}),
+x AS (SELECT h.item_id, h.doc_id, h.rank AS given, len(list_intersect(list_distinct(string_split(b.text, ' ')), list_distinct(string_split(left(x.text, 3000), ' ')))) AS s, count(*) OVER (PARTITION BY h.item_id) AS n FROM h JOIN benchmark b USING (item_id) JOIN documents x USING (doc_id))
+SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY CASE WHEN n > 2 THEN s END DESC, given)::INT AS rank, s::DOUBLE AS reranker_score FROM x QUALIFY rank <= 2""")
+def rerank(spark, d):
+    """The two best of hybrid search's four documents, by a model."""
+    found = S.written(_hybrid(spark, d).select("item_id", "doc_id", "rank"))
+    q = questions(spark, d).select("item_id", F.col("text").alias("question"))
+    scores = models.reranker_scores(q, found, t(spark, d, "documents").select("doc_id", "text"), _shared_words, ["item_id"], ["doc_id"])
+    return R.rerank(found, scores, ["item_id"], ["doc_id"], 2).select("item_id", "doc_id", "rank", "reranker_score")
+
+
+@query(f"""WITH x AS (SELECT conv_id, turn, lower({WS}) AS x FROM conversations WHERE role = 'user'), v AS (SELECT *, length(x)::DOUBLE AS a, (length(x) - length(replace(x, ' ', '')))::DOUBLE AS b FROM x WHERE x <> '')
+SELECT conv_id, turn, length(x) <= 400 AS by_model, CASE WHEN length(x) <= 400 THEN 3 ELSE {R.DIM} END::INT AS size, CASE WHEN length(x) <= 400 THEN round(a / sqrt(a * a + b * b + 1), 6) END AS first, CASE WHEN length(x) <= 400 THEN round(b / sqrt(a * a + b * b + 1), 6) END AS second FROM v WHERE length(x) <= 400 OR regexp_matches(x, '[\\p{{L}}\\p{{N}}_]{{2,}}')""")
+def model_embed(spark, d):
+    """Vectors of the questions by a model; each distinct text is embedded once."""
+    asked = turns(spark, d).where("role = 'user'")
+    v = R.embed_questions(asked, ["conv_id", "turn"], embedder=models.embedder(_measures))
+    own = lambda k: F.when(F.col("by_model"), F.round(F.get("vec", F.lit(k)), 6))
+    return v.select("conv_id", "turn", "by_model", F.size("vec").alias("size"), own(0).alias("first"), own(1).alias("second"))
+
+
 @query(rf"""
 WITH q AS (SELECT DISTINCT item_id, {_STEM('term')} AS term FROM (SELECT item_id, unnest({terms_sql('text')}) AS term FROM benchmark)), w AS (SELECT item_id, count(*) AS need FROM q GROUP BY 1),
 x AS (SELECT doc_id, regexp_extract_all({TR}, '[a-z0-9]+') AS l FROM documents), y AS (SELECT doc_id, unnest(l) AS word, generate_subscripts(l, 1) AS place FROM x),
@@ -427,9 +467,25 @@ def ordered_sources(spark, d):
     return R.ordered_sources(turns(spark, d), "last", 2, "conv_id", "turn").select("conv_id", "turn")
 
 
-@query()
+def transcripts(spark, d):
+    """A transcript for each order: a chunk for each line number, with its course, and its term on lines not divisible by three."""
+    line = t(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("chunk_index")).agg(F.min(F.struct("l_shipdate", "l_partkey", "l_suppkey")).alias("x"))
+    year, season = F.year("x.l_shipdate"), F.element_at(F.array(F.lit("Güz"), F.lit("Bahar"), F.lit("Yaz")), F.month("x.l_shipdate") % 3 + 1)
+    term = F.when(F.col("chunk_index") % 3 != 0, F.concat(year, F.lit("-"), year + 1, F.lit(" "), season, F.lit("\n"))).otherwise("")
+    course = F.concat(F.lit("DRS"), 100 + F.col("x.l_suppkey") % 900, F.lit("-2020 Konu "), F.col("x.l_partkey"), F.lit(" 3 A1 4,0 5"))
+    return line.select("doc_id", "chunk_index", F.concat(term, course).alias("text"))
+
+
+_COURSES = """g AS (SELECT l_orderkey AS doc_id, l_linenumber AS chunk_index, min({'d': l_shipdate, 'p': l_partkey, 's': l_suppkey}) AS x FROM lineitem GROUP BY 1, 2),
+w AS (SELECT doc_id, chunk_index, 'DRS' || (100 + x.s % 900) || '-2020' AS code, 'Konu ' || x.p AS name, year(x.d) AS y, month(x.d) % 3 + 1 AS season,
+      CASE WHEN chunk_index % 3 <> 0 THEN year(x.d) || '-' || (year(x.d) + 1) || ' ' || ['Güz', 'Bahar', 'Yaz'][month(x.d) % 3 + 1] END AS term FROM g),
+v AS (SELECT *, last_value(CASE WHEN term IS NOT NULL THEN {'y': y, 's': season, 't': term} END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY chunk_index) AS k FROM w),
+l AS (SELECT doc_id, k.t AS term, code, name, chunk_index FROM v WHERE k IS NOT NULL QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY k.y DESC, k.s DESC, chunk_index DESC) = 1)"""
+
+
+@query(f"WITH {_COURSES} SELECT doc_id, term, code, name, chunk_index FROM l")
 def latest_course(spark, d):
-    return R.latest_course(turns(spark, d).select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("chunk_index"), "text"))
+    return R.latest_course(transcripts(spark, d))
 
 
 # --- guard, verification, answers ------------------------------------------------------------------------------------
@@ -556,18 +612,30 @@ def evidence_answers(spark, d):
     return answering.evidence_fallback(q, s, V.evidence_support(q, s))
 
 
-@query()
+@query("""
+WITH c AS (SELECT c_custkey AS k, 'Uygun bölümler: ' || n_name || ' Mühendisliği.' AS departments FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey % 5 <> 0)
+SELECT k AS question_id, concat_ws(' ', CASE WHEN k % 2 = 0 THEN 'Belgeye göre 4. sınıfta öğrenim gören mühendislik öğrencileri başvurabilir.' END, departments, CASE WHEN k % 3 = 0 THEN 'süreç Genel Yetenek ve İngilizce sınavı, teknik mülakat, kurul mülakatı ve göreve başlama onayıyla ilerler.' END) AS answer FROM c""")
 def application_requirements(spark, d):
-    q, _, s = _replied(spark, d)
-    return answering.application_requirements(q, s)
+    """A programme for each customer: its nation names the department, and its key says which rules the sources hold."""
+    c = t(spark, d, "customer").join(t(spark, d, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_name"), "c_nationkey").withColumnRenamed("c_custkey", "question_id")
+    k = F.col("question_id")
+    first = F.concat(F.when(k % 5 != 0, "Aday Mühendis programı\n").otherwise("Burs programı\n"), "n_name", F.lit(" Mühendisliği"))
+    second = F.concat_ws("\n", F.lit("Koşullar aşağıdadır"), F.when(k % 2 == 0, "4 sınıfta öğrenim gören mühendislik öğrencileri"), F.when(k % 3 == 0, "Genel Yetenek, İngilizce ve teknik mülakat"))
+    s = c.select("question_id", F.posexplode(F.array(first, second)).alias("source_index", "text"))
+    return answering.application_requirements(c.select("question_id", F.lit("Başvuru şartları neler?").alias("question"), F.lit("factual").alias("mode")), s)
 
 
-@query()
+@query(f"""
+WITH {_COURSES}, r AS (SELECT doc_id, chunk_index, concat_ws(' ', term, code, name, '3 A1 4,0 5') AS text, row_number() OVER (PARTITION BY doc_id ORDER BY chunk_index) AS up, row_number() OVER (PARTITION BY doc_id ORDER BY chunk_index DESC) AS down FROM w),
+p AS (SELECT doc_id, CASE WHEN doc_id % 3 = 1 THEN 'first' ELSE 'last' END AS direction, 'Belgeye göre: ' || string_agg(text, ' ' ORDER BY chunk_index) AS answer FROM r WHERE CASE WHEN doc_id % 3 = 1 THEN up ELSE down END <= 3 GROUP BY 1)
+SELECT p.doc_id AS question_id, CASE WHEN p.doc_id % 3 = 0 AND term IS NOT NULL THEN 'Belgeye göre en son dönem ' || term || '; bu dönemde görünen ders ' || code || ' ' || name || ' dersidir.' ELSE answer END AS answer,
+CASE WHEN p.doc_id % 3 = 0 AND term IS NOT NULL THEN 'transcript-structure' ELSE 'extractive-fallback' END AS provider, CASE WHEN p.doc_id % 3 = 0 AND term IS NOT NULL THEN NULL ELSE 'document-order-' || direction END AS strategy FROM p LEFT JOIN l USING (doc_id)""")
 def order_answers(spark, d):
-    c = turns(spark, d)
-    x = F.col("text")
-    q = c.where("role = 'user'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("question_id"), F.col("conv_id").alias("doc_id"), x.alias("question"), R.classify_response_mode(x).alias("mode"))
-    return answering.order_answers(q, c.select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("chunk_index"), "text"))
+    """A question about each transcript: its latest course, or what its first or last part says."""
+    c = transcripts(spark, d)
+    ask = F.element_at(F.array(*map(F.lit, ("En son aldığı ders hangisi?", "İlk bölüm neyi anlatır?", "Son bölüm neyi anlatır?"))), (F.col("doc_id") % 3 + 1).cast("int"))
+    q = c.select("doc_id").distinct().select(F.col("doc_id").alias("question_id"), "doc_id", ask.alias("question"))
+    return answering.order_answers(q.withColumn("mode", R.classify_response_mode(F.col("question"))), c)
 
 
 @query()
@@ -585,6 +653,15 @@ def build_answers(spark, d):
     return answering.build_answers(q.withColumn("mode", R.classify_response_mode(F.col("question"))), s)
 
 
+@query(rf"""
+WITH {_ASKED}, x AS (SELECT question_id, source_index, left(text, 20) AS a, (length(text) % 100)::DOUBLE / 100 AS score FROM s),
+u AS (SELECT *, trim(regexp_replace(a, '\s+', ' ', 'g'), ' ') AS c FROM x WHERE score >= 0.02)
+SELECT question_id, 'Belgeye göre: ' || arg_max(a, (score, -source_index)) AS answer FROM u WHERE regexp_full_match(c, '[0-9]+([.,][0-9]+)?') OR (length(c) >= 3 AND len(regexp_extract_all(c, '[{_LET}]')) >= 2) GROUP BY 1""")
+def best_span(spark, d):
+    q, s = _asked(spark, d)
+    return answering.best_span(models.spans(q, s, _openings))
+
+
 @query(f"""
 WITH {_ASKED}, k AS (SELECT question_id, string_agg('[' || (source_index + 1) || '] ' || left(text, 1600), chr(10) || chr(10) ORDER BY source_index) AS listed FROM s GROUP BY 1),
 m AS (SELECT question_id, text, {_MODE} AS mode FROM q)
@@ -734,6 +811,13 @@ def document_permissions(spark, d):
     return O.document_permissions(_users(spark, d), _catalogue(spark, d))
 
 
+@query(f"""WITH {_ACCESS}, p AS (SELECT DISTINCT o_custkey AS user_id, o_orderkey % 1000 AS doc_id FROM orders)
+SELECT user_id, doc_id, branch IS NOT NULL AS can_access, coalesce(branch <= 1, false) AS can_manage, coalesce(branch <= 1 OR role = 'MANAGER', false) AS can_reindex FROM p LEFT JOIN a USING (user_id, doc_id)""")
+def check_permissions(spark, d):
+    asked = t(spark, d, "orders").select(F.col("o_custkey").alias("user_id"), (F.col("o_orderkey") % 1000).alias("doc_id"))
+    return O.check_permissions(asked, _users(spark, d), _catalogue(spark, d))
+
+
 @query("SELECT c_custkey AS user_id, n_name AS name FROM customer LEFT JOIN nation ON CASE WHEN c_custkey % 13 <> 0 THEN c_nationkey END = n_nationkey")
 def list_users(spark, d):
     n = t(spark, d, "nation").select(F.col("n_nationkey").alias("department_id"), F.col("n_name").alias("name"))
@@ -768,6 +852,17 @@ def replace_documents(spark, d):
     return S.replace_documents(x, new)
 
 
+@query("SELECT doc_id, CASE WHEN doc_id IN (SELECT doc_id FROM labels) THEN 'new' ELSE source END AS source FROM documents WHERE doc_id % 10 <> 3 OR doc_id IN (SELECT doc_id FROM labels)")
+def publish_documents(spark, d):
+    """The catalogue as its first version; then one that replaces the labelled documents and deletes every tenth."""
+    base = f"{S.shared_base(spark).rstrip('/')}/plumbline/versions-{uuid.uuid4().hex}"
+    x = t(spark, d, "documents").select("doc_id", "source")
+    new = x.join(t(spark, d, "labels").select("doc_id").distinct(), "doc_id", "left_semi").withColumn("source", F.lit("new"))
+    versions.publish(spark, base, x)
+    versions.publish(spark, base, new, x.where("doc_id % 10 = 3"))
+    return versions.live(spark, base)
+
+
 @query("SELECT doc_id, n_chars FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def delete_documents(spark, d):
     return S.delete_documents(t(spark, d, "documents").select("doc_id", "n_chars"), t(spark, d, "labels"))
@@ -786,7 +881,6 @@ def cache_misses(spark, d):
 def trace_stream(spark, d):
     """The running summary after a stream has read the whole feed."""
     import os
-    import uuid
 
     path = os.path.join(S.shared_base(spark), f"trace-{uuid.uuid4().hex}")
     traces(spark, d).write.parquet(f"{path}/feed")
