@@ -33,6 +33,34 @@ def sanitize_answer(answer: Column) -> Column:
     return F.trim(F.regexp_replace(a, "[ \t]{2,}", " "))
 
 
+# fixed value: said in place of a critique that its sources contradict
+SAFE_CRITIQUE = "Belgeye dayalı değerlendirme: İncelenen kaynaklarda doğrulanabilir belirgin bir olumsuz tespit bulunmuyor. Daha güçlü bir sunum için hedeflenen pozisyona en uygun proje, teknoloji ve ölçülebilir sonuçlar özet bölümünde önceliklendirilebilir."
+
+
+def safe_critique(answer: Column, context: Column, safe: str = SAFE_CRITIQUE) -> Column:
+    """The critique, or the safe text where the context contradicts it."""
+    return F.when(verification.grounded_critique(answer, context), answer).otherwise(F.lit(safe))
+
+
+def checked_candidates(questions: DataFrame, candidates: DataFrame, sources: DataFrame, key: str = "question_id") -> DataFrame:
+    """key, answer, provider of the candidates that say something: sanitised, and a critique that any of its sources contradicts
+    is replaced by the safe text. questions: key, mode. Null and empty candidates have no row."""
+    rows = candidates.select(key, sanitize_answer(F.coalesce("answer", F.lit(""))).alias("said")).where("said <> ''").join(questions.select(key, "mode"), key)
+    critiques = rows.where("mode = 'critique'")
+    read = sources.join(critiques.select(key), key, "left_semi").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("source_index", "text"))).alias("s"))
+    judged = critiques.join(read.select(key, F.array_join(F.transform("s", lambda x: x["text"]), "\n").alias("context")), key, "left")
+    judged = judged.select(key, "said", safe_critique(F.col("said"), F.coalesce("context", F.lit(""))).alias("answer"))
+    # fixed value: the provider's name of replaced critiques
+    provider = F.when(F.col("answer") == F.col("said"), "generated").otherwise("ollama-safety-guard")
+    others = rows.where("mode <> 'critique' OR mode IS NULL").select(key, F.col("said").alias("answer"), F.lit("generated").alias("provider"))
+    return judged.select(key, "answer", provider.alias("provider")).unionByName(others)
+
+
+def repaired_sources(sources: DataFrame) -> DataFrame:
+    """sources with their texts repaired; null texts become empty, other columns stay."""
+    return sources.withColumn("text", T.repair_text_artifacts(F.coalesce("text", F.lit(""))))
+
+
 def combine_sources(sources: DataFrame, key: str = "question_id", n: int = 3) -> DataFrame:
     """key, context: the first n source texts, a line each."""
     first = sources.where(F.col("source_index") < n).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("source_index", "text"))).alias("s"))
@@ -62,7 +90,7 @@ def build_answers(questions: DataFrame, sources: DataFrame, candidates: DataFram
     left = questions.join(with_sources, key, "left_semi")
     branches = [(application_requirements(questions, sources, key), "application-requirements-structure")]
     if candidates is not None:
-        branches.append((candidates.where(F.trim(F.coalesce("answer", F.lit(""))) != "").select(key, sanitize_answer(F.col("answer")).alias("answer")), "generated"))
+        branches.append((checked_candidates(left, candidates, sources, key), None))
     if profiles is not None:
         branches.append((left.where("mode = 'summary'").join(profiles, "doc_id").where("summary <> ''").select(key, F.col("summary").alias("answer")), "document-profile"))
     branches.append((questions.where("mode = 'critique'").select(key, F.lit(CRITIQUE_NOTICE).alias("answer")), "critique-fallback"))
@@ -71,7 +99,7 @@ def build_answers(questions: DataFrame, sources: DataFrame, candidates: DataFram
     branches.append((extractive_answers(questions, sources, key), "extractive-fallback"))
     for rows, provider in branches:
         took = left.select(key).join(rows, key)
-        out = out.unionByName(took.select(key, "answer", F.lit(provider).alias("provider")))
+        out = out.unionByName(took.select(key, "answer", F.lit(provider).alias("provider") if provider else "provider"))
         left = left.join(took, key, "left_anti")
     return out
 
@@ -151,15 +179,6 @@ def application_requirements(questions: DataFrame, sources: DataFrame, key: str
     return rows.select(key, sentences.alias("answer")).where("answer <> ''")
 
 
-# fixed value: said in place of a critique that its sources contradict
-SAFE_CRITIQUE = "Belgeye dayalı değerlendirme: İncelenen kaynaklarda doğrulanabilir belirgin bir olumsuz tespit bulunmuyor. Daha güçlü bir sunum için hedeflenen pozisyona en uygun proje, teknoloji ve ölçülebilir sonuçlar özet bölümünde önceliklendirilebilir."
-
-
-def safe_critique(answer: Column, context: Column, safe: str = SAFE_CRITIQUE) -> Column:
-    """The critique, or the safe text where the context contradicts it."""
-    return F.when(verification.grounded_critique(answer, context), answer).otherwise(F.lit(safe))
-
-
 def answer_payload(answers: DataFrame, sources: DataFrame, citations: DataFrame, key: str = "question_id") -> DataFrame:
     """key, answer, sources, citations, trace: what one answer gives its reader; answers: key, answer, provider."""
     s = sources.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("source_index", "text"))).alias("sources"))

@@ -100,13 +100,21 @@ def evidence_support(questions: DataFrame, sources: DataFrame, key: str = "quest
 
 
 def grounded_answers(answers: DataFrame, sources: DataFrame, key: str = "answer_id") -> DataFrame:
-    """key, grounded of every answer: empty and no-answer ones are not; critiques must not contradict their sources; the
-    others must have every claim supported. answers: key, answer, mode."""
+    """key, grounded of every answer: empty ones are not; critiques must not contradict their sources; one that says there is
+    no answer must be to a question without evidence; the others must have every claim supported.
+
+    answers: key, answer, mode, and question, without which no-answer rows are not grounded.
+    """
     context = sources.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("source_index", "text"))).alias("s")).select(key, F.array_join(F.transform("s", lambda x: x["text"]), "\n").alias("context"))
-    plain = answers.where((F.trim(F.coalesce("answer", F.lit(""))) != "") & ~T.is_no_answer_response(F.col("answer")))
+    said = answers.where(F.trim(F.coalesce("answer", F.lit(""))) != "")
+    plain = said.where(~T.is_no_answer_response(F.col("answer")))
+    silent = said.where(T.is_no_answer_response(F.col("answer"))).select(key, F.lit(False).alias("ok"))
+    if "question" in answers.columns:
+        asked = said.where(T.is_no_answer_response(F.col("answer")))
+        silent = evidence_support(asked.select(key, F.coalesce("question", F.lit("")).alias("question")), sources.join(asked.select(key), key, "left_semi"), key).select(key, (~F.col("supported")).alias("ok"))
     critiques = plain.where("mode = 'critique'").join(context, key, "left").select(key, grounded_critique(F.col("answer"), F.coalesce("context", F.lit(""))).alias("ok"))
     claims = validate_answers(plain.where("mode <> 'critique'"), sources, key).select(key, F.col("supported").alias("ok"))
-    return answers.select(key).join(critiques.union(claims), key, "left").select(key, F.coalesce("ok", F.lit(False)).alias("grounded"))
+    return answers.select(key).join(critiques.union(claims).union(silent), key, "left").select(key, F.coalesce("ok", F.lit(False)).alias("grounded"))
 
 
 def grounded_critique(answer: Column, context: Column) -> Column:

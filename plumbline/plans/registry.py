@@ -927,6 +927,53 @@ def validate_notices(spark, d):
     return V.validate_answers(a, s).select("answer_id", "n_claims", "n_supported", "supported", "reason")
 
 
+def _told(spark, d):
+    """Customers with what a notice says of them: key k, its percentage p, and the notice with a given fee."""
+    c = t(spark, d, "customer").select(F.col("c_custkey").alias("answer_id"), (F.col("c_nationkey") + 1).alias("p"))
+    said = lambda fee: F.concat(F.lit("Burs oranı %"), F.col("p"), F.lit(" olarak uygulanır. Kayıt ücreti "), F.col("answer_id") % 500 + fee, F.lit(".000 TL tutar."))
+    return c, said, c.select("answer_id", F.lit(0).alias("source_index"), said(1).alias("text"))
+
+
+@query("""SELECT c_custkey AS answer_id, 2::BIGINT AS n_claims, 2::BIGINT AS n_supported, c_custkey % 3 <> 0 AS aligned, c_custkey % 3 <> 0 AS supported, CASE WHEN c_custkey % 3 <> 0 THEN 'all-claims-supported' ELSE 'question-fact-mismatch' END AS reason FROM customer""")
+def question_alignment(spark, d):
+    """Notices as answers to questions about their percentage, or, for keys divisible by three, about another one."""
+    c, said, s = _told(spark, d)
+    asked = F.concat(F.lit("Burs oranı %"), F.col("p") + F.when(F.col("answer_id") % 3 == 0, 40).otherwise(0), F.lit(" mi?"))
+    return V.validate_answers(c.select("answer_id", said(1).alias("answer"), F.lit("factual").alias("mode"), asked.alias("question")), s)
+
+
+@query("SELECT c_custkey AS answer_id, c_custkey % 5 IN (0, 3, 4) AS grounded FROM customer")
+def grounded_answers(spark, d):
+    """By key mod 5: the right fee, another one, no answer in spite of evidence, no answer without any, a critique."""
+    c, said, s = _told(spark, d)
+    k = F.col("answer_id") % 5
+    answer = F.when(k == 0, said(1)).when(k == 1, said(2)).when(k == 4, "Kayıt adımları daha açık yazılabilir.").otherwise("Bu bilgi belgede yer almıyor.")
+    asked = F.concat(F.lit("Burs oranı %"), F.col("p") + F.when(k == 3, 40).otherwise(0), F.lit(" mi?"))
+    return V.grounded_answers(c.select("answer_id", answer.alias("answer"), F.when(k == 4, "critique").otherwise("factual").alias("mode"), asked.alias("question")), s)
+
+
+@query(f"""SELECT c_custkey AS question_id, CASE WHEN c_custkey % 7 = 0 THEN 'Belgeye göre: ' || 'Java becerileri, 20' || (10 + c_nationkey) || ' yılı.' WHEN c_custkey % 2 = 0 AND c_custkey % 3 > 0 THEN '{answering.SAFE_CRITIQUE}' ELSE ['Özet kısa kalmış.', 'Deneyimler tarihlendirilmemiş.', 'Teknik becerileri eksik.'][c_custkey % 3 + 1] END AS answer,
+CASE WHEN c_custkey % 7 = 0 THEN 'extractive-fallback' WHEN c_custkey % 2 = 0 AND c_custkey % 3 > 0 THEN 'ollama-safety-guard' ELSE 'generated' END AS provider FROM customer""")
+def checked_critiques(spark, d):
+    """Three critiques by key mod 3, as candidates of critique questions where the key is even; the source contradicts two of
+    them. Every seventh question is factual and has an empty candidate."""
+    c = t(spark, d, "customer").withColumnRenamed("c_custkey", "question_id")
+    k = F.col("question_id")
+    q = c.select("question_id", F.lit("Bu metin ne diyor?").alias("question"), F.when((k % 7 == 0) | (k % 2 == 1), "factual").otherwise("critique").alias("mode"))
+    said = F.element_at(F.array(*map(F.lit, ("Cevap: Özet kısa kalmış.", "Deneyimler tarihlendirilmemiş. (Kaynak: 1)", "Teknik becerileri eksik."))), (k % 3 + 1).cast("int"))
+    s = c.select("question_id", F.lit(0).alias("source_index"), F.concat(F.lit("Java becerileri, 20"), 10 + F.col("c_nationkey"), F.lit(" yılı.")).alias("text"))
+    return answering.build_answers(q, s, c.select("question_id", F.when(k % 7 == 0, " ").otherwise(said).alias("answer")))
+
+
+@query("SELECT doc_id, md5(nfc_normalize(coalesce(text, ''))) AS repaired FROM documents")
+def repaired_sources(spark, d):
+    """Texts broken as PDF extraction breaks them: glyph names for some letters, accents apart from others."""
+    x = F.coalesce("text", F.lit(""))
+    for letter, broken in (("i", "/idotaccent"), ("é", "/uni00E9"), ("ç", "/uni00e7"), ("ü", "u\u0308"), ("ñ", "n\u0303")):
+        x = F.replace(x, F.lit(letter), F.lit(broken))
+    return answering.repaired_sources(t(spark, d, "documents").select("doc_id", x.alias("text"))).select("doc_id", F.md5("text").alias("repaired"))
+
+
 # --- what exists as single functions and small plans -------------------------------------------------------------------
 
 

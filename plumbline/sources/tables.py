@@ -15,7 +15,10 @@ requiredAnswerTermGroups:array<array<string>>,forbiddenAnswerTerms:array<string>
 
 
 def read_document_files(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Accepted files (path, kind, content) and rejected ones: pdf, docx and txt that are not empty are accepted."""
+    """Accepted files (path, kind, content) and rejected ones: pdf, docx and txt that are not empty are accepted.
+
+    Spark's scan passes over files of no bytes: they are in neither table.
+    """
     f = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     f = f.withColumn("kind", F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1)))
     fine = F.col("kind").isin("pdf", "docx", "txt") & (F.col("length") > 0)

@@ -5,7 +5,7 @@ import __spark_entry__ as entry
 
 D = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-FAST = ["latest_course", "application_requirements", "order_answers", "publish_documents", "check_permissions", "rerank", "model_embed", "best_span", "notice_facts", "split_claims", "validate_notices", "scan_chunks", "join_profile", "get_profile", "select_sources", "list_departments", "document_listing", "ready_documents", "submit_jobs", "submitted_status", "share_document", "rejected_shares", "assign_access", "chat_history", "invalidate_cache", "delete_cascade", "guard_answer", "file_names", "trace_rows", "trim_to_sentence", "heading_sections", "semantic_blocks", "chunk_documents", "without_chunks", "build_profile", "extract_claim_facts", "fulltext_search", "expand_questions", "hybrid_passages", "guard_reasons", "evidence_support", "match_claims", "validate_answers", "build_answers", "build_prompts", "score_cases", "retrieval_metrics", "quality_gates", "meaningful_terms", "shorten", "extract_percentages", "page_lines", "hash_embed", "lexical_search", "hybrid_search", "question_modes", "quality_summary", "accessible_documents", "document_permissions", "route_failures", "document_status"]
+FAST = ["question_alignment", "grounded_answers", "checked_critiques", "repaired_sources", "latest_course", "application_requirements", "order_answers", "publish_documents", "check_permissions", "rerank", "model_embed", "best_span", "notice_facts", "split_claims", "validate_notices", "scan_chunks", "join_profile", "get_profile", "select_sources", "list_departments", "document_listing", "ready_documents", "submit_jobs", "submitted_status", "share_document", "rejected_shares", "assign_access", "chat_history", "invalidate_cache", "delete_cascade", "guard_answer", "file_names", "trace_rows", "trim_to_sentence", "heading_sections", "semantic_blocks", "chunk_documents", "without_chunks", "build_profile", "extract_claim_facts", "fulltext_search", "expand_questions", "hybrid_passages", "guard_reasons", "evidence_support", "match_claims", "validate_answers", "build_answers", "build_prompts", "score_cases", "retrieval_metrics", "quality_gates", "meaningful_terms", "shorten", "extract_percentages", "page_lines", "hash_embed", "lexical_search", "hybrid_search", "question_modes", "quality_summary", "accessible_documents", "document_permissions", "route_failures", "document_status"]
 
 
 def key(row):
