@@ -113,6 +113,15 @@ class Tokenizer:
         return out, np.concatenate([[0], to])[np.searchsorted(cuts, offsets)]
 
 
+def part_order(file: str) -> tuple[str, int, str]:
+    """Sorts files as they were written: by folder, then by part number, as part-100000 comes after part-99999."""
+    import re
+
+    folder, _, name = file.rpartition("/")
+    number = re.match(r"part-(\d+)", name)
+    return folder, int(number[1]) if number else 0, name
+
+
 def permute(k: np.ndarray, size: int, key: int, rounds: int = 6) -> np.ndarray:
     """pi(k) of each k in 0..size-1: a keyed Feistel network over 2 * half bits with cycle-walking."""
     half = max(1, (max(size - 1, 1).bit_length() + 1) // 2)
@@ -197,7 +206,7 @@ def write_shards(docs: DataFrame, path: str, length: int = 512, per_shard: int =
         yield pa.RecordBatch.from_arrays([pa.array([f for f, _ in names], pa.string()), pa.array([r for _, r in names], pa.int64()), pa.array([found[x][0] for x in names], pa.int64()), pa.array([str(found[x][1]) for x in names], pa.string())], names=["file", "row", "n", "sum"])
 
     total, first, sums = 0, {}, {}
-    for r in sorted(rows.mapInArrow(count, "file string, row long, n long, sum string").collect()):
+    for r in sorted(rows.mapInArrow(count, "file string, row long, n long, sum string").collect(), key=lambda r: (*part_order(r.file), r.row)):
         first[r.file, r.row], sums[r.file, r.row] = total, int(r["sum"])
         total += r.n
     if not total:

@@ -330,6 +330,11 @@ def test_training_order(spark):
     assert curriculum.training_order(docs.limit(0)).count() == 0
 
 
+def test_part_files_sort_by_number():
+    names = ["x/part-99999-a.parquet", "x/part-100000-a.parquet", "x/part-00002-b.parquet", "a/part-00003.parquet", "x/other"]
+    assert sorted(names, key=shards.part_order) == ["a/part-00003.parquet", "x/other", "x/part-00002-b.parquet", "x/part-99999-a.parquet", "x/part-100000-a.parquet"]
+
+
 def test_shards_keep_order_within_windows(spark):
     rng = np.random.default_rng(2)
     texts = [(i, " ".join(f"w{x}" for x in rng.integers(0, 99, rng.integers(0, 80)))) for i in range(500)] + [(None, "long " * 20_000)]
