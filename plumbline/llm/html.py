@@ -10,12 +10,18 @@ their class, id or role say that they are no main text (menus, headers, footers,
 comments) are breaks in the sequence, and end any region, unless they hold every <article> and <main> of the page or, on a
 page without those, nearly all of its words: a form or wrapper around the whole page is unwrapped, and what it holds is judged in its place. Tokens of
 layout (has-sidebar, no-header, with-nav) mean nothing. A header inside an article goes too, but for its headings.
+Headings are never cut by class, id or role. Tokens that a text may be about just as well (search, related, menu, ...)
+cut a paragraph, or a section by its id, only where most of its words are linked, and no other element of an article
+that holds most of the article's words.
 
-The region grows to all of the smallest article or main around it. Where there is none, it grows to whole blocks, and
+The region grows to all of the smallest article or main around it, with the mostly unlinked articles beside it (of one
+parent: two stories of a page are both its text) and the h1 that stands before it in its main. A run over several
+articles takes them whole. Where there is none, it grows to whole blocks, and
 over neighbouring blocks as long as they are mostly unlinked words in a text element (p, h1..h6, li, ...) or in elements
 nested like those of the region; breaks are skipped, so that an advert does not end an article.
 
-End tags that HTML lets authors omit (p, li, td, ...) are implied. Null and empty pages give an empty text. Cut-off pages
+Tags are read as HTML does: a quote opens a value only after "=" (and only if it is closed somewhere), a stray one is part
+of a name. End tags that HTML lets authors omit (p, li, td, ...) are implied. Null and empty pages give an empty text. Cut-off pages
 are read as far as they go, and pages of any length whole. Repeated rows, also of one id, and null ids are separate rows.
 Ties go to the first region. Columns beside id, url and html are not read, whatever their names. An empty table gives an
 empty result.
@@ -32,6 +38,8 @@ from collections import Counter
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import byte_slices
+
 #: Elements whose content is never text of the page.
 SILENT = frozenset("script style noscript template title textarea select option button input iframe object embed svg canvas audio video dialog".split())
 #: Elements that are no main text by their name.
@@ -40,6 +48,9 @@ ASIDE = frozenset("nav aside footer form menu header".split())
 BOILERPLATE = re.compile(r"(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|notice|alert|sidebar|menu|nav|navbar|navigation|breadcrumbs?|header|masthead|footer|comments?|respond|reply|replies|disqus|share|sharing|social|related|recommend\w*|newsletter|subscribe|signup|popup|modal|overlay|pagination|pager|search|widget|toolbar|skip|complementary|contentinfo)", re.I)
 #: Those that never wrap a page, and make an article one of a reader.
 COMMENT = re.compile(r"comments?|respond|reply|replies", re.I)
+#: Those of BOILERPLATE that a text may be about, or that wrap texts.
+TOPICAL = re.compile(r"banner|menu|nav|navbar|navigation|header|masthead|sharing|share|social|related|recommend\w*|search|widget|toolbar|skip|overlay|modal|popup", re.I)
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: First parts of tokens that speak of the layout, not of the element.
 LAYOUT = frozenset("has with without no is show hide wide full one two three".split())
 RAW = frozenset("script style textarea title noscript template iframe".split())
@@ -50,8 +61,10 @@ TEXTUAL = frozenset("p h1 h2 h3 h4 h5 h6 li blockquote pre dd dt figcaption capt
 #: Elements that a start tag ends if they are open, and the elements up to which that reaches.
 BLOCKS = frozenset("address article aside blockquote div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 IMPLIED = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "tr": ({"td", "th", "tr"}, {"table"}), "tbody": ({"td", "th", "tr", "thead", "tbody"}, {"table"}), "tfoot": ({"td", "th", "tr", "thead", "tbody"}, {"table"})}
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
-NAMED = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+#: An attribute: its name, and its value in double, single or no quotes. Nothing is given back, so that it is linear.
+ATTRIBUTE = r"""[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:"[^"]*"|'[^']*'|[^\s>]*+))?+"""
+TAG = re.compile(rf"<!--(?:-?>|.*?(?:--!?>|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</(?=[^a-zA-Z])[^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[\s/]++|{ATTRIBUTE})*+)(?:>|\Z)", re.S)
+NAMED = re.compile(r"""([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:"([^"]*)"|'([^']*)'|([^\s>]*+)))?+""")
 #: Used where no page marks its content.
 DEFAULT_WEIGHTS = {"word": 1.0, "link_word": -1.0, "tag": -2.0}
 #: A wrapper of boilerplate name is unwrapped if fewer unlinked words than this share of all stay outside of such elements.
@@ -61,31 +74,38 @@ LEAST_OUTSIDE = 0.1
 class Element:
     """An element with its parent, the aside around it, whether an article is around it, and the names above it as one hash."""
 
-    __slots__ = ("name", "parent", "aside", "outer", "inside", "path", "words", "articles")
+    __slots__ = ("name", "parent", "aside", "outer", "inside", "around", "path", "words", "linked", "articles")
 
     def __init__(self, name: str, parent: Element | None, aside: int):
-        self.name, self.parent, self.aside, self.words = name, parent, aside, 0
+        self.name, self.parent, self.aside, self.words, self.linked = name, parent, aside, 0, 0
         self.articles = int(name in ("article", "main") and not aside)
         self.outer = parent and (parent if parent.aside else parent.outer)
         self.inside = bool(self.articles) or parent is not None and parent.inside
+        self.around = self if self.articles else parent and parent.around  # the smallest article or main, itself included
         self.path = hash((parent.path, name)) if parent else 0
 
 
 def says_aside(name: str, attributes: str) -> int:
-    """Whether an element's name, class, id or role says that it is no main text: 1 if it may be a wrapper yet, 2 if not."""
+    """Whether an element's name, class, id or role says that it is no main text: 0 if not, 2 if it does and never wraps
+    the page, 1 if it may, 3 if only topical tokens say so, and 4 if they stand at running text or are a section's id."""
     if name in ASIDE:
         return 1 if name in ("form", "header") else 2
-    if name in ("body", "html", "main") or not attributes:
+    if name in ("body", "html", "main") or name in HEADINGS or not attributes:
         return 0
-    out = 0
-    for values in NAMED.findall(attributes):
-        for token in "".join(values).split():
+    said = set()
+    for key, *values in NAMED.findall(attributes):
+        key = key.lower()
+        for token in "".join(values).split() if key in ("class", "id", "role") else ():
             parts = [x for x in re.split(r"[-_]+", token) if x]
             if parts and parts[0].lower() not in LAYOUT:
                 if any(COMMENT.fullmatch(x) for x in parts):
                     return 2
-                out = max(out, name != "article" and any(BOILERPLATE.fullmatch(x) for x in parts))
-    return int(out)
+                named = [x for x in parts if BOILERPLATE.fullmatch(x)] if name != "article" else []
+                if any(not TOPICAL.fullmatch(x) for x in named):
+                    said.add(1)
+                elif named:
+                    said.add(4 if name in ("p", "blockquote", "pre") or name == "section" and key == "id" else 3)
+    return min(said, default=0)
 
 
 def parse(page: str) -> list[tuple]:
@@ -98,7 +118,10 @@ def parse(page: str) -> list[tuple]:
     def text(piece: str) -> None:
         if piece:
             piece = entities.unescape(piece) if "&" in piece else piece
-            here.words += 0 if links else len(piece.split())
+            if links:
+                here.linked += len(piece.split())
+            else:
+                here.words += len(piece.split())
             out.append(("text", piece, links > 0, here))
 
     def close() -> None:
@@ -109,6 +132,7 @@ def parse(page: str) -> list[tuple]:
             links = max(0, links - 1)
         up = here.parent
         up.words += here.words
+        up.linked += here.linked
         up.articles += here.articles
         here = up
 
@@ -137,7 +161,7 @@ def parse(page: str) -> list[tuple]:
             close_open({name}, ())
             continue
         if name in RAW:
-            end = re.compile(rf"</{name}[^>]*>", re.I).search(page, at)
+            end = re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I).search(page, at)
             at = end.end() if end else n
             out.append(("void", name, here))
             continue
@@ -158,6 +182,15 @@ def parse(page: str) -> list[tuple]:
     return out
 
 
+def no_break(x: Element) -> bool:
+    """Whether an element named by topical tokens is text all the same, by what it holds."""
+    if x.aside == 4:
+        return x.words >= x.linked
+    if x.aside == 3 and x.inside:
+        return 2 * x.words > x.around.words
+    return False
+
+
 def breaks(events: list[tuple]) -> set[Element]:
     """The outermost elements that are no main text: those that say so, but for wrappers of all articles or of the whole page."""
     if not events:
@@ -180,7 +213,7 @@ def breaks(events: list[tuple]) -> set[Element]:
             todo = list(within.get(x, ()))
             continue
         x = todo.pop()
-        if root.articles and x.articles == root.articles and x.name not in SILENT:
+        if root.articles and x.articles == root.articles and x.name not in SILENT or no_break(x):
             todo += within.get(x, ())
             continue
         found.add(x)
@@ -218,7 +251,7 @@ def pieces(page: str, weights: dict[str, float]) -> list[tuple]:
             out.append(e)
             continue
         if skipping.name == "header":
-            if heading is None and e[0] == "open" and e[1] in ("h1", "h2", "h3", "h4", "h5", "h6") and skipping.inside:
+            if heading is None and e[0] == "open" and e[1] in HEADINGS and skipping.inside:
                 heading = element
             if heading is not None:
                 out.append(e)
@@ -263,18 +296,28 @@ def blocks(events: list[tuple]) -> list[list]:
     return out
 
 
-def region(events: list[tuple], weights: dict[str, float]) -> tuple[int, int]:
-    """First and last + 1 event of the main text: the best run, grown to its article or to whole neighbouring blocks."""
+def regions(events: list[tuple], weights: dict[str, float]) -> list[tuple[int, int]]:
+    """First and last + 1 events of the main text, in page order: the best run, grown to its articles, with those beside
+    them and the h1 before them, or to whole neighbouring blocks."""
     first, last = scan([score(e, weights) for e in events])
     if first == last:
-        return 0, 0
-    e = next(e for e in events[first:last] if e[0] == "text")[3]
-    if e.inside:
-        ends = {e[2]: i + 1 for i, e in enumerate(events) if e[0] == "close"}
-        while e is not None:
-            if e.articles and e.name in ("article", "main") and ends.get(e, 0) >= last:
-                return next(i for i, x in enumerate(events) if x[0] == "open" and x[2] is e), ends[e]
+        return []
+    texts = [e[3] for e in events[first:last] if e[0] == "text" and not e[1].isspace()]
+    starts = {e[2]: i for i, e in enumerate(events) if e[0] == "open"}
+    ends = {e[2]: i + 1 for i, e in enumerate(events) if e[0] == "close"}
+    head, tail = texts[0].around, texts[-1].around
+    if head is not None:
+        e = head
+        while e is not None and not (e.articles and e.name in ("article", "main") and ends.get(e, 0) >= last):
             e = e.parent
+        if e is None:  # a run over several articles
+            return [(starts[head], max(last, ends[tail] if tail is not None else 0))]
+        beside = [x for x in starts if x.name == "article" and not x.aside and x.parent is e.parent and x in ends and (x is e or x.words > x.linked)] if e.name == "article" else [e]
+        out = [(starts[x], ends[x]) for x in beside]
+        around = e.parent.around
+        if around is not None:
+            out += [(starts[x], ends[x]) for x in starts if x.name == "h1" and x in ends and starts[x] < out[0][0] and x.around is around]
+        return sorted(out)
     found = blocks(events)
     at = [k for k, b in enumerate(found) if b[0] < last and b[1] > first]
     low, high = at[0], at[-1]
@@ -287,20 +330,20 @@ def region(events: list[tuple], weights: dict[str, float]) -> tuple[int, int]:
         low -= 1
     while high + 1 < len(found) and fits(found[high + 1]):
         high += 1
-    return min(found[low][0], first), max(found[high][1], last)
+    return [(min(found[low][0], first), max(found[high][1], last, ends[tail] if tail is not None else 0))]
 
 
 def main_text(page: str | None, weights: dict[str, float]) -> str:
     if not page:
         return ""
     events = pieces(page, weights)
-    first, last = region(events, weights)
     out = []
-    for e in events[first:last]:
-        if e[0] == "text":
-            out.append(e[1])
-        elif e[0] == "cut" or e[1] not in INLINE:
-            out.append(" ")
+    for first, last in regions(events, weights):
+        for e in events[first:last]:
+            if e[0] == "text":
+                out.append(e[1])
+            elif e[0] == "cut" or e[1] not in INLINE:
+                out.append(" ")
     return " ".join("".join(out).split())
 
 
@@ -330,7 +373,7 @@ def fit_weights(pages: DataFrame, id_col: str = "page_id", html_col: str = "html
     def count(batches):
         import pyarrow as pa
 
-        for b in batches:
+        for b in (x for batch in batches for x in byte_slices(batch)):
             seen: Counter = Counter()
             for page in b.column(0).to_pylist():
                 seen.update(page_counts(page))
@@ -355,7 +398,7 @@ def extract(pages: DataFrame, weights: dict[str, float] | None = None, id_col: s
     def run(batches):
         import pyarrow as pa
 
-        for b in batches:
+        for b in (x for batch in batches for x in byte_slices(batch, 2)):
             texts = [main_text(x, w) for x in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 

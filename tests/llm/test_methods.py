@@ -189,6 +189,62 @@ def test_main_text_cases():
         assert text(f"<{name}>" * 20_000 + "the text") == "the text"
 
 
+def test_main_text_quotes_and_names():
+    """Stray quotes are no values; headings stay whatever their names; topical names cut nothing that is text."""
+    text = lambda p: html.main_text(p, html.DEFAULT_WEIGHTS)
+    assert text('<article><p><a href="x"">link</a> one two three</p><p>four</p></article>') == "link one two three four"
+    assert text("<article><p title=it's>one two three</p><p>four</p></article>") == "one two three four"
+    assert text('<article><p title="never closed>one two three</p><p>four</p></article>') == "one two three four"
+    assert text("<article><p data-x='a>b' title=\"c>d\" e=f'>g>one two</p></article>") == "g>one two"
+    assert text("<article><p>one <!-->two<!-- no --!> three</ > four</></p><script>x</scripts></script>five</article>") == "one two three four five"
+    for heading in ('<h2 class="section-header">Methods</h2>', '<h1 class="entry-header">Methods</h1>', '<h2 id="search">Methods</h2>'):
+        assert text(f"<article>{heading}<p>We did this and that.</p></article>") == "Methods We did this and that."
+    assert text('<article><p>First of all words.</p><section id="related-work"><h2>Related work</h2><p>Others did it too.</p></section></article>') == "First of all words. Related work Others did it too."
+    assert text('<article><p>First of all words.</p><p class="search">We search for words.</p></article>') == "First of all words. We search for words."
+    assert text('<article><p>First of all words.</p><section id="related-posts"><h2>Read</h2><ul><li><a href=x>Another long story here</a></ul></section></article>') == "First of all words."
+    assert text('<article><h1>Head</h1><div class="banner-layout"><p>All of the words of the article are here.</p></div></article>') == "Head All of the words of the article are here."
+    assert text('<article><h1>Head</h1><p>All of the words are here.</p><div class="banner">Buy it</div></article>') == "Head All of the words are here."
+
+
+def test_main_text_of_several_articles():
+    text = lambda p: html.main_text(p, html.DEFAULT_WEIGHTS)
+    a, b = "<article><h2>A</h2><p>The first story is told here.</p></article>", "<article><h2>B</h2><p>The second story is told here, at more length than that.</p></article>"
+    both = "A The first story is told here. B The second story is told here, at more length than that."
+    assert text(f"<body>{a}<div class=ad>Buy</div>{b}</body>") == both
+    assert text(f"<main><h1>News</h1>{a}{b}</main>") == f"News {both}"
+    assert text(f"<main><h1>News</h1><aside>No</aside>{b}<h1>After</h1></main>") == "News B The second story is told here, at more length than that."
+    assert text(f"<body>{b}<article><a href=x>Another story of ours</a></article></body>") == "B The second story is told here, at more length than that."
+
+
+def test_tags_against_the_standard_parser():
+    """Texts between random tags, with quotes, entities and comments, are those of html.parser."""
+    from html.parser import HTMLParser
+
+    class Texts(HTMLParser):
+        def handle_data(self, data):
+            found.append(data)
+
+    draw = random.Random(8)
+    parts = ["one ", "two", "&amp;", "&eacute;", " > ", "it's ", '"said" ', "<p>", "</p>", "<br>", "<br/>", "<b class=x>", "</b>", '<i title="a > b">', "<i title='a \" > b'>", "<a href=x=y'z>", '<a  href = "x" id=q >', "<!-- a > 'b -->", "<div data-x>", "</div >", "<h2 id='search'>", "< no", "<p =x>", "\n"]
+    for _ in range(3000):
+        page = "".join(draw.choice(parts) for _ in range(draw.randrange(0, 20))) + "<hr>"
+        found: list[str] = []
+        reader = Texts()
+        reader.feed(page)
+        reader.close()
+        assert "".join(e[1] for e in html.parse(page) if e[0] == "text") == "".join(found), page
+
+
+def test_tags_in_linear_time():
+    """Pages of 1 MB of one odd thing take seconds."""
+    import time
+
+    for odd in ("<", '<p a="', "<p a='", "<p =", "<p a = ", "<!--", "</", "<p " + "a" * 50, "=", "<div class=menu>", "<article><div class=menu>", '<section id="search">'):
+        start = time.time()
+        html.main_text("<p>text here</p>" + odd * (1_000_000 // len(odd)), html.DEFAULT_WEIGHTS)
+        assert time.time() - start < 15, odd
+
+
 def test_fitted_weights(spark):
     pages = [(i, "u", f'<body><nav><a href=x>Menu here</a></nav><article><h1>Head {i}</h1><p>Text of page {i} is here.</p></article><div class="ad">x</div></body>', "clash") for i in range(30)]
     df = spark.createDataFrame(pages, "page_id long, url string, html string, text string")
