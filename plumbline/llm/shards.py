@@ -186,6 +186,17 @@ def _open(uri: str):
     return fs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (fs.LocalFileSystem(), uri)
 
 
+def located(spark: SparkSession, path: str) -> str:
+    """path with the scheme and authority of the file system that Spark takes for it, as a small table written there shows;
+    paths of the local file system, and those with a scheme, stay as they are."""
+    if "://" in path or path.startswith("file:"):
+        return path
+    spark.range(1).write.mode("overwrite").parquet(f"{path}/_where")
+    uri = spark.read.parquet(f"{path}/_where").inputFiles()[0]
+    root = uri[: uri.index("/", uri.index("://") + 3)] if "://" in uri else "file:"
+    return path if root.startswith("file:") else root + path
+
+
 def write_shards(docs: DataFrame, path: str, length: int = 512, per_shard: int = 2048, key: int = 20240101, vocabulary: str = VOCABULARY, id_bytes: int = 2, in_order: bool = False, window: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> int:
     """Write the shards of docs below path; returns the number of sequences. Shuffles each sequence once, compressed."""
     place_of = [F.col("_metadata.file_path"), F.col("_metadata.row_index")] if in_order else [F.lpad(F.spark_partition_id().cast("string"), 9, "0"), F.lit(0).cast("long")]
@@ -214,6 +225,7 @@ def write_shards(docs: DataFrame, path: str, length: int = 512, per_shard: int =
     shards, stride = -(-total // per_shard), 16 + id_bytes * length
     shards_a_part = max(1, min(PART_BYTES // (per_shard * stride), shards // (4 * docs.sparkSession.sparkContext.defaultParallelism)))
     parts = -(-shards // shards_a_part)
+    target = located(docs.sparkSession, path)
 
     def place(batches):
         import zlib
@@ -257,7 +269,7 @@ def write_shards(docs: DataFrame, path: str, length: int = 512, per_shard: int =
 
         import pyarrow as pa
 
-        system, folder = _open(path)
+        system, folder = _open(target)
         system.create_dir(folder, recursive=True)
         shard, block, filled, done = -1, None, 0, []
 
