@@ -88,7 +88,8 @@ def key_words(templates: dict[str, list[str]], containment: float) -> list[str]:
 def scan(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES, containment: float = 0.8) -> DataFrame:
     """(doc_id, license, containment, n_pieces, first_word): licenses found, one row for each and document.
 
-    The scan has no shuffle; what follows joins a few windows with the broadcast templates and groups the matches.
+    Only windows that hold a template's shingle are shuffled, after equal ones of a task are merged; what follows joins
+    them with the broadcast templates and groups the matches.
     """
     spark = docs.sparkSession
     known = cut(pieces(spark, templates), "pieces")
@@ -102,15 +103,20 @@ def scan(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES, containme
     rows = docs.where(F.col("text").rlike(f"(?i)(?<![A-Za-z0-9])(?:{keys})")).select("doc_id", pairs(words(F.col("text"))).alias("p"))
     hit = F.expr(f"filter(transform(p, (s, i) -> CASE WHEN s IN ({','.join(map(str, vocabulary))}) THEN i END), i -> i IS NOT NULL)")
     rows = rows.withColumn("hits", hit).where(F.size("hits") > 0)
+    # shingles of the templates where they stand, null elsewhere: neighbours are sliced from it, however many hits a text has
+    rows = rows.withColumn("q", F.expr(f"transform(p, s -> CASE WHEN s IN ({','.join(map(str, vocabulary))}) THEN s END)"))
+
     # every window start, of every length, that holds one of the hits
     def around(n):
         near = F.flatten(F.transform("hits", lambda i: F.sequence(F.greatest(i - (n - 2), F.lit(0)), i)))
         # the hits in the window and in PIECE words on both sides
-        beside = lambda s: F.transform(F.filter("hits", lambda i: (i >= s - PIECE) & (i <= s + n - 2 + PIECE)), lambda i: F.get(F.col("p"), i))
-        return F.transform(F.array_distinct(near), lambda s: F.struct(s.alias("start"), F.lit(n).alias("n"), beside(s).alias("region"), F.array_distinct(F.array_compact(F.array(*(F.get(F.col("p"), s + k) for k in range(n - 1))))).alias("shingles")))
+        beside = lambda s: F.array_compact(F.slice("q", F.greatest(s - PIECE, F.lit(0)) + 1, F.least(s, F.lit(PIECE)) + n - 1 + PIECE))
+        return F.transform(F.array_distinct(near), lambda s: F.struct(s.alias("start"), F.lit(n).alias("n"), beside(s).alias("region"), F.array_distinct(F.slice("p", s + 1, n - 1)).alias("shingles")))
 
     spots = F.concat(*map(around, lengths))
-    windows = cut(rows.select("doc_id", F.explode(spots).alias("x")).select("doc_id", "x.*"), "windows")
+    # equal windows of a document, with equal neighbours, say the same: the first one stands for all
+    windows = rows.select("doc_id", F.explode(spots).alias("x")).select("doc_id", "x.*").groupBy("doc_id", "n", "shingles", "region").agg(F.min("start").alias("start"))
+    windows = cut(windows, "windows")
 
     signed = windows.withColumn("band", F.explode(bands(F.col("shingles"))))
     keys = known.withColumn("band", F.explode(bands(F.col("shingles")))).select("license", "template", "piece", F.col("n").alias("piece_n"), F.col("shingles").alias("wanted"), "band")

@@ -139,6 +139,17 @@ def test_license_of_whole_template(spark):
     assert got[0, "GPL-3.0"] == round(9 / 11, 6) and got[1, "MIT"] == 1.0
 
 
+def test_licenses_repeated_in_one_text(spark):
+    """A text of 1 MB of notices takes no more than seconds, as windows look at their neighbours only."""
+    import time
+
+    line = "Licensed under the Apache License, Version 2.0\n"
+    docs = rows_of(spark, [(1, line * (1_000_000 // len(line))), (2, line)])
+    start = time.time()
+    got = {r.doc_id: (r.license, r.containment, r.first_word) for r in licenses.scan(docs).collect()}
+    assert got == {1: ("Apache-2.0", 1.0, 0), 2: ("Apache-2.0", 1.0, 0)} and time.time() - start < 40
+
+
 # --- main text --------------------------------------------------------------------------------------------------------
 
 
@@ -438,3 +449,16 @@ def test_split_words_drops_marks_beside_white_space(spark):
     for r in got:
         want = [w for w in (x.strip(marks) for x in re.split(r"[\x20\x09-\x0D]+", r.t)) if w]
         assert [w for w in r.w if w] == want
+
+
+def test_shards_in_the_file_system_of_a_bare_path(spark, tmp_path):
+    """A path without a scheme lies where Spark reads and writes it, not on each machine's own disk."""
+    assert shards.located(spark, str(tmp_path)) == str(tmp_path)
+    names = {"fs.defaultFS": "viewfs://shared/", "fs.viewfs.mounttable.shared.link./tmp": "file:///tmp"}
+    for k, v in names.items():
+        spark.conf.set(k, v)
+    try:
+        assert shards.located(spark, "/tmp" + str(tmp_path).removeprefix("/tmp")) == "viewfs://shared/tmp" + str(tmp_path).removeprefix("/tmp")
+    finally:
+        for k in names:
+            spark.conf.unset(k)
