@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import lexicon
-from .text import normalize_for_matching, once
+from .text import ascii_borders, normalize_for_matching, once
 
 # fixed patterns of the fact kinds
 NUMBER = r"[0-9][0-9.,]*"
@@ -21,7 +21,7 @@ NAMED = rf"\b([0-3]?\d)\s+({'|'.join(lexicon.MONTHS)})\s+((?:19|20)\d{{2}})\b"
 
 def groups(text: Column, pattern: str, n: int) -> Column:
     """array<struct<g1..gn>> of the groups of every match."""
-    return F.arrays_zip(*(F.regexp_extract_all(text, F.lit(pattern), F.lit(i)).alias(f"g{i}") for i in range(1, n + 1)))
+    return F.arrays_zip(*(F.regexp_extract_all(text, F.lit(ascii_borders(pattern)), F.lit(i)).alias(f"g{i}") for i in range(1, n + 1)))
 
 
 def strip_zeros(v: Column) -> Column:
@@ -51,7 +51,7 @@ def distinct_sorted(x: Column) -> Column:
 
 
 def extract_percentages(text: Column) -> Column:
-    found = F.regexp_extract_all(normalize_for_matching(text), F.lit(PERCENT), F.lit(1))
+    found = F.regexp_extract_all(normalize_for_matching(text), F.lit(ascii_borders(PERCENT)), F.lit(1))
     return distinct_sorted(F.transform(found, lambda v: F.regexp_replace(strip_zeros(F.replace(v, F.lit(","), F.lit("."))), r"\.$", "")))
 
 
@@ -72,7 +72,7 @@ def extract_claim_facts(text: Column) -> Column:
     The normal form is worked out once, and only for texts with a digit.
     """
     n = normalize_for_matching(text)
-    n = F.regexp_replace(F.regexp_replace(n, r"(?<!\d)\.(\d)(?=\s+ve\b)", "$1"), r"(?<!\d)\.(\d)s?\s+inif\b", "$1 sinif")
+    n = F.regexp_replace(F.regexp_replace(n, ascii_borders(r"(?<!\d)\.(\d)(?=\s+ve\b)"), "$1"), ascii_borders(r"(?<!\d)\.(\d)s?\s+inif\b"), "$1 sinif")
     none = F.expr("cast(array() as array<string>)")
     nothing = F.struct(*(none.alias(k) for k in KINDS))
     return F.when(F.regexp_like(text, F.lit("[0-9]")), once(n, lambda n: _facts(n, extract_percentages(text)))).otherwise(nothing)
@@ -81,11 +81,11 @@ def extract_claim_facts(text: Column) -> Column:
 def _facts(n: Column, percentages: Column) -> Column:
     none = F.expr("cast(array() as array<string>)")
     money = F.transform(groups(n, MONEY, 2), lambda g: F.concat_ws(":", once(g["g1"], canonical_number), canonical_money_unit(g["g2"])))
-    lira = F.when(F.contains(n, F.lit("₺")), F.transform(F.regexp_extract_all(n, F.lit(LIRA), F.lit(1)), lambda v: F.concat(canonical_number(v), F.lit(":try")))).otherwise(none)
+    lira = F.when(F.contains(n, F.lit("₺")), F.transform(F.regexp_extract_all(n, F.lit(ascii_borders(LIRA)), F.lit(1)), lambda v: F.concat(canonical_number(v), F.lit(":try")))).otherwise(none)
     durations = F.transform(groups(n, DURATION, 2), lambda g: F.concat_ws(":", canonical_number(g["g1"]), g["g2"]))
     rest = n
     for pattern in (rf"{DAY_FIRST}|{ISO}", NAMED, PERCENT, rf"{MONEY}|{LIRA}", DURATION):
-        rest = F.regexp_replace(rest, pattern, " ")
+        rest = F.regexp_replace(rest, ascii_borders(pattern), " ")
     numbers = F.transform(F.regexp_extract_all(rest, F.lit(r"(?<![a-z])\d+(?:[.,]\d+)*(?![a-z])"), F.lit(0)), canonical_number)
     return F.struct(percentages.alias("percentages"), distinct_sorted(F.concat(money, lira)).alias("money"), distinct_sorted(durations).alias("durations"), extract_dates(n).alias("dates"), distinct_sorted(numbers).alias("numbers"))
 

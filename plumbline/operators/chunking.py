@@ -26,7 +26,7 @@ def is_section_heading(line: Column) -> Column:
     length = F.length(line)
     return (
         F.when((n == "") | (length > 180) | F.endswith(line, F.lit(".")), False)
-        .when(n.rlike(r"^(?:madde|bolum|chapter|section)\s+[0-9ivxlcdm]+(?:\b|[.)-])"), True)
+        .when(n.rlike(T.ascii_borders(r"^(?:madde|bolum|chapter|section)\s+[0-9ivxlcdm]+(?:\b|[.)-])")), True)
         .when(n.rlike(r"^[0-9]+(?:\.[0-9]+){0,4}[.)-]?\s+\S+"), True)
         .when(n.rlike(r"^[a-z]\)\s+\S+"), True)
         .when(n.isin(*lexicon.SECTION_WORDS), True)

@@ -258,7 +258,7 @@ def ordered_sources(chunks: DataFrame, direction: str, k: int, key: str = "doc_i
 def order_direction(question: Column) -> Column:
     n = T.normalize_for_matching(question)
     # fixed values: words that ask for the last or the first part
-    return F.when(n.rlike(r"\b(?:en\s+son|son|sonuncu|en\s+yeni|guncel|latest)\b"), "last").when(n.rlike(r"\b(?:ilk|birinci|baslangic|en\s+eski|oldest)\b"), "first")
+    return F.when(n.rlike(T.ascii_borders(r"\b(?:en\s+son|son|sonuncu|en\s+yeni|guncel|latest)\b")), "last").when(n.rlike(T.ascii_borders(r"\b(?:ilk|birinci|baslangic|en\s+eski|oldest)\b")), "first")
 
 
 def classify_response_mode(question: Column) -> Column:
@@ -267,7 +267,7 @@ def classify_response_mode(question: Column) -> Column:
 
 
 def correct_typos(question: Column, typos=lexicon.TYPOS) -> Column:
-    return reduce(lambda q, t: F.regexp_replace(q, rf"\b{t[0]}\b", t[1]), typos, T.normalize_for_matching(question))
+    return reduce(lambda q, t: F.regexp_replace(q, T.ascii_borders(rf"\b{t[0]}\b"), t[1]), typos, T.normalize_for_matching(question))
 
 
 def expand_aliases(question: Column, groups=lexicon.ALIAS_GROUPS) -> Column:

@@ -120,7 +120,7 @@ def grounded_answers(answers: DataFrame, sources: DataFrame, key: str = "answer_
 def grounded_critique(answer: Column, context: Column) -> Column:
     a, c = T.normalize_for_matching(answer), T.normalize_for_matching(context)
     # fixed values: what a context shows and a critique then must not deny
-    dates = c.rlike(r"\b(?:19|20)\d{2}\b") & T.any_of(a, ("tarihlendirilmemis", "tarih yok"))
+    dates = c.rlike(T.ascii_borders(r"\b(?:19|20)\d{2}\b")) & T.any_of(a, ("tarihlendirilmemis", "tarih yok"))
     skills = T.any_of(c, ("skills", "beceri", "react", "java", "python", "flask", "spring")) & a.rlike(r"(?:teknik )?becer\w*.{0,30}eksik")
     projects = T.any_of(c, ("projects", "proje", "implemented", "built", "gelistirdi")) & a.rlike(r"proje.{0,40}tamamlanmamis")
     return ~(dates | skills | projects)

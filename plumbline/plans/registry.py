@@ -1101,7 +1101,7 @@ def guard_answer(spark, d):
 
 @query("SELECT c_custkey AS id, regexp_replace(c_name, '[^a-zA-Z0-9._-]', '_', 'g') AS name, regexp_matches(c_acctbal::VARCHAR, '^\\s*[0-9]+([.,][0-9]+)?\\s*$') AS usable FROM customer")
 def file_names(spark, d):
-    return t(spark, d, "customer").select(F.col("c_custkey").alias("id"), T.sanitize_filename(F.col("c_name")).alias("name"), T.usable_span(F.col("c_acctbal").cast("decimal(12,2)").cast("string")).alias("usable"))
+    return t(spark, d, "customer").select(F.col("c_custkey").alias("id"), T.sanitize_filename(F.col("c_name")).alias("name"), T.usable_span(T.decimal_text(F.col("c_acctbal").cast("double"))).alias("usable"))
 
 
 @query("SELECT event_id AS id, CASE WHEN event_type = 'error' THEN 'ai-service-error' ELSE 'extractive' END AS provider, greatest(round(value)::BIGINT, 0) AS duration_ms, CASE WHEN event_type = 'error' THEN 'Timeout: ' || props END AS error FROM events")

@@ -32,6 +32,24 @@ def test_polarity_and_relations(spark):
     assert one(spark, "İndirim oranı ve ödeme tarihi", T.relation_concepts) == ["discount", "fee", "date", "payment"]
 
 
+def test_words_end_at_accented_letters_of_other_languages(spark):
+    """As in the queries' SQL: è is no letter of the normal form."""
+    assert one(spark, "dans surenmentoiè", T.relation_concepts) == ["duration"]
+    assert one(spark, "êburs oranı", T.relation_concepts) == ["scholarship"]
+    assert one(spark, "la ilè", R.expand_aliases).startswith("la ilè yer konum")
+    assert one(spark, "èkimdr", R.correct_typos) == "èkimdir"
+    assert one(spark, "ilkè", R.order_direction) == "first"
+    assert one(spark, "alinmazè", T.has_negative_polarity)
+    assert one(spark, "è30 günè", K.extract_claim_facts)["durations"] == ["30:gun"]
+
+
+def test_balances_are_usable_spans_as_sql_writes_them(spark):
+    """The negative zero of a rounded balance is no plain number; large and small ones are written without an exponent."""
+    rows = [(x,) for x in (-0.0, 0.0, 12.5, -3.0, 12345678.25, 1e12, 1e16, 0.0005, 1e-5, float("nan"), float("inf"), None)]
+    out = spark.createDataFrame(rows, "x double").coalesce(1).select(T.usable_span(T.decimal_text(F.col("x"))))
+    assert [r[0] for r in out.collect()] == [False, True, True, False, True, True, False, True, False, False, False, None]
+
+
 def test_packing():
     assert chunking.pack_words("aa bb cccccc d".split(), 5) == ["aa bb", "ccccc", "c", "d"]
     blocks = ["x" * 50, "y" * 50, "z" * 50]
