@@ -36,9 +36,9 @@ def canonical_number(raw: Column) -> Column:
     dots = F.length(v) - F.length(F.replace(v, F.lit(".")))
     no = lambda c, m: F.replace(c, F.lit(m))
     both = F.when(last(",") > last("."), F.replace(no(v, "."), F.lit(","), F.lit("."))).otherwise(no(v, ","))
-    fixed = F.when(comma & dot, both).when(comma, F.replace(v, F.lit(","), F.lit("."))).when((dots == 1) & v.rlike(r"^\d{0,3}\.\d{3}$"), no(v, ".")).when(dots > 1, no(v, ".")).otherwise(v)
-    number = F.regexp_replace(F.regexp_replace(fixed, r"^0+(?=\d)", ""), r"^\.", "0.")
-    return F.when(fixed.rlike(r"^(\d+\.?\d*|\.\d+)$"), F.regexp_replace(strip_zeros(number), r"\.$", "")).otherwise(fixed)
+    repaired = F.when(comma & dot, both).when(comma, F.replace(v, F.lit(","), F.lit("."))).when((dots == 1) & v.rlike(r"^\d{0,3}\.\d{3}$"), no(v, ".")).when(dots > 1, no(v, ".")).otherwise(v)
+    number = lambda x: once(F.regexp_replace(F.regexp_replace(x, r"^0+(?=\d)", ""), r"^\.", "0."), strip_zeros)
+    return once(repaired, lambda x: F.when(x.rlike(r"^(\d+\.?\d*|\.\d+)$"), F.regexp_replace(number(x), r"\.$", "")).otherwise(x))
 
 
 def canonical_money_unit(unit: Column) -> Column:

@@ -24,9 +24,10 @@ def evidence_windows(text: Column) -> Column:
     return F.transform(every, lambda w, i: F.struct(i.alias("ord"), w["units"].alias("units"), w["text"].alias("text")))
 
 
-def features(rows: DataFrame, column: str) -> DataFrame:
+def features(rows: DataFrame, column: str, told: Column | None = None) -> DataFrame:
+    """rows with the features of a column; facts are those of `told`, if it is given."""
     c = F.col(column)
-    made = F.struct(T.claim_content_terms(c).alias("terms"), K.extract_claim_facts(c).alias("facts"), T.relation_concepts(c).alias("relations"), T.extract_acronyms(c).alias("acronyms"), T.has_negative_polarity(c).alias("negative"), T.normalize_for_matching(c).alias("normal"))
+    made = F.struct(T.claim_content_terms(c).alias("terms"), K.extract_claim_facts(c if told is None else told).alias("facts"), T.relation_concepts(c).alias("relations"), T.extract_acronyms(c).alias("acronyms"), T.has_negative_polarity(c).alias("negative"), T.normalize_for_matching(c).alias("normal"))
     # a generator of one row: features are worked out once here, not again for each use of them
     return rows.select("*", F.explode(F.array(made)).alias("made")).select(*rows.columns, "made.*")
 
@@ -36,12 +37,15 @@ def match_claims(answers: DataFrame, sources: DataFrame, key: str = "answer_id")
 
     answers: key, answer, mode. sources: key, source_index, text. The join is on the key; factual claims meet single units only.
     """
-    claims = features(answers.select(key, "mode", F.posexplode(split_claims(F.col("answer"))).alias("claim_no", "claim")), "claim")
-    claims = claims.withColumn("critical", K.has_facts(F.col("facts")))
-    w = sources.select(key, "source_index", F.explode(evidence_windows(F.col("text"))).alias("w")).select(key, "source_index", F.col("w.ord").alias("ord"), F.col("w.units").alias("units"), F.col("w.text").alias("window"))
+    # dealt out by key first, for a small table of much work is few partitions
+    said = answers.select(key, "mode", "answer").repartition(key).select(key, "mode", F.posexplode(split_claims(F.col("answer"))).alias("claim_no", "claim"))
+    claims = features(said, "claim").withColumn("critical", K.has_facts(F.col("facts")))
+    w = sources.select(key, "source_index", "text").repartition(key).select(key, "source_index", F.explode(evidence_windows(F.col("text"))).alias("w")).select(key, "source_index", F.col("w.ord").alias("ord"), F.col("w.units").alias("units"), F.col("w.text").alias("window"))
     w = w.groupBy(key, "source_index", "window").agg(F.min(F.struct("ord", "units")).alias("o")).select(key, "source_index", "window", "o.ord", "o.units")
-    w = features(w, "window").select(key, "source_index", "ord", "units", *(F.col(c).alias(f"w_{c}") for c in ("terms", "facts", "relations", "negative", "normal")))
-    c = claims.alias("c").join(w.alias("w"), F.expr(f"c.{key} = w.{key} AND (NOT c.critical OR w.units = 1)")).drop(F.col(f"w.{key}"))
+    # only critical claims have facts, and those meet single units
+    w = features(w, "window", F.when(F.col("units") == 1, F.col("window"))).select(key, "source_index", "ord", "units", *(F.col(c).alias(f"w_{c}") for c in ("terms", "facts", "relations", "negative", "normal")))
+    # merged: Spark guesses windows and their features no larger than the sources, and would send them all through the driver
+    c = claims.alias("c").hint("merge").join(w.alias("w"), F.expr(f"c.{key} = w.{key} AND (NOT c.critical OR w.units = 1)")).drop(F.col(f"w.{key}"))
     matched = F.filter("terms", lambda t: T.entity_matches(t, F.col("w_terms")))
     c = c.withColumn("matched", F.array_sort(matched)).withColumn("coverage", F.size("matched") / F.greatest(F.size("terms"), F.lit(1)))
     common = F.array_intersect("relations", "w_relations")
@@ -57,14 +61,14 @@ def match_claims(answers: DataFrame, sources: DataFrame, key: str = "answer_id")
     add = lambda test, v: F.when(test, v).otherwise(0.0)
     score = F.col("coverage") + add(F.col("facts_ok") & F.col("critical"), 0.35) + add(F.col("related"), 0.15) + add(F.col("acronyms_ok") & (F.size("acronyms") > 0), 0.10) + add(F.col("polarity_ok"), 0.10) + add(supported, 10.0)
     best = c.withColumns({"supported": supported, "reason": reason, "score": score}).groupBy(key, "claim_no").agg(F.max_by(F.struct("supported", "reason", "source_index", F.round("coverage", 4).alias("coverage"), "matched"), F.struct("score", -F.col("source_index"), -F.col("ord"))).alias("b"))
-    out = claims.select(key, "claim_no", "claim").join(best, [key, "claim_no"], "left")
+    out = said.select(key, "claim_no", "claim").join(best.hint("merge"), [key, "claim_no"], "left")
     return out.select(key, "claim_no", "claim", F.coalesce("b.supported", F.lit(False)).alias("supported"), F.coalesce("b.reason", F.lit("no-source-evidence-window")).alias("reason"), F.col("b.source_index").alias("source_index"), F.coalesce("b.coverage", F.lit(0.0)).alias("coverage"), F.coalesce("b.matched", F.array().cast("array<string>")).alias("matched"))
 
 
 def question_aligned(question: Column, answer: Column) -> Column:
     """Percentages, money, durations and dates of the question must all be in the answer."""
-    q, a = K.extract_claim_facts(question), K.extract_claim_facts(answer)
-    return F.size(F.concat(*(F.array_except(q[k], a[k]) for k in ("percentages", "money", "durations", "dates")))) == 0
+    both = F.struct(K.extract_claim_facts(question).alias("q"), K.extract_claim_facts(answer).alias("a"))
+    return T.once(both, lambda x: F.size(F.concat(*(F.array_except(x["q"][k], x["a"][k]) for k in ("percentages", "money", "durations", "dates")))) == 0)
 
 
 def validate_answers(answers: DataFrame, sources: DataFrame, key: str = "answer_id") -> DataFrame:
@@ -72,7 +76,7 @@ def validate_answers(answers: DataFrame, sources: DataFrame, key: str = "answer_
     m = match_claims(answers, sources, key)
     per = m.groupBy(key).agg(F.count(F.lit(1)).alias("n_claims"), F.count_if("supported").alias("n_supported"))
     aligned = question_aligned(F.col("question"), F.col("answer")) if "question" in answers.columns else F.lit(True)
-    out = answers.select(key, aligned.alias("aligned")).join(per, key, "left").fillna(0, ["n_claims", "n_supported"])
+    out = answers.select(key, aligned.alias("aligned")).join(per.hint("merge"), key, "left").fillna(0, ["n_claims", "n_supported"])
     fine = (F.col("n_claims") > 0) & (F.col("n_supported") == F.col("n_claims")) & F.col("aligned")
     reason = F.when(F.col("n_claims") == 0, "answer-has-no-verifiable-claims").when(fine, "all-claims-supported").when(~F.col("aligned"), "question-fact-mismatch").otherwise("unsupported-answer-claims")
     return out.select(key, "n_claims", "n_supported", "aligned", fine.alias("supported"), reason.alias("reason"))
@@ -80,11 +84,11 @@ def validate_answers(answers: DataFrame, sources: DataFrame, key: str = "answer_
 
 def evidence_support(questions: DataFrame, sources: DataFrame, key: str = "question_id") -> DataFrame:
     """Best source of each question: percentages need all of them with an entity and a relation; else entities and overlap."""
-    q = questions.select(key, T.meaningful_terms(F.col("question")).alias("all"), K.extract_percentages(F.col("question")).alias("q_pct"), T.relation_concepts(F.col("question")).alias("q_rel"))
+    q = questions.select(key, "question").repartition(key).select(key, T.meaningful_terms(F.col("question")).alias("all"), K.extract_percentages(F.col("question")).alias("q_pct"), T.relation_concepts(F.col("question")).alias("q_rel"))
     lits = lambda x: F.array(*map(F.lit, x))
     q = q.withColumn("q_terms", F.array_except("all", lits(("hangi", "kac", "nedir")))).withColumn("q_ent", F.filter(F.array_except("all", lits(lexicon.NON_ENTITY_TERMS)), lambda t: ~t.rlike("^[0-9]+$")))
-    s = sources.select(key, "source_index", T.meaningful_terms(F.col("text")).alias("terms"), K.extract_percentages(F.col("text")).alias("pct"), T.relation_concepts(F.col("text")).alias("rel"))
-    both = s.join(q, key)
+    s = sources.select(key, "source_index", "text").repartition(key).select(key, "source_index", T.meaningful_terms(F.col("text")).alias("terms"), K.extract_percentages(F.col("text")).alias("pct"), T.relation_concepts(F.col("text")).alias("rel"))
+    both = s.hint("merge").join(q, key)
     hits = lambda c: F.array_sort(F.filter(c, lambda t: T.entity_matches(t, F.col("terms"))))
     both = both.withColumns({"m_pct": F.array_intersect("q_pct", "pct"), "m_rel": F.array_intersect("q_rel", "rel"), "m_ent": hits(F.col("q_ent")), "m_terms": hits(F.col("q_terms"))})
     some = lambda c: F.size(c) > 0
@@ -96,7 +100,7 @@ def evidence_support(questions: DataFrame, sources: DataFrame, key: str = "quest
     strength = F.size("m_pct") * 4 + F.size("m_ent") * 2 + F.size("m_rel") + F.when(supported, 100).otherwise(0)
     best = both.withColumns({"supported": supported, "reason": reason, "strength": strength}).groupBy(key).agg(F.max_by(F.struct("supported", "reason", "source_index", "m_pct", "m_rel"), F.struct("strength", -F.col("source_index"))).alias("b"))
     none = F.array().cast("array<string>")
-    return questions.select(key).join(best, key, "left").select(key, F.coalesce("b.supported", F.lit(False)).alias("supported"), F.coalesce("b.reason", F.lit("no-retrieved-chunk-supports-main-claim")).alias("reason"), F.col("b.source_index").alias("source_index"), F.coalesce("b.m_pct", none).alias("percentages"), F.coalesce("b.m_rel", none).alias("relations"))
+    return questions.select(key).join(best.hint("merge"), key, "left").select(key, F.coalesce("b.supported", F.lit(False)).alias("supported"), F.coalesce("b.reason", F.lit("no-retrieved-chunk-supports-main-claim")).alias("reason"), F.col("b.source_index").alias("source_index"), F.coalesce("b.m_pct", none).alias("percentages"), F.coalesce("b.m_rel", none).alias("relations"))
 
 
 def grounded_answers(answers: DataFrame, sources: DataFrame, key: str = "answer_id") -> DataFrame:
@@ -111,10 +115,10 @@ def grounded_answers(answers: DataFrame, sources: DataFrame, key: str = "answer_
     silent = said.where(T.is_no_answer_response(F.col("answer"))).select(key, F.lit(False).alias("ok"))
     if "question" in answers.columns:
         asked = said.where(T.is_no_answer_response(F.col("answer")))
-        silent = evidence_support(asked.select(key, F.coalesce("question", F.lit("")).alias("question")), sources.join(asked.select(key), key, "left_semi"), key).select(key, (~F.col("supported")).alias("ok"))
-    critiques = plain.where("mode = 'critique'").join(context, key, "left").select(key, grounded_critique(F.col("answer"), F.coalesce("context", F.lit(""))).alias("ok"))
+        silent = evidence_support(asked.select(key, F.coalesce("question", F.lit("")).alias("question")), sources.join(asked.select(key).hint("merge"), key, "left_semi"), key).select(key, (~F.col("supported")).alias("ok"))
+    critiques = plain.where("mode = 'critique'").join(context.hint("merge"), key, "left").select(key, grounded_critique(F.col("answer"), F.coalesce("context", F.lit(""))).alias("ok"))
     claims = validate_answers(plain.where("mode <> 'critique'"), sources, key).select(key, F.col("supported").alias("ok"))
-    return answers.select(key).join(critiques.union(claims).union(silent), key, "left").select(key, F.coalesce("ok", F.lit(False)).alias("grounded"))
+    return answers.select(key).join(critiques.union(claims).union(silent).hint("merge"), key, "left").select(key, F.coalesce("ok", F.lit(False)).alias("grounded"))
 
 
 def grounded_critique(answer: Column, context: Column) -> Column:

@@ -40,3 +40,13 @@ def test_embed_questions(spark):
     rows = R.embed_questions(q, ["id"]).collect()
     one, two = (sorted((r.bucket, r.weight) for r in rows if r.id == i) for i in (1, 2))
     assert one == two and len(one) == 2 and len(rows) == 4
+
+
+def test_exploded_rows_are_not_sent_through_the_driver(spark):
+    """Scopes, windows and features are many more bytes than the tables that Spark guesses their size from."""
+    import __spark_entry__ as entry
+
+    for name in ("accessible_documents", "document_permissions", "validate_notices", "question_alignment", "grounded_answers"):
+        plan = entry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan, name
+        assert len(plan) < 250_000, name  # facts of questions and answers are named once
