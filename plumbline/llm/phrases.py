@@ -31,10 +31,11 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import byte_slices, column_bytes, cut, hash_spans, lowered, mix
+from .common import SLICE_BYTES, byte_slices, column_bytes, cut, hash_spans, lowered, mix
 
-#: Bits of the maps of pairs and words, bits of a block of cells, pointers that a task sorts at once, pairs of a bucket.
-BITS, BLOCK_BITS, RUN, BUCKET_PAIRS = 26, 16, 1 << 20, 1 << 18
+#: Bits of the maps of pairs and words, bits of a block of cells, pointers that a task sorts at once, pairs of a bucket, words
+#: that a task holds at once.
+BITS, BLOCK_BITS, RUN, BUCKET_PAIRS, HELD = 26, 16, 1 << 20, 1 << 18, 1 << 19
 DEPTH = 3
 CELLS = "block int, cells binary, counts binary"
 SUFFIXES, PACKED = "a long, b long, c long, n long", "bucket int, a binary, b binary, c binary, n binary"
@@ -287,22 +288,56 @@ def word_cells(batches):
         yield cell_rows(cells, np.full(len(cells), 255))
 
 
+def same_spans(w: Words, at: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Whether the words `at` are those of `other`, byte by byte and in language; SLICE_BYTES are compared at once."""
+    n = w.ends[at] - w.starts[at]
+    same = (n == w.ends[other] - w.starts[other]) & (w.lang[at] == w.lang[other]) & (at != other)
+    check, same = np.flatnonzero(same), same | (at == other)
+    total, k = np.cumsum(n[check]), 0
+    while k < len(check):
+        to = max(k + 1, int(np.searchsorted(total, total[k] - n[check[k]] + SLICE_BYTES, side="right")))
+        rows = check[k:to]
+        first = np.cumsum(n[rows]) - n[rows]
+        place = np.arange(int(n[rows].sum())) - np.repeat(first, n[rows])
+        equal = w.data[place + np.repeat(w.starts[at[rows]], n[rows])] == w.data[place + np.repeat(w.starts[other[rows]], n[rows])]
+        same[rows] = np.logical_and.reduceat(equal, first)
+        k = to
+    return same
+
+
 def words_of(seed: int, bits):
-    """Task of the fourth scan: (h, lang, word, n) of words whose bit is set, and (h, lang, null, n) of all words of a language."""
+    """Task of the fourth scan: (h, lang, word, n) of words whose bit is set, and (h, lang, null, n) of all words of a language.
+
+    Counts are added up over a task's slices, up to HELD words at once. Words that share a hash are told apart by their bytes.
+    """
 
     def run(batches):
         import pyarrow as pa
 
+        def rows():
+            h, langs, words = zip(*held)
+            texts = [None if x is None else x.decode("utf-8", "replace") for x in words]
+            return pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(langs, pa.string()), pa.array(texts, pa.string()), pa.array(held.values(), pa.int64())], names=["h", "lang", "word", "n"])
+
+        held: dict = {}
         for w in slices(batches, seed):
             seen = np.flatnonzero(is_set(bits.value, cell(w.hash)))
-            h, one, n = np.unique(w.hash[seen], return_index=True, return_counts=True)
-            one = seen[one]
+            _, one, group = np.unique(w.hash[seen], return_index=True, return_inverse=True)
+            same = same_spans(w, seen, seen[one][group])
+            count = np.bincount(group[same], minlength=len(one))
+            at, n = np.concatenate([seen[one], seen[~same]]), np.concatenate([count, np.ones(int((~same).sum()), np.int64)])
             data = w.data.tobytes()
-            texts = [data[i:j].decode("utf-8", "replace") for i, j in zip(w.starts[one], w.ends[one])]
-            codes, all_n = np.unique(w.lang, return_counts=True)
-            names = [w.langs[c] for c in codes]
-            keys = np.array([lang_hash(x, seed) for x in names], np.uint64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([h, keys]).view(np.int64)), pa.array([w.langs[c] for c in w.lang[one]] + names, pa.string()), pa.array(texts + [None] * len(names), pa.string()), pa.array(np.concatenate([n, all_n]))], names=["h", "lang", "word", "n"])
+            for h, lang, i, j, k in zip(w.hash[at].view(np.int64).tolist(), w.lang[at].tolist(), w.starts[at].tolist(), w.ends[at].tolist(), n.tolist()):
+                x = (h, w.langs[lang], data[i:j])
+                held[x] = held.get(x, 0) + k
+            for lang, k in zip(*(x.tolist() for x in np.unique(w.lang, return_counts=True))):
+                x = (int(np.uint64(lang_hash(w.langs[lang], seed)).view(np.int64)), w.langs[lang], None)
+                held[x] = held.get(x, 0) + k
+            if len(held) >= HELD:
+                yield rows()
+                held.clear()
+        if held:
+            yield rows()
 
     return run
 

@@ -132,6 +132,20 @@ def test_words_that_share_a_hash_are_told_apart(spark, monkeypatch):
     assert sorted(map(tuple, phrases.mine(df).collect())) == best_phrases(rows, 10, 2000)
 
 
+def test_words_of_a_task_are_counted_once():
+    """Batches of one task give one row for each word, and words that share a hash are told apart inside a slice."""
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+
+    batch = lambda *texts: pa.RecordBatch.from_arrays([pa.array(["en"] * len(texts)), pa.array(texts)], names=["lang", "text"])
+    every = SimpleNamespace(value=np.full(2 ** (phrases.BITS - 3), 255, np.uint8))
+    out = pa.Table.from_batches(phrases.words_of(0, every)(iter([batch("red house", "red"), batch("Red blue")]))).to_pylist()
+    assert sorted((r["word"] or "", r["n"]) for r in out) == [("", 5), ("blue", 1), ("house", 1), ("red", 3)]
+    w = phrases.Words(batch("red house red reds"), 0)
+    assert phrases.same_spans(w, np.array([0, 1, 2, 3]), np.array([0, 0, 0, 0])).tolist() == [True, False, True, False]
+
+
 def test_no_texts(spark):
     assert phrases.mine(spark.createDataFrame([], TEXTS)).collect() == []
 
