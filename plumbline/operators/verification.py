@@ -32,15 +32,20 @@ def features(rows: DataFrame, column: str, told: Column | None = None) -> DataFr
     return rows.select("*", F.explode(F.array(made)).alias("made")).select(*rows.columns, "made.*")
 
 
+def dealt(rows: DataFrame, key: str) -> DataFrame:
+    """rows by key in as many partitions as Spark shuffles to: with a number given they are not put together again, small as they are."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def match_claims(answers: DataFrame, sources: DataFrame, key: str = "answer_id") -> DataFrame:
     """Best window of every claim: key, claim_no, claim, supported, reason, source_index, coverage, matched terms.
 
     answers: key, answer, mode. sources: key, source_index, text. The join is on the key; factual claims meet single units only.
     """
     # dealt out by key first, for a small table of much work is few partitions
-    said = answers.select(key, "mode", "answer").repartition(key).select(key, "mode", F.posexplode(split_claims(F.col("answer"))).alias("claim_no", "claim"))
+    said = dealt(answers.select(key, "mode", "answer"), key).select(key, "mode", F.posexplode(split_claims(F.col("answer"))).alias("claim_no", "claim"))
     claims = features(said, "claim").withColumn("critical", K.has_facts(F.col("facts")))
-    w = sources.select(key, "source_index", "text").repartition(key).select(key, "source_index", F.explode(evidence_windows(F.col("text"))).alias("w")).select(key, "source_index", F.col("w.ord").alias("ord"), F.col("w.units").alias("units"), F.col("w.text").alias("window"))
+    w = dealt(sources.select(key, "source_index", "text"), key).select(key, "source_index", F.explode(evidence_windows(F.col("text"))).alias("w")).select(key, "source_index", F.col("w.ord").alias("ord"), F.col("w.units").alias("units"), F.col("w.text").alias("window"))
     w = w.groupBy(key, "source_index", "window").agg(F.min(F.struct("ord", "units")).alias("o")).select(key, "source_index", "window", "o.ord", "o.units")
     # only critical claims have facts, and those meet single units
     w = features(w, "window", F.when(F.col("units") == 1, F.col("window"))).select(key, "source_index", "ord", "units", *(F.col(c).alias(f"w_{c}") for c in ("terms", "facts", "relations", "negative", "normal")))
@@ -84,10 +89,10 @@ def validate_answers(answers: DataFrame, sources: DataFrame, key: str = "answer_
 
 def evidence_support(questions: DataFrame, sources: DataFrame, key: str = "question_id") -> DataFrame:
     """Best source of each question: percentages need all of them with an entity and a relation; else entities and overlap."""
-    q = questions.select(key, "question").repartition(key).select(key, T.meaningful_terms(F.col("question")).alias("all"), K.extract_percentages(F.col("question")).alias("q_pct"), T.relation_concepts(F.col("question")).alias("q_rel"))
+    q = dealt(questions.select(key, "question"), key).select(key, T.meaningful_terms(F.col("question")).alias("all"), K.extract_percentages(F.col("question")).alias("q_pct"), T.relation_concepts(F.col("question")).alias("q_rel"))
     lits = lambda x: F.array(*map(F.lit, x))
     q = q.withColumn("q_terms", F.array_except("all", lits(("hangi", "kac", "nedir")))).withColumn("q_ent", F.filter(F.array_except("all", lits(lexicon.NON_ENTITY_TERMS)), lambda t: ~t.rlike("^[0-9]+$")))
-    s = sources.select(key, "source_index", "text").repartition(key).select(key, "source_index", T.meaningful_terms(F.col("text")).alias("terms"), K.extract_percentages(F.col("text")).alias("pct"), T.relation_concepts(F.col("text")).alias("rel"))
+    s = dealt(sources.select(key, "source_index", "text"), key).select(key, "source_index", T.meaningful_terms(F.col("text")).alias("terms"), K.extract_percentages(F.col("text")).alias("pct"), T.relation_concepts(F.col("text")).alias("rel"))
     both = s.hint("merge").join(q, key)
     hits = lambda c: F.array_sort(F.filter(c, lambda t: T.entity_matches(t, F.col("terms"))))
     both = both.withColumns({"m_pct": F.array_intersect("q_pct", "pct"), "m_rel": F.array_intersect("q_rel", "rel"), "m_ent": hits(F.col("q_ent")), "m_terms": hits(F.col("q_terms"))})
