@@ -17,7 +17,8 @@ A text's tokens are hashes of its distinct word n-grams. Two texts link if inter
    those that do, go on with the next pivot; so do those with fewer own tokens than the pivot, linked or not, for the
    step below is exact for the others only. Buckets without such classes are done. A near miss can link to a class beside the pivot: of their differences from the pivot they must have one in common, so such
    pairs meet in a join on (pivot, difference), and counts of common differences give the exact intersection.
-5. Links become components.
+5. Links become components. Two classes linked with one pivot are in one component, whether they link themselves or not;
+   that follows from the same differences, and is worked out where links are counted.
 
 Everything is keyed by class (the token set's digest and a row number, never doc_id), and ids come in last. Rows are the
 nodes: repeated ids with different texts are documents of their own, each with the least id that its own links reach.
@@ -30,6 +31,8 @@ read, whatever their names. An empty table gives an empty result. Tokens are 64-
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,6 +43,8 @@ from .common import byte_slices, column_bytes, components, cut, hash_spans, lowe
 SIEVE, FREQUENT = 0.25, 32
 #: Mean number of prefix tokens that a subclass of frequent tokens is to hold.
 SUBCLASS = 6
+#: Classes of a pivot, and differences of theirs, that are compared with as many at once; values of them in one matrix.
+BLOCK, SLAB = (512, 1 << 19), 4096
 #: Pairs for each row, and pairs besides, up to which buckets are compared pair by pair.
 OUTRIGHT = 4, 20_000
 
@@ -155,9 +160,11 @@ def signatures(rows: DataFrame, num: int, den: int) -> DataFrame:
     return rows.select("id", "n", "u", "shared").mapInArrow(run, "sig long, id long, n long, u long")
 
 
-def links_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 4, num: int = 85, den: int = 100, most_rounds: int = 6) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(members, classes, links): members (id, key, n, digest) of every row; classes (digest, n, rep, first), where first is
-    the class's row with the least id, nulls last; links (a, b) between the reps of classes."""
+def links_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 4, num: int = 85, den: int = 100, most_rounds: int = 6) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(members, classes, links, linked): members (id, key, n, digest) of every row; classes (digest, n, rep, first), where
+    first is the class's row with the least id, nulls last; links (a, b), a < b, between the reps of classes, which connect
+    every component; linked (p, id, n, d, differ) the links of pivots. All other links are between two classes that are linked
+    with one pivot: `within` counts those."""
     t = F.col("n") - need(F.col("n"), num, den)
     rows = docs.select(F.col(text_col).cast("string").alias("t"), F.col(id_col).cast("long").alias("id"), row_key(id_col, text_col).alias("key"))
     sieved = cut(token_sets(rows, n, SIEVE).withColumn("row", F.monotonically_increasing_id()), "sieve")
@@ -191,7 +198,7 @@ def links_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
 
     # 4. pivots
     sets = near.select("id", "n", "u", F.transform("shared", lambda x: x["token"]).alias("tokens"))
-    found = []
+    found, linked = [], []
     step = 0
     while True:
         active = cut(active, "active")
@@ -213,17 +220,16 @@ def links_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
         judged = cut(judge(cut(active.select("p", "id").distinct(), "pairs"), sets, num, den), "judged")
         found.append(judged.where("linked").select(F.col("p").alias("a"), F.col("id").alias("b")))
         found.append(beside(judged, num, den))
+        linked.append(judged.where("linked").select("p", "id", "n", (F.size("differ") + F.col("u")).alias("d"), "differ"))
         # a row with fewer own tokens than the pivot is a near miss of an earlier one: it stays, as `beside` leaves it out
         rest = active.join(judged.select("p", "id", "linked", "near", "p_u"), ["p", "id"]).where("NOT linked OR u < p_u")
         rest = cut(rest.select("sig", "id", "n", "u", F.coalesce("miss", F.when(F.col("near"), F.col("p"))).alias("miss")), "rest")
         open_ = rest.groupBy("sig").agg(F.count(F.lit(1)).alias("k"), far.alias("f"), F.min("miss").alias("x"), F.max("miss").alias("y")).where("k > 1 AND (f > 0 OR x <> y)")
         active = rest.join(open_.select("sig"), "sig", "left_semi")
-    links = None
-    for x in found:
-        links = x if links is None else links.union(x)
-    if links is None:
-        links = near.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0)
-    return members, classes, cut(links.distinct(), "links")
+    none = near.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0)
+    links = reduce(DataFrame.union, found, none).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    pivoted = near.select(F.col("id").alias("p"), "id", "n", F.col("n").alias("d"), F.transform("shared", lambda x: x["token"]).alias("differ")).limit(0)
+    return members, classes, cut(links, "links"), cut(reduce(DataFrame.union, linked, pivoted).dropDuplicates(["p", "id"]), "linked")
 
 
 def judge(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -280,10 +286,82 @@ def beside(judged: DataFrame, num: int, den: int) -> DataFrame:
     return both.where(den * inter >= num * (F.col("a_n") + F.col("b_n") - inter)).select("a", "b")
 
 
-def grouped(docs: DataFrame, id_col: str, text_col: str, n: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+def shared_counts(x: list, y: list) -> np.ndarray:
+    """How many values each array of x has in common with each of y; an array holds a value once. SLAB values at a time."""
+    values, k = np.unique(np.concatenate([*x, *y, np.zeros(0, np.int64)]), return_inverse=True)
+    ends = np.cumsum([len(v) for v in x] + [len(v) for v in y])
+    row = np.searchsorted(ends, np.arange(len(k)), side="right")
+    often = np.bincount(k, minlength=len(values)) > 1  # the others are shared by none
+    k, row, left = (np.cumsum(often) - 1)[k][often[k]], row[often[k]], int(often.sum())
+    out = np.zeros((len(x), len(y)), np.float32)
+    for at in range(0, left, SLAB):
+        here = (k >= at) & (k < at + SLAB)
+        held = np.zeros((len(x) + len(y), min(SLAB, left - at)), np.float32)
+        held[row[here], k[here] - at] = 1
+        out += held[: len(x)] @ held[len(x) :].T
+    return out.astype(np.int64)
+
+
+def within(linked: DataFrame, num: int, den: int) -> DataFrame:
+    """(rep, n): how many classes each class links with of those that are linked with a pivot that it is linked with, too.
+
+    linked: (p, id, n, d, differ) of the links of pivots, d with own tokens. Links follow from differences as in `beside`. Two classes
+    are compared at each pivot of both and counted at the first. A pivot's classes are dealt into blocks, and two blocks meet at a
+    time, however large the group: work is the square of a group of near copies, pairs are neither shuffled nor stored.
+    """
+    of = linked.groupBy("id").agg(F.sort_array(F.collect_set("p")).alias("pivots"))
+    need_cells = F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK[0], F.sum(F.size("differ")) / BLOCK[1])).cast("int")
+    groups = linked.groupBy("p").agg(F.count(F.lit(1)).alias("k"), F.greatest(need_cells, F.lit(1)).alias("blocks")).where("k > 1")
+    rows = linked.join(groups.select("p", "blocks"), "p").join(of, "id").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    meets = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least("block", k).alias("i"), F.greatest("block", k).alias("j")))
+    rows = rows.withColumn("meet", F.explode(meets)).select("p", "meet.i", "meet.j", "block", "id", "n", "d", "differ", "pivots")
+
+    def count(held):
+        (p, i, j), sides = held[0][:3], ([], [])
+        for r in held:
+            sides[0 if r[3] == i else 1].append(r)
+        x, y = sides[0], sides[0] if i == j else sides[1]
+        earlier = [[r[8][r[8] < p] for r in side] for side in (x, y)]
+        fine = shared_counts(*earlier) == 0
+        if i == j:
+            np.fill_diagonal(fine, False)
+        if not fine.any():
+            return [], []
+        total, apart = (np.add.outer([r[c] for r in x], [r[c] for r in y]) for c in (5, 6))
+        twice = total - apart + 2 * shared_counts([r[7] for r in x], [r[7] for r in y])  # twice the intersection
+        fine &= den * twice >= num * (2 * total - twice)
+        ids, n = [r[4] for r in x], fine.sum(axis=1).tolist()
+        return (ids, n) if i == j else (ids + [r[4] for r in y], n + fine.sum(axis=0).tolist())
+
+    def run(batches):
+        import pyarrow as pa
+
+        held = []
+        for b in batches:
+            plain = [b.column(c).to_pylist() for c in range(7)]
+            for k, r in enumerate(zip(*plain)):
+                if held and held[0][:3] != r[:3]:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in count(held)], names=["rep", "n"])
+                    held = []
+                held.append((*r, b.column(7)[k].values.to_numpy(), b.column(8)[k].values.to_numpy()))
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in count(held)], names=["rep", "n"])
+
+    met = rows.repartition("p", "i", "j").sortWithinPartitions("p", "i", "j").mapInArrow(run, "rep long, n long")
+    return met.groupBy("rep").agg(F.sum("n").alias("n"))
+
+
+def grouped(docs: DataFrame, id_col: str, text_col: str, n: int, num: int, den: int, every: bool = True) -> tuple[DataFrame, DataFrame]:
     """(members, classes): classes (digest, first, n_links), where first is the first row of the class's whole component."""
-    members, classes, links = links_of(docs, id_col, text_col, n, num, den)
+    members, classes, links, linked = links_of(docs, id_col, text_col, n, num, den)
     ends = links.select(F.col("a").alias("rep")).union(links.select(F.col("b").alias("rep"))).groupBy("rep").agg(F.count(F.lit(1)).alias("n_links"))
+    if every:
+        of = linked.groupBy("id").agg(F.collect_set("p").alias("pivots"))
+        side = lambda k: of.select(F.col("id").alias(k), F.col("pivots").alias(f"{k}_of"))
+        # those of one pivot are among the ones that `within` counts
+        alone = links.join(side("a"), "a", "left").join(side("b"), "b", "left").where("NOT coalesce(arrays_overlap(a_of, b_of), false)")
+        met = alone.select(F.explode(F.array("a", "b")).alias("rep"), F.lit(1).cast("long").alias("n")).union(within(linked, num, den))
+        ends = met.groupBy("rep").agg(F.sum("n").alias("n_links"))
     linked = cut(components(links).withColumnRenamed("node", "rep").join(ends, "rep").join(classes.select("rep", "first"), "rep"), "linked")
     heads = linked.groupBy("component").agg(F.min("first").alias("head"))
     found = linked.join(heads, "component").select("rep", "head", "n_links")
@@ -295,9 +373,7 @@ def grouped(docs: DataFrame, id_col: str, text_col: str, n: int, num: int, den:
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 4, num: int = 85, den: int = 100) -> DataFrame:
     """(doc_id, n_shingles, component_id, n_links) of every row.
 
-    n_links counts the links of the row's class that the join established: with pivots, and between rows beside a pivot.
-    They connect every component whole; classes that are linked with one pivot are not compared with each other, so that
-    a class in a large component may have further links within it.
+    n_links counts the other classes (distinct token sets) that the row's class links with; copies of one set count once.
     """
     members, classes = grouped(docs, id_col, text_col, n, num, den)
     # rows of a hot class meet one small row
@@ -311,7 +387,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Rows without words are in no component and stay. Of rows that are equal in id and text one stays.
     """
-    members, classes = grouped(docs, id_col, text_col, n, num, den)
+    members, classes = grouped(docs, id_col, text_col, n, num, den, every=False)
     judged = members.where("n > 0").join(classes, "digest").select("key", (F.col("key") != F.col("first.key")).alias("copy"))
     keys = cut(judged.groupBy("key").agg(F.bool_and("copy").alias("copy"), F.count(F.lit(1)).alias("rows")), "keys")
     key = row_key(id_col, text_col)

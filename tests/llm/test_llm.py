@@ -66,6 +66,26 @@ def test_jaccard(spark, n, num, den):
     assert jaccard.join(docs(spark, []), n=n, num=num, den=den).count() == 0
 
 
+@pytest.mark.parametrize("block", [(512, 1 << 19), (7, 1 << 19)])
+def test_jaccard_counts_every_link(spark, monkeypatch, block):
+    """Classes that are linked with one pivot are linked with each other, too, or not: n_links says with how many."""
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    monkeypatch.setattr(jaccard, "OUTRIGHT", (0, 0))
+    rng = np.random.default_rng(8)
+    texts = []
+    for base in (words(rng, 300).split(), words(rng, 200).split()):
+        for edits in rng.integers(0, 10, 50):
+            t = list(base)
+            for at in rng.integers(0, len(t), edits):
+                t[at] = f"e{rng.integers(0, 9)}"
+            texts.append(" ".join(t))
+    texts += texts[:5]
+    sets = [frozenset(zip(*(t.split()[k:] for k in range(4)))) for t in texts]
+    want = {i: sum(100 * len(x & y) >= 85 * len(x | y) for y in set(sets) if y != x) for i, x in enumerate(sets)}
+    assert max(want.values()) > 20
+    assert {r.doc_id: r.n_links for r in jaccard.join(docs(spark, texts)).collect()} == want
+
+
 def test_jaccard_late_rows(spark, monkeypatch):
     """A near miss of the first pivot has fewer own tokens than the second pivot, which it links with."""
     monkeypatch.setattr(jaccard, "OUTRIGHT", (0, 0))
