@@ -45,7 +45,9 @@ def match_claims(answers: DataFrame, sources: DataFrame, key: str = "answer_id")
     # dealt out by key first, for a small table of much work is few partitions
     said = dealt(answers.select(key, "mode", "answer"), key).select(key, "mode", F.posexplode(split_claims(F.col("answer"))).alias("claim_no", "claim"))
     claims = features(said, "claim").withColumn("critical", K.has_facts(F.col("facts")))
-    w = dealt(sources.select(key, "source_index", "text"), key).select(key, "source_index", F.explode(evidence_windows(F.col("text"))).alias("w")).select(key, "source_index", F.col("w.ord").alias("ord"), F.col("w.units").alias("units"), F.col("w.text").alias("window"))
+    # the work is that of the sources' windows: sources of other keys meet no claim
+    asked = sources.select(key, "source_index", "text").join(answers.select(key).hint("merge"), key, "left_semi")
+    w = dealt(asked, key).select(key, "source_index", F.explode(evidence_windows(F.col("text"))).alias("w")).select(key, "source_index", F.col("w.ord").alias("ord"), F.col("w.units").alias("units"), F.col("w.text").alias("window"))
     w = w.groupBy(key, "source_index", "window").agg(F.min(F.struct("ord", "units")).alias("o")).select(key, "source_index", "window", "o.ord", "o.units")
     # only critical claims have facts, and those meet single units
     w = features(w, "window", F.when(F.col("units") == 1, F.col("window"))).select(key, "source_index", "ord", "units", *(F.col(c).alias(f"w_{c}") for c in ("terms", "facts", "relations", "negative", "normal")))

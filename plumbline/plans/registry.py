@@ -609,7 +609,8 @@ def finalize_candidates(spark, d):
 @query()
 def evidence_answers(spark, d):
     q, _, s = _replied(spark, d)
-    return answering.evidence_fallback(q, s, V.evidence_support(q, s))
+    q, s = S.written(q), S.written(s)  # every step reads them
+    return answering.evidence_fallback(q, s, S.written(V.evidence_support(q, s)))
 
 
 @query("""

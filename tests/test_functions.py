@@ -131,3 +131,20 @@ def test_answer_payload(spark):
     c = spark.createDataFrame([(1, 1, 0, "x")], "question_id long, id int, source_index int, claim string")
     got = {r.question_id: r.trace for r in A.answer_payload(a, s, c).collect()}
     assert (got[1].retrieved, got[1].citation_count, got[1].citation_mode) == (2, 1, "claim-level") and (got[2].retrieved, got[2].citation_count, got[2].citation_mode) == (0, 0, "none")
+
+
+def test_features_of_a_text_take_its_normal_form_once(spark):
+    for f in (T.relation_concepts, T.has_negative_polarity):
+        assert str(f(F.col("t"))).count("lower(") == 1
+    assert "array_except" not in str(T.claim_content_terms(F.col("t")))
+    assert one(spark, "Bu indirim, bu indirim uygulanmaz ve burs yok", T.claim_content_terms) == ["indirim", "uygulanmaz", "burs", "yok"]
+    assert one(spark, "Gelmez", T.has_negative_polarity) and not one(spark, "Kamera mezun", T.has_negative_polarity)
+    assert one(spark, None, T.relation_concepts) == [] and one(spark, None, T.has_negative_polarity) is None
+
+
+def test_windows_of_asked_sources_only(spark):
+    answers = spark.createDataFrame([(1, "Burs oranı yüzde 50.", "factual")], "answer_id int, answer string, mode string")
+    sources = spark.createDataFrame([(1, 0, "Burs oranı yüzde 50."), (2, 0, "x")], "answer_id int, source_index int, text string")
+    m = V.match_claims(answers, sources)
+    assert "LeftSemi" in m._jdf.queryExecution().optimizedPlan().toString()
+    assert [(r.answer_id, r.supported) for r in m.collect()] == [(1, True)]
