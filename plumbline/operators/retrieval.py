@@ -230,6 +230,13 @@ def index_version(updated_at: Column) -> Column:
     return F.coalesce(F.date_format(updated_at, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("missing"))
 
 
+def by_question(rows: DataFrame, value: Column, name: str) -> DataFrame:
+    """rows with a value of their `question`, worked out once for each distinct question."""
+    values = written(rows.select("question").distinct().withColumn(name, value)).withColumnRenamed("question", "of")
+    # null questions have a value, too
+    return rows.join(values, F.col("question").eqNullSafe(F.col("of")), "left").drop("of")
+
+
 def select_sources(questions: DataFrame, chunks: DataFrame, found: DataFrame, k: int) -> DataFrame:
     """question_id, doc_id, chunk_index, strategy, rank: ordered chunks for questions about order, the first k for summaries,
     and for the rest the k best of `found` (question_id, doc_id, chunk_index, rank).
@@ -237,13 +244,20 @@ def select_sources(questions: DataFrame, chunks: DataFrame, found: DataFrame, k:
     questions: question_id, doc_id, question; chunks: doc_id, chunk_index.
     """
     x = F.col("question")
-    asked = questions.select("question_id", "doc_id", F.coalesce(order_direction(x), F.when(classify_response_mode(x) == "summary", "summary"), F.lit("hybrid")).alias("strategy"))
-    c = chunks.select("doc_id", "chunk_index").join(asked.select("doc_id").distinct(), "doc_id", "left_semi")
-    first = top_k(c, ["doc_id"], [F.asc("chunk_index")], max(k, 1))
-    last = top_k(top_k(c, ["doc_id"], [F.desc("chunk_index")], max(k, 1)).drop("rank"), ["doc_id"], [F.asc("chunk_index")], max(k, 1))
-    by = lambda strategies, rows: asked.where(F.col("strategy").isin(*strategies)).join(rows, "doc_id").select("question_id", "doc_id", "chunk_index", "strategy", "rank")
+    strategy = F.coalesce(order_direction(x), F.when(classify_response_mode(x) == "summary", "summary"), F.lit("hybrid"))
+    asked = written(by_question(questions.select("question_id", "doc_id", "question"), strategy, "strategy").drop("question"))
+    most = max(k, 1)
+
+    def by(strategies, pick):
+        """The picked chunks of the documents that these strategies are for."""
+        rows = asked.where(F.col("strategy").isin(*strategies))
+        c = chunks.select("doc_id", "chunk_index").join(rows.select("doc_id").distinct(), "doc_id", "left_semi")
+        return rows.join(pick(c), "doc_id").select("question_id", "doc_id", "chunk_index", "strategy", "rank")
+
+    first = by(("first", "summary"), lambda c: top_k(c, ["doc_id"], [F.asc("chunk_index")], most))
+    last = by(("last",), lambda c: top_k(top_k(c, ["doc_id"], [F.desc("chunk_index")], most).drop("rank"), ["doc_id"], [F.asc("chunk_index")], most))
     hybrid = asked.where("strategy = 'hybrid'").select("question_id", "strategy").join(found.where(F.col("rank") <= k), "question_id").select("question_id", "doc_id", "chunk_index", "strategy", "rank")
-    return by(("first", "summary"), first).unionByName(by(("last",), last)).unionByName(hybrid)
+    return first.unionByName(last).unionByName(hybrid)
 
 
 def initial_chunks(chunks: DataFrame, k: int, key: str = "doc_id", order: str = "chunk_index") -> DataFrame:

@@ -1007,8 +1007,9 @@ SELECT question_id, doc_id, chunk_index, strategy, row_number() OVER (PARTITION
 def select_sources(spark, d):
     line = t(spark, d, "lineitem")
     texts = F.element_at(F.array(*map(F.lit, ("En son ne yazıyor?", "Bu belgenin ana konusu nedir?", "Burs oranı kaç?"))), (F.col("l_orderkey") % 3 + 1).cast("int"))
-    q = line.select(F.col("l_orderkey").alias("question_id"), F.col("l_orderkey").alias("doc_id"), texts.alias("question")).distinct()
-    c = line.select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("chunk_index")).distinct()
+    q = line.select(F.col("l_orderkey").alias("question_id"), F.col("l_orderkey").alias("doc_id"), texts.alias("question"))
+    q = S.written(q.distinct())
+    c = S.written(line.select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("chunk_index")).distinct())
     found = R.top_k(q.join(c, "doc_id").select("question_id", "doc_id", "chunk_index"), ["question_id"], [F.desc("chunk_index")], 5)
     return R.select_sources(q, c, found, 2)
 

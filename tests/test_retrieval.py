@@ -90,3 +90,18 @@ def test_percentiles_are_exact_in_every_group(spark):
     every = np.concatenate(list(groups.values()))
     assert np.allclose(tuple(latency(df).first()), (every.mean(), np.quantile(every, 0.5), np.quantile(every, 0.95), every.max()), atol=0.011)
     assert tuple(latency(df.limit(0)).first()) == (0.0,) * 4
+
+
+def test_a_question_is_judged_once_however_often_it_is_asked(spark):
+    from pyspark.sql import types
+
+    calls = spark.sparkContext.accumulator(0)
+
+    def judged(x):
+        calls.add(1)
+        return None if x is None else len(x)
+
+    q = spark.createDataFrame([(i, "abc" if i % 2 else None if i % 3 else "") for i in range(60)], "id int, question string")
+    got = R.by_question(q, F.udf(judged, types.IntegerType())(F.col("question")), "n").collect()
+    assert {r.id: r.n for r in got} == {i: 3 if i % 2 else None if i % 3 else 0 for i in range(60)}
+    assert calls.value == 3
