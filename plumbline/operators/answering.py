@@ -11,7 +11,7 @@ from ..functions import text as T
 from ..sources.tables import written
 from . import verification
 from .guard import REFUSAL
-from .retrieval import is_latest_course_question, latest_course, order_direction, ordered_sources, relevant_passage
+from .retrieval import by_question, is_latest_course_question, latest_course, order_direction, ordered_sources, relevant_passage
 
 # fixed values: sentences of the default language pack
 NO_SOURCES = "Bu belge içinde soruyla ilişkili bir bölüm bulunamadı."
@@ -196,12 +196,14 @@ def order_answers(questions: DataFrame, chunks: DataFrame, k: int = 3, key: str
     course rows gets its latest course; the rest are answered from the first or last k chunks. Documents without chunks
     answer nothing.
     """
-    asked = questions.withColumn("direction", order_direction(F.col("question"))).where("direction IS NOT NULL")
-    chunks = chunks.join(asked.select("doc_id").distinct(), "doc_id", "left_semi")
-    course = asked.where(is_latest_course_question(F.col("question"))).join(latest_course(chunks), "doc_id")
+    each = by_question(questions, F.struct(order_direction(F.col("question")).alias("direction"), is_latest_course_question(F.col("question")).alias("latest")), "x")
+    asked = written(each.where("x.direction IS NOT NULL").select(*questions.columns, "x.direction", "x.latest"))
+    of = lambda rows: chunks.join(rows.select("doc_id").distinct(), "doc_id", "left_semi")
+    latest = asked.where("latest")
+    course = latest.join(latest_course(of(latest)), "doc_id")
     found = written(course.select(key, F.format_string(LATEST_COURSE, "term", "code", "name").alias("answer"), F.lit("transcript-structure").alias("provider"), F.lit(None).cast("string").alias("strategy")))
-    left = asked.join(found.select(key), key, "left_anti")
-    picked = reduce(DataFrame.unionByName, [ordered_sources(chunks, d, k).withColumn("direction", F.lit(d)) for d in ("first", "last")])
+    left = written(asked.drop("latest").join(found.select(key), key, "left_anti"))
+    picked = reduce(DataFrame.unionByName, [ordered_sources(of(left.where(F.col("direction") == d)), d, k).withColumn("direction", F.lit(d)) for d in ("first", "last")])
     place = F.row_number().over(Window.partitionBy(key).orderBy("chunk_index")) - 1
     # the branches of build_answers read the sources several times
     sources = written(left.select(key, "doc_id", "direction").join(picked, ["doc_id", "direction"]).select(key, place.alias("source_index"), "text"))

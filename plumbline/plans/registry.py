@@ -633,7 +633,7 @@ SELECT p.doc_id AS question_id, CASE WHEN p.doc_id % 3 = 0 AND term IS NOT NULL
 CASE WHEN p.doc_id % 3 = 0 AND term IS NOT NULL THEN 'transcript-structure' ELSE 'extractive-fallback' END AS provider, CASE WHEN p.doc_id % 3 = 0 AND term IS NOT NULL THEN NULL ELSE 'document-order-' || direction END AS strategy FROM p LEFT JOIN l USING (doc_id)""")
 def order_answers(spark, d):
     """A question about each transcript: its latest course, or what its first or last part says."""
-    c = transcripts(spark, d)
+    c = S.written(transcripts(spark, d))
     ask = F.element_at(F.array(*map(F.lit, ("En son aldığı ders hangisi?", "İlk bölüm neyi anlatır?", "Son bölüm neyi anlatır?"))), (F.col("doc_id") % 3 + 1).cast("int"))
     q = c.select("doc_id").distinct().select(F.col("doc_id").alias("question_id"), "doc_id", ask.alias("question"))
     return answering.order_answers(q.withColumn("mode", R.classify_response_mode(F.col("question"))), c)

@@ -50,3 +50,20 @@ def test_exploded_rows_are_not_sent_through_the_driver(spark):
         plan = entry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
         assert "SortMergeJoin" in plan and "Broadcast" not in plan, name
         assert len(plan) < 250_000, name  # facts of questions and answers are named once
+
+
+def test_courses_are_looked_for_where_they_are_asked_for(spark, monkeypatch):
+    from plumbline.operators import answering
+
+    read = []
+
+    def spied(chunks):
+        read.extend(r.doc_id for r in chunks.select("doc_id").distinct().collect())
+        return latest(chunks)
+
+    latest = answering.latest_course
+    monkeypatch.setattr(answering, "latest_course", spied)
+    q = spark.createDataFrame([(1, 1, "En son aldığı ders hangisi?", "factual"), (2, 2, "İlk bölüm neyi anlatır?", "factual"), (3, 3, None, "factual")], "question_id int, doc_id int, question string, mode string")
+    c = spark.createDataFrame([(d, 0, "2020-2021 Güz\nDRS101-2020 Konu 3 A1 4,0 5") for d in (1, 2, 3)], "doc_id int, chunk_index int, text string")
+    got = {r.question_id: r.strategy for r in answering.order_answers(q, c).collect()}
+    assert got == {1: None, 2: "document-order-first"} and read == [1]
