@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import lexicon
-from .text import ascii_borders, normalize_for_matching, once
+from .text import any_of, ascii_borders, normalize_for_matching, once
 
 # fixed patterns of the fact kinds
 NUMBER = r"[0-9][0-9.,]*"
@@ -60,9 +60,12 @@ def extract_dates(normal: Column) -> Column:
     two = lambda c: F.lpad(c, 2, "0")
     year = lambda y: F.when(F.length(y) == 2, F.concat(F.lit("20"), y)).otherwise(y)
     a = F.transform(groups(normal, DAY_FIRST, 3), lambda g: F.concat_ws("-", year(g["g3"]), two(g["g2"]), two(g["g1"])))
-    b = F.transform(groups(normal, ISO, 3), lambda g: F.concat_ws("-", g["g1"], g["g2"], g["g3"]))
+    # most texts lack the sign or the month, and looking for it is much faster than three groups of a pattern
+    none = F.expr("cast(array() as array<string>)")
+    b = F.when(~F.contains(normal, F.lit("-")), none).otherwise(F.transform(groups(normal, ISO, 3), lambda g: F.concat_ws("-", g["g1"], g["g2"], g["g3"])))
     months = F.array(*map(F.lit, lexicon.MONTHS))
-    c = F.transform(groups(normal, NAMED, 3), lambda g: F.concat_ws("-", g["g3"], two(F.array_position(months, g["g2"]).cast("string")), two(g["g1"])))
+    named = F.transform(groups(normal, NAMED, 3), lambda g: F.concat_ws("-", g["g3"], two(F.array_position(months, g["g2"]).cast("string")), two(g["g1"])))
+    c = F.when(~any_of(normal, lexicon.MONTHS), none).otherwise(named)
     return distinct_sorted(F.concat(a, b, c))
 
 
@@ -85,7 +88,8 @@ def _facts(n: Column, percentages: Column) -> Column:
     durations = F.transform(groups(n, DURATION, 2), lambda g: F.concat_ws(":", canonical_number(g["g1"]), g["g2"]))
     rest = n
     for pattern in (rf"{DAY_FIRST}|{ISO}", NAMED, PERCENT, rf"{MONEY}|{LIRA}", DURATION):
-        rest = F.regexp_replace(rest, ascii_borders(pattern), " ")
+        without = F.regexp_replace(rest, ascii_borders(pattern), " ")
+        rest = F.when(any_of(n, lexicon.MONTHS), without).otherwise(rest) if pattern == NAMED else without
     numbers = F.transform(F.regexp_extract_all(rest, F.lit(r"(?<![a-z])\d+(?:[.,]\d+)*(?![a-z])"), F.lit(0)), canonical_number)
     return F.struct(percentages.alias("percentages"), distinct_sorted(F.concat(money, lira)).alias("money"), distinct_sorted(durations).alias("durations"), extract_dates(n).alias("dates"), distinct_sorted(numbers).alias("numbers"))
 

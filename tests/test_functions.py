@@ -148,3 +148,9 @@ def test_windows_of_asked_sources_only(spark):
     m = V.match_claims(answers, sources)
     assert "LeftSemi" in m._jdf.queryExecution().optimizedPlan().toString()
     assert [(r.answer_id, r.supported) for r in m.collect()] == [(1, True)]
+
+
+def test_rare_dates_are_looked_for_only_where_they_can_be(spark):
+    assert str(K.extract_dates(F.col("t"))).count("CASE WHEN") >= 2
+    assert one(spark, "1 mayis 2024, 2023-02-03 ve 4.5.2022", K.extract_dates) == ["2022-05-04", "2023-02-03", "2024-05-01"]
+    assert one(spark, None, K.extract_dates) is None
