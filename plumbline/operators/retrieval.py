@@ -11,6 +11,8 @@ from ..functions import lexicon, text as T
 from ..sources.tables import spread, written
 
 RRF, DIM, CANDIDATES = 60, 384, 20
+#: Chunks of a range and questions of a block that a task of lexical search holds, pairs of a term and a question counted at once.
+RANGE_ROWS, BLOCK_QUESTIONS, PAIRS_AT_ONCE = 2048, 512, 1 << 22
 
 
 def hash_embed(rows: DataFrame, key: list[str], text_col: str = "text", dim: int = DIM) -> DataFrame:
@@ -118,32 +120,169 @@ def fulltext_search(questions: DataFrame, chunks: DataFrame, q_key: list[str], c
 def matching_terms(asked: DataFrame, held: DataFrame) -> DataFrame:
     """(term, other): distinct terms of `asked` with the distinct terms of `held` that equal, contain or are in them.
 
-    Either way is an equi-join on the parts of three letters or more of the longer term; a held term is cut into parts of
-    the lengths only that asked terms have, so that a long one has no more parts than its letters times these lengths.
+    Either way is an equi-join on parts of the longer term; a held term is cut into parts of three, four and five letters, so that
+    a long one has no more parts than three times its letters. Terms have three letters or more; a pair may come twice.
     """
     q, v = written(asked.select("term").distinct()), written(held.select(F.col("term").alias("other")).distinct())
-    parts = lambda c, lengths: F.explode(F.array_distinct(F.flatten(F.transform(lengths, lambda n: F.when(F.length(c) >= n, F.transform(F.sequence(F.lit(1), F.length(c) - n + 1), lambda i: F.substring(F.col(c), i, n))).otherwise(F.array().cast("array<string>"))))))
-    sizes = sorted(r.n for r in q.select(F.length("term").alias("n")).distinct().collect())
-    inside = v.select("other", parts("other", F.array(*map(F.lit, sizes)) if sizes else F.array().cast("array<int>")).alias("term")).join(q, "term")
-    around = q.select("term", parts("term", F.sequence(F.lit(3), F.length("term"))).alias("other")).join(v, "other").where("term <> other")
+    # where a held term has the first letters of an asked one (all, up to five), the rest is compared
+    begins = q.select("term", F.left("term", F.lit(5)).alias("part"))
+    at = v.select("other", F.explode(F.sequence(F.lit(1), F.greatest(F.length("other") - 2, F.lit(1)))).alias("i"))
+    at = at.select("other", "i", F.explode(F.array(*(F.when(F.col("i") + n - 1 <= F.length("other"), F.substring(F.col("other"), F.col("i"), F.lit(n))) for n in (3, 4, 5)))).alias("part"))
+    inside = at.join(begins, "part").where(F.substring(F.col("other"), F.col("i"), F.length("term")) == F.col("term"))
+    parts = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(3), F.length("term")), lambda n: F.transform(F.sequence(F.lit(1), F.length("term") - n + 1), lambda i: F.substring(F.col("term"), i, n)))))
+    around = q.select("term", F.explode(parts).alias("other")).join(v, "other").where("term <> other")
     return inside.select("term", "other").union(around.select("term", "other"))
 
 
-def lexical_counts(questions: DataFrame, chunks: DataFrame, q_key: list[str], c_key: list[str]) -> DataFrame:
-    """q_key, c_key, n, total: how many of a question's terms a chunk matches, and how many it has.
+def numbered_terms(chunks: DataFrame, c_key: list[str], range_rows: int = RANGE_ROWS) -> DataFrame:
+    """c, no, terms: each chunk's distinct meaningful terms and its number in the order of c_key. The numbers of a range of
+    about `range_rows` chunks share no >> 33, which grows with the ranges."""
+    rows = chunks.select(F.struct(*c_key).alias("c"), *(F.col(k).alias(f"k{i}") for i, k in enumerate(c_key)), "text")
+    keys = [f"k{i}" for i in range(len(c_key))]
+    n = max(2 * chunks.sparkSession.sparkContext.defaultParallelism, -(-chunks.count() // range_rows))
+    placed = rows.repartitionByRange(n, *keys).sortWithinPartitions(*keys).withColumn("no", F.monotonically_increasing_id())
+    return written(placed.select("c", "no", T.meaningful_terms(F.col("text")).alias("terms")))
+
+
+def packed_hits(batches):
+    """Task: rows (range, block, place, ids) as one row for each range and block, of up to PAIRS_AT_ONCE pairs of a place and an id, each once."""
+    import numpy as np
+    import pyarrow as pa
+
+    held, n = [], 0
+
+    def packed():
+        of, pair = (np.concatenate(x) for x in zip(*held))
+        order = np.lexsort((pair, of))
+        of, pair = of[order], pair[order]
+        new = np.append(True, (of[1:] != of[:-1]) | (pair[1:] != pair[:-1]))
+        of, pair = of[new], pair[new]
+        first = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
+        lists = lambda x: pa.ListArray.from_arrays(pa.array(np.append(first, len(x)).astype(np.int32)), pa.array(x.astype(np.int32)))
+        return pa.RecordBatch.from_arrays([pa.array(of[first] >> 24), pa.array(of[first] & (2**24 - 1)), lists(pair >> 32), lists(pair & (2**32 - 1))], names=["range", "block", "place", "ids"])
+
+    for b in batches:
+        width = np.diff(b.column(3).offsets.to_numpy())
+        of = b.column(0).to_numpy() << 24 | b.column(1).to_numpy()
+        held.append((np.repeat(of, width), np.repeat(b.column(2).to_numpy().astype(np.int64) << 32, width) | b.column(3).flatten().to_numpy()))
+        n += len(held[-1][1])
+        if n >= PAIRS_AT_ONCE:
+            yield packed()
+            held, n = [], 0
+    if n:
+        yield packed()
+
+
+def counted_pairs(most: int | None):
+    """Task of a range of chunks and a block of questions: a row for each question that a chunk meets, with the number of chunks
+    by terms met (from 1), and those chunks: their terms met and place among the chunks of as many, in order of their keys."""
+
+    def run(hits, asked):
+        import numpy as np
+        import pyarrow as pa
+
+        names, flat = ["q", "range", "total", "levels", "found"], lambda t, c: t.column(c).combine_chunks().flatten()
+        keys = flat(asked, "cs")
+        if not (hits.num_rows and asked.num_rows):
+            kinds = [asked.schema.field("qs").type.value_type, pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.struct([("c", keys.type), ("n", pa.int32()), ("own", pa.int32())]))]
+            return pa.table([pa.array([], kind) for kind in kinds], names=names)
+        k, of, total, kept_q, kept = (flat(asked, c).to_numpy() for c in ("ks", "qnos", "totals", "kept_q", "kept"))
+        terms, questions = int(k.max()) + 1, len(total)
+        met = np.unique(flat(hits, "place").to_numpy().astype(np.int64) * terms + flat(hits, "ids").to_numpy())
+        local, term = met // terms, met % terms
+        order = np.argsort(k, kind="stable")
+        of, per_term = of[order], np.bincount(k, minlength=terms)
+        start, width = (np.cumsum(per_term) - per_term)[term], per_term[term]
+        ends, counts, at = np.cumsum(width), np.zeros(len(keys) * questions, np.int32), 0
+        while at < len(met):  # so many pairs of a chunk's term and a question at once
+            to = max(at + 1, int(np.searchsorted(ends, ends[at] - width[at] + PAIRS_AT_ONCE, side="right")))
+            w = width[at:to]
+            inside = np.arange(int(w.sum())) - np.repeat(np.cumsum(w) - w, w)
+            cells = np.repeat(local[at:to], w) * questions + of[np.repeat(start[at:to], w) + inside]
+            low = int(local[at]) * questions
+            part = np.bincount(cells - low)
+            counts[low : low + len(part)] += part.astype(np.int32)
+            at = to
+        counts = counts.reshape(len(keys), questions)
+        asked_for = np.zeros(counts.shape if len(kept_q) else (0, 0), bool)
+        if len(kept_q):
+            asked_for[kept, kept_q] = True
+        rows, levels, chunk, n, own = [], [], [], [], []
+        for q in np.flatnonzero(counts.any(axis=0)):
+            c = np.flatnonzero(counts[:, q])
+            c = c[np.argsort(-counts[c, q], kind="stable")]
+            x = counts[c, q]
+            level = np.bincount(x, minlength=total[q] + 1)
+            mine = np.arange(len(c)) - (len(c) - np.cumsum(level))[x] + 1
+            if most is not None:
+                keep = (np.arange(len(c)) < most) | (asked_for[c, q] if len(kept_q) else False)
+                c, x, mine = c[keep], x[keep], mine[keep]
+            rows.append(q)
+            levels.append(level[1:])
+            chunk.append(c)
+            n.append(x)
+            own.append(mine)
+        lists = lambda arrays, values: pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, arrays)]), pa.int32()), values)
+        joined = lambda arrays: pa.array(np.concatenate([np.zeros(0, np.int32), *arrays]).astype(np.int32))
+        c = keys.take(pa.array(np.concatenate([np.zeros(0, np.int64), *chunk])))
+        found = pa.StructArray.from_arrays([c, joined(n), joined(own)], names=["c", "n", "own"])
+        at = pa.array(np.array(rows, np.int64))
+        return pa.table([flat(asked, "qs").take(at), pa.array(np.full(len(rows), asked.column("range")[0].as_py())), flat(asked, "totals").take(at), lists(levels, joined(levels)), lists(chunk, found)], names=names)
+
+    return run
+
+
+def lexical_search(questions: DataFrame, chunks: DataFrame, q_key: list[str], c_key: list[str], most: int | None = None, also: DataFrame | None = None, range_rows: int = RANGE_ROWS) -> DataFrame:
+    """q_key, c_key, sparse, sparse_rank: the share of a question's terms that a chunk matches, over an inverted join.
+
+    Terms match as in `term_matches`, so that inflected forms count; vocabularies are matched once. With `most`, only ranks up
+    to it are returned, and those of the pairs (q_key, c_key) of `also`; ranks are those among all chunks.
 
-    Vocabularies are matched once. A chunk gathers the set of asked terms that it matches, at most those of all questions
-    together, and each of its terms counts for the questions that have it.
+    A range of chunks meets a block of questions in one task, which counts terms met and places the chunks of as many terms.
+    Ranks add up what better or earlier chunks the other ranges have, which are few numbers: pairs are not sorted.
     """
-    asked = questions.select(*q_key, T.meaningful_terms(F.col("text")).alias("terms"))
-    q = written(asked.select(*q_key, F.size("terms").alias("total"), F.explode("terms").alias("term")))
-    c = written(inverted(spread(chunks), c_key))
-    ids = written(q.select("term").distinct().withColumn("id", F.monotonically_increasing_id()))
-    match = matching_terms(q, c).join(ids, "term").select("id", F.col("other").alias("term"))
-    sets = c.join(match, "term").groupBy(*c_key).agg(F.collect_set("id").alias("ids"))
-    has = q.join(ids, "term").select(*q_key, "total", "id")
-    met = sets.select(*c_key, F.explode("ids").alias("id")).join(has, "id")
-    return met.groupBy(*q_key, *c_key, "total").agg(F.count(F.lit(1)).alias("n")).select(*q_key, *c_key, "n", "total")
+    asked = questions.select(F.struct(*q_key).alias("q"), T.meaningful_terms(F.col("text")).alias("terms")).where(F.size("terms") > 0)
+    asked = written(asked)
+    blocks = -(-asked.count() // BLOCK_QUESTIONS)
+    asked = asked.select("q", F.pmod(F.xxhash64("q"), F.lit(max(blocks, 1))).alias("block"), F.size("terms").alias("total"), F.explode("terms").alias("term"))
+    place = lambda c: (F.dense_rank().over(Window.partitionBy("block").orderBy(c)) - 1).cast("int")
+    asked = written(asked.withColumns({"k": place("term"), "qno": place("q")}))
+    held = numbered_terms(chunks, c_key, range_rows)
+    each, place_of = held.select("no", F.explode("terms").alias("term")), F.col("no").bitwiseAND((1 << 33) - 1).cast("int")
+    match = matching_terms(asked, each).join(asked.select("term", "block", "k").distinct(), "term")
+    match = written(match.groupBy(F.col("other").alias("term"), "block").agg(F.collect_list("k").alias("ids")))
+    hits = each.join(match, "term").select(F.shiftright("no", 33).alias("range"), "block", place_of.alias("place"), "ids")
+    hits = hits.mapInArrow(packed_hits, "range long, block long, place array<int>, ids array<int>")
+    packed = asked.groupBy("block").agg(F.collect_list("k").alias("ks"), F.collect_list("qno").alias("qnos"))
+    own = asked.select("block", "q", "qno", "total").distinct().groupBy("block").agg(F.array_sort(F.collect_list(F.struct("qno", "q", "total"))).alias("x"))
+    packed = packed.join(own.select("block", F.col("x")["q"].alias("qs"), F.col("x")["total"].alias("totals")), "block")
+    ranges = held.groupBy(F.shiftright("no", 33).alias("range")).agg(F.array_sort(F.collect_list(F.struct("no", "c"))).alias("x")).select("range", F.col("x")["c"].alias("cs"))
+    packed = ranges.crossJoin(packed)
+    none = F.array().cast
+    if also is None:
+        packed = packed.withColumns({"kept_q": none("array<int>"), "kept": none("array<int>")})
+    else:
+        pairs = also.select(F.struct(*q_key).alias("q"), F.struct(*c_key).alias("c")).distinct()
+        kept = pairs.join(asked.select("q", "block", "qno").distinct(), "q").join(held.select("c", "no"), "c")
+        kept = kept.groupBy(F.shiftright("no", 33).alias("range"), "block").agg(F.collect_list("qno").alias("kept_q"), F.collect_list(place_of).alias("kept"))
+        packed = packed.join(kept, ["range", "block"], "left").withColumns({"kept_q": F.coalesce("kept_q", none("array<int>")), "kept": F.coalesce("kept", none("array<int>"))})
+    kind = lambda df, c: df.schema[c].dataType.simpleString()
+    out = f"q {kind(asked, 'q')}, range long, total int, levels array<int>, found array<struct<c:{kind(held, 'c')},n:int,own:int>>"
+    met = hits.groupBy("range", "block").cogroup(packed.groupBy("range", "block")).applyInArrow(counted_pairs(most), out)
+    met = written(met)
+    level = met.select("q", "range", F.posexplode("levels").alias("n", "here")).where("here > 0")
+    before = F.sum("here").over(Window.partitionBy("q").orderBy(F.desc("n"), "range")) - F.col("here")
+    before = level.select("q", "range", F.struct((F.col("n") + 1).alias("n"), before.alias("before")).alias("b")).groupBy("q", "range").agg(F.map_from_entries(F.collect_list("b")).alias("before"))
+    rows = met.select("q", "range", "total", "found").join(before, ["q", "range"]).select("q", "total", "before", F.explode("found").alias("f"))
+    rows = rows.select("q.*", "f.c.*", (F.col("f.n") / F.col("total")).alias("sparse"), (F.col("f.own") + F.col("before")[F.col("f.n")]).alias("sparse_rank"))
+    if most is None:
+        return rows
+    rows = written(rows)
+    best = rows.where(F.col("sparse_rank") <= most)
+    if also is None:
+        return best
+    key = [*q_key, *c_key]
+    return best.unionByName(rows.where(F.col("sparse_rank") > most).join(also.select(*key).distinct(), key, "left_semi"))
 
 
 def ranked(rows: DataFrame, key: list[str], order: list[Column], rank: str) -> DataFrame:
@@ -160,15 +299,6 @@ def ranked(rows: DataFrame, key: list[str], order: list[Column], rank: str) -> D
     return out.join(before, F.col("own").eqNullSafe(F.col("of"))).withColumn(rank, F.col(rank) + F.col("before")).drop("range", "before", "own", "of")
 
 
-def lexical_search(questions: DataFrame, chunks: DataFrame, q_key: list[str], c_key: list[str]) -> DataFrame:
-    """q_key, c_key, sparse, sparse_rank: the share of a question's terms that a chunk matches, over an inverted join.
-
-    Terms match as in `term_matches`, so that inflected forms count.
-    """
-    scored = lexical_counts(questions, chunks, q_key, c_key).select(*q_key, *c_key, (F.col("n") / F.col("total")).alias("sparse"))
-    return ranked(scored, q_key, [F.desc("sparse"), *map(F.asc, c_key)], "sparse_rank")
-
-
 def lexical_score(question_terms: Column, chunk_terms: Column) -> Column:
     """Share of the question's terms with a suffix-tolerant match, for chunks already joined by document."""
     return F.size(F.filter(question_terms, lambda t: T.term_matches(t, chunk_terms))) / F.greatest(F.size(question_terms), F.lit(1))

@@ -329,7 +329,9 @@ def lexical_search(spark, d):
 def _hybrid(spark, d):
     docs, q = t(spark, d, "documents").select("doc_id", "text"), questions(spark, d)
     near = dense.dense_search(R.hash_vectors(q, ["item_id"]), R.hash_vectors(docs, ["doc_id"]), ["item_id"], ["doc_id"], R.CANDIDATES)
-    return R.hybrid_search(near.where("dense > 0"), R.lexical_search(q, docs, ["item_id"], ["doc_id"]), ["item_id"], ["doc_id"], 4)
+    near = S.written(near.where("dense > 0"))
+    found = R.lexical_search(q, docs, ["item_id"], ["doc_id"], most=4 + R.CANDIDATES, also=near)
+    return R.hybrid_search(near, found, ["item_id"], ["doc_id"], 4)
 
 
 _VEC = lambda table, key: rf"""(SELECT {key}, bucket, n / sqrt(sum(n * n) OVER (PARTITION BY {key})) AS weight FROM (SELECT {key}, (('0x' || substr(md5(w), 1, 8))::BIGINT % 384) AS bucket, count(*) AS n FROM (SELECT {key}, unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]{{2,}}')) AS w FROM {table}) GROUP BY ALL))"""
@@ -683,7 +685,7 @@ def sentences(rows: DataFrame, key: str) -> DataFrame:
 def _scores(spark, d):
     """Lexical retrieval of the benchmark, held against the documents that quote a sentence of the item."""
     q, x = questions(spark, d), t(spark, d, "documents")
-    found = R.lexical_search(q, x, ["item_id"], ["doc_id"]).where("sparse_rank <= 3")
+    found = R.lexical_search(q, x, ["item_id"], ["doc_id"], most=3)
     gold = sentences(q, "item_id").join(sentences(x, "doc_id"), "sentence").select("item_id", "doc_id").distinct()
     return found.withColumnRenamed("sparse_rank", "rank"), gold
 

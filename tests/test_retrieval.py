@@ -55,6 +55,19 @@ def test_lexical_ranks_of_many_terms(spark):
     assert sorted((r.q, r.c, round(r.sparse, 9), r.sparse_rank) for r in got) == sorted(want)
 
 
+def test_first_lexical_ranks_and_asked_pairs_alone(spark):
+    """Ranks among all chunks, though only the first ones and given pairs come back; ranges and blocks of few rows, null keys."""
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abcd") for _ in range(4)) for _ in range(40)]
+    text = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    q = spark.createDataFrame([(i, text(6)) for i in range(12)] + [(None, text(3))], "q int, text string")
+    c = spark.createDataFrame([(i, "k", text(rng.randrange(0, 9))) for i in range(90)] + [(None, "k", text(5))], "c int, k string, text string")
+    every = {(r.q, r.c): (r.sparse, r.sparse_rank) for r in R.lexical_search(q, c, ["q"], ["c", "k"]).collect()}
+    also = spark.createDataFrame([(1, 80, "k"), (3, 5, "k"), (3, 77, "k"), (4, 1000, "k")], "q int, c int, k string")
+    got = {(r.q, r.c): (r.sparse, r.sparse_rank) for r in R.lexical_search(q, c, ["q"], ["c", "k"], 4, also, range_rows=7).collect()}
+    assert got == {p: x for p, x in every.items() if x[1] <= 4 or p in {(1, 80), (3, 5), (3, 77), (4, 1000)}}
+
+
 def test_inflected_questions_find_their_chunk(spark):
     chunks = [(1, "Kütüphaneden alınan kitapların süresi yedi gündür."), (2, "Kitap fuarı"), (3, "kitap kütüphane kitap ve sonra uzun bir ara ile kütüphane"), (4, None)]
     q = spark.createDataFrame([(7, "kitaplar kütüphanede"), (8, ""), (9, None)], "q int, text string")
