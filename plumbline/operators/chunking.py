@@ -6,13 +6,15 @@ is an ordered fold over one page's pieces, run as an Arrow function over single
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import lexicon, text as T
+from ..sources.tables import spread, written
 
 SIZE, OVERLAP, LEAST = 1200, 200, 80
+#: Rows whose texts a task cuts at once.
+SLICE_ROWS = 64
 
 
 def page_lines(pages: DataFrame) -> DataFrame:
@@ -66,6 +68,20 @@ def semantic_blocks(pages: DataFrame) -> DataFrame:
     return blocks.select("doc_id", "page_number", (F.row_number().over(number) - 1).alias("block_no"), "block")
 
 
+def page_blocks(pages: DataFrame) -> DataFrame:
+    """(doc_id, page_number, blocks): the blocks of `semantic_blocks` in order, made inside each page's row; none
+    for a page without lines."""
+    paragraphs = F.filter(F.split(F.coalesce("text", F.lit("")), r"\n\s*\n+"), lambda p: F.trim(p) != "")
+    lines = lambda p: F.filter(F.transform(F.split(p, r"\R"), T.normalize_whitespace), lambda x: x != "")
+    told = lambda ls: F.transform(ls, lambda x, i: F.struct(x.alias("line"), ((i == 0) | F.coalesce(starts_semantic_block(x), F.lit(False))).alias("starts")))
+    rows = spread(pages).select("doc_id", "page_number", F.flatten(F.transform(paragraphs, lambda p: told(lines(p)))).alias("lines"))
+    begins = F.filter(F.transform("lines", lambda x, i: F.when(x["starts"], i)), lambda i: i.isNotNull())
+    rows = rows.select("doc_id", "page_number", "lines", begins.alias("begins"))
+    ends = lambda i: F.coalesce(F.get("begins", i + 1), F.size("lines"))
+    block = lambda at, i: F.array_join(F.transform(F.slice("lines", at + 1, ends(i) - at), lambda x: x["line"]), "\n")
+    return rows.select("doc_id", "page_number", F.transform("begins", block).alias("blocks"))
+
+
 def pack_words(words, size: int) -> list[str]:
     """Join parts with single blanks as long as they fit; a longer part is cut into pieces."""
     out, line = [], ""
@@ -125,34 +141,53 @@ def pack_blocks(blocks: list[str], size: int = SIZE, overlap: int = OVERLAP) ->
     return out + (["\n\n".join(held)] if held else [])
 
 
+def heading_lines(pages: DataFrame) -> DataFrame:
+    """(doc_id, n): how many section headings each document has, without a shuffle of its text."""
+    lines = page_lines(pages).where(is_section_heading(F.col("line")))
+    return lines.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+def cut_rows(rows: DataFrame, columns: list[str], cut) -> DataFrame:
+    """rows without `columns`, and a row (part, text) for each string of cut(*columns), numbered from 0. A task holds the strings
+    of few rows at once, however long a batch is."""
+    kept = [c for c in rows.columns if c not in columns]
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            at = 0
+            while at < b.num_rows:
+                part = b.slice(at, SLICE_ROWS)
+                at += SLICE_ROWS
+                found = [cut(*x) for x in zip(*(part.column(c).to_pylist() for c in columns))]
+                owner = pa.array([i for i, x in enumerate(found) for _ in x], pa.int32())
+                texts = [pa.array([n for x in found for n in range(len(x))], pa.int32()), pa.array([t for x in found for t in x], pa.string())]
+                yield pa.RecordBatch.from_arrays([*(part.column(c).take(owner) for c in kept), *texts], names=[*kept, "part", "text"])
+
+    whole = rows.select(*kept, *columns)
+    return whole.mapInArrow(run, rows.select(*kept, F.lit(0).alias("part"), F.lit("").alias("text")).schema)
+
+
 def chunk_by_headings(pages: DataFrame, size: int = SIZE) -> DataFrame:
     """(doc_id, place, page_number, text) of documents with three headed sections or more."""
-    sections = heading_sections(pages)
-    headed = sections.groupBy("doc_id").agg(F.count_if(F.col("heading") != "").alias("n")).where("n >= 3").select("doc_id")
+    headed = heading_lines(pages).where("n >= 3").select("doc_id")
 
-    @F.pandas_udf("array<string>")
-    def pieces(heading: pd.Series, text: pd.Series) -> pd.Series:
-        def one(h, t):
-            if len(t) <= size:
-                return [t]
-            body = t[len(h) :].strip() if h else t
-            return [f"{h}\n\n{p}" if h else p for p in split_oversized(body, max(300, size - len(h) - 2))]
+    def pieces(h, t):
+        if len(t) <= size:
+            return [t]
+        body = t[len(h) :].strip() if h else t
+        return [f"{h}\n\n{p}" if h else p for p in split_oversized(body, max(300, size - len(h) - 2))]
 
-        return pd.Series([one(h, t) for h, t in zip(heading, text)])
-
-    rows = sections.join(headed, "doc_id", "left_semi")
-    return rows.select("doc_id", "section", "page_number", F.posexplode(pieces("heading", "text")).alias("part", "text")).select("doc_id", F.struct("section", "part").alias("place"), "page_number", "text")
+    sections = heading_sections(pages.join(headed, "doc_id", "left_semi")).withColumnRenamed("text", "body")
+    return cut_rows(sections, ["heading", "body"], pieces).select("doc_id", F.struct("section", "part").alias("place"), "page_number", "text")
 
 
 def chunk_pages(pages: DataFrame, size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
     """(doc_id, place, page_number, text): each page's blocks packed."""
-
-    @F.pandas_udf("array<string>")
-    def pack(blocks: pd.Series) -> pd.Series:
-        return pd.Series([pack_blocks(list(b), size, overlap) for b in blocks])
-
-    blocks = semantic_blocks(pages).groupBy("doc_id", "page_number").agg(F.transform(F.array_sort(F.collect_list(F.struct("block_no", "block"))), lambda r: r["block"]).alias("blocks"))
-    return blocks.select("doc_id", "page_number", F.posexplode(pack("blocks")).alias("part", "text")).select("doc_id", F.struct(F.col("page_number").cast("long").alias("section"), "part").alias("place"), "page_number", "text")
+    blocks = page_blocks(pages)
+    rows = cut_rows(blocks, ["blocks"], lambda b: pack_blocks(b, size, overlap))
+    return rows.select("doc_id", F.struct(F.col("page_number").cast("long").alias("section"), "part").alias("place"), "page_number", "text")
 
 
 def number_chunks(pieces: DataFrame, least: int = LEAST) -> DataFrame:
@@ -163,7 +198,7 @@ def number_chunks(pieces: DataFrame, least: int = LEAST) -> DataFrame:
 
 def chunk_documents(pages: DataFrame, size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
     """Heading chunks of each document, or its packed pages if none survive. Documents without chunks are missing."""
-    by_heading = number_chunks(chunk_by_headings(pages, size))
+    by_heading = written(number_chunks(chunk_by_headings(pages, size)))
     rest = pages.join(by_heading.select("doc_id").distinct(), "doc_id", "left_anti")
     return by_heading.unionByName(number_chunks(chunk_pages(rest, size, overlap)))
 

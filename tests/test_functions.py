@@ -154,3 +154,16 @@ def test_rare_dates_are_looked_for_only_where_they_can_be(spark):
     assert str(K.extract_dates(F.col("t"))).count("CASE WHEN") >= 2
     assert one(spark, "1 mayis 2024, 2023-02-03 ve 4.5.2022", K.extract_dates) == ["2022-05-04", "2023-02-03", "2024-05-01"]
     assert one(spark, None, K.extract_dates) is None
+
+
+def test_blocks_of_a_row_are_semantic_blocks(spark):
+    """Packing takes its blocks from each page's row, and cuts the texts of few rows at once."""
+    texts = ["one\ntwo\n\n 1. three\n2. four\r\nfive:\nsix", "\n \n", None, "A LOUD LINE\nsoft\nLOUD AGAIN\n\n\nend", ""]
+    pages = spark.createDataFrame([(i % 3, i, t) for i, t in enumerate(texts)], "doc_id long, page_number int, text string")
+    want = {}
+    for r in sorted(chunking.semantic_blocks(pages).collect(), key=lambda r: r.block_no):
+        want.setdefault(r.page_number, []).append(r.block)
+    assert {r.page_number: r.blocks for r in chunking.page_blocks(pages).collect() if r.blocks} == want and want[3] == ["A LOUD LINE\nsoft", "LOUD AGAIN", "end"]
+    rows = spark.range(300).selectExpr("id", "array('a', 'b') AS x").coalesce(1)
+    out = chunking.cut_rows(rows, ["x"], lambda x: x)
+    assert sorted(map(tuple, out.collect())) == [(i, k, t) for i in range(300) for k, t in enumerate("ab")]
