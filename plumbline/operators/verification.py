@@ -9,9 +9,11 @@ from ..functions import facts as K, lexicon, text as T
 
 
 def split_claims(answer: Column) -> Column:
-    a = F.regexp_replace(T.normalize_whitespace(answer), r"(?iu)^belgeye\s+göre\s*:?\s+", "")
+    # most texts have single blanks, and few have the opening: one search is much faster than what it saves
+    spaced = T.once(answer, lambda x: F.when(x.rlike(r"(?U)^ | $|  |[\s&&[^ ]]"), T.normalize_whitespace(x)).otherwise(x))
+    a = T.once(spaced, lambda x: F.when(F.lower(F.left(x, F.lit(7))) == "belgeye", F.regexp_replace(x, r"(?iu)^belgeye\s+göre\s*:?\s+", "")).otherwise(x))
     parts = F.split(a, rf"(?<!\d[.!?])(?<=[.!?])\s+(?=[{T.UPPER}])|\s*;\s+")
-    return F.filter(F.transform(parts, lambda c: F.regexp_replace(T.normalize_whitespace(c), "^[ -]+|[ -]+$", "")), lambda c: c != "")
+    return F.filter(F.transform(parts, lambda c: F.btrim(c, F.lit(" -"))), lambda c: c != "")
 
 
 def evidence_windows(text: Column) -> Column:

@@ -67,3 +67,14 @@ def test_courses_are_looked_for_where_they_are_asked_for(spark, monkeypatch):
     c = spark.createDataFrame([(d, 0, "2020-2021 Güz\nDRS101-2020 Konu 3 A1 4,0 5") for d in (1, 2, 3)], "doc_id int, chunk_index int, text string")
     got = {r.question_id: r.strategy for r in answering.order_answers(q, c).collect()}
     assert got == {1: None, 2: "document-order-first"} and read == [1]
+
+
+def test_claims_of_oddly_spaced_answers(spark):
+    """Claims are those of the plain form, whatever blanks stand in an answer."""
+    from pyspark.sql import functions as F
+
+    from plumbline.operators import verification as V
+
+    want = {"BELGEYE  göre:  Bir. İki ;  üç ; -": ["Bir.", "İki", "üç"], " a\t b\n": ["a b"], "No. 3. A; - x -": ["No. 3. A", "x"], "Belgeye göre": ["Belgeye göre"], "": [], " ; ": [";"]}
+    rows = spark.createDataFrame([(x,) for x in want], "x string").select("x", V.split_claims(F.col("x")).alias("c")).collect()
+    assert {r.x: r.c for r in rows} == want
