@@ -74,11 +74,19 @@ def stem(term: Column, rules=lexicon.SUFFIX_RULES) -> Column:
     return reduce(lambda t, endings: F.regexp_replace(t, rf"^([a-z]{{4,}}?)(?:{'|'.join(endings)})$", "$1"), rules, term)
 
 
-def positional_postings(chunks: DataFrame, c_key: list[str]) -> DataFrame:
-    """c_key, stem, places: where each stem stands in each chunk, in words from 0."""
-    words = F.regexp_extract_all(T.normalize_for_matching(F.col("text")), F.lit("[a-z0-9]+"), F.lit(0))
-    each = spread(chunks).select(*c_key, F.posexplode(words).alias("place", "term"))
-    return each.groupBy(*c_key, stem(F.col("term")).alias("stem")).agg(F.array_sort(F.collect_list("place")).alias("places"))
+def positional_postings(chunks: DataFrame, c_key: list[str], asked: DataFrame) -> DataFrame:
+    """c_key, stem, places: where each stem of `asked` stands in each chunk, in words from 0.
+
+    Each distinct word is stemmed once. A stem keeps the first four letters of its word, or all of a shorter one: words that
+    begin like no asked stem are not stemmed, and words of no asked stem are not shuffled.
+    """
+    # marks at the start go first, so that the first part is the first word; what is empty equals no stem
+    words = F.split(F.regexp_replace(T.normalize_for_matching(F.col("text")), "^[^a-z0-9]+", ""), "[^a-z0-9]+")
+    each, stems = spread(chunks).select(*c_key, F.posexplode(words).alias("place", "term")), asked.select("stem").distinct()
+    begins = stems.select(F.left("stem", F.lit(4)).alias("begin")).distinct()
+    known = each.select("term", F.left("term", F.lit(4)).alias("begin")).join(begins, "begin", "left_semi").select("term").distinct()
+    known = written(known.select("term", stem(F.col("term")).alias("stem"))).join(stems, "stem", "left_semi")
+    return each.join(written(known), "term").groupBy(*c_key, "stem").agg(F.array_sort(F.collect_list("place")).alias("places"))
 
 
 def cover_density(occurrences: Column, need: Column) -> Column:
@@ -106,7 +114,7 @@ def fulltext_search(questions: DataFrame, chunks: DataFrame, q_key: list[str], c
     Terms match by their stems. Candidates come from the postings of a question's rarest stem; the others are looked up.
     """
     q = written(questions.select(*q_key, F.array_distinct(F.transform(T.meaningful_terms(F.col("text")), lambda t: stem(t))).alias("stems")).select(*q_key, F.size("stems").alias("need"), F.posexplode("stems").alias("term", "stem")))
-    postings = written(positional_postings(chunks, c_key))
+    postings = written(positional_postings(chunks, c_key, q))
     spreads = postings.groupBy("stem").agg(F.count(F.lit(1)).alias("n"))
     rarest = q.join(spreads, "stem", "left").groupBy(*q_key).agg(F.min_by("stem", F.struct(F.coalesce("n", F.lit(0)), "stem")).alias("stem"))
     found = rarest.join(postings.select(*c_key, "stem"), "stem").drop("stem")

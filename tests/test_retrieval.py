@@ -77,6 +77,14 @@ def test_inflected_questions_find_their_chunk(spark):
     assert {r.c: r.sparse for r in got} == {3: round(0.2 + 0.1 / 7, 9), 1: 0.05}
 
 
+def test_postings_hold_asked_stems_alone(spark):
+    """Words of other stems are neither stemmed nor shuffled; short words, marks at the start and rows of one key count as before."""
+    chunks = spark.createDataFrame([(1, "... kitaplar ev Kitap kitapta"), (1, "kitap"), (2, "evde"), (3, None), (4, "")], "c int, text string")
+    asked = spark.createDataFrame([("kitap",), ("ev",), ("kitap",)], "stem string")
+    got = {(r.c, r.stem): r.places for r in R.positional_postings(chunks, ["c"], asked).collect()}
+    assert got == {(1, "kitap"): [0, 0, 2, 3], (1, "ev"): [1]}
+
+
 def test_stems(spark):
     words = {"kitaplardan": "kitap", "kitaplari": "kitap", "ogrencilerin": "ogrenci", "evde": "evde", "sinavlarinda": "sinav", "kutuphane": "kutuphane", "kutuphaneye": "kutuphane", "abc1": "abc1"}
     got = spark.createDataFrame([(w,) for w in words], "w string").select("w", R.stem(F.col("w")).alias("s")).collect()
