@@ -6,7 +6,7 @@ is split three ways around a pivot word, the part that equals the pivot goes on
 size of an equal part is the count of its phrase, and parts with less than `least` occurrences are abandoned. All
 partitions of a level are split in one numpy pass.
 
-Four scans of the texts, none of which moves a text:
+Five scans of the texts, none of which moves a text:
 1. every task counts its pairs of adjacent words in cells of a hash table of fixed size, and ships its cells; the cells
    that reach `least` over all tasks are a bit map of 2^26 bits, which is broadcast (its size never grows). A pair whose
    cell falls short cannot be a phrase; a full map only lets more pairs pass.
@@ -15,10 +15,13 @@ Four scans of the texts, none of which moves a text:
    buckets of the two leading words, so that a frequent leading word is dealt out by its followers, and a frequent pair
    is one entry of each task's run at most. A run's suffixes of one bucket travel as one row of packed columns, sorted.
    Where they arrive, the same sort adds the counts up, one bucket at a time; the number of buckets grows with the pairs.
-4. words of the phrases found are counted, with their text, and all words of each language.
+4. words of the phrases found are counted by hash and routed by buckets in packed columns, as suffixes are.
+5. the phrases that can be among the best, by score and count, with all that equal the last of them, are known then. The texts
+   of their words alone are sent, and the counts of all words of each language.
 
-Words are 64-bit hashes of language and text up to the last step. If two different words share a hash that any phrase
-uses, the whole is done again with another seed: counts are exact. Scores are integers in decimal(38).
+Words are 64-bit hashes of language and text up to the last step. Words of the phrases found are counted with a second hash; if
+two different words share the first one, the whole is done again with another seed, and so it is where the texts of the last
+step differ. Scores are integers in decimal(38).
 
 Null text is empty; null lang is `und`. Empty texts have no words; repeated rows count each time. Only the language and the
 text are read, whatever the other columns. Texts of any length are cut by words, one at a time where they are long. Ties in
@@ -38,12 +41,14 @@ from .common import SLICE_BYTES, byte_slices, column_bytes, cut, hash_spans, low
 BITS, BLOCK_BITS, RUN, BUCKET_PAIRS, HELD = 26, 16, 1 << 20, 1 << 18, 1 << 19
 DEPTH = 3
 CELLS = "block int, cells binary, counts binary"
-SUFFIXES, PACKED = "a long, b long, c long, n long", "bucket int, a binary, b binary, c binary, n binary"
+SUFFIXES, PACKED, COUNTED = "a long, b long, c long, n long", "bucket int, a binary, b binary, c binary, n binary", "bucket int, lang string, h binary, other binary, n binary"
 
 _blank, _end = np.zeros(256, bool), np.zeros(256, bool)
 _blank[[32, 9]] = True
 _end[list(b".,;:!?\n\x0b\x0c\r")] = True
 _word = ~(_blank | _end)
+#: Bytes in another order: the second hash of a word is the first hash of other bytes.
+_other = np.random.default_rng(11).permutation(256).astype(np.uint8)
 
 
 def split_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -305,8 +310,78 @@ def same_spans(w: Words, at: np.ndarray, other: np.ndarray) -> np.ndarray:
     return same
 
 
+def word_counts(seed: int, bits, buckets: int):
+    """Task of the fourth scan: words whose bit is set, counted by both hashes and packed by language and bucket."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        held, n, langs = [], 0, {}
+
+        def packed():
+            h, other, lang, count = (np.concatenate(x) for x in zip(*held))
+            bucket = (h % np.uint64(buckets)).astype(np.int32)
+            order = np.lexsort((other, h, lang, bucket))
+            h, other, lang, count, bucket = (x[order] for x in (h, other, lang, count, bucket))
+            group = np.append(True, (bucket[1:] != bucket[:-1]) | (lang[1:] != lang[:-1]))
+            new = np.flatnonzero(group | np.append(True, (h[1:] != h[:-1]) | (other[1:] != other[:-1])))
+            columns = [h[new], other[new], np.add.reduceat(count, new)]
+            first = np.flatnonzero(group[new])
+            ends = np.append(first[1:], len(new))
+            pack = lambda x: pa.array([x[i:j].tobytes() for i, j in zip(first, ends)], pa.binary())
+            names = pa.array(list(langs), pa.string()).take(pa.array(lang[new][first]))
+            return pa.RecordBatch.from_arrays([pa.array(bucket[new][first]), names, *map(pack, columns)], names=["bucket", "lang", "h", "other", "n"])
+
+        for w in slices(batches, seed):
+            seen = np.flatnonzero(is_set(bits.value, cell(w.hash)))
+            if not len(seen):
+                continue
+            _, one, group = np.unique(w.hash[seen], return_index=True, return_inverse=True)
+            same = same_spans(w, seen, seen[one][group])
+            at = np.concatenate([seen[one], seen[~same]])
+            count = np.append(np.bincount(group[same], minlength=len(one)), np.ones(int((~same).sum()), np.int64))
+            own = np.array([langs.setdefault(x, len(langs)) for x in w.langs], np.int64)
+            held.append((w.hash[at], hash_spans(_other[w.data], w.starts[at], w.ends[at]), own[w.lang[at]], count))
+            n += len(at)
+            if n >= RUN:
+                yield packed()
+                held, n = [], 0
+        if n:
+            yield packed()
+
+    return run
+
+
+def words_added(batches):
+    """Task behind the routing, a bucket at a time: (h, lang, n) of its words, and whether another word has the hash."""
+    import pyarrow as pa
+
+    def summed(held):
+        langs = {}
+        h, other, n = (np.frombuffer(b"".join(r[k] for r in held), kind) for k, kind in ((1, np.uint64), (2, np.uint64), (3, np.int64)))
+        lang = np.repeat([langs.setdefault(r[0], len(langs)) for r in held], [len(r[1]) // 8 for r in held])
+        order = np.lexsort((other, lang, h))
+        h, other, lang, n = h[order], other[order], lang[order], n[order]
+        first = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+        last = np.append(first[1:], len(h)) - 1
+        clash = (other[first] != other[last]) | (lang[first] != lang[last])
+        names = pa.array(list(langs), pa.string()).take(pa.array(lang[first]))
+        return pa.RecordBatch.from_arrays([pa.array(h[first].view(np.int64)), names, pa.array(np.add.reduceat(n, first)), pa.array(clash)], names=["h", "lang", "n", "clash"])
+
+    last, held = None, []
+    for b in batches:
+        for bucket, *columns in zip(*(c.to_pylist() for c in b.columns)):
+            if bucket != last and held:
+                yield summed(held)
+                held = []
+            last = bucket
+            held.append(columns)
+    if held:
+        yield summed(held)
+
+
 def words_of(seed: int, bits):
-    """Task of the fourth scan: (h, lang, word, n) of words whose bit is set, and (h, lang, null, n) of all words of a language.
+    """Task of the last scan: (h, lang, word, n) of words whose bit is set, and (h, lang, null, n) of all words of a language.
 
     Counts are added up over a task's slices, up to HELD words at once. Words that share a hash are told apart by their bytes.
     """
@@ -342,52 +417,75 @@ def words_of(seed: int, bits):
     return run
 
 
-def counted(docs: DataFrame, least: int, lang_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """(a, b, c, n): frequent phrases as word hashes, c 0 for pairs; (h, n, lang, word): their words, and languages (word null)."""
-    sc = docs.sparkSession.sparkContext
-    rows = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    seed = 0
-    while True:
-        bits, n = bit_map(rows.mapInArrow(cell_counts(seed), CELLS), least)
-        pairs = sc.broadcast(bits)
-        threes = sc.broadcast(bit_map(rows.mapInArrow(cell_counts(seed, pairs), CELLS), least)[0])
-        routed = rows.mapInArrow(suffixes(seed, pairs, threes, max(64, n // BUCKET_PAIRS)), PACKED)
-        routed = routed.repartition("bucket").sortWithinPartitions("bucket")
-        phrases = cut(routed.mapInArrow(added_up(least), SUFFIXES), "phrases")
-        used = sc.broadcast(bit_map(phrases.select("a", "b", "c").mapInArrow(word_cells, CELLS), 1)[0])
-        each = rows.mapInArrow(words_of(seed, used), "h long, lang string, word string, n long")
-        words = each.groupBy("h").agg(F.sum("n").alias("n"), F.min(F.struct("lang", "word")).alias("w"), F.max(F.struct("lang", "word")).alias("other"))
-        words = cut(words, "words")
-        if words.where(~F.col("w").eqNullSafe(F.col("other"))).isEmpty():
-            return phrases, words.select("h", "n", "w.lang", "w.word")
-        seed += 1
+def routed(rows: DataFrame, task, kind: str, behind, out: str) -> DataFrame:
+    """What tasks made of rows, by bucket, through the task behind."""
+    return rows.mapInArrow(task, kind).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(behind, out)
 
 
-def mine(docs: DataFrame, least: int = 10, most: int = 2000, inside: int = 50, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
-    """lang, rank, phrase, a, l, r, n, score: the `most` best collocations of two and three words of each language.
+def counted(rows: DataFrame, least: int, seed: int) -> tuple[DataFrame, DataFrame]:
+    """(a, b, c, n): frequent phrases of rows (lang, text) as word hashes, c 0 for pairs; (h, lang, n, clash): their words."""
+    sc = rows.sparkSession.sparkContext
+    bits, n = bit_map(rows.mapInArrow(cell_counts(seed), CELLS), least)
+    buckets = max(64, n // BUCKET_PAIRS)
+    pairs = sc.broadcast(bits)
+    threes = sc.broadcast(bit_map(rows.mapInArrow(cell_counts(seed, pairs), CELLS), least)[0])
+    phrases = cut(routed(rows, suffixes(seed, pairs, threes, buckets), PACKED, added_up(least), SUFFIXES), "phrases")
+    used = sc.broadcast(bit_map(phrases.select("a", "b", "c").mapInArrow(word_cells, CELLS), 1)[0])
+    words = routed(rows, word_counts(seed, used, buckets), COUNTED, words_added, "h long, lang string, n long, clash boolean")
+    return phrases, cut(words, "counts")
 
-    a, l, r: counts of the phrase and of its two parts at the cut that scores least; n: words of the language. A pair is
-    dropped if a three-word phrase around it has `inside` percent of its count or more.
-    """
-    phrases, words = counted(docs, least, lang_col, text_col)
+
+def best_hashes(phrases: DataFrame, words: DataFrame, most: int, inside: int) -> DataFrame:
+    """lang, a, b, c, n, l, r, score: phrases as word hashes (c null for pairs), of which `most` of each language are the best:
+    all that have the rank by score and count."""
     score = lambda a, l, r: F.expr(f"cast({a} as decimal(18,0)) * cast({a} as decimal(18,0)) * 1000000 div (cast({l} as decimal(18,0)) * cast({r} as decimal(18,0)))")  # noqa: E731, E741
-    w = lambda k: words.where("word IS NOT NULL").select(F.col("h").alias(k), F.col("n").alias(f"n_{k}"), F.col("word").alias(f"w_{k}"), F.col("lang").alias(f"lang_{k}"))
+    w = lambda k: words.select(F.col("h").alias(k), F.col("n").alias(f"n_{k}"), F.col("lang").alias(f"lang_{k}"))
     pairs = phrases.where("c = 0").select("a", "b", F.col("n").alias("n_ab")).join(w("a"), "a").join(w("b").drop("lang_b"), "b")
     pairs = cut(pairs, "pairs")
     threes = phrases.where("c <> 0").withColumnRenamed("n", "n_abc")
-    ahead = pairs.select("a", "b", "n_ab", "n_a", "w_a", "w_b", "lang_a")
-    behind = pairs.select(F.col("a").alias("b"), F.col("b").alias("c"), F.col("n_ab").alias("n_bc"), F.col("n_b").alias("n_c"), F.col("w_b").alias("w_c"))
+    ahead = pairs.select("a", "b", "n_ab", "n_a", "lang_a")
+    behind = pairs.select(F.col("a").alias("b"), F.col("b").alias("c"), F.col("n_ab").alias("n_bc"), F.col("n_b").alias("n_c"))
     t = threes.join(ahead, ["a", "b"]).join(behind, ["b", "c"])
     t = t.withColumn("x", score("n_abc", "n_a", "n_bc")).withColumn("y", score("n_abc", "n_ab", "n_c"))
     early = F.col("x") <= F.col("y")
-    t = t.select(F.col("lang_a").alias("lang"), F.concat_ws(" ", "w_a", "w_b", "w_c").alias("phrase"), F.col("n_abc").alias("a"), F.when(early, F.col("n_a")).otherwise(F.col("n_ab")).alias("l"), F.when(early, F.col("n_bc")).otherwise(F.col("n_c")).alias("r"), F.least("x", "y").alias("score"))
+    t = t.select(F.col("lang_a").alias("lang"), "a", "b", "c", F.col("n_abc").alias("n"), F.when(early, F.col("n_a")).otherwise(F.col("n_ab")).alias("l"), F.when(early, F.col("n_bc")).otherwise(F.col("n_c")).alias("r"), F.least("x", "y").alias("score"))
     around = threes.select("a", "b", "n_abc").union(threes.select("b", "c", "n_abc")).groupBy("a", "b").agg(F.max("n_abc").alias("longer"))
     p = pairs.join(around, ["a", "b"], "left").where(F.col("longer").isNull() | (100 * F.col("longer") < inside * F.col("n_ab")))
-    p = p.select(F.col("lang_a").alias("lang"), F.concat_ws(" ", "w_a", "w_b").alias("phrase"), F.col("n_ab").alias("a"), F.col("n_a").alias("l"), F.col("n_b").alias("r"), score("n_ab", "n_a", "n_b").alias("score"))
+    p = p.select(F.col("lang_a").alias("lang"), "a", "b", F.lit(None).cast("long").alias("c"), F.col("n_ab").alias("n"), F.col("n_a").alias("l"), F.col("n_b").alias("r"), score("n_ab", "n_a", "n_b").alias("score"))
     # the best of each of 64 parts of a language, then of those
+    best = p.union(t).withColumn("part", F.pmod(F.xxhash64("a", "b", "c"), F.lit(64)))
+    for key in (["lang", "part"], ["lang"]):
+        best = best.withColumn("rank", F.rank().over(Window.partitionBy(*key).orderBy(F.desc("score"), F.desc("n")))).where(F.col("rank") <= most)
+    return best.drop("part", "rank")
+
+
+def mine(docs: DataFrame, least: int = 10, most: int = 2000, inside: int = 50, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
+    """lang, rank, phrase, a, l, r, n, score: the `most` best collocations of two and three words of each language.
+
+    a, l, r: counts of the phrase and of its two parts at the cut that scores least; n: words of the language. A pair is
+    dropped if a three-word phrase around it has `inside` percent of its count or more.
+    """
+    sc = docs.sparkSession.sparkContext
+    rows = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    seed = 0
+    while True:
+        phrases, counts = counted(rows, least, seed)
+        if counts.where("clash").isEmpty():
+            best = cut(best_hashes(phrases, counts, most, inside), "best")
+            used = sc.broadcast(bit_map(best.select("a", "b", F.coalesce("c", F.lit(0))).mapInArrow(word_cells, CELLS), 1)[0])
+            each = rows.mapInArrow(words_of(seed, used), "h long, lang string, word string, n long")
+            words = each.groupBy("h").agg(F.sum("n").alias("n"), F.min(F.struct("lang", "word")).alias("w"), F.max(F.struct("lang", "word")).alias("other"))
+            words = cut(words, "words")
+            if words.where(~F.col("w").eqNullSafe(F.col("other"))).isEmpty():
+                break
+        seed += 1
+    w = lambda k: words.where("w.word IS NOT NULL").select(F.col("h").alias(k), F.col("w.word").alias(f"w_{k}"))
+    best = best.join(w("a"), "a").join(w("b"), "b").join(w("c"), "c", "left").withColumn("phrase", F.concat_ws(" ", "w_a", "w_b", "w_c"))
     order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
-    best = p.union(t).withColumn("part", F.pmod(F.xxhash64("phrase"), F.lit(64)))
-    best = best.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "part").orderBy(*order))).where(F.col("rank") <= most)
-    best = best.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("rank") <= most)
-    total = words.where("word IS NULL").select("lang", F.col("n").alias("n"))
+    best = best.select("lang", "phrase", F.col("n").alias("a"), "l", "r", "score")
+    # again in two steps: many may equal the last of the best
+    best = best.withColumn("part", F.pmod(F.xxhash64("phrase"), F.lit(64)))
+    for key in (["lang", "part"], ["lang"]):
+        best = best.withColumn("rank", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where(F.col("rank") <= most)
+    total = words.where("w.word IS NULL").select("w.lang", "n")
     return best.join(total, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")

@@ -146,6 +146,40 @@ def test_words_of_a_task_are_counted_once():
     assert phrases.same_spans(w, np.array([0, 1, 2, 3]), np.array([0, 0, 0, 0])).tolist() == [True, False, True, False]
 
 
+def test_texts_are_sent_for_the_best_phrases_alone(spark, monkeypatch):
+    """Of 30 frequent pairs two are returned: no text of the words of the others is looked for, but of those that equal the last."""
+    sent = []
+    real = phrases.words_of
+    monkeypatch.setattr(phrases, "words_of", lambda seed, bits: (sent.append(int(np.unpackbits(bits.value).sum())), real(seed, bits))[1])
+    rows = [("en", f"a{i} b{i}. a{i}") for i in range(27) for _ in range(10)] + [("en", f"c{i} d{i}") for i in range(3) for _ in range(10)]
+    df = spark.createDataFrame(rows, "lang string, text string").repartition(3)
+    assert sorted(map(tuple, phrases.mine(df, most=2).collect())) == best_phrases(rows, 10, 2)
+    assert sent == [6]
+
+
+def test_words_of_tasks_that_share_a_hash_are_seen():
+    """Words are counted by hash over tasks; another text with the same hash is told by the second one, as is another language."""
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+
+    class Fixed(phrases.Words):
+        def __init__(self, part, seed):
+            super().__init__(part, seed)
+            self.hash = np.full(len(self.hash), 5, np.uint64)
+
+    every = SimpleNamespace(value=np.full(2 ** (phrases.BITS - 3), 255, np.uint8))
+    batch = lambda lang, *texts: pa.RecordBatch.from_arrays([pa.array([lang] * len(texts)), pa.array(texts)], names=["lang", "text"])
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(phrases, "Words", Fixed)
+        task = lambda *batches: list(phrases.word_counts(0, every, 1)(iter(batches)))
+        summed = lambda *parts: [tuple(r.values())[1:] for b in phrases.words_added(iter(sum(parts, []))) for r in b.to_pylist()]
+        assert summed(task(batch("en", "red red"), batch("en", "red")), task(batch("en", "red"))) == [("en", 4, False)]
+        assert [x[2] for x in summed(task(batch("en", "red")), task(batch("en", "blue")))] == [True]
+        assert [x[2] for x in summed(task(batch("en", "red")), task(batch("tr", "red")))] == [True]
+        assert [x[2] for x in summed(task(batch("en", "red blue")))] == [True]
+
+
 def test_no_texts(spark):
     assert phrases.mine(spark.createDataFrame([], TEXTS)).collect() == []
 
