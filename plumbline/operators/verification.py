@@ -55,8 +55,7 @@ def match_claims(answers: DataFrame, sources: DataFrame, key: str = "answer_id")
     w = features(w, "window", F.when(F.col("units") == 1, F.col("window"))).select(key, "source_index", "ord", "units", *(F.col(c).alias(f"w_{c}") for c in ("terms", "facts", "relations", "negative", "normal")))
     # merged: Spark guesses windows and their features no larger than the sources, and would send them all through the driver
     c = claims.alias("c").hint("merge").join(w.alias("w"), F.expr(f"c.{key} = w.{key} AND (NOT c.critical OR w.units = 1)")).drop(F.col(f"w.{key}"))
-    matched = F.filter("terms", lambda t: T.entity_matches(t, F.col("w_terms")))
-    c = c.withColumn("matched", F.array_sort(matched)).withColumn("coverage", F.size("matched") / F.greatest(F.size("terms"), F.lit(1)))
+    c = c.withColumn("matched", F.array_sort(T.terms_met(F.col("terms"), F.col("w_terms")))).withColumn("coverage", F.size("matched") / F.greatest(F.size("terms"), F.lit(1)))
     common = F.array_intersect("relations", "w_relations")
     c = c.withColumns({"facts_ok": K.facts_supported(F.col("facts"), F.col("w_facts")), "related": F.size(common) > 0, "acronyms_ok": F.forall("acronyms", lambda a: F.contains(F.col("w_normal"), a)), "polarity_ok": F.col("negative") == F.col("w_negative")})
     relations_ok = (F.size("relations") == 0) | F.col("related")
@@ -98,8 +97,9 @@ def evidence_support(questions: DataFrame, sources: DataFrame, key: str = "quest
     q = q.withColumn("q_terms", F.array_except("all", lits(("hangi", "kac", "nedir")))).withColumn("q_ent", F.filter(F.array_except("all", lits(lexicon.NON_ENTITY_TERMS)), lambda t: ~t.rlike("^[0-9]+$")))
     s = dealt(sources.select(key, "source_index", "text"), key).select(key, "source_index", T.meaningful_terms(F.col("text")).alias("terms"), K.extract_percentages(F.col("text")).alias("pct"), T.relation_concepts(F.col("text")).alias("rel"))
     both = s.hint("merge").join(q, key)
-    hits = lambda c: F.array_sort(F.filter(c, lambda t: T.entity_matches(t, F.col("terms"))))
-    both = both.withColumns({"m_pct": F.array_intersect("q_pct", "pct"), "m_rel": F.array_intersect("q_rel", "rel"), "m_ent": hits(F.col("q_ent")), "m_terms": hits(F.col("q_terms"))})
+    # a question's entities and terms are both among all its terms, which are looked for once
+    both = both.withColumns({"m_pct": F.array_intersect("q_pct", "pct"), "m_rel": F.array_intersect("q_rel", "rel"), "met": T.terms_met(F.col("all"), F.col("terms"))})
+    both = both.withColumns({"m_ent": F.array_intersect("q_ent", "met"), "m_terms": F.array_intersect("q_terms", "met")})
     some = lambda c: F.size(c) > 0
     ratio = F.size("m_terms") / F.greatest(F.size("q_terms"), F.lit(1))
     exact = (F.size(F.array_except("q_pct", "pct")) == 0) & some("m_ent") & some("m_rel")

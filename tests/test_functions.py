@@ -167,3 +167,18 @@ def test_blocks_of_a_row_are_semantic_blocks(spark):
     rows = spark.range(300).selectExpr("id", "array('a', 'b') AS x").coalesce(1)
     out = chunking.cut_rows(rows, ["x"], lambda x: x)
     assert sorted(map(tuple, out.collect())) == [(i, k, t) for i in range(300) for k, t in enumerate("ab")]
+
+
+def test_terms_met_are_those_of_entity_matches(spark):
+    """One search in all held terms as a text finds what a look at each of them finds: parts, wholes, beginnings, no match across terms."""
+    import random
+
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("ab1") for _ in range(rng.randrange(3, 11)))
+    rows = [([word() for _ in range(rng.randrange(0, 9))], [word() for _ in range(rng.randrange(0, 4))]) for _ in range(400)]
+    rows += [(["kitaplar", "ara"], ["kit", "apl", "kitaptan"]), (["abc"], None), (None, ["abc"]), (["bca", "aabb"], ["aab", "cab"])]
+    df = spark.createDataFrame(rows, "a array<string>, h array<string>")
+    one = F.filter("a", lambda t: T.entity_matches(t, F.col("h")))
+    got = df.select("a", "h", one.alias("want"), T.terms_met(F.col("a"), F.col("h")).alias("got")).collect()
+    assert all(r.want == r.got for r in got)
+    assert 100 < sum(len(r.got or []) for r in got) < sum(len(r.a or []) for r in got) - 100
