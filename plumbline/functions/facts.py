@@ -19,9 +19,40 @@ ISO = r"\b((?:19|20)\d{2})-([01]\d)-([0-3]\d)\b"
 NAMED = rf"\b([0-3]?\d)\s+({'|'.join(lexicon.MONTHS)})\s+((?:19|20)\d{{2}})\b"
 
 
-def groups(text: Column, pattern: str, n: int) -> Column:
-    """array<struct<g1..gn>> of the groups of every match."""
-    return F.arrays_zip(*(F.regexp_extract_all(text, F.lit(ascii_borders(pattern)), F.lit(i)).alias(f"g{i}") for i in range(1, n + 1)))
+# what a text must hold for a pattern to match it: looking for it is much faster than the pattern
+SIGNS = {MONEY: ("tl", "lira", "usd", "eur", "dolar"), LIRA: ("₺",), DURATION: ("gun", "hafta", "ay", "yil", "saat", "dakika"), PERCENT: ("%", "yuzde"), ISO: ("-",)}
+# the beginnings of the patterns with their first character first, and then what may stand before it: few places of a text have that character
+FIRST = {
+    r"\b([0-9]": r"([0-9](?<![A-Za-z0-9_].)",
+    r"\b([0-3]?\d)": r"([0-9](?<![A-Za-z0-9_].)(?:(?<=[0-3])\d)?)",
+    r"\b((?:19|20)\d{2})": r"([12](?<![A-Za-z0-9_].)(?:(?<=1)9|(?<=2)0)\d{2})",
+    r"(?:%\s*|\byuzde\s+)": r"[%y](?:(?<=%)|(?<=y)(?<![A-Za-z0-9_]y)uzde(?=\s))\s*",
+    r"(?<![a-z])\d+": r"\d(?<![a-z].)\d*",
+}
+
+
+def fast(*patterns: str) -> str:
+    """One of the patterns, the same matches, with their first characters first."""
+    each = []
+    for p in patterns:
+        (begins,) = [b for b in FIRST if p.startswith(b)]
+        each.append(ascii_borders(FIRST[begins] + p.removeprefix(begins)))
+    return "|".join(each)
+
+
+def none() -> Column:
+    return F.expr("cast(array() as array<string>)")
+
+
+def found(text: Column, pattern: str, f) -> Column:
+    """f of every match of a pattern, in the texts that hold one of its signs, if it has any."""
+    each = F.transform(F.regexp_extract_all(text, F.lit(fast(pattern)), F.lit(0)), f)
+    return F.when(any_of(text, SIGNS[pattern]), each).otherwise(none()) if pattern in SIGNS else each
+
+
+def group(match: Column, pattern: str, i: int) -> Column:
+    """A group of a match. The match is matched again alone, and a few characters are matched much faster than the text they are from."""
+    return F.regexp_extract(match, fast(pattern), i)
 
 
 def strip_zeros(v: Column) -> Column:
@@ -30,7 +61,10 @@ def strip_zeros(v: Column) -> Column:
 
 def canonical_number(raw: Column) -> Column:
     """Locale repair: of two kinds of separators the later is the decimal one; three digits after one dot are a group."""
-    v = F.trim(raw)
+    return once(F.trim(raw), _canonical)
+
+
+def _canonical(v: Column) -> Column:
     comma, dot = F.contains(v, F.lit(",")), F.contains(v, F.lit("."))
     last = lambda m: F.length(v) - F.instr(F.reverse(v), m)
     dots = F.length(v) - F.length(F.replace(v, F.lit(".")))
@@ -51,47 +85,64 @@ def distinct_sorted(x: Column) -> Column:
 
 
 def extract_percentages(text: Column) -> Column:
-    found = F.regexp_extract_all(normalize_for_matching(text), F.lit(ascii_borders(PERCENT)), F.lit(1))
-    return distinct_sorted(F.transform(found, lambda v: F.regexp_replace(strip_zeros(F.replace(v, F.lit(","), F.lit("."))), r"\.$", "")))
+    return once(normalize_for_matching(text), _percentages)
+
+
+def _percentages(normal: Column) -> Column:
+    plain = lambda v: F.regexp_replace(strip_zeros(F.replace(v, F.lit(","), F.lit("."))), r"\.$", "")
+    shares = distinct_sorted(F.transform(F.regexp_extract_all(normal, F.lit(fast(PERCENT)), F.lit(1)), plain))
+    return F.when(any_of(normal, SIGNS[PERCENT]), shares).when(normal.isNotNull(), none())
 
 
 def extract_dates(normal: Column) -> Column:
     """yyyy-MM-dd of every date in a text in matching normal form; days are not checked against the calendar."""
     two = lambda c: F.lpad(c, 2, "0")
     year = lambda y: F.when(F.length(y) == 2, F.concat(F.lit("20"), y)).otherwise(y)
-    a = F.transform(groups(normal, DAY_FIRST, 3), lambda g: F.concat_ws("-", year(g["g3"]), two(g["g2"]), two(g["g1"])))
-    # most texts lack the sign or the month, and looking for it is much faster than three groups of a pattern
-    none = F.expr("cast(array() as array<string>)")
-    b = F.when(~F.contains(normal, F.lit("-")), none).otherwise(F.transform(groups(normal, ISO, 3), lambda g: F.concat_ws("-", g["g1"], g["g2"], g["g3"])))
+    a = found(normal, DAY_FIRST, lambda m: once(F.split(m, "[./-]"), lambda g: F.concat_ws("-", year(g[2]), two(g[1]), two(g[0]))))
+    b = found(normal, ISO, lambda m: m)
     months = F.array(*map(F.lit, lexicon.MONTHS))
-    named = F.transform(groups(normal, NAMED, 3), lambda g: F.concat_ws("-", g["g3"], two(F.array_position(months, g["g2"]).cast("string")), two(g["g1"])))
-    c = F.when(~any_of(normal, lexicon.MONTHS), none).otherwise(named)
+    c = found(normal, NAMED, lambda m: F.concat_ws("-", group(m, NAMED, 3), two(F.array_position(months, group(m, NAMED, 2)).cast("string")), two(group(m, NAMED, 1))))
     return distinct_sorted(F.concat(a, b, c))
 
 
 def extract_claim_facts(text: Column) -> Column:
     """struct<percentages, money, durations, dates, numbers>, each a sorted array of canonical strings, empty for null.
 
-    The normal form is worked out once, and only for texts with a digit.
+    The normal form is worked out once, and only for texts with a digit. Patterns run over a text once each, and only where
+    the text holds one of their signs.
     """
-    n = normalize_for_matching(text)
-    n = F.regexp_replace(F.regexp_replace(n, ascii_borders(r"(?<!\d)\.(\d)(?=\s+ve\b)"), "$1"), ascii_borders(r"(?<!\d)\.(\d)s?\s+inif\b"), "$1 sinif")
-    none = F.expr("cast(array() as array<string>)")
-    nothing = F.struct(*(none.alias(k) for k in KINDS))
-    return F.when(F.regexp_like(text, F.lit("[0-9]")), once(n, lambda n: _facts(n, extract_percentages(text)))).otherwise(nothing)
+    nothing = F.struct(*(none().alias(k) for k in KINDS))
+    facts = lambda plain: once(_mended(plain), lambda n: _facts(n, _percentages(plain)))
+    return F.when(F.regexp_like(text, F.lit("[0-9]")), once(normalize_for_matching(text), facts)).otherwise(nothing)
+
+
+def _mended(n: Column) -> Column:
+    """Class years that were read as decimals: 3 ve .4s inif is 3 ve 4 sinif."""
+    n = F.when(F.contains(n, F.lit("ve")), F.regexp_replace(n, r"\.(?<!\d\.)(\d)(?=\s+ve(?![A-Za-z0-9_]))", "$1")).otherwise(n)
+    return once(n, lambda n: F.when(F.contains(n, F.lit("inif")), F.regexp_replace(n, r"\.(?<!\d\.)(\d)s?\s+inif(?![A-Za-z0-9_])", "$1 sinif")).otherwise(n))
 
 
 def _facts(n: Column, percentages: Column) -> Column:
-    none = F.expr("cast(array() as array<string>)")
-    money = F.transform(groups(n, MONEY, 2), lambda g: F.concat_ws(":", once(g["g1"], canonical_number), canonical_money_unit(g["g2"])))
-    lira = F.when(F.contains(n, F.lit("₺")), F.transform(F.regexp_extract_all(n, F.lit(ascii_borders(LIRA)), F.lit(1)), lambda v: F.concat(canonical_number(v), F.lit(":try")))).otherwise(none)
-    durations = F.transform(groups(n, DURATION, 2), lambda g: F.concat_ws(":", canonical_number(g["g1"]), g["g2"]))
-    rest = n
-    for pattern in (rf"{DAY_FIRST}|{ISO}", NAMED, PERCENT, rf"{MONEY}|{LIRA}", DURATION):
-        without = F.regexp_replace(rest, ascii_borders(pattern), " ")
-        rest = F.when(any_of(n, lexicon.MONTHS), without).otherwise(rest) if pattern == NAMED else without
-    numbers = F.transform(F.regexp_extract_all(rest, F.lit(r"(?<![a-z])\d+(?:[.,]\d+)*(?![a-z])"), F.lit(0)), canonical_number)
-    return F.struct(percentages.alias("percentages"), distinct_sorted(F.concat(money, lira)).alias("money"), distinct_sorted(durations).alias("durations"), extract_dates(n).alias("dates"), distinct_sorted(numbers).alias("numbers"))
+    money = found(n, MONEY, lambda m: F.concat_ws(":", canonical_number(group(m, MONEY, 1)), canonical_money_unit(group(m, MONEY, 2))))
+    lira = found(n, LIRA, lambda m: F.concat(canonical_number(group(m, LIRA, 1)), F.lit(":try")))
+    durations = found(n, DURATION, lambda m: F.concat_ws(":", canonical_number(group(m, DURATION, 1)), group(m, DURATION, 2)))
+    numbers = lambda rest: F.transform(F.regexp_extract_all(rest, F.lit(fast(r"(?<![a-z])\d+(?:[.,]\d+)*(?![a-z])")), F.lit(0)), canonical_number)
+    return F.struct(percentages.alias("percentages"), distinct_sorted(F.concat(money, lira)).alias("money"), distinct_sorted(durations).alias("durations"), extract_dates(n).alias("dates"), distinct_sorted(once(_without_facts(n), numbers)).alias("numbers"))
+
+
+def _without_facts(n: Column) -> Column:
+    """A text without its dates, percentages, money and durations, each of which leaves a blank."""
+    steps = [(fast(DAY_FIRST, ISO), ()), (fast(NAMED), ()), (fast(PERCENT), SIGNS[PERCENT]), (fast(MONEY, LIRA), SIGNS[MONEY] + SIGNS[LIRA]), (fast(DURATION), SIGNS[DURATION])]
+
+    def left(text, steps):
+        if not steps:
+            return text
+        (pattern, signs), *more = steps
+        cut = F.regexp_replace(text, pattern, " ")
+        # each step's text is worked out once: the next looks for its signs in it, and then for its pattern
+        return once(F.when(any_of(text, signs), cut).otherwise(text) if signs else cut, lambda t: left(t, more))
+
+    return left(n, steps)
 
 
 KINDS = ("percentages", "money", "durations", "dates", "numbers")

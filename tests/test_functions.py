@@ -182,3 +182,22 @@ def test_terms_met_are_those_of_entity_matches(spark):
     got = df.select("a", "h", one.alias("want"), T.terms_met(F.col("a"), F.col("h")).alias("got")).collect()
     assert all(r.want == r.got for r in got)
     assert 100 < sum(len(r.got or []) for r in got) < sum(len(r.a or []) for r in got) - 100
+
+
+def test_facts_take_a_text_a_few_times_and_no_border_first(spark):
+    """Each pattern runs over the whole text once and begins with a character that few places have; its matches are those of the plain pattern."""
+    import random
+
+    plan = str(K.extract_claim_facts(F.col("t")))
+    assert plan.count("regexp_extract_all(") <= 8
+    rng = random.Random(3)
+    bits = ["1", "30", "2024", "19", ".", ",", "/", "-", " ", "%", "yuzde ", "tl", "euro", "₺", "gun", "ay", "'", "a", "_", "mart", "è", "x", "\n", "007"]
+    rows = [("".join(rng.choice(bits) for _ in range(rng.randrange(1, 12))),) for _ in range(3000)]
+    rows += [("5 tl'3",), ("a5 tl 6tl",), ("%%5 yuzde 6 xyuzde 7",), ("45.12.2024 1.2.34 è3-4-56",), ("2024-01-02-03",), ("a12b 3,4c 5.6",)]
+    df = spark.createDataFrame(rows, "t string")
+    every = lambda p, i: F.regexp_extract_all("t", F.lit(p), F.lit(i))
+    for pattern in (K.MONEY, K.LIRA, K.DURATION, K.PERCENT, K.DAY_FIRST, K.ISO, K.NAMED, r"(?<![a-z])\d+(?:[.,]\d+)*(?![a-z])"):
+        assert df.where(every(T.ascii_borders(pattern), 0) != every(K.fast(pattern), 0)).collect() == [], pattern
+        assert not K.fast(pattern).startswith("(?:(?<!"), pattern
+    both = df.select(F.arrays_zip(every(K.fast(K.MONEY), 1).alias("a"), every(K.fast(K.MONEY), 2).alias("b")).alias("x"), F.transform(every(K.fast(K.MONEY), 0), lambda m: F.struct(K.group(m, K.MONEY, 1).alias("a"), K.group(m, K.MONEY, 2).alias("b"))).alias("y"))
+    assert both.where("x <> y").count() == 0 and both.where("size(x) > 0").count() > 50
