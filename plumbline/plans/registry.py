@@ -771,7 +771,7 @@ def quality_summary(spark, d):
 
 @query(f"SELECT user_id, {_SUMMARY} FROM {_TRACE} GROUP BY user_id")
 def quality_by_user(spark, d):
-    return O.quality_summary(traces(spark, d), "user_id")
+    return O.quality_by(traces(spark, d), "user_id")
 
 
 @query(f"SELECT id, user_id, provider, error FROM {_TRACE} ORDER BY created_at DESC, id DESC LIMIT 100")

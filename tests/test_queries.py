@@ -29,3 +29,22 @@ def test_entry(spark):
 
 def test_every_oracle_has_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_durations_are_added_in_the_order_of_events(spark, tmp_path):
+    """However rows fall into tasks, means are those of the SQL on one thread, which adds them row by row, with its rounding."""
+    import random
+
+    rng = random.Random(11)
+    rows = [(0, 1, 1e16), (1, 1, 1.0), (2, 1, -1e16), (3, 1, 1.0), (4, 2, 0.44999999999999996), (5, 3, 1.8499999999999999), (6, 4, None)]
+    rows += [(7 + i, 5 + i % 400, rng.randrange(10_000) / 100) for i in range(20_000)]
+    kind = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
+    df = spark.createDataFrame([(i, None, u, rng.choice(["view", "click", "error"]), v, "{}") for i, u, v in rows], kind).cache()
+    df.coalesce(1).sortWithinPartitions("event_id").write.parquet(str(tmp_path / "sorted"))
+    df.repartition(7, (df.event_id * 7919) % 101).sortWithinPartitions(df.event_id.desc()).write.parquet(str(tmp_path / "events.parquet"))
+    con = duckdb.connect(config={"threads": 1})
+    con.execute(f"create view events as select * from '{tmp_path}/sorted/*.parquet'")
+    got = entry.queries()["quality_by_user"](spark, str(tmp_path))
+    want = con.execute(f"select {', '.join(got.columns)} from ({entry.oracle_sql()['quality_by_user']}) order by 1").fetchall()
+    assert sorted(map(tuple, got.collect())) == want
+    assert {r[0]: r[-1] for r in want[:4]} == {1: 0.3, 2: 0.5, 3: 1.9, 4: 0.0}
