@@ -16,20 +16,34 @@ def split_claims(answer: Column) -> Column:
     return F.filter(F.transform(parts, lambda c: F.btrim(c, F.lit(" -"))), lambda c: c != "")
 
 
-def evidence_windows(text: Column) -> Column:
-    """array<struct<ord, units, text>>: all runs of one, two and three sentence units, each text once."""
+def evidence_units(text: Column) -> Column:
+    """The sentence units of a text, in order."""
     flat = F.regexp_replace(text, r"(?<!\n)\n(?!\n)", " ")
-    units = F.filter(F.transform(F.split(flat, r"(?<!\d[.!?])(?<=[.!?])\s+|\s+(?=\([0-9]+\)\s)|\n{2,}"), T.normalize_whitespace), lambda u: u != "")
-    pairs = F.zip_with(units, F.slice(units, 2, F.greatest(F.size(units) - 1, F.lit(0))), lambda a, b: F.when(b.isNotNull(), F.concat_ws(" ", a, b)))
-    trios = F.zip_with(F.array_compact(pairs), F.slice(units, 3, F.greatest(F.size(units) - 2, F.lit(0))), lambda a, b: F.when(b.isNotNull(), F.concat_ws(" ", a, b)))
-    every = F.concat(F.transform(units, lambda u: F.struct(F.lit(1).alias("units"), u.alias("text"))), F.transform(F.array_compact(pairs), lambda u: F.struct(F.lit(2).alias("units"), u.alias("text"))), F.transform(F.array_compact(trios), lambda u: F.struct(F.lit(3).alias("units"), u.alias("text"))))
-    return F.transform(every, lambda w, i: F.struct(i.alias("ord"), w["units"].alias("units"), w["text"].alias("text")))
+    return F.filter(F.transform(F.split(flat, r"(?<!\d[.!?])(?<=[.!?])\s+|\s+(?=\([0-9]+\)\s)|\n{2,}"), T.normalize_whitespace), lambda u: u != "")
 
 
-def features(rows: DataFrame, column: str, told: Column | None = None) -> DataFrame:
-    """rows with the features of a column; facts are those of `told`, if it is given."""
+def unit_windows(units: Column) -> Column:
+    """array<struct<ord, units, first, text>>: all runs of one, two and three units, and the place of the first unit of each."""
+    run = lambda n: F.transform(F.slice(units, 1, F.greatest(F.size(units) - (n - 1), F.lit(0))), lambda u, i: F.struct(F.lit(n).alias("units"), i.alias("first"), (F.concat_ws(" ", u, *(F.get(units, i + k) for k in range(1, n))) if n > 1 else u).alias("text")))
+    return F.transform(F.concat(run(1), run(2), run(3)), lambda w, i: F.struct(i.alias("ord"), w["units"].alias("units"), w["first"].alias("first"), w["text"].alias("text")))
+
+
+def each_text_once(windows: Column) -> Column:
+    """The first window of every text, by text."""
+    by_text = F.sort_array(F.transform(windows, lambda w: F.struct(w["text"].alias("text"), w["ord"].alias("ord"), w["units"].alias("units"), w["first"].alias("first"))))
+    return T.once(by_text, lambda x: F.filter(x, lambda w, i: (i == 0) | (F.get(x, i - 1)["text"] != w["text"])))
+
+
+def window_features(w: Column) -> Column:
+    """What claims are held against in a window, its terms aside; only critical claims have facts, and those meet single units."""
+    text = w["text"]
+    return F.struct(w["ord"].alias("ord"), w["units"].alias("units"), w["first"].alias("first"), K.extract_claim_facts(F.when(w["units"] == 1, text)).alias("w_facts"), T.relation_concepts(text).alias("w_relations"), T.has_negative_polarity(text).alias("w_negative"), T.normalize_for_matching(text).alias("w_normal"))
+
+
+def features(rows: DataFrame, column: str) -> DataFrame:
+    """rows with the features of a column."""
     c = F.col(column)
-    made = F.struct(T.claim_content_terms(c).alias("terms"), K.extract_claim_facts(c if told is None else told).alias("facts"), T.relation_concepts(c).alias("relations"), T.extract_acronyms(c).alias("acronyms"), T.has_negative_polarity(c).alias("negative"), T.normalize_for_matching(c).alias("normal"))
+    made = F.struct(T.claim_content_terms(c).alias("terms"), K.extract_claim_facts(c).alias("facts"), T.relation_concepts(c).alias("relations"), T.extract_acronyms(c).alias("acronyms"), T.has_negative_polarity(c).alias("negative"), T.normalize_for_matching(c).alias("normal"))
     # a generator of one row: features are worked out once here, not again for each use of them
     return rows.select("*", F.explode(F.array(made)).alias("made")).select(*rows.columns, "made.*")
 
@@ -49,15 +63,17 @@ def match_claims(answers: DataFrame, sources: DataFrame, key: str = "answer_id")
     claims = features(said, "claim").withColumn("critical", K.has_facts(F.col("facts")))
     # the work is that of the sources' windows: sources of other keys meet no claim
     asked = sources.select(key, "source_index", "text").join(answers.select(key).hint("merge"), key, "left_semi")
-    w = dealt(asked, key).select(key, "source_index", F.explode(evidence_windows(F.col("text"))).alias("w")).select(key, "source_index", F.col("w.ord").alias("ord"), F.col("w.units").alias("units"), F.col("w.text").alias("window"))
-    w = w.groupBy(key, "source_index", "window").agg(F.min(F.struct("ord", "units")).alias("o")).select(key, "source_index", "window", "o.ord", "o.units")
-    # only critical claims have facts, and those meet single units
-    w = features(w, "window", F.when(F.col("units") == 1, F.col("window"))).select(key, "source_index", "ord", "units", *(F.col(c).alias(f"w_{c}") for c in ("terms", "facts", "relations", "negative", "normal")))
+    # a window's terms are those of its units, and each unit stands in up to six windows: claims look for theirs in units
+    w = dealt(asked, key).select(key, "source_index", F.explode(F.array(evidence_units(F.col("text")))).alias("each"))
+    w = w.select(key, "source_index", F.explode(F.array(F.struct(F.transform("each", T.claim_content_terms).alias("held"), F.transform(each_text_once(unit_windows(F.col("each"))), window_features).alias("windows")))).alias("made"))
     # merged: Spark guesses windows and their features no larger than the sources, and would send them all through the driver
-    c = claims.alias("c").hint("merge").join(w.alias("w"), F.expr(f"c.{key} = w.{key} AND (NOT c.critical OR w.units = 1)")).drop(F.col(f"w.{key}"))
-    c = c.withColumn("matched", F.array_sort(T.terms_met(F.col("terms"), F.col("w_terms")))).withColumn("coverage", F.size("matched") / F.greatest(F.size("terms"), F.lit(1)))
+    c = claims.hint("merge").join(w.select(key, "source_index", "made.*"), key)
+    c = c.withColumn("met", F.transform("held", lambda held: T.terms_met(F.col("terms"), held))).drop("held")
+    c = c.select(*(x for x in c.columns if x != "windows"), F.inline("windows")).where("NOT critical OR units = 1")
+    matched = F.sort_array(F.array_distinct(F.flatten(F.slice("met", F.col("first") + 1, F.col("units")))))
+    c = c.withColumn("matched", matched).withColumn("coverage", F.size("matched") / F.greatest(F.size("terms"), F.lit(1))).drop("met")
     common = F.array_intersect("relations", "w_relations")
-    c = c.withColumns({"facts_ok": K.facts_supported(F.col("facts"), F.col("w_facts")), "related": F.size(common) > 0, "acronyms_ok": F.forall("acronyms", lambda a: F.contains(F.col("w_normal"), a)), "polarity_ok": F.col("negative") == F.col("w_negative")})
+    c = c.withColumns({"facts_ok": ~F.col("critical") | K.facts_supported(F.col("facts"), F.col("w_facts")), "related": F.size(common) > 0, "acronyms_ok": F.forall("acronyms", lambda a: F.contains(F.col("w_normal"), a)), "polarity_ok": F.col("negative") == F.col("w_negative")})
     relations_ok = (F.size("relations") == 0) | F.col("related")
     minimum = F.when(F.col("critical") | (F.col("mode") == "summary"), 0.35).otherwise(0.65)
     fewest = F.when(F.size("terms") <= 2, 1).otherwise(2)

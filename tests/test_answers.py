@@ -78,3 +78,40 @@ def test_claims_of_oddly_spaced_answers(spark):
     want = {"BELGEYE  göre:  Bir. İki ;  üç ; -": ["Bir.", "İki", "üç"], " a\t b\n": ["a b"], "No. 3. A; - x -": ["No. 3. A", "x"], "Belgeye göre": ["Belgeye göre"], "": [], " ; ": [";"]}
     rows = spark.createDataFrame([(x,) for x in want], "x string").select("x", V.split_claims(F.col("x")).alias("c")).collect()
     assert {r.x: r.c for r in rows} == want
+
+
+def test_claims_look_for_their_terms_in_units(spark, monkeypatch):
+    """A window's terms are those of its units: each claim and unit meet once, and matches are those of all windows, each text once."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from plumbline.functions import text as T
+    from plumbline.operators import verification as V
+
+    rng = random.Random(5)
+    word = lambda: rng.choice(["burs", "burslar", "oran", "ucret", "egitim", "egitimi", "okul", "kitap", "kitaplar", "gun", "12", "2024", "%5"])
+    sentence = lambda n: " ".join(word() for _ in range(n)).capitalize() + rng.choice(". .! ? .".split())
+    sources = [(k, i, " ".join(sentence(rng.randrange(1, 6)) for _ in range(rng.randrange(0, 6)))) for k in range(12) for i in range(3)] + [(0, 3, None), (1, 3, "Burs var. Burs var. Burs var."), (2, 3, "a\n\nA b. a\n\nA b.")]
+    answers = [(k, " ".join(sentence(rng.randrange(2, 7)) for _ in range(3)), rng.choice(["factual", "summary"])) for k in range(13)]
+    s = spark.createDataFrame(sources, "answer_id int, source_index int, text string")
+    windows = s.select("answer_id", "source_index", F.explode(V.each_text_once(V.unit_windows(V.evidence_units(F.col("text"))))).alias("w")).select("*", "w.*").collect()
+    assert len({(w.answer_id, w.source_index, w.text) for w in windows}) == len(windows)
+    units = {(r.answer_id, r.source_index): r.u for r in s.select("answer_id", "source_index", V.evidence_units(F.col("text")).alias("u")).collect()}
+    assert all(w.text == " ".join(units[w.answer_id, w.source_index][w.first : w.first + w.units]) for w in windows)
+    looked = []
+    met = T.terms_met
+    monkeypatch.setattr(V.T, "terms_met", lambda asked, held: looked.append(1) or met(asked, held))
+    m = V.match_claims(spark.createDataFrame(answers, "answer_id int, answer string, mode string"), s)
+    plan = m._jdf.queryExecution().optimizedPlan().toString()
+    assert looked and "transform(held" in plan
+    terms = lambda texts: {r.t: r.x for r in spark.createDataFrame([(t,) for t in sorted(set(texts))], "t string").select("t", T.claim_content_terms(F.col("t")).alias("x")).collect()}
+    got = m.collect()
+    of, held = terms(r.claim for r in got), terms(w.text for w in windows)
+    pairs = [(r.answer_id, r.claim_no, w.ord, w.source_index, of[r.claim], held[w.text]) for r in got for w in windows if w.answer_id == r.answer_id]
+    best = spark.createDataFrame(pairs, "k int, n int, ord int, i int, a array<string>, h array<string>").select("*", F.array_sort(F.filter("a", lambda t: T.entity_matches(t, F.col("h")))).alias("m")).collect()
+    every = {}
+    for r in best:
+        every.setdefault((r.k, r.n, r.i), []).append(r.m)
+    assert sum(bool(r.matched) for r in got) > 20
+    assert all(r.matched in every[r.answer_id, r.claim_no, r.source_index] and r.coverage == round(len(r.matched) / max(len(of[r.claim]), 1), 4) for r in got if r.source_index is not None)
